@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from phylospan.shipping import ship
+
 _own_dir: str | None = None
 
 
@@ -102,6 +104,7 @@ def each_row(df: DataFrame, setup: Callable[[], Rows], schema: str, rows: int =
     ``setup()`` runs once per task and returns a function of the row's values, giving the tuple of an
     output row (with ``many`` an iterable of them).  At most ``rows`` rows are Python objects at a time.
     """
+    ship(df.sparkSession)
     spark_schema = T._parse_datatype_string(schema)
     return df.mapInArrow(_Each(setup, to_arrow_schema(spark_schema), rows, many), spark_schema)
 
@@ -124,6 +127,7 @@ class _Extended:
 
 def with_computed(df: DataFrame, cols: list[str], setup: Callable[[], Rows], schema: str, rows: int = 256) -> DataFrame:
     """``df`` with the columns of ``schema`` added, computed from ``cols``; rows and other columns stay as they are."""
+    ship(df.sparkSession)
     new = T._parse_datatype_string(schema)
     index = [df.columns.index(c) for c in cols]
     arrow = to_arrow_schema(new)

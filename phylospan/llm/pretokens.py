@@ -13,6 +13,8 @@ from functools import lru_cache
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: The byte-level split's contractions (fixed values).
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+#: The same split in the compiled encoder's pattern language (fixed values).
+COMPILED_SPLIT = CONTRACTIONS + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def tokenizer_path(name: str) -> str:
@@ -110,6 +112,31 @@ class BytePairVocabulary:
             ids = out
         return ids
 
+    def compiled_encoder(self):
+        """Text to ids with the splitting and merging compiled, equal to the library's; see :meth:`merger`."""
+        import tiktoken
+
+        unknown = _patterns()[2]
+        merge = self.merger()
+        ordinary = tiktoken.Encoding("split", pat_str=COMPILED_SPLIT, mergeable_ranks=self.id_of, special_tokens={}).encode_ordinary
+
+        def encode(text: str) -> list[int]:
+            runs = self.pieces(text)
+            if len(runs) == 1 and not runs[0][0] and (text.isascii() or unknown.search(text) is None):
+                return ordinary(text)
+            ids: list[int] = []
+            for special, run in runs:
+                if special:
+                    ids.append(self.special[run])
+                elif run.isascii() or unknown.search(run) is None:
+                    ids.extend(ordinary(run))
+                else:
+                    for piece in self.split(run):
+                        ids.extend(merge(piece))
+            return ids
+
+        return encode
+
     def merger(self):
         """A compiled merge of one pre-token.
 

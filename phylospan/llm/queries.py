@@ -6,19 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from phylospan.llm.bpe_prefix import round_trip
 from phylospan.llm.common import table
+from phylospan.llm.packing import pack_documents
+from phylospan.llm.simhash import near_duplicate_classes
 from phylospan.llm.token_counts import count_tokens
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op4_bpe_prefix": op4_bpe_prefix,
+    "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
 }
 
