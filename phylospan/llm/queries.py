@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from phylospan.llm.bpe_prefix import round_trip
 from phylospan.llm.common import table
+from phylospan.llm import quality, toxicity
 from phylospan.llm.packing import pack_documents
 from phylospan.llm.simhash import near_duplicate_classes
 from phylospan.llm.token_counts import count_tokens
@@ -19,6 +20,16 @@ def op4_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train_from(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train_from(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -30,8 +41,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_bpe_prefix": op4_bpe_prefix,
+    "op5_toxicity": op5_toxicity,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
