@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from phylospan.llm.bpe_prefix import round_trip
 from phylospan.llm.common import table
-from phylospan.llm import quality, toxicity
+from phylospan.llm import embeddings, quality, toxicity
 from phylospan.llm.packing import pack_documents
 from phylospan.llm.simhash import near_duplicate_classes
 from phylospan.llm.token_counts import count_tokens
@@ -25,6 +25,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train_from(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.train_from(docs, table(spark, sf_dir, "labels")))
@@ -44,6 +48,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_embeddings": op9_embeddings,
     "op10_quality": op10_quality,
 }
 
