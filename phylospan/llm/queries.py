@@ -10,6 +10,7 @@ from phylospan.llm import embeddings, quality, toxicity
 from phylospan.llm.packing import pack_documents
 from phylospan.llm.simhash import near_duplicate_classes
 from phylospan.llm.token_counts import count_tokens
+from phylospan.llm.warc import archive_pages
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +35,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.train_from(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_bpe_prefix": op4_bpe_prefix,
     "op5_toxicity": op5_toxicity,
+    "op6_warc": op6_warc,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
     "op9_embeddings": op9_embeddings,
