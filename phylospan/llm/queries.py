@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from phylospan.llm.bpe_prefix import round_trip
 from phylospan.llm.common import table
 from phylospan.llm import embeddings, quality, toxicity
+from phylospan.llm.media import media_features
 from phylospan.llm.packing import pack_documents
 from phylospan.llm.simhash import near_duplicate_classes
 from phylospan.llm.token_counts import count_tokens
@@ -17,6 +18,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op2_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_webp": op2_webp,
     "op4_bpe_prefix": op4_bpe_prefix,
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
