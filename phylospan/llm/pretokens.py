@@ -35,7 +35,7 @@ def _ranges(categories: str) -> str:
 
 
 @lru_cache(1)
-def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
     def split(letter: str, number: str, other: str, white: str) -> re.Pattern:
         return re.compile(f"(?:{CONTRACTIONS})| ?{letter}+| ?{number}+| ?{other}+|[{white}]+(?![^{white}])|[{white}]+")
 
@@ -43,7 +43,23 @@ def _patterns() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
     narrow = split("[A-Za-z]", "[0-9]", f"[^A-Za-z0-9{ascii_white}]", ascii_white)
     number = _ranges("N")
     wide = split(f"[^\\W_{number}]", f"[{number}]", f"(?:[^\\w{WHITE}]+|_+)", WHITE)
-    return narrow, wide, re.compile(f"[{_ranges('Cn')}]")
+    return narrow, wide
+
+
+#: The first code point that no character is assigned to; texts below it need no closer look (fixed value).
+_late = re.compile("[\u0378-\U0010ffff]")
+_assigned: set[str] = set()
+
+
+def all_assigned(text: str) -> bool:
+    """Whether this Python's Unicode tables know every character of the text."""
+    if text.isascii() or _late.search(text) is None:
+        return True
+    new = set(text) - _assigned
+    if any(unicodedata.category(c) == "Cn" for c in new):
+        return False
+    _assigned.update(new)
+    return True
 
 
 class BytePairVocabulary:
@@ -83,10 +99,10 @@ class BytePairVocabulary:
 
     def split(self, text: str) -> list[str]:
         """The pre-tokens of a text without special strings; joined they are the text."""
-        narrow, wide, unknown = _patterns()
+        narrow, wide = _patterns()
         if text.isascii():
             return narrow.findall(text)
-        if unknown.search(text) is None:
+        if all_assigned(text):
             return wide.findall(text)
         if self._library is None:
             from tokenizers import Tokenizer
@@ -116,19 +132,18 @@ class BytePairVocabulary:
         """Text to ids with the splitting and merging compiled, equal to the library's; see :meth:`merger`."""
         import tiktoken
 
-        unknown = _patterns()[2]
         merge = self.merger()
         ordinary = tiktoken.Encoding("split", pat_str=COMPILED_SPLIT, mergeable_ranks=self.id_of, special_tokens={}).encode_ordinary
 
         def encode(text: str) -> list[int]:
             runs = self.pieces(text)
-            if len(runs) == 1 and not runs[0][0] and (text.isascii() or unknown.search(text) is None):
+            if len(runs) == 1 and not runs[0][0] and all_assigned(text):
                 return ordinary(text)
             ids: list[int] = []
             for special, run in runs:
                 if special:
                     ids.append(self.special[run])
-                elif run.isascii() or unknown.search(run) is None:
+                elif all_assigned(run):
                     ids.extend(ordinary(run))
                 else:
                     for piece in self.split(run):
