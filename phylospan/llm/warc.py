@@ -179,13 +179,16 @@ class _Blocks:
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_key", pa.string()), ("first_cid", pa.int64()), ("lines", pa.int32()), ("data", pa.binary())])
     ddl = "part int, block int, first_key string, first_cid long, lines int, data binary"
 
+    def __init__(self, lines: int):
+        self.lines = lines
+
     def __call__(self, batches):
         part, number, held = TaskContext.get().partitionId(), 0, []
         for batch in batches:
             held += zip(*(c.to_pylist() for c in batch.columns))
-            while len(held) >= BLOCK_LINES:
-                yield self.batch(part, number, held[:BLOCK_LINES])
-                held, number = held[BLOCK_LINES:], number + 1
+            while len(held) >= self.lines:
+                yield self.batch(part, number, held[: self.lines])
+                held, number = held[self.lines :], number + 1
         if held:
             yield self.batch(part, number, held)
 
@@ -211,7 +214,7 @@ def find_revisits(slim: DataFrame, at_least: int = REVISIT_FROM) -> DataFrame:
     return mine.where("cid <> refers_cid").select("cid", "page_id", "n", "sha1", "refers_cid", "refers_to")
 
 
-def write_captures(numbered: DataFrame, slim: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Captures:
+def write_captures(numbered: DataFrame, slim: DataFrame, archive_bytes: int = ARCHIVE_BYTES, block_lines: int = BLOCK_LINES, part_lines: int = PART_LINES) -> Captures:
     """Archives and index of ``numbered(cid, page_id, url, html)``; ``slim(cid, page_id, url, n, sha1)`` has its payload sizes and digests.
 
     Payloads are compressed where they are scanned, so only gzip members are shuffled.  Archives are bucketed
@@ -229,9 +232,9 @@ def write_captures(numbered: DataFrame, slim: DataFrame, archive_bytes: int = AR
     packed.write.option("path", path).option("compression", "uncompressed").bucketBy(buckets, "archive").saveAsTable(name)
     archives = spark.table(name)
     lines = archives.select("archive", F.explode("entries").alias("e")).select("e.urlkey", "e.cid", "archive", "e.offset", "e.length")
-    parts = min(PARTS, max(1, -(-count // PART_LINES)))
+    parts = min(PARTS, max(1, -(-count // part_lines)))
     ordered = lines.repartitionByRange(parts, "urlkey", "cid").sortWithinPartitions("urlkey", "cid")
-    blocks = written(ordered.mapInArrow(_Blocks(), _Blocks.ddl), "capture-index")
+    blocks = written(ordered.mapInArrow(_Blocks(block_lines), _Blocks.ddl), "capture-index")
     firsts = blocks.where("block = 0").select("first_key", "first_cid", "part").collect()  # at most PARTS rows
     return Captures(archives, blocks, sorted((r.first_key, r.first_cid, r.part) for r in firsts))
 

@@ -206,9 +206,12 @@ def _read_green(bits: BitReader, code: PrefixCode, n: int) -> np.ndarray | None:
     step = length[ahead].tobytes()
     at, places = start % 8, []
     add = places.append
-    for _ in range(n):
-        add(at)
-        at += step[at]
+    try:
+        for _ in range(n):
+            add(at)
+            at += step[at]
+    except IndexError:
+        raise ValueError("the stream ends early") from None
     if start - start % 8 + at > 8 * len(bits.data):
         raise ValueError("the stream ends early")
     got = symbol[ahead[np.array(places, np.int64)]]
