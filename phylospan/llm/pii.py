@@ -30,8 +30,8 @@ WINDOW, STRIDE = 80, 40
 #: Characters around a trigger that windows cover.
 AROUND = 40
 #: Documents that training windows are taken from, and windows of each source.
-SAMPLE, MADE, FOUND = 300, 1500, 600
-HIDDEN, EPOCHS, SEED = 16, 6, 5
+SAMPLE, MADE, FOUND = 300, 3000, 600
+HIDDEN, EPOCHS, SEED = 20, 8, 5
 #: Windows decoded at once.
 BATCH = 512
 
@@ -153,13 +153,18 @@ def training_windows(texts: list[str], seed: int = SEED) -> tuple[np.ndarray, np
         t = rng.choice(plain)
         k = rng.randrange(len(t) - WINDOW)
         piece = t[k : k + WINDOW]
-        cut = rng.randrange(WINDOW - 20)
-        kind, item = made_item(rng)
-        before, after = piece[:cut] + rng.choice([" ", " ", ": ", "\n"]), rng.choice([" ", " ", ". ", ", ", "\n"]) + piece[cut:]
-        text = before + item + after
-        spans = base_spans(before) + ([(len(before), kind, len(before) + len(item))] if kind >= 0 else [])
-        spans += [(s + len(before) + len(item), q, e + len(before) + len(item)) for s, q, e in base_spans(after)]
-        off = rng.randint(0, max(0, len(before) - 10))
+        text, spans = "", []
+        at = 0
+        for cut in sorted(rng.sample(range(5, WINDOW - 5), rng.choice([1, 1, 1, 2]))):
+            kind, item = made_item(rng)
+            text += piece[at:cut] + rng.choice([" ", " ", ": ", "\n"])
+            if kind >= 0:
+                spans.append((len(text), kind, len(text) + len(item)))
+            text += item + rng.choice([" ", " ", ". ", ", ", "\n"])
+            at = cut
+        text += piece[at:]
+        spans += [b for b in base_spans(text) if not any(b[0] < e and s < b[2] for s, _, e in spans)]
+        off = rng.randint(0, max(0, len(text) - WINDOW))
         windows.append((text, spans, off))
     own = [(t, spans) for t in texts if (spans := base_spans(t))]
     for _ in range(FOUND if own else 0):
@@ -182,8 +187,17 @@ def sample_texts(docs: DataFrame, text_col: str = "text", n: int = SAMPLE) -> li
     return sorted(r.text for r in picked.collect())
 
 
+def _allowed() -> np.ndarray:
+    """A span's inner label only follows a label of the same kind."""
+    ok = np.ones((LABELS, LABELS), bool)
+    for kind in range(len(KINDS)):
+        ok[:, 2 + 2 * kind] = False
+        ok[[1 + 2 * kind, 2 + 2 * kind], 2 + 2 * kind] = True
+    return ok
+
+
 def train(texts: list[str], seed: int = SEED) -> Tagger:
-    return fit(SYMBOLS, LABELS, *training_windows(texts, seed), hidden=HIDDEN, epochs=EPOCHS, seed=seed)
+    return fit(SYMBOLS, LABELS, *training_windows(texts, seed), allowed=_allowed(), hidden=HIDDEN, epochs=EPOCHS, seed=seed)
 
 
 # --- decoding ----------------------------------------------------------------------------------------

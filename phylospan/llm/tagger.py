@@ -157,9 +157,14 @@ def _log_sum(x, axis):
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def fit(symbols: int, labels: int, x: np.ndarray, y: np.ndarray, hidden: int = 16, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Tagger:
-    """A tagger trained on windows ``x`` with labels ``y``, by Adam steps on shuffled batches."""
+def fit(symbols: int, labels: int, x: np.ndarray, y: np.ndarray, allowed: np.ndarray | None = None, hidden: int = 16, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Tagger:
+    """A tagger trained on windows ``x`` with labels ``y``, by Adam steps on shuffled batches.
+
+    Label pairs that are not ``allowed`` have a CRF transition so low that no path takes it.
+    """
     tagger = Tagger(symbols, labels, hidden, seed)
+    if allowed is not None:
+        tagger.p["move"][~allowed] = -1e4
     rng = np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in tagger.p.items()}
     second = {k: np.zeros_like(v) for k, v in tagger.p.items()}
