@@ -1,11 +1,7 @@
-"""Shared plumbing: the folder all executors see, written intermediate tables, Arrow row mapping."""
+"""Shared plumbing: Arrow row mapping, tables, column names."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -15,52 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from phylospan.shipping import ship
-
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; in local mode a private one where that is unset.
-
-    A cluster session without the setting is refused, for a machine-local folder would hide written
-    parts from the other executors.
-    """
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="phylospan-")
-        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
-    return f"file://{_own_dir}"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/phylospan/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`written` that nothing reads any more."""
-    spark = df.sparkSession
-    root = shared_dir(spark).removeprefix("file://").removeprefix("file:")
-    for file in df.inputFiles():
-        folder = file.rpartition("/")[0]
-        if "/phylospan/" not in folder or root not in folder:
-            raise ValueError(f"not a table of this library: {folder}")
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        break
-
+from phylospan.storage import dropped, new_path, shared_dir, written
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -78,6 +29,8 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+__all__ = ["Remembered", "dropped", "each_row", "fresh", "new_path", "quoted", "shared_dir", "table", "with_computed", "written"]
+
 Rows = Callable[..., tuple]
 
 
