@@ -18,7 +18,7 @@ from phylospan.functions.bits import fmix64
 from phylospan.functions.sequence import mask_low_quality, six_frames, trim_pair_suffix
 from phylospan.model import ClassifyOptions
 from phylospan.operators.index import TaxIndex
-from phylospan.operators.minimizers import minimizer_runs, runs
+from phylospan.operators.minimizers import minimizer_runs, runs_of
 from phylospan.operators.taxonomy import lca_by
 from phylospan.shipping import ship
 
@@ -92,11 +92,23 @@ class _Arrays:
     def __init__(self, minimizers, taxa, paths, ext, names):
         self.minimizers, self.taxa, self.paths, self.ext, self.names = minimizers, taxa, paths, ext, names
 
+        # most minimizers of a read are in no index: one bit of a hash tells, before any search
+        self.shift = np.uint64(64 - max(10, (16 * len(minimizers)).bit_length()))
+        self.maybe = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.maybe[self._slot(minimizers)] = True
+
+    def _slot(self, m: np.ndarray) -> np.ndarray:
+        return (m * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
     def find(self, m: np.ndarray) -> np.ndarray:
-        if not len(self.minimizers):
-            return np.zeros(len(m), np.int64)
-        at = np.minimum(np.searchsorted(self.minimizers, m), len(self.minimizers) - 1)
-        return np.where(self.minimizers[at] == m, self.taxa[at], 0)
+        """The taxa of minimizers, 0 where there is none."""
+        out = np.zeros(len(m), np.int64)
+        if len(self.minimizers):
+            likely = np.flatnonzero(self.maybe[self._slot(m)])
+            keys = m[likely]
+            at = np.minimum(np.searchsorted(self.minimizers, keys), len(self.minimizers) - 1)
+            out[likely] = np.where(self.minimizers[at] == keys, self.taxa[at], 0)
+        return out
 
 
 def resolve(hits: dict[int, int], paths: dict[int, tuple], total: int, confidence: float) -> int:
@@ -141,57 +153,65 @@ class _OnePass:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                found, places = [], []
-                for frames in part.column(1).to_pylist():
-                    places.append([])
-                    for seq in frames:
-                        r = runs((seq or "").encode("latin-1", "replace"), o)
-                        found.append(r)
-                        places[-1].append(len(found) - 1)
-                m = np.concatenate([r[0] for r in found]) if found else np.empty(0, np.uint64)
+                reads, frames = part.column(0).to_pylist(), part.column(1).to_pylist()
+                seqs = [(s or "").encode("latin-1", "replace") for f in frames for s in f]
+                owner, m, ambiguous, fresh, size = runs_of(seqs, o)
                 taxa = arrays.find(m)
                 if o.min_hash:
                     taxa = np.where(fmix64(m) < np.uint64(o.min_hash), 0, taxa)
-                taxa = np.where(np.concatenate([r[1] for r in found]) if found else False, AMBIGUOUS, taxa)
-                ends = np.cumsum([len(r[0]) for r in found])
-                split = [taxa[e - len(r[0]) : e] for r, e in zip(found, ends)]
-                rows = [self.read(read, [(found[k], split[k]) for k in where]) for read, where in zip(part.column(0).to_pylist(), places)]
+                taxa = np.where(ambiguous, AMBIGUOUS, taxa)
+                ends = np.searchsorted(owner, np.arange(len(seqs)), "right")
+                rows, at, first = [], 0, 0
+                for read, f in zip(reads, frames):
+                    last = int(ends[at + len(f) - 1]) if f else first
+                    cuts = [int(e) - first for e in ends[at : at + len(f)]]
+                    view = slice(first, last)
+                    rows.append(self.read(read, cuts, taxa[view], fresh[view], size[view], m[view]))
+                    at, first = at + len(f), last
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), self.schema.types)], schema=self.schema)
 
-    def read(self, read, frames):
+    def read(self, read, cuts, taxa, fresh, size, m):
+        """One read's row; ``cuts`` are the ends of its frames among its runs."""
         opts, arrays = self.opts, self.arrays.value
-        per_mate = 6 if opts.translated else 1
+        per_mate, borders = (6 if opts.translated else 1), len(cuts) - 1
+        opened = fresh & (taxa > 0)
+        stop = len(taxa)
+        if opts.quick:
+            reached = np.flatnonzero((taxa > 0) & (np.cumsum(opened) >= opts.minimum_hit_groups))
+            if len(reached):
+                stop = int(reached[0])
+                borders = int(np.searchsorted(cuts, stop, "right"))
+                opened[stop + 1 :] = False
+        groups = int(opened.sum())
+        used, sizes = taxa[:stop], size[:stop]
+        hit = used > 0
         hits: dict[int, int] = {}
+        if hit.any():
+            names, place = np.unique(used[hit], return_inverse=True)
+            hits = dict(zip(names.tolist(), np.bincount(place, weights=sizes[hit]).astype(np.int64).tolist()))
         kmers: dict[int, list[int]] = {}
-        codes: list[int] = []
-        sizes: list[int] = []
-        groups = total = borders = 0
-        stopped = False
-        for k, ((m, _, fresh, n), taxa) in enumerate(frames):
-            if k and not stopped:
-                codes.append(MATE_BORDER if k % per_mate == 0 else FRAME_BORDER)
-                sizes.append(1)
-                borders += 1
-            for t, first, size, value in zip(taxa.tolist(), fresh.tolist(), n.tolist(), m.view(np.int64).tolist()):
-                if stopped:
-                    break
-                if t > 0:
-                    if first:
-                        groups += 1
-                        if self.kmers:
-                            kmers.setdefault(t, []).append(value)
-                    if opts.quick and groups >= opts.minimum_hit_groups:
-                        stopped = True
-                        break
-                    hits[t] = hits.get(t, 0) + size
-                codes.append(t)
-                sizes.append(size)
-                total += size
-        total = max(0, total + total_terms(opts, borders))
-        call = resolve(hits, arrays.paths, total, opts.confidence)
+        if self.kmers:
+            for t, value in zip(taxa[opened].tolist(), m[opened].view(np.int64).tolist()):
+                kmers.setdefault(t, []).append(value)
+        total = max(0, int(sizes.sum()) + total_terms(opts, borders))
+        call = resolve(hits, arrays.paths, total, opts.confidence) if hits else 0
         if groups < opts.minimum_hit_groups:
             call = 0
-        text = f"{arrays.ext[call]}:Q" if opts.quick else hit_list(codes, sizes, arrays.ext)
+        if opts.quick:
+            text = f"{arrays.ext[call]}:Q"
+        else:
+            codes, counts, done = [], [], 0
+            for k, end in enumerate(cuts):
+                part = used[done:end]
+                if len(part):
+                    start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                    codes += part[start].tolist()
+                    counts += np.add.reduceat(sizes[done:end], start).tolist()
+                if k + 1 < len(cuts):
+                    codes.append(MATE_BORDER if (k + 1) % per_mate == 0 else FRAME_BORDER)
+                    counts.append(1)
+                done = end
+            text = hit_list(codes, counts, arrays.ext)
         return read, call, total, groups, text, list(hits.items()), list(kmers.items())
 
 

@@ -38,18 +38,27 @@ def candidates(codes: np.ndarray, o: IndexOptions) -> np.ndarray:
     n = len(codes) - o.l + 1
     bad = np.concatenate(([0], np.cumsum(codes == 255)))
     base = np.where(codes == 255, 0, codes).astype(np.uint64)
-    value = np.zeros(n, np.uint64)
-    back = np.zeros(n, np.uint64)
-    bits = np.uint64(o.bits)
-    for j in range(o.l):
-        part = base[j : j + n]
-        value = (value << bits) | part
-        if o.dna:
-            back |= (np.uint64(3) - part) << np.uint64(2 * j)
+    value, back, size = None, None, 0
+    power, turned, width = base, np.uint64(3) - base, 1  # stretches of a power of two, and their complements reversed
+    while True:
+        if o.l & width:
+            part, other = power[size : size + n], turned[size : size + n]
+            shift = np.uint64(o.bits * width)
+            value = part if value is None else (value << shift) | part
+            back = other if back is None else back | (other << np.uint64(2 * size))
+            size += width
+        if size == o.l:
+            break
+        shift = np.uint64(o.bits * width)
+        power = (power[:-width] << shift) | power[width:]
+        turned = turned[:-width] | (turned[width:] << np.uint64(2 * width)) if o.dna else turned[:-width]
+        width *= 2
     if o.dna:
         if o.revcom_version == 0:
             back = np.fromiter((reverse_complement(int(v), o.l, 0) for v in value), np.uint64, n)
         value = np.minimum(value, back)
+    else:
+        value = value.copy()
     if o.spaced_seed_mask:
         value &= np.uint64(o.spaced_seed_mask & ((1 << 64) - 1))
     value ^= np.uint64(o.toggle)
@@ -79,23 +88,68 @@ def tokens(seq: bytes, o: IndexOptions) -> tuple[np.ndarray, np.ndarray]:
     return least, (last >= 0) & (run < (o.k - 1 if o.k > o.l else o.k))
 
 
-def runs(seq: bytes, o: IndexOptions):
-    """``(minimizer, ambiguous, fresh, tokens)`` arrays of a sequence's runs of equal tokens.
+#: Bases that are scanned at once; longer sequences are scanned in overlapping pieces.
+CHUNK = 1 << 16
+
+
+def _pieces(seqs: list[bytes], k: int):
+    """Groups of ``(sequence number, bytes)`` of about :data:`CHUNK` bases; a long sequence's pieces overlap by ``k - 1``."""
+    held, size = [], 0
+    for number, seq in enumerate(seqs):
+        for lo in range(0, max(1, len(seq) - k + 1), CHUNK):
+            part = seq[lo : lo + CHUNK + k - 1]
+            if len(part) < k:
+                continue
+            held.append((number, part))
+            size += len(part)
+            if size >= CHUNK:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
 
-    ``fresh`` marks a run whose minimizer differs from the last unambiguous one, which opens a hit group.
-    Minimizers of ambiguous runs are 0.
+def runs_of(seqs: list[bytes], o: IndexOptions):
+    """Runs of equal tokens of many sequences: ``(sequence, minimizer, ambiguous, fresh, tokens)`` arrays.
+
+    Sequences are scanned together with an ambiguous base between them; a long one's runs are cut where its
+    pieces meet.  ``fresh`` marks a run whose
+    minimizer differs from the sequence's last unambiguous one, which opens a hit group.  Minimizers of
+    ambiguous runs are 0.
     """
-    m, ambiguous = tokens(seq, o)
-    if not len(m):
-        return m, ambiguous, ambiguous, np.empty(0, np.int32)
-    m = np.where(ambiguous, np.uint64(0), m)
-    start = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (ambiguous[1:] != ambiguous[:-1])])
-    size = np.diff(np.r_[start, len(m)]).astype(np.int32)
-    m, ambiguous = m[start], ambiguous[start]
+    owners, values, flags, sizes = [], [], [], []
+    for group in _pieces(seqs, o.k):
+        m, ambiguous = tokens(b"\0".join(part for _, part in group), o)
+        size = np.array([len(part) for _, part in group])
+        start = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
+        count = size - o.k + 1
+        at = np.repeat(start - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+        owner = np.repeat(np.array([n for n, _ in group]), count)
+        m, ambiguous = m[at], ambiguous[at]
+        m[ambiguous] = 0
+        new = np.empty(len(m), bool)
+        new[0] = True
+        np.not_equal(m[1:], m[:-1], out=new[1:])
+        new[1:] |= ambiguous[1:] != ambiguous[:-1]
+        new[np.concatenate(([0], np.cumsum(count)[:-1]))] = True
+        first = np.flatnonzero(new)
+        owners.append(owner[first])
+        values.append(m[first])
+        flags.append(ambiguous[first])
+        sizes.append(np.diff(first, append=len(m)).astype(np.int32))
+    if not owners:
+        none = np.empty(0, bool)
+        return np.empty(0, np.int64), np.empty(0, np.uint64), none, none, np.empty(0, np.int32)
+    owner, m, ambiguous, size = map(np.concatenate, (owners, values, flags, sizes))
     fresh = ~ambiguous
     clear = np.flatnonzero(fresh)
-    fresh[clear[1:]] = m[clear[1:]] != m[clear[:-1]]
-    return m, ambiguous, fresh, size
+    fresh[clear[1:]] = (m[clear[1:]] != m[clear[:-1]]) | (owner[clear[1:]] != owner[clear[:-1]])
+    return owner, m, ambiguous, fresh, size
+
+
+def runs(seq: bytes, o: IndexOptions):
+    """``(minimizer, ambiguous, fresh, tokens)`` arrays of one sequence."""
+    return runs_of([seq], o)[1:]
 
 
 class _Scan:
@@ -110,21 +164,18 @@ class _Scan:
     def __call__(self, batches):
         o = self.options
         for batch in batches:
-            held, size = [], 0
-            for read, mate, frame, seq in zip(*(c.to_pylist() for c in batch.columns)):
-                m, ambiguous, fresh, n = runs((seq or "").encode("latin-1", "replace"), o)
-                if len(m):
-                    low = fmix64(m) < np.uint64(o.min_hash) if o.min_hash else np.zeros(len(m), bool)
-                    held.append((np.full(len(m), read, np.int64), np.full(len(m), mate, np.int32), np.full(len(m), frame, np.int32), np.arange(len(m), dtype=np.int32), m.view(np.int64), ambiguous, fresh, low, n))
-                    size += len(m)
-                if size > 1 << 17:
-                    yield self.batch(held)
-                    held, size = [], 0
-            if held:
-                yield self.batch(held)
-
-    def batch(self, held):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*held), self.schema.types)], schema=self.schema)
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                read, mate, frame = (part.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+                owner, m, ambiguous, fresh, n = runs_of([(s or "").encode("latin-1", "replace") for s in part.column(3).to_pylist()], o)
+                if not len(m):
+                    continue
+                first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                number = np.arange(len(m)) - np.repeat(first, np.diff(np.r_[first, len(m)]))
+                low = fmix64(m) < np.uint64(o.min_hash) if o.min_hash else np.zeros(len(m), bool)
+                cols = (read[owner], mate[owner], frame[owner], number, m.view(np.int64), ambiguous, fresh, low, n)
+                for at in range(0, len(m), 1 << 17):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 17)], t) for c, t in zip(cols, self.schema.types)], schema=self.schema)
 
 
 def minimizer_runs(frames: DataFrame, o: IndexOptions) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from phylospan.model import IndexOptions
 from phylospan.operators.index import TaxIndex, build_index
 from phylospan.operators.taxonomy import Taxonomy
-from phylospan.storage import written
+from phylospan.storage import dealt, written
 
 HEX, BASES, BASES_N = "0123456789ABCDEF", "ACGTACGTACGTACGT", "ACGTACGTACGTACGN"
 #: The options of the small bridges.
@@ -69,7 +69,7 @@ def part_index(spark: SparkSession, sf_dir: str, options: IndexOptions = SHORT)
 
 def part_reads(spark: SparkSession, sf_dir: str, paired: bool = False) -> DataFrame:
     """Reads from parts: a name with brand and type behind it, some bases ambiguous; of a pair the mate is the next part's."""
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq_no"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("t"), "p_name")
+    part = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")).select(F.col("p_partkey").alias("seq_no"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("t"), "p_name")
     first = part.select("seq_no", F.concat(F.lit("part"), F.col("seq_no").cast("string"), F.lit("/1")).alias("header1"), F.lit("").alias("comment1"), dna(F.col("t"), BASES_N).alias("seq1"), F.lit("").alias("quals1"), F.lit("fasta").alias("format1"))
     if not paired:
         return first.select("*", *[F.lit(None).cast("string").alias(f"{c}2") for c in ("header", "comment", "seq", "quals", "format")])
@@ -89,6 +89,6 @@ def benchmark_index(spark: SparkSession, sf_dir: str, options: IndexOptions = In
 
 def document_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, whole, as reads."""
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
     null = lambda c: F.lit(None).cast("string").alias(c)
     return docs.select(F.col("doc_id").alias("seq_no"), F.col("doc_id").cast("string").alias("header1"), F.lit("").alias("comment1"), dna(F.col("text")).alias("seq1"), F.lit("").alias("quals1"), F.lit("fasta").alias("format1"), *[null(f"{c}2") for c in ("header", "comment", "seq", "quals", "format")])

@@ -53,3 +53,14 @@ def dropped(df: DataFrame) -> None:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         break
+
+
+#: Input bytes per core up to which an input counts as small.
+SMALL = 32 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A small input dealt out over all cores, for it may sit in one row group; a large one as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(2 * cores) if size <= SMALL * cores else df
