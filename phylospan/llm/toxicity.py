@@ -2,8 +2,8 @@
 
 Two zstandard dictionaries are trained: one on windows of ordinary documents, one on the fragments of toxic
 documents that ordinary text does not share.  Every window of a text is compressed twice, with the ordinary
-dictionary and with the same one continued by the toxic one, so that what the two have in common cancels;
-the bytes saved by the toxic part are the window's distance.  A document's evidence is how many of its
+dictionary and with the same one behind the toxic one, so that what the two have in common lies at the same
+distance and cancels; the bytes saved by the toxic part are the window's distance.  A document's evidence is how many of its
 windows pass saving thresholds, by number and by share, with the mean and the largest saving; logistic
 weights calibrated on documents that the dictionaries have not seen turn it into a probability.
 """
@@ -22,9 +22,9 @@ from phylospan.llm.common import each_row, fresh, quoted, with_computed
 from phylospan.llm.labelled import fold, logistic, training_sample
 
 #: Bytes in a window at most; windows end at white space where there is any.
-WINDOW = 32
+WINDOW = 48
 #: Bytes of the ordinary and of the toxic dictionary.
-ORDINARY, TOXIC = 8 << 10, 3 << 10
+ORDINARY, TOXIC = 6 << 10, 2 << 10
 #: Training documents at most: toxic and ordinary ones.
 PER_CLASS = (1600, 4800)
 #: Ordinary windows that the dictionary is trained on at most.
@@ -126,10 +126,10 @@ def train(texts: list[str], labels: np.ndarray, share: float) -> ToxicityModel:
         own = zstd.train_dictionary(TOXIC, toxic_fragments(toxic, ordinary), k=16, d=6, level=3).as_bytes()
     except zstd.ZstdError:
         return flat
-    model = ToxicityModel(common + own, common, none, 0.0, none, none + 1)
+    model = ToxicityModel(own + common, common, none, 0.0, none, none + 1)
     rest = np.flatnonzero(~half)
     fitted = logistic(np.array([model.evidence(texts[k]) for k in rest]), labels[rest].astype(float), share)
-    return ToxicityModel(common + own, common, *fitted)
+    return ToxicityModel(own + common, common, *fitted)
 
 
 def train_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: tuple[int, int] = PER_CLASS, held_out: tuple[int, int] = HELD_OUT) -> ToxicityModel:
