@@ -11,8 +11,6 @@ weights calibrated on documents that the dictionaries have not seen turn it into
 from __future__ import annotations
 
 import re
-from collections import Counter
-
 import numpy as np
 import zstandard as zstd
 from pyspark.sql import DataFrame
@@ -29,9 +27,10 @@ ORDINARY, TOXIC = 6 << 10, 2 << 10
 PER_CLASS = (1600, 4800)
 #: Ordinary windows that the dictionary is trained on at most.
 WINDOWS = 60_000
-#: A fragment is made of runs of so many bytes found in so many times the share of toxic documents, and in
-#: at least this share of them.
-RUN, TIMES, LEAST = 4, 30, 0.01
+#: A fragment is made of runs of so many bytes that so many times the share of toxic documents have, so many
+#: times as often in proportion to text, found in at least
+#: this share of toxic documents; of a document so many occurrences count.
+RUNS, TIMES, OFTEN, LEAST, AT_MOST = (4, 8), 15, 30, 0.01, 8
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)
 #: Savings in bytes that windows are counted by.
@@ -78,31 +77,63 @@ def _compressor(content: bytes) -> zstd.ZstdCompressor:
     return zstd.ZstdCompressor(dict_data=d, compression_params=how)
 
 
-def _runs(data: bytes) -> set[bytes]:
-    return {data[k : k + RUN] for k in range(len(data) - RUN + 1)}
+def _numbered(data: bytes, n: int) -> np.ndarray:
+    """The runs of ``n`` (at most 8) bytes at every position, as numbers."""
+    b = np.frombuffer(data, np.uint8).astype(np.uint64)
+    out = np.zeros(max(0, len(b) - n + 1), np.uint64)
+    for k in range(n):
+        out = (out << np.uint64(8)) | b[k : k + len(out)]
+    return out
+
+
+def distinct(texts: list[bytes], size: int = 16) -> list[int]:
+    """Which texts to learn from: of near copies, which share half of their least hashed runs, the first."""
+    kept: list[int] = []
+    holders: dict[int, list[int]] = {}
+    for k, t in enumerate(texts):
+        runs = np.unique(_numbered(t, 8)) * np.uint64(0x9E3779B97F4A7C15)
+        runs ^= runs >> np.uint64(29)
+        least = np.sort(runs)[:size].tolist()
+        met: dict[int, int] = {}
+        for r in least:
+            for other in holders.get(r, ()):
+                met[other] = met.get(other, 0) + 1
+        if not least or max(met.values(), default=0) * 2 < len(least):
+            kept.append(k)
+            for r in least:
+                holders.setdefault(r, []).append(k)
+    return kept
+
+
+def _counted(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of ``n`` bytes with their number over all texts, at most :data:`AT_MOST` a text, and their number of texts."""
+    each = [np.unique(_numbered(t, n), return_counts=True) for t in texts]
+    runs, place = np.unique(np.concatenate([r for r, _ in each] or [np.empty(0, np.uint64)]), return_inverse=True)
+    counts = np.concatenate([np.minimum(c, AT_MOST) for _, c in each] or [np.empty(0)])
+    return runs, np.bincount(place, weights=counts, minlength=len(runs)), np.bincount(place, minlength=len(runs))
 
 
 def toxic_fragments(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    """What each toxic document has that ordinary text does not share, joined; documents without any are left out."""
-    in_toxic, in_ordinary = Counter(), Counter()
-    for t in toxic:
-        in_toxic.update(_runs(t))
-    for t in ordinary:
-        in_ordinary.update(_runs(t))
+    """What each toxic document has that ordinary text hardly shares, joined; documents without any are left out."""
+    share = sum(map(len, toxic)) / max(1, sum(map(len, ordinary)))
     least = max(3, LEAST * len(toxic))
-    rich = {r for r, n in in_toxic.items() if n >= least and n * len(ordinary) >= TIMES * (in_ordinary[r] + 1) * len(toxic)}
+    covered = [np.zeros(len(t) + 1, np.int32) for t in toxic]
+    for n in RUNS:
+        runs, often, spread = _counted(toxic, n)
+        known, known_often, known_spread = _counted(ordinary, n)
+        at = np.minimum(np.searchsorted(known, runs), max(0, len(known) - 1))
+        found = known[at] == runs if len(known) else np.zeros(len(runs), bool)
+        here = lambda v: np.where(found, v[at], 0.0) if len(known) else np.zeros(len(runs))
+        rich = runs[(spread >= least) & (spread * len(ordinary) >= TIMES * len(toxic) * (here(known_spread) + 1)) & (often >= OFTEN * share * (here(known_often) + 1))]
+        for t, c in zip(toxic, covered):
+            start = np.flatnonzero(np.isin(_numbered(t, n), rich))
+            np.add.at(c, start, 1)
+            np.add.at(c, start + n, -1)
     out = []
-    for t in toxic:
-        found, start, end = [], 0, -1
-        for k in range(len(t) - RUN + 1):
-            if t[k : k + RUN] in rich:
-                if k > end:
-                    found.append(t[start : max(end, start)])
-                    start = k
-                end = k + RUN
-        found.append(t[start : max(end, start)])
-        if len(joined := b"".join(found)) >= 8:
-            out.append(joined)
+    for t, c in zip(toxic, covered):
+        kept = np.frombuffer(t, np.uint8)[np.cumsum(c)[:-1] > 0].tobytes()
+        if len(kept) >= 8:
+            out.append(kept)
     return out
 
 
@@ -121,6 +152,7 @@ def train(texts: list[str], labels: np.ndarray, share: float) -> ToxicityModel:
     for y in (0, 1):
         half[np.flatnonzero(labels == y)[::2]] = True
     ordinary, toxic = ([texts[k].encode().lower() for k in np.flatnonzero(half & (labels == y))] for y in (0, 1))
+    ordinary, toxic = ([t[k] for k in distinct(t)] for t in (ordinary, toxic))
     try:
         common = zstd.train_dictionary(ORDINARY, [w for t in ordinary for w in _cut.findall(t)][:WINDOWS], k=32, d=6, level=3).as_bytes()
         own = zstd.train_dictionary(TOXIC, toxic_fragments(toxic, ordinary), k=16, d=6, level=3).as_bytes()
