@@ -72,6 +72,21 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-#: None of these is expressible in SQL (hash functions, tokenisers, trained models, codecs, genetic search);
+#: The other operators are beyond SQL (hash functions, tokenisers, trained models, codecs, genetic search);
 #: tests/llm compares each with a brute-force version, a library or an exact round trip.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+w AS (SELECT page_id, h, strlen(h)::BIGINT AS n, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to FROM w""",
+    "op9_embeddings": """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+counted AS (SELECT a, count(*) AS n_links FROM links GROUP BY a),
+named AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT named.a AS vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, named.a = component_id AS kept FROM named LEFT JOIN counted ON counted.a = named.a""",
+}

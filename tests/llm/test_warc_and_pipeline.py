@@ -118,3 +118,24 @@ def test_registered_queries():
     numbers = {name.split("_")[0] for name in QUERIES}
     assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} == numbers
     assert set(ORACLE_SQL) <= set(QUERIES) and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_sql_twins(spark, tmp_path):
+    """The SQL of the operators that have one, on small tables with ties, copies and odd values."""
+    import duckdb
+
+    rng = random.Random(3)
+    spark.createDataFrame([(k, u, h) for k, u, h in pages()[:370] if k is not None], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    base = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(20)]
+    near = [[x + rng.gauss(0, 0.1) for x in base[k % 5]] for k in range(40)]
+    vectors = base + near + [base[0], None, [0.0] * 8, [float("nan")] * 8, [1.0]]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    for name, sql in ORACLE_SQL.items():
+        table = "pages" if name == "op6_warc" else "embeddings"
+        con.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+        got, want = QUERIES[name](spark, str(tmp_path)), con.sql(sql)
+        order = sorted(got.columns)
+        assert order == sorted(want.columns)
+        at = [want.columns.index(c) for c in order]
+        assert sorted(str(tuple(r[c] for c in order)) for r in got.collect()) == sorted(str(tuple(r[k] for k in at)) for r in want.fetchall()), name
