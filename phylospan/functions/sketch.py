@@ -217,7 +217,14 @@ def sketches(rows: DataFrame, group: str, key: str, precision: int = 12) -> Data
     """``(g, sketch)`` per group of ``rows``: made map-side, then merged; a group moves as one sketch per task."""
     ship(rows.sparkSession)
     part = rows.select(F.col(group).cast("long").alias("g"), F.col(key).cast("long").alias("k")).mapInArrow(_Partial(precision, False), "g long, sketch binary")
-    return part.repartition("g").mapInArrow(_Partial(precision, True), "g long, sketch binary")
+    return merged(part, precision)
+
+
+def merged(made: DataFrame, precision: int = 12) -> DataFrame:
+    """One sketch per group of ``made(g, sketch)``; merged in each task before they move, and after."""
+    ship(made.sparkSession)
+    step = _Partial(precision, True)
+    return made.select("g", "sketch").mapInArrow(step, "g long, sketch binary").repartition("g").mapInArrow(step, "g long, sketch binary")
 
 
 def estimates(made: DataFrame) -> DataFrame:

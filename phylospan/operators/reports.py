@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phylospan.functions.sequence import percent, rank_letter
+from phylospan.functions.sketch import estimates, merged, sketches
 from phylospan.operators.taxonomy import Taxonomy, clade_sums
+from phylospan.storage import written
 
 
 def taxon_counters(calls: DataFrame) -> DataFrame:
@@ -27,6 +29,16 @@ def clade_distinct(calls: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     return above.groupBy("node", "m").agg(F.sum("c").alias("c")).groupBy("node").agg(F.sum("c").alias("clade_kmers"), F.count("*").alias("clade_distinct_kmers"))
 
 
+def clade_sketches(rows: DataFrame, taxonomy: Taxonomy, precision: int = 12) -> DataFrame:
+    """``(node, observed, estimate)``: distinct keys of every clade by merged sketches, for ``rows(taxon, m)``.
+
+    A taxon's keys become one sketch; only sketches go up the tree, so the cost does not follow the keys.
+    """
+    own = written(sketches(rows, "taxon", "m", precision), "sketches")
+    above = own.join(taxonomy.closure().select(F.col("node").alias("g"), "ancestor"), "g").select(F.col("ancestor").alias("g"), "sketch")
+    return estimates(merged(above, precision)).select(F.col("g").alias("node"), "observed", "estimate")
+
+
 def ranked_tree(counts: DataFrame, taxonomy: Taxonomy, zeros: bool = False) -> DataFrame:
     """Every node with ``own`` and ``clade`` reads, its sort ``key`` and rank code, for ``counts(taxon, reads)``.
 

@@ -82,6 +82,14 @@ def clade_rollup_distinct(spark: SparkSession, d: str) -> DataFrame:
     return above.groupBy("node", "l_partkey").agg(F.sum("c").alias("c")).groupBy("node").agg(F.sum("c").alias("parts"), F.count("*").alias("distinct_parts"))
 
 
+def clade_rollup_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """Different parts ordered below each node, by sketches that are merged up the tree."""
+    tax = market(spark, d)
+    bought = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey"), "o_orderkey")
+    rows = tax.internal(bought.select((1_000_000_000 + F.col("o_custkey")).alias("ext_id"), "l_partkey"))
+    return reports.clade_sketches(rows.select("taxon", F.col("l_partkey").alias("m")), tax)
+
+
 def clade_report(spark: SparkSession, d: str) -> DataFrame:
     tax = market(spark, d)
     return reports.clade_report(_order_counts(spark, d, tax), tax, 7).select("line_no", "clade_reads", "own_reads", "rank_code", "ext_id", "name", "depth")
@@ -304,7 +312,7 @@ def dust_mask(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     classify_calls, classify_joins, classify_confidence, classify_hit_groups, classify_paired, classify_quick, classify_lines, classify_stats, split_outputs, classify_report, classify_documents, stream_call_counts,
-    tax_bfs_ids, tax_closure, tax_children, tax_mark_prune, tax_lca_pairs, tax_is_ancestor, clade_rollup_counts, clade_rollup_distinct, clade_report, path_report,
+    tax_bfs_ids, tax_closure, tax_children, tax_mark_prune, tax_lca_pairs, tax_is_ancestor, clade_rollup_counts, clade_rollup_distinct, clade_rollup_sketch, clade_report, path_report,
     murmur_hash, revcomp, quality_mask, trim_pair, seqid_extract, header_taxids, fasta_wrap, six_frame,
     minimizers_dna, minimizers_ambiguous, minimizers_spaced, minimizers_protein, minimizers_scan, index_build_lca, index_value_counts, index_subsample, capacity,
     accession_lookup, accession_unmapped, accession_any_version, id_map, distinct_exact, distinct_sketch, dust_mask,

@@ -26,7 +26,7 @@ def other():
 
 def test_registry():
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE_SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE_SQL) == {"classify_documents", "distinct_sketch", "dust_mask"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"classify_documents", "distinct_sketch", "clade_rollup_sketch", "dust_mask"}
 
 
 @needs_tables
@@ -69,3 +69,8 @@ def test_masks_and_sketches(spark):
     exact = {r.supplier: r.distinct_keys for r in QUERIES["distinct_exact"](spark, DATA).collect()}
     for r in QUERIES["distinct_sketch"](spark, DATA).collect():
         assert abs(r.estimate - exact[r.g]) <= 0.06 * exact[r.g] + 1
+    rolled = {r.node: r for r in QUERIES["clade_rollup_distinct"](spark, DATA).collect()}
+    estimated = {r.node: r for r in QUERIES["clade_rollup_sketch"](spark, DATA).collect()}
+    assert set(rolled) == set(estimated)
+    for n, r in estimated.items():
+        assert r.observed == rolled[n].parts and abs(r.estimate - rolled[n].distinct_parts) <= 0.06 * rolled[n].distinct_parts + 1

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from phylospan.functions.bits import fmix64
 from phylospan.model import ClassifyOptions, IndexOptions
 from phylospan.operators import reports
-from phylospan.operators.classify import classify, hit_list, output_lines, pair_files, pair_interleaved, resolve, run_stats, single_reads, split_names, split_reads, stats_text
+from phylospan.operators.classify import classify, hit_list, output_lines, pair_files, pair_interleaved, prepared, resolve, run_stats, single_reads, split_names, split_reads, stats_text
 from phylospan.operators.index import TaxIndex, build_index, estimate_capacity, sequence_taxa, subsampled
 from phylospan.operators.taxonomy import Taxonomy, mark, number
 from test_scan import model_tokens
@@ -234,7 +234,7 @@ def test_resolve_by_hand():
     assert hit_list([0, 0, -1, 4, -2, -3, 4], [1, 2, 3, 1, 1, 1, 5], {0: 0, 4: 77}) == "0:3 A:3 77:1 |:| -:- 77:5"
 
 
-def test_lines_stats_and_splits(spark, world):
+def test_lines_stats_and_splits(spark, world, tmp_path):
     index, _, _, _, library = world
     rows = make_reads(library, random.Random(8), 15)[:16]
     reads = single_reads(spark.createDataFrame(rows, SEQ))
@@ -250,6 +250,17 @@ def test_lines_stats_and_splits(spark, world):
     assert "2.00 Mbp" in stats_text({"sequences": 10, "bases": 2_000_000, "classified": 7, "unclassified": 3}, 1.5)
     parts = split_reads(calls, reads, index.taxonomy).collect()
     assert sum(p.classified for p in parts) == stats.classified and all("|" in p.record for p in parts if p.classified)
+    from phylospan.sources import sinks
+
+    assert sinks.write_split(parts_frame := split_reads(calls, reads, index.taxonomy), f"{tmp_path}/c", f"{tmp_path}/u") == [f"{tmp_path}/c", f"{tmp_path}/u"]
+    assert spark.read.text(f"{tmp_path}/c").count() == 4 * stats.classified and parts_frame.count() == 16
+    sinks.write_lines(output_lines(calls, reads, index.taxonomy), f"{tmp_path}/lines")
+    assert spark.read.text(f"{tmp_path}/lines").count() == 16
+    counts = calls.where("call <> 0").groupBy(F.col("call").alias("taxon")).agg(F.count("*").alias("reads"))
+    sinks.write_report(reports.clade_report(counts, index.taxonomy, stats.unclassified), f"{tmp_path}/report")
+    assert spark.read.text(f"{tmp_path}/report").count() > 1
+    sinks.write_unmapped(spark.createDataFrame([("X",)], "accession string"), f"{tmp_path}/unmapped")
+    assert spark.read.text(f"{tmp_path}/unmapped").first().value == "X"
     assert split_names("a#.fq", True) == ["a_1.fq", "a_2.fq"] and split_names("a", False) == ["a"]
     with pytest.raises(ValueError):
         split_names("a##", True)
@@ -260,9 +271,6 @@ def test_pairs(spark):
     assert [(r.header1, r.header2) for r in pair_interleaved(df).orderBy("seq_no").collect()] == [("r0", "r1"), ("r2", "r3")]
     assert pair_files(df, df.where("seq_no < 3")).count() == 3
     with pytest.raises(Exception, match="lacks its mate"):
-        _, idx = None, None
-        from phylospan.operators.classify import prepared
-
         prepared(single_reads(df), ClassifyOptions(paired=True)).collect()
 
 
