@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phylospan.llm.common import Remembered, each_row
-from phylospan.llm.pretokens import BytePairVocabulary, tokenizer_path, vocabulary
+from phylospan.llm.pretokens import BytePairVocabulary, chunks, tokenizer_path, vocabulary
 
 #: Encoded pre-tokens remembered per generation in a task (two generations, some 170 MB together).
 REMEMBERED = 350_000
@@ -172,7 +172,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: each text encoded, and decoded from its ids.
 
     Null text is empty (no ids, the digest of nothing), null ids stay null, repeated rows repeat, other
-    columns are ignored.  Ids stay in the task: nothing is shuffled.
+    columns are ignored.  Ids stay in the task, those of a million characters at a time: nothing is shuffled.
     """
 
     def setup():
@@ -180,9 +180,14 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         decimal = {i: str(i) for i in codec.vocab.bytes_of}.__getitem__
 
         def row(doc_id, text):
-            ids = codec.encode(text or "")
-            listed = ",".join(map(decimal, ids))
-            return doc_id, len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()
+            n, listed, decoded = 0, hashlib.sha256(), hashlib.sha256()
+            for chunk in chunks(text or ""):
+                ids = codec.encode(chunk)
+                if ids:
+                    listed.update((("," if n else "") + ",".join(map(decimal, ids))).encode())
+                    decoded.update(codec.decode(ids).encode())
+                    n += len(ids)
+            return doc_id, n, listed.hexdigest(), decoded.hexdigest()
 
         return row
 

@@ -18,8 +18,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phylospan.llm.common import each_row, fresh, quoted, written
-from phylospan.llm.pretokens import tokenizer_path, vocabulary
+from phylospan.llm.common import each_row, written
+from phylospan.llm.pretokens import chunks, tokenizer_path, vocabulary
 
 CAPACITY = 1024
 END_ID = 2
@@ -265,7 +265,7 @@ def _cut(path: str, capacity: int):
         encode = vocabulary(path).compiled_encoder()
 
         def rows(doc_id, text):
-            ids = np.array([*encode(text or ""), END_ID], "<u4")
+            ids = np.concatenate([np.array(encode(run), "<u4") for run in chunks(text or "")] + [np.array([END_ID], "<u4")])
             n = len(ids)
             first = n % capacity or capacity
             start, piece = 0, 0

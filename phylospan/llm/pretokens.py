@@ -62,6 +62,25 @@ def all_assigned(text: str) -> bool:
     return True
 
 
+#: Before a space that stands between no white space and a letter a pre-token always begins.
+_border = re.compile(r"(?<=\S) (?=[A-Za-z])")
+
+
+def chunks(text: str, size: int = 1 << 20):
+    """A text in pieces of about ``size`` characters that split and merge apart just as together.
+
+    A stretch without a safe border stays whole.
+    """
+    lo = 0
+    while len(text) - lo > size:
+        m = _border.search(text, lo + size)
+        if m is None:
+            break
+        yield text[lo : m.start()]
+        lo = m.start()
+    yield text[lo:]
+
+
 class BytePairVocabulary:
     """A byte-level BPE file: token bytes, merge ranks, special strings, and the pre-token splitter.
 

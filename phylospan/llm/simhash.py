@@ -42,22 +42,43 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     is set in over half of the shingles' XXH64 values, repeats included.  Fewer words than a shingle: the
     whole sequence is the one shingle; no word (or null): 0.
     """
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
+    data = (text or "").encode().lower()
+    ones, n, held = np.zeros(BITS, np.int64), 0, []
+    for words in _word_runs(data):
+        held = held[len(held) - min(len(held), shingle - 1) :] + words if n else held + words
+        if len(held) < shingle:
+            continue
+        bits, count = _counted(held, shingle)
+        ones, n = ones + bits, n + count
+    if not n:
+        return _signed(xxhash.xxh64_intdigest(b" ".join(held), SEED)) if held else 0
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+
+
+def _word_runs(data: bytes, size: int = 1 << 22):
+    """The words of a text, those of some megabytes at a time."""
+    lo = 0
+    while len(data) - lo > size:
+        cut = max(data.rfind(c, lo, lo + size) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        if cut < 0:
+            break
+        yield data[lo:cut].split()
+        lo = cut + 1
+    yield data[lo:].split()
+
+
+def _counted(words: list[bytes], shingle: int) -> tuple[np.ndarray, int]:
+    """Set bits by place over all shingles of at least as many words, and the number of shingles."""
     joined = b" ".join(words)
-    if len(words) <= shingle:
-        return _signed(xxhash.xxh64_intdigest(joined, SEED))
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     end = np.cumsum(size) - 1
     start = (end + 1 - size).tolist()
     end = end[shingle - 1 :].tolist()
-    digest, n = xxhash.xxh64_intdigest, len(end)
-    ones = np.zeros(BITS, np.int64)
-    for lo in range(0, n, 1 << 14):
+    digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    for lo in range(0, len(end), 1 << 14):
         h = np.array([digest(joined[s:e], SEED) for s, e in zip(start[lo : lo + (1 << 14)], end[lo : lo + (1 << 14)])], "<u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+    return ones, len(end)
 
 
 def _signed(x: int) -> int:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phylospan.llm.common import Remembered, each_row
-from phylospan.llm.pretokens import BytePairVocabulary, tokenizer_path, vocabulary
+from phylospan.llm.pretokens import BytePairVocabulary, chunks, tokenizer_path, vocabulary
 
 #: Merged pre-tokens remembered per generation in a task (two generations, some 150 MB together).
 REMEMBERED = 450_000
@@ -42,7 +42,7 @@ def token_counter(path: str):
     look_up = Remembered(merged, REMEMBERED).__getitem__
 
     def count(text: str) -> int:
-        return sum(1 if special else sum(map(look_up, vocab.split(run))) for special, run in vocab.pieces(text))
+        return sum(1 if special else sum(map(look_up, vocab.split(run))) for chunk in chunks(text) for special, run in vocab.pieces(chunk))
 
     return count
 
@@ -66,7 +66,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null text counts as empty (0 tokens), a null id stays null, repeated rows give repeated results, and
     columns besides the two named are ignored.  No shuffle; memory is bounded by the vocabulary, the
-    remembered pre-tokens and one text.
+    remembered pre-tokens and one text, which is split a million characters at a time.
     """
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -31,6 +31,17 @@ def test_fingerprints():
         assert fingerprint(t) % (1 << 64) == plain_fingerprint(t)
 
 
+def test_long_texts_in_runs(monkeypatch):
+    from phylospan.llm import simhash
+
+    whole = simhash._word_runs
+    monkeypatch.setattr(simhash, "_word_runs", lambda data: whole(data, 37))
+    rng = random.Random(9)
+    for n in (1, 2, 3, 4, 50, 400):
+        text = rng.choice([" ", "\n"]).join("".join(rng.choices("abcdé", k=rng.randint(1, 60))) for _ in range(n))
+        assert fingerprint(text) % (1 << 64) == plain_fingerprint(text)
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(5, 5), (None, 3)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2001 + k) for k in range(50)]

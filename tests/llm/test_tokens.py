@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from phylospan.llm.bpe_prefix import PrefixEncoder, TextCodec, decode_documents, encode_documents, round_trip
 from phylospan.llm.packing import CAPACITY, Shard, lower_bound, pack_documents, pack_items, pack_lengths
-from phylospan.llm.pretokens import tokenizer_path, vocabulary
+from phylospan.llm.pretokens import chunks, tokenizer_path, vocabulary
 from phylospan.llm.token_counts import count_tokens, token_counter, whole_tokens
 
 PATH = tokenizer_path("byte_bpe_50k.json")
@@ -43,6 +43,14 @@ def test_long_runs(text):
     assert COUNT(text) == len(ids_of(text))
 
 
+def test_chunks_change_nothing():
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "".join(rng.choices(PARTS + [" x", "y "], k=60))
+        parts = list(chunks(text, 15))
+        assert "".join(parts) == text and [i for p in parts for i in ids_of(p)] == ids_of(text)
+
+
 def test_pair_test_is_its_definition():
     vocab = vocabulary(PATH)
     encoder, rng = PrefixEncoder(vocab), random.Random(2)
