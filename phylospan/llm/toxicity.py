@@ -105,26 +105,40 @@ def distinct(texts: list[bytes], size: int = 16) -> list[int]:
     return kept
 
 
-def _counted(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of ``n`` bytes with their number over all texts, at most :data:`AT_MOST` a text, and their number of texts."""
-    each = [np.unique(_numbered(t, n), return_counts=True) for t in texts]
-    runs, place = np.unique(np.concatenate([r for r, _ in each] or [np.empty(0, np.uint64)]), return_inverse=True)
-    counts = np.concatenate([np.minimum(c, AT_MOST) for _, c in each] or [np.empty(0)])
-    return runs, np.bincount(place, weights=counts, minlength=len(runs)), np.bincount(place, minlength=len(runs))
+def _frequent(texts: list[bytes], n: int, least: float, at_once: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of ``n`` bytes in at least so many texts, with their number over all texts (at most :data:`AT_MOST` a text) and of texts."""
+    runs, often, spread = np.empty(0, np.uint64), np.empty(0), np.empty(0)
+    for lo in range(0, len(texts), at_once):
+        each = [np.unique(_numbered(t, n), return_counts=True) for t in texts[lo : lo + at_once]]
+        counts = [np.minimum(c, AT_MOST).astype(float) for _, c in each]
+        old = runs
+        runs, place = np.unique(np.concatenate([old, *(r for r, _ in each)]), return_inverse=True)
+        often = np.bincount(place, np.concatenate([often, *counts]), len(runs))
+        spread = np.bincount(place, np.concatenate([spread, *(np.ones(len(c)) for c in counts)]), len(runs))
+    enough = spread >= least
+    return runs[enough], often[enough], spread[enough]
+
+
+def _found_in(texts: list[bytes], n: int, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often given runs are in texts, counted as in :func:`_frequent`, and in how many."""
+    often, spread = np.zeros(len(runs)), np.zeros(len(runs))
+    for t in texts if len(runs) else ():
+        ids = _numbered(t, n)
+        at = np.minimum(np.searchsorted(runs, ids), len(runs) - 1)
+        place, count = np.unique(at[runs[at] == ids], return_counts=True)
+        often[place] += np.minimum(count, AT_MOST)
+        spread[place] += 1
+    return often, spread
 
 
 def toxic_fragments(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     """What each toxic document has that ordinary text hardly shares, joined; documents without any are left out."""
     share = sum(map(len, toxic)) / max(1, sum(map(len, ordinary)))
-    least = max(3, LEAST * len(toxic))
     covered = [np.zeros(len(t) + 1, np.int32) for t in toxic]
     for n in RUNS:
-        runs, often, spread = _counted(toxic, n)
-        known, known_often, known_spread = _counted(ordinary, n)
-        at = np.minimum(np.searchsorted(known, runs), max(0, len(known) - 1))
-        found = known[at] == runs if len(known) else np.zeros(len(runs), bool)
-        here = lambda v: np.where(found, v[at], 0.0) if len(known) else np.zeros(len(runs))
-        rich = runs[(spread >= least) & (spread * len(ordinary) >= TIMES * len(toxic) * (here(known_spread) + 1)) & (often >= OFTEN * share * (here(known_often) + 1))]
+        runs, often, spread = _frequent(toxic, n, max(3, LEAST * len(toxic)))
+        known_often, known_spread = _found_in(ordinary, n, runs)
+        rich = runs[(spread * len(ordinary) >= TIMES * len(toxic) * (known_spread + 1)) & (often >= OFTEN * share * (known_often + 1))]
         for t, c in zip(toxic, covered):
             start = np.flatnonzero(np.isin(_numbered(t, n), rich))
             np.add.at(c, start, 1)
