@@ -1,0 +1,200 @@
+"""Near copies by Jaccard similarity of word shingles: MinHash bands propose pairs, the shingle sets decide.
+
+Texts with the same set of shingles meet in one key before anything is compared.  A set's least values under
+:data:`VALUES` hash functions are cut into bands; texts that agree in a band share a bucket.  A bucket's
+members are compared by their values first, against one leader after another, so that a large group of near
+copies gives a number of pairs in proportion to its size; every pair that is used as a link has been checked
+on the shingle sets.  Then the pairs of a bucket that the links have not joined are proposed as well, unless
+their values rule the similarity out.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from phylospan.llm.common import Remembered, fresh, quoted, with_computed, written
+from phylospan.llm.components import connected_components
+from phylospan.llm.simhash import SEED, _one_row_each, _starts, _word_runs
+from phylospan.shipping import ship
+
+SHINGLE = 5
+SIMILAR = 0.8
+#: Bands and values a band: a pair of similarity 0.8 shares a bucket with probability 0.9995, one of 0.5 with 0.32.
+BANDS, WIDTH = 25, 6
+VALUES = BANDS * WIDTH
+#: Share of equal values that a pair must have to be checked: five standard deviations below :data:`SIMILAR`.
+RULED_OUT = 5
+
+_rng = np.random.default_rng(SEED)
+_times = _rng.integers(0, 1 << 64, VALUES, dtype=np.uint64) | np.uint64(1)
+_plus = _rng.integers(0, 1 << 64, VALUES, dtype=np.uint64)
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The XXH64 values of a text's word shingles, sorted, each once.
+
+    Words are those of :func:`phylospan.llm.simhash.fingerprint`; fewer than a shingle are one shingle, none give the empty set.
+    """
+    found, n, held = [np.empty(0, np.uint64)], 0, []
+    for words in _word_runs((text or "").encode().lower()):
+        held = held[len(held) - min(len(held), shingle - 1) :] + words if n else held + words
+        if len(held) < shingle:
+            continue
+        joined = b" ".join(held)
+        size = np.fromiter(map(len, held), np.int64, len(held)) + 1
+        end = np.cumsum(size) - 1
+        start = (end + 1 - size).tolist()
+        end = end[shingle - 1 :].tolist()
+        digest = xxhash.xxh64_intdigest
+        found.append(np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(start, end)], np.uint64)))
+        n += len(end)
+    if not n and held:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(held), SEED)], np.uint64)
+    return found[1] if len(found) == 2 else np.unique(np.concatenate(found))
+
+
+def least_values(shingles: np.ndarray) -> np.ndarray:
+    """A set's least value under each hash function."""
+    out = np.full(VALUES, ~np.uint64(0))
+    for lo in range(0, len(shingles), 1 << 10):
+        np.minimum(out, (shingles[lo : lo + (1 << 10), None] * _times + _plus).min(axis=0), out=out)
+    return out
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """The Jaccard similarity of two shingle sets; that of two empty ones is 1."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _described(shingle: int):
+    """Of a text: the key of its shingle set, its buckets, and a byte of each least value."""
+
+    def row(text):
+        s = shingle_set(text, shingle)
+        if not len(s):
+            return 0, [], b""
+        v = least_values(s)
+        bands = [_signed(xxhash.xxh3_64_intdigest(v[k * WIDTH : (k + 1) * WIDTH].tobytes(), k)) for k in range(BANDS)]
+        short = ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8)
+        return _signed(xxhash.xxh3_64_intdigest(s.tobytes()) | 1), bands, short.tobytes()
+
+    return lambda: row
+
+
+class _Proposed:
+    """Pairs to check, from whole buckets in batches of ``(band, key, root, short)`` sorted by band.
+
+    Without roots each bucket's leaders with those likely to be similar to them; with roots every pair of different roots that
+    the values do not rule out.
+    """
+
+    def __init__(self, similar: float, rooted: bool):
+        self.likely = similar
+        self.least = similar - RULED_OUT * float(np.sqrt(similar * (1 - similar) / VALUES))
+        self.rooted = rooted
+
+    def __call__(self, batches):
+        held = None
+        for batch in batches:
+            now = [*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, VALUES)]
+            held = now if held is None else [np.concatenate(p) for p in zip(held, now)]
+            starts = _starts(held[:1])
+            cut = int(starts[-1]) if len(starts) else 0  # the last bucket may go on
+            yield from self.of(held, starts)
+            held = [c[cut:] for c in held]
+        if held is not None and len(held[0]):
+            yield from self.of(held, np.array([0, len(held[0])]))
+
+    def of(self, cols, starts):
+        _, key, root, short = cols
+        found = []
+        for lo, hi in zip(starts[:-1], starts[1:]):
+            found += (self.across if self.rooted else self.led)(key[lo:hi], root[lo:hi], short[lo:hi])
+        if found:
+            a, b = (np.concatenate(v) for v in zip(*found))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def led(self, key, root, short):
+        out, left = [], np.arange(len(key))
+        while len(left) > 1:
+            first, left = left[0], left[1:]
+            like = (short[left] == short[first]).mean(axis=1) >= self.likely
+            if like.any():
+                out.append((np.full(int(like.sum()), key[first]), key[left[like]]))
+            left = left[~like]
+        return out
+
+    def across(self, key, root, short):
+        roots, place, count = np.unique(root, return_inverse=True, return_counts=True)
+        out = []
+        if len(roots) > 1:
+            rank = np.where(place == count.argmax(), -1, place)
+            for k in np.flatnonzero(rank >= 0):
+                other = np.flatnonzero(rank < rank[k])  # each pair of roots once, the largest root's members with all
+                near = other[(short[other] == short[k]).mean(axis=1) >= self.least]
+                if len(near):
+                    out.append((np.full(len(near), key[k]), key[near]))
+        return out
+
+
+class _Checked:
+    """Of ``(a, b, text_a, text_b)`` the pairs ``(a, b)`` whose shingle sets are similar."""
+
+    def __init__(self, shingle: int, similar: float):
+        self.shingle, self.similar = shingle, similar
+
+    def __call__(self, batches):
+        sets = Remembered(lambda text: shingle_set(text, self.shingle), 16)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                ok = [similarity(sets[a], sets[b]) >= self.similar for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(ok)), part.column(1).filter(pa.array(ok))], names=["a", "b"])
+
+
+def similar_links(rows: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
+    """``(node, root)``: components of keys whose shingle sets are similar, from ``rows(key, bands, short, text)``."""
+    ship(rows.sparkSession)
+    sets = written(rows.where("size(bands) > 0").select("key", "bands", "short").dropDuplicates(["key"]), "shingle-sets")
+    members = sets.select("key", F.explode("bands").alias("band"))
+    crowded = members.join(members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band", "left_semi")
+    crowded = written(crowded.select("band", "key"), "buckets")
+    shorts = sets.select("key", "short")
+
+    def proposed(rooted_members, rooted):
+        given = rooted_members.join(shorts, "key").select("band", "key", "root", "short")
+        pairs = given.repartition("band").sortWithinPartitions("band", "key").mapInArrow(_Proposed(similar, rooted), "a long, b long")
+        return written(pairs.distinct(), "proposed-pairs")
+
+    def checked(pairs):
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        texts = written(rows.select("key", "text").join(keys, "key", "left_semi").dropDuplicates(["key"]), "proposed-texts")
+        both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+        return written(both.select("a", "b", "text_a", "text_b").mapInArrow(_Checked(shingle, similar), "a long, b long"), "similar-pairs")
+
+    links = checked(proposed(crowded.withColumn("root", F.col("key")), False))
+    roots = connected_components(links, "near-copies")
+    rooted = written(crowded.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("root")), "rooted-buckets")
+    split = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    more = checked(proposed(rooted.join(split, "band", "left_semi"), True))
+    return roots if more.isEmpty() else connected_components(links.unionByName(more), "near-copies")
+
+
+def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similar: float = SIMILAR) -> DataFrame:
+    """``docs`` with one row of each component of texts of Jaccard similarity ``similar`` or more: that of its smallest id.
+
+    Null and blank texts are alike.  Repeated and null ids as in :func:`phylospan.llm.simhash.keep_one_of_each`.
+    """
+    key, bands, short = (fresh(docs, n) for n in ("shingle_key", "shingle_bands", "shingle_short"))
+    rows = written(with_computed(docs, [text_col], _described(shingle), f"`{key}` long, `{bands}` array<long>, `{short}` binary"), "described")
+    slim = rows.select(quoted(key).alias("key"), quoted(bands).alias("bands"), quoted(short).alias("short"), quoted(text_col).cast("string").alias("text"))
+    return _one_row_each(rows, docs.columns, key, similar_links(slim, shingle, similar), id_col, text_col)

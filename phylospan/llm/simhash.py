@@ -324,13 +324,18 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     fp = fresh(docs, "fp")
     rows = written(with_computed(docs, [text_col], _row_setup(shingle), f"`{fp}` long"), "fingerprinted")
-    ids = rows.select(quoted(fp).alias("fp"), quoted(id_col).cast("long").alias("doc_id"))
+    roots = connected_components(trie_links(written(rows.select(quoted(fp).alias("fp")).distinct(), "fingerprints"), budget), "fingerprint-components")
+    return _one_row_each(rows, docs.columns, fp, roots, id_col, text_col)
+
+
+def _one_row_each(rows: DataFrame, columns: list[str], key: str, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of ``rows`` the row of each component's smallest id, for components ``(node, root)`` of the column ``key``."""
+    ids = rows.select(quoted(key).alias("fp"), quoted(id_col).cast("long").alias("doc_id"))
     fps = written(ids.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = connected_components(trie_links(fps.select("fp"), budget), "fingerprint-components")
     rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("least", F.coalesce("root", "fp").alias("root"))
     winners = rooted.groupBy("root").agg(F.min("least").alias("winner")).where("winner is not null").select("winner").distinct()
     winner = fresh(rows, "winner")
     kept = rows.join(winners.withColumnRenamed("winner", winner), quoted(id_col).cast("long") == F.col(winner), "left_semi")
     first = fresh(rows, "first")
     once = kept.withColumn(first, F.row_number().over(Window.partitionBy(quoted(id_col)).orderBy(quoted(text_col)))).where(F.col(first) == 1)
-    return once.select(*map(quoted, docs.columns)).unionByName(rows.where(quoted(id_col).isNull()).select(*map(quoted, docs.columns)))
+    return once.select(*map(quoted, columns)).unionByName(rows.where(quoted(id_col).isNull()).select(*map(quoted, columns)))
