@@ -3,7 +3,8 @@
 The tagger (:mod:`phylospan.llm.tagger`) is trained on windows of the corpus with the spans that the base
 patterns label, and with made-up items in forms that they do not cover.  A text's windows overlap by half;
 each is decoded by itself, and the spans that any of them finds compete by score in one global choice of
-spans that do not overlap.  A span needs a digit, ``@`` or ``[at]``, so windows lie around these.
+spans that do not overlap.  A span needs a digit, ``@``, ``[at]`` or ``(at)``, so windows lie around these: every
+text that :func:`plausible` can accept is inside some window, with :data:`CONTEXT` characters on either side.
 """
 
 from __future__ import annotations
@@ -27,8 +28,14 @@ from phylospan.shipping import ship
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 80, 40
-#: Characters around a trigger that windows cover.
-AROUND = 40
+#: Characters around a possible span that windows cover, and those on either side of it that some window has.
+AROUND, CONTEXT = 40, 16
+#: A window's spans so near to its edge are left to another window.
+EDGE = 8
+#: Characters of the longest plausible span but for addresses (15 digits, two separators between any two, ``+(`` before).
+NUMBER = 45
+#: Characters of a local part, and of a domain with its dots written out, at most (RFC 5321: 64 and 255).
+LOCAL, DOMAIN = 64, 1100
 #: Documents that training windows are taken from, and windows of each source.
 SAMPLE, MADE, FOUND = 300, 3000, 600
 HIDDEN, EPOCHS, SEED = 20, 8, 5
@@ -41,7 +48,11 @@ _ip = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _digit = re.compile("[0-9]")
-_trigger = re.compile(r"[0-9@]|[\[(]at[\])]")
+_at = r"(?:@| ?[\[(](?i:at)[\])] ?)"
+_dot = r"(?:\.| ?[\[(](?i:dot)[\])] ?)"
+_marker = re.compile(_at)
+_labels_on = re.compile(rf"[A-Za-z0-9-]++(?:{_dot}[A-Za-z0-9-]++)*+")
+_number_like = re.compile(r"[0-9][\x20()/.+0-9-]*+")
 
 
 def luhn(digits: str) -> bool:
@@ -208,7 +219,7 @@ def train(texts: list[str], seed: int = SEED) -> Tagger:
 
 # --- decoding ----------------------------------------------------------------------------------------
 
-_mail_like = re.compile(r"[A-Za-z0-9._%+-]+(?:@| ?[\[(]at[\])] ?)[A-Za-z0-9-]+(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]+)+\Z")
+_mail_like = re.compile(rf"[A-Za-z0-9._%+-]+{_at}[A-Za-z0-9-]+(?:{_dot}[A-Za-z0-9-]+)+\Z")
 _phone_like = re.compile(r"\+?\(?[0-9](?:[\x20()/-]{0,2}[0-9])+\Z")
 
 
@@ -227,19 +238,50 @@ def plausible(kind: int, text: str, before: str, after: str) -> bool:
     return 9 <= len(digits) <= 15 and groups >= 3 and _phone_like.match(text) is not None
 
 
-def window_starts(text: str) -> list[int]:
-    """Where the overlapping windows around the triggers begin."""
-    starts: list[int] = []
+def possible_spans(text: str) -> list[tuple[int, int, bool]]:
+    """In order ``(start, end, whole)``: each plausible span lies in one of these, which is a possible address (``whole``) or a run of digits and separators."""
+    found = []
+    for m in _marker.finditer(text):
+        start, least = m.start(), max(0, m.start() - LOCAL)
+        while start > least and text[start - 1] in _local:
+            start -= 1
+        domain = _labels_on.match(text, m.end(), m.end() + DOMAIN) if start < m.start() else None
+        if domain:
+            found.append((start, domain.end(), True))
+    for m in _number_like.finditer(text):
+        start = m.start()
+        start -= text.startswith("(", max(0, start - 1), start)
+        start -= text.startswith("+", max(0, start - 1), start)
+        found.append((start, m.start() + len(m[0].rstrip(" ()/.+-")), False))
+    return sorted(found)
+
+
+def window_starts(text: str) -> list[tuple[int, int]]:
+    """``(start, width)`` of the windows: overlapping tiles around the possible spans, and what these may not hold whole."""
+    possible = possible_spans(text)
+    out: list[tuple[int, int]] = []
     lo = hi = -1
-    for m in _trigger.finditer(text):
-        k = m.start()
-        if hi >= 0 and k - AROUND <= hi:
-            hi = min(len(text), k + AROUND)
+    for s, e, _ in possible:
+        if hi >= 0 and s - AROUND <= hi:
+            hi = max(hi, min(len(text), e + AROUND))
             continue
         if hi >= 0:
-            starts += _tiles(lo, hi)
-        lo, hi = max(0, k - AROUND), min(len(text), k + AROUND)
-    return starts + _tiles(lo, hi) if hi >= 0 else starts
+            out += [(k, WINDOW) for k in _tiles(lo, hi)]
+        lo, hi = max(0, s - AROUND), min(len(text), e + AROUND)
+    if hi >= 0:
+        out += [(k, WINDOW) for k in _tiles(lo, hi)]
+    at = end = -1
+    for s, e, whole in possible:
+        first, last = max(0, s - CONTEXT), min(len(text), e + CONTEXT)
+        if at >= 0 and at <= first and last <= end:
+            continue
+        if whole or last - first <= WINDOW:
+            at, end = first, first + max(WINDOW, -(-(last - first) // STRIDE) * STRIDE)
+            out.append((at, end - at))
+        else:  # a number is at most so long, so one of these has it with its neighbours
+            width = NUMBER + 2 * CONTEXT + STRIDE
+            out += [(k, width) for k in range(first, max(first + 1, last - width + STRIDE), STRIDE)]
+    return list(dict.fromkeys(out))
 
 
 def _tiles(lo: int, hi: int) -> list[int]:
@@ -274,32 +316,37 @@ class Finder:
         """``(base spans, added spans)`` of each text; the windows of all texts are decoded together."""
         base = [base_spans(t) for t in texts]
         proposed: list[list] = [[] for _ in texts]
-        todo = [(d, s) for d, t in enumerate(texts) for s in window_starts(t)]
-        for lo in range(0, len(todo), BATCH):
-            part = todo[lo : lo + BATCH]
-            x = np.zeros((len(part), WINDOW), np.int64)
-            for k, (d, s) in enumerate(part):
-                n = _numbers(texts[d][s : s + WINDOW])
-                x[k, : len(n)] = n
-            e = self.tagger.emissions(x)
-            best = self.tagger.decode(e)
-            for k in np.flatnonzero(best.any(axis=1)):
-                d, s = part[k]
-                proposed[d] += self._spans(best[k], e[:, k], s, texts[d])
+        by_width: dict[int, list] = {}
+        for d, t in enumerate(texts):
+            for s, width in window_starts(t):
+                by_width.setdefault(width, []).append((d, s))
+        for width, todo in by_width.items():
+            size = max(1, BATCH * WINDOW // width)
+            for lo in range(0, len(todo), size):
+                part = todo[lo : lo + size]
+                x = np.zeros((len(part), width), np.int64)
+                for k, (d, s) in enumerate(part):
+                    n = _numbers(texts[d][s : s + width])
+                    x[k, : len(n)] = n
+                e = self.tagger.emissions(x)
+                best = self.tagger.decode(e)
+                for k in np.flatnonzero(best.any(axis=1)):
+                    d, s = part[k]
+                    proposed[d] += self._spans(best[k], e[:, k], s, texts[d])
         return [(b, self._added(t, b, p)) for t, b, p in zip(texts, base, proposed)]
 
     def _spans(self, labels, scores, offset, text):
-        at, out = 0, []
-        while at < WINDOW:
+        at, out, width = 0, [], len(labels)
+        while at < width:
             if labels[at] == 0 or labels[at] % 2 == 0:
                 at += 1
                 continue
             kind, start = (labels[at] - 1) // 2, at
             at += 1
-            while at < WINDOW and labels[at] == 2 + 2 * kind:
+            while at < width and labels[at] == 2 + 2 * kind:
                 at += 1
-            cut = (start == 0 and offset > 0) or (at == WINDOW and offset + WINDOW < len(text))
-            if not cut and offset + at <= len(text):  # what the window's edge cuts is whole in the next one
+            cut = (start < EDGE and offset > 0) or (at > width - EDGE and offset + width < len(text))
+            if not cut and offset + at <= len(text):  # what is at the window's edge is whole and further from it in another one
                 gain = float(scores[np.arange(start, at), labels[start:at]].sum() - scores[start:at, 0].sum())
                 out.append((round(gain, 3), offset + start, int(kind), offset + at))
         return out

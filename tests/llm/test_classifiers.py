@@ -214,3 +214,36 @@ def test_personal_data_table(spark, tagger):
     assert masked[1].text == "mail é <EMAIL>, ip <IP>, card <CARD>, <PHONE>." and masked[2].text is None
     assert masked[4].text.endswith("word <EMAIL>") and masked[1].spans == "s"
     assert pii.find_personal_data(df.limit(0), tagger).count() == 0
+
+
+def test_every_plausible_span_lies_inside_a_window():
+    rng = random.Random(8)
+    parts = ["a.b", "word ", "é ", "1", "22 ", "-", " (", ") ", ".", "+4", "@", " [at] ", "[AT]", "(At)", " [dot] ", "(DOT)", "x-y", "universitaet", "10.0.0.1", "1) 2) 3) 4", "4111 1111 1111 1111", "\n"]
+    met = 0
+    for _ in range(150):
+        t = sentence(rng, 8) + " " + "".join(rng.choices(parts, k=25)) + " " + sentence(rng, 8)
+        windows = pii.window_starts(t)
+        for s in range(len(t)):
+            for e in range(s + 5, min(len(t), s + 130) + 1):
+                # the ends are cheap to test, so that few need the patterns
+                if t[e - 1].isalnum() and (t[s].isalnum() or t[s] in "+(._%-") and any(pii.plausible(k, t[s:e], t[s - 1 : s], t[e : e + 1]) for k in range(4)):
+                    met += 1
+                    assert any(a <= max(0, s - pii.CONTEXT) and min(len(t), e + pii.CONTEXT) <= a + w for a, w in windows), t[s:e]
+    assert met > 300
+
+
+def test_windows_take_linear_time():
+    for t in ("a" * 100_000 + "@", "a@" * 50_000, "a [at] " * 20_000, "1 " * 50_000, "- " * 100_000, "x1 " * 30_000, "a.[dot]" * 20_000):
+        assert sum(w for _, w in pii.window_starts(t)) <= 8 * len(t) + 3000
+
+
+def test_long_and_upper_case_items_are_found(tagger):
+    items = ["anna.schmidt [at] informatik [dot] universitaet-hamburg [dot] de", "jo [AT] example [DOT] org", "customer.relations [at] international-services [dot] com", "peter_miller22 (AT) mail (dot) example (dot) net", "maria.gonzalez@departamento [dot] universidad [dot] es"]
+    finder, rng = pii.Finder(tagger), random.Random(9)
+    for item in items:
+        hits = 0
+        for _ in range(10):
+            before = sentence(rng, 30) + " "
+            ((base, added),) = finder.find([f"{before}{item} {sentence(rng, 30)}"])
+            hits += (len(before), 0, len(before) + len(item)) in added
+        assert hits >= 7, (item, hits)
