@@ -194,12 +194,12 @@ def training_windows(texts: list[str], seed: int = SEED) -> tuple[np.ndarray, np
 def sample_texts(docs: DataFrame, text_col: str = "text", n: int = SAMPLE) -> list[str]:
     """At most ``n`` different texts, those of the least hashes, so the same ones for the same rows.
 
-    The hash that about ``n`` rows are below is worked out from their number, so only these are gathered.
+    The least distinct hashes are chosen first, so copies do not count, and only their texts are gathered.
     """
     rows = docs.select(quoted(text_col).cast("string").alias("text")).where("text is not null")
-    total = rows.count()
-    below = -(1 << 63) + min((1 << 64) - 1, ((1 << 64) // max(1, total)) * n)
-    mine = rows.select("text", F.xxhash64("text").alias("h")).where(F.col("h") <= below)
+    hashed = rows.select("text", F.xxhash64("text").alias("h"))
+    least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(n).collect()]
+    mine = hashed.where(F.col("h") <= (least[-1] if least else 0))
     picked = mine.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(n).collect()
     return sorted(r.text for r in picked)
 

@@ -247,3 +247,11 @@ def test_long_and_upper_case_items_are_found(tagger):
             ((base, added),) = finder.find([f"{before}{item} {sentence(rng, 30)}"])
             hits += (len(before), 0, len(before) + len(item)) in added
         assert hits >= 7, (item, hits)
+
+
+def test_sampled_texts_are_full_whatever_the_copies(spark):
+    df = spark.createDataFrame([("copy",)] * 20_000 + [(f"text {k}",) for k in range(400)] + [(None,)], "text string")
+    got = pii.sample_texts(df, n=300)
+    assert len(got) == len(set(got)) == 300
+    assert got == pii.sample_texts(df.distinct(), n=300)
+    assert pii.sample_texts(df.limit(0)) == []
