@@ -319,7 +319,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """``docs`` with one row of each near-duplicate component: that of its smallest id.
 
-    All columns are kept.  Of rows that repeat the smallest id one stays (that with the smallest text); rows
+    All columns are kept.  Of a component's rows that repeat its smallest id one stays (that with the smallest text); rows
     with a null id stay, as they cannot be told apart.
     """
     fp = fresh(docs, "fp")
@@ -329,13 +329,17 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _one_row_each(rows: DataFrame, columns: list[str], key: str, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Of ``rows`` the row of each component's smallest id, for components ``(node, root)`` of the column ``key``."""
+    """Of ``rows`` the row of each component's smallest id, for components ``(node, root)`` of the column ``key``; null ids stay.
+
+    Winners are told by component, key and id, for one id may have texts in several components."""
     ids = rows.select(quoted(key).alias("fp"), quoted(id_col).cast("long").alias("doc_id"))
     fps = written(ids.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("least", F.coalesce("root", "fp").alias("root"))
-    winners = rooted.groupBy("root").agg(F.min("least").alias("winner")).where("winner is not null").select("winner").distinct()
-    winner = fresh(rows, "winner")
-    kept = rows.join(winners.withColumnRenamed("winner", winner), quoted(id_col).cast("long") == F.col(winner), "left_semi")
-    first = fresh(rows, "first")
-    once = kept.withColumn(first, F.row_number().over(Window.partitionBy(quoted(id_col)).orderBy(quoted(text_col)))).where(F.col(first) == 1)
+    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("winner")).where("winner is not null")
+    winners = rooted.join(least, "root").where("least = winner").select("fp", "winner", "root")
+    of, winner, root = (fresh(rows, n) for n in ("winner_fp", "winner", "winner_root"))
+    winners = winners.toDF(of, winner, root)
+    kept = rows.join(winners, (quoted(key) == F.col(of)) & (quoted(id_col).cast("long") == F.col(winner)))
+    first = fresh(kept, "first")
+    once = kept.withColumn(first, F.row_number().over(Window.partitionBy(root).orderBy(quoted(text_col)))).where(F.col(first) == 1)
     return once.select(*map(quoted, columns)).unionByName(rows.where(quoted(id_col).isNull()).select(*map(quoted, columns)))

@@ -3,6 +3,7 @@ from itertools import combinations
 
 import corpus_pipeline
 from phylospan.llm import minhash
+from phylospan.llm.simhash import keep_one_of_each
 
 
 def shingles(text):
@@ -73,3 +74,14 @@ def test_shingle_sets_of_long_texts(monkeypatch):
     monkeypatch.setattr(minhash, "_word_runs", lambda data: whole(data, 37))
     assert [minhash.shingle_set(t).tolist() for t in texts] == want
     assert [len(w) for w in want] == [len(shingles(t)) for t in texts]
+
+
+def test_one_id_in_several_groups(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, b + " end"), (1, a + " end"), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for keep in (keep_one_of_each, minhash.keep_one_of_similar):
+        kept = [(r.doc_id, r.text) for r in keep(df.where("text not like '% end'")).collect()]
+        assert sorted(kept, key=str) == sorted([(1, a), (1, b), (None, a)], key=str)
+    kept = [(r.doc_id, r.text) for r in minhash.keep_one_of_similar(df).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (1, b), (None, a)], key=str)
