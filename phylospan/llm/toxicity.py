@@ -25,8 +25,6 @@ WINDOW = 48
 ORDINARY, TOXIC = 6 << 10, 2 << 10
 #: Training documents at most: toxic and ordinary ones.
 PER_CLASS = (1600, 4800)
-#: Ordinary windows that the dictionary is trained on at most.
-WINDOWS = 60_000
 #: A fragment is made of runs of so many bytes that so many times the share of toxic documents have, so many
 #: times as often in proportion to text, found in at least
 #: this share of toxic documents; of a document so many occurrences count.
@@ -168,7 +166,7 @@ def train(texts: list[str], labels: np.ndarray, share: float) -> ToxicityModel:
     ordinary, toxic = ([texts[k].encode().lower() for k in np.flatnonzero(half & (labels == y))] for y in (0, 1))
     ordinary, toxic = ([t[k] for k in distinct(t)] for t in (ordinary, toxic))
     try:
-        common = zstd.train_dictionary(ORDINARY, [w for t in ordinary for w in _cut.findall(t)][:WINDOWS], k=32, d=6, level=3).as_bytes()
+        common = zstd.train_dictionary(ORDINARY, [w for t in ordinary for w in _cut.findall(t)], k=32, d=6, level=3).as_bytes()
         own = zstd.train_dictionary(TOXIC, toxic_fragments(toxic, ordinary), k=16, d=6, level=3).as_bytes()
     except zstd.ZstdError:
         return flat

@@ -255,3 +255,16 @@ def test_sampled_texts_are_full_whatever_the_copies(spark):
     assert len(got) == len(set(got)) == 300
     assert got == pii.sample_texts(df.distinct(), n=300)
     assert pii.sample_texts(df.limit(0)) == []
+
+
+def test_ordinary_dictionary_learns_from_all_windows(monkeypatch):
+    rng, seen = random.Random(10), []
+    ordinary = [sentence(rng, 600_000), *(sentence(rng) for _ in range(30)), "the very last ordinary text is also seen by the dictionary", "unused"]
+    toxic = [f"{sentence(rng)} {rng.choice(INSULTS)}" for _ in range(20)]
+    real = toxicity.zstd.train_dictionary
+    monkeypatch.setattr(toxicity.zstd, "train_dictionary", lambda size, samples, **how: seen.append(samples) or real(size, samples, **how))
+    monkeypatch.setattr(toxicity, "logistic", lambda x, y, share: (np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), np.ones(x.shape[1])))
+    toxicity.train(ordinary + toxic, np.array([0] * len(ordinary) + [1] * len(toxic)), 0.4)
+    learned = [t for k, t in enumerate(ordinary) if k % 2 == 0]
+    assert b"".join(seen[0]).endswith(learned[-1].encode()[-20:]) and len(seen[0]) > 60_000
+    assert sum(map(len, seen[0])) == sum(len(t.encode()) for t in learned)
