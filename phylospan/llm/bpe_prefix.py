@@ -33,7 +33,7 @@ class PrefixEncoder:
         self.automaton = ahocorasick.Automaton()
         self.length = {}
         for token, i in vocab.id_of.items():
-            if len(token) == 1 or vocab.merge(token) == [i]:  # a token that merging never leaves whole ends no prefix
+            if i in vocab.unbroken:  # a token that merging never leaves whole ends no prefix
                 self.automaton.add_word(token.decode("latin-1"), i)
                 self.length[i] = len(token)
         self.automaton.make_automaton()

@@ -4,15 +4,21 @@ Only a document longer than a sequence is cut: a shorter first piece, then full
 sequences of their own.  The loose pieces, one per document, go to shards of some thousands by a hash.
 A shard is evolved on several islands; a chromosome is a partition of the shard's pieces into bins.
 Crossover injects whole well-filled bins of one parent into the other, removes the bins that hold
-duplicates, and best-fits the displaced pieces; between epochs each island's elite moves on to the next
-island of the shard.  A shard whose bins reach the proved lower bound is not evolved further.  Bins left
-with room are opened again and packed jointly across shards, level by level, down to one last shard.
+duplicates, and best-fits the displaced pieces.  Mutation opens the emptiest bins and some others; a piece of
+theirs first takes the place of up to three pieces of a bin that it fills better, these look for a place in
+turn, and only what finds none is best-fitted.  Islands begin from differently disturbed orders; between
+epochs each island's elite moves on to the next island of the shard.  A shard that reaches the proved lower
+bound on any island is evolved no further.  Bins left with room are opened again and packed jointly across
+shards, level by level, down to one last shard.
 """
 
 from __future__ import annotations
 
+import heapq
 import random
 import zlib
+from array import array
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,6 +34,8 @@ ISLANDS = 3
 EPOCHS = 3
 POPULATION = 6
 GENERATIONS = 60
+#: Of a bin's pieces so many, its largest, are tried for replacement.
+TRIED = 5
 
 
 # --- one shard ---------------------------------------------------------------------------------------
@@ -138,25 +146,78 @@ class Shard:
         return self.refit(mother, hit, injected)
 
     def mutated(self, packing: np.ndarray) -> np.ndarray:
-        """The emptiest bins and a few others opened and best-fitted again."""
+        """The emptiest bins and a few others opened, their pieces exchanged for better-fitting ones, the rest best-fitted."""
         fill = np.bincount(packing, weights=self.lengths)
-        k = max(2, len(fill) // 50)
-        gone = np.concatenate([np.argsort(fill, kind="stable")[:k], self.rng.sample(range(len(fill)), min(len(fill), 2 * k))])
-        return self.refit(packing, np.unique(gone), None)
-
-    def evolved(self, people: list[np.ndarray], generations: int, size: int) -> list[np.ndarray]:
-        """The next population, fittest first; ends early at the lower bound."""
-        people = people[:size] or [self.seeded(0.0)]
-        if self.fitness(people[0])[0] > self.bound:
-            people += [self.seeded(0.05 + 0.1 * k) for k in range(size - len(people))]
+        k = min(len(fill), self.rng.randrange(2, 9))
+        gone = np.concatenate([np.argsort(fill, kind="stable")[:k], self.rng.sample(range(len(fill)), k)])
+        bin_of = packing.astype(np.int64)
+        opened = np.flatnonzero(np.isin(packing, gone))
+        bin_of[opened] = -1
+        rest = self.exchanged(bin_of, opened)
+        inside = bin_of >= 0
+        room = self.capacity - np.bincount(bin_of[inside], weights=self.lengths[inside], minlength=len(fill)).astype(np.int64)
+        room[room == self.capacity] = -1
+        as_list, rooms = bin_of.tolist(), room.tolist()
+        best_fit(rest, self.as_list, as_list, rooms, self.capacity)
+        return self.tidy(as_list)
+
+    def exchanged(self, bin_of: np.ndarray, loose: np.ndarray) -> list[int]:
+        """Put loose pieces in the place of up to three smaller ones that leave the most room, and these in turn.
+
+        Every exchange fills its bin further, each bin changes once; gives the pieces without a place, longest first.
+        """
+        inside = np.flatnonzero(bin_of >= 0)
+        fill = np.bincount(bin_of[inside], weights=self.lengths[inside]).astype(np.int64)
+        inside = inside[fill[bin_of[inside]] < self.capacity]
+        inside = inside[np.argsort(bin_of[inside], kind="stable")]
+        first = np.flatnonzero(np.diff(bin_of[inside], prepend=-1))
+        size = np.diff(first, append=len(inside))
+        choices = [c for n in (1, 2, 3) for c in combinations(range(TRIED), n)]
+        out = np.full((len(first), len(choices), 3), len(self.lengths))  # pieces to take out; one beyond the last is none
+        for k, c in enumerate(choices):
+            full = np.flatnonzero(size > c[-1])
+            for n, j in enumerate(c):
+                out[full, k, n] = inside[first[full] + j]
+        taken = np.append(self.lengths, 0)[out].sum(axis=2)
+        row, k = np.nonzero(taken)
+        out, taken, number = out[row, k], taken[row, k], bin_of[inside[first]][row]
+        reach = taken + self.capacity - fill[number]  # the longest piece that fits instead
+        waiting = [(-self.as_list[p], p) for p in loose.tolist()]
+        heapq.heapify(waiting)
+        changed, rest = np.zeros(len(fill), bool), []
+        while waiting:
+            n, piece = heapq.heappop(waiting)
+            left = np.where((taken < -n) & (reach >= -n) & ~changed[number], reach, 2 * self.capacity)
+            best = int(left.argmin()) if len(left) else 0
+            if not len(left) or left[best] == 2 * self.capacity:
+                rest.append(piece)
+                continue
+            bin_of[piece] = number[best]
+            changed[number[best]] = True
+            for p in out[best].tolist():
+                if p < len(self.lengths):
+                    bin_of[p] = -1
+                    heapq.heappush(waiting, (-self.as_list[p], p))
+        return rest
+
+    def evolved(self, people: list[np.ndarray], generations: int, size: int, island: int = 0) -> list[np.ndarray]:
+        """The next population, fittest first; ends early at the lower bound.
+
+        A new one has best fit by decreasing length and disturbed orders of it; other islands than the first
+        go on from disturbed orders of their own alone, unless best fit is at the bound.
+        """
+        start = people[:size] or [self.seeded(0.0)]
+        if self.fitness(start[0])[0] > self.bound:
+            if not people and island:
+                start = []
+            start += [self.seeded(0.05 + 0.1 * k + 0.03 * island) for k in range(size - len(start))]
+        people = start
         ranked = sorted(((self.fitness(p), k, p) for k, p in enumerate(people)), key=lambda x: x[:2])
         for g in range(generations):
             if ranked[0][0][0] <= self.bound or len(ranked) < 2:
                 break
             a, b = sorted(self.rng.sample(range(len(ranked)), 2))
-            child = self.crossed(ranked[a][2], ranked[b][2])
-            if self.rng.random() < 0.5:
-                child = self.mutated(child)
+            child = self.mutated(self.crossed(ranked[a][2], ranked[b][2]))
             fit = self.fitness(child)
             if fit < ranked[-1][0] and all(fit != r[0] for r in ranked):
                 ranked[-1] = (fit, size + g, child)
@@ -186,7 +247,7 @@ def _evolve(capacity: int, epoch: int):
             if migrant is not None:
                 old.insert(0, np.frombuffer(migrant, np.int32))
             old.sort(key=work.fitness)
-            new = work.evolved(old, GENERATIONS, POPULATION)
+            new = work.evolved(old, GENERATIONS, POPULATION, island)
             bins = int(new[0].max()) + 1
             return shard, island, lengths, [p.tobytes() for p in new], bins, bins <= work.bound
 
@@ -199,18 +260,31 @@ _STATE = "shard long, island int, lengths array<int>, people array<binary>, bins
 
 
 def _solved(shards: DataFrame, capacity: int, n: int) -> DataFrame:
-    """``(shard, packing binary)``: the fittest packing of each shard over all islands and epochs."""
+    """``(shard, packing binary)``: the fittest packing of each shard over all islands and epochs.
+
+    Shards that an island has solved leave before the next epoch; the others' islands are dealt to tasks anew.
+    """
     spark = shards.sparkSession
-    parts = max(1, min(n * ISLANDS, 4 * spark.sparkContext.defaultParallelism + n * ISLANDS // 8))
+
+    def dealt(df: DataFrame, n: int) -> DataFrame:
+        return df.repartition(max(1, min(n * ISLANDS, 4 * spark.sparkContext.defaultParallelism + n * ISLANDS // 8)), "shard", "island")
+
     start = shards.select("shard", F.explode(F.array(*map(F.lit, range(ISLANDS)))).alias("island"), "lengths")
-    start = start.repartition(parts, "shard", "island").withColumns({"people": F.lit(None).cast("array<binary>"), "migrant": F.lit(None).cast("binary")})
-    state = written(each_row(start, _evolve(capacity, 0), _STATE, rows=1), "islands")
+    start = start.withColumns({"people": F.lit(None).cast("array<binary>"), "migrant": F.lit(None).cast("binary")})
+    state = written(each_row(dealt(start, n), _evolve(capacity, 0), _STATE, rows=1), "islands")
+    ended = []
     for epoch in range(1, EPOCHS):
-        if state.where("island = 0").groupBy().agg(F.min("proved")).first()[0] in (True, None):
+        open_shards = written(state.groupBy("shard").agg(F.max("proved").alias("solved")).where("not solved").select("shard"), "open-shards")
+        n = open_shards.count()
+        if n == 0:
             break
+        ended.append(state.join(open_shards, "shard", "left_anti"))
+        state = state.join(open_shards, "shard", "left_semi")
         elite = state.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("people")[0].alias("migrant"))
         now = state.join(elite, ["shard", "island"]).select("shard", "island", "lengths", "people", "migrant")
-        state = written(each_row(now, _evolve(capacity, epoch), _STATE, rows=1), "islands")
+        state = written(each_row(dealt(now, n), _evolve(capacity, epoch), _STATE, rows=1), "islands")
+    for part in ended:
+        state = state.unionByName(part)
     return state.groupBy("shard").agg(F.min_by(F.col("people")[0], F.struct("bins", "island")).alias("packing"))
 
 
@@ -265,7 +339,11 @@ def _cut(path: str, capacity: int):
         encode = vocabulary(path).compiled_encoder()
 
         def rows(doc_id, text):
-            ids = np.concatenate([np.array(encode(run), "<u4") for run in chunks(text or "")] + [np.array([END_ID], "<u4")])
+            held = array("I")
+            for run in chunks(text or ""):
+                held.extend(encode(run))
+            held.append(END_ID)
+            ids = np.frombuffer(held, np.uint32).astype("<u4", copy=False)
             n = len(ids)
             first = n % capacity or capacity
             start, piece = 0, 0

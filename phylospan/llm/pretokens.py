@@ -7,7 +7,7 @@ import json
 import re
 import sys
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 #: White space of the Unicode property White_Space (fixed values).
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -147,6 +147,11 @@ class BytePairVocabulary:
             ids = out
         return ids
 
+    @cached_property
+    def unbroken(self) -> frozenset[int]:
+        """Ids of the vocabulary strings that their own merges leave whole: proved once per process by merging each."""
+        return frozenset(i for b, i in self.id_of.items() if len(b) == 1 or self.merge(b) == [i])
+
     def compiled_encoder(self):
         """Text to ids with the splitting and merging compiled, equal to the library's; see :meth:`merger`."""
         import tiktoken
@@ -180,7 +185,7 @@ class BytePairVocabulary:
         """
         import tiktoken
 
-        if any(len(b) > 1 and self.merge(b) != [i] for b, i in self.id_of.items()):
+        if len(self.unbroken) < len(self.id_of):
             return lambda piece: self.merge(piece.encode())
         whole = "(?s).+"
         return tiktoken.Encoding("pairs", pat_str=whole, mergeable_ranks=self.id_of, special_tokens={}).encode_ordinary

@@ -1,8 +1,9 @@
 """Token counts by the whole-token shortcut.
 
 A pre-token that is itself a vocabulary string encodes as that one token whenever merging its bytes alone
-ends in it.  This is proved once per task for every vocabulary string, by merging it; a text's count is
-then one dictionary look-up per pre-token, and only pre-tokens that are no proved string are merged.
+ends in it.  This is proved offline, before the table is read, for every vocabulary string by merging it; the
+proved ids go to the tasks, whose count of a text is then one dictionary look-up per pre-token, and only
+pre-tokens that are no proved string are merged.
 """
 
 from __future__ import annotations
@@ -25,19 +26,19 @@ def whole_tokens(vocab: BytePairVocabulary) -> set[str]:
             text = token.decode()
         except UnicodeDecodeError:
             continue
-        if vocab.split(text) == [text] and vocab.merge(token) == [i]:
+        if i in vocab.unbroken and vocab.split(text) == [text]:
             proved.add(text)
     return proved
 
 
-def token_counter(path: str):
-    """A function from text to its number of tokens under the file at ``path``."""
+def token_counter(path: str, whole: set[str] | None = None):
+    """A function from text to its number of tokens under the file at ``path``; ``whole`` are proved strings."""
     vocab = vocabulary(path)
     merge = vocab.merger()
-    whole = whole_tokens(vocab)
+    proved = whole_tokens(vocab) if whole is None else whole
 
     def merged(piece: str) -> int:
-        return 1 if piece in whole else len(merge(piece))
+        return 1 if piece in proved else len(merge(piece))
 
     look_up = Remembered(merged, REMEMBERED).__getitem__
 
@@ -47,9 +48,12 @@ def token_counter(path: str):
     return count
 
 
-def _setup(path: str, limit: int):
+def _setup(path: str, limit: int, proof):
     def setup():
-        count = token_counter(path)
+        whole, unbroken = proof.value
+        vocab = vocabulary(path)
+        vocab.unbroken = unbroken
+        count = token_counter(path, {vocab.bytes_of[i].decode() for i in whole})
 
         def row(doc_id, text):
             text = text or ""
@@ -69,5 +73,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     remembered pre-tokens and one text, which is split a million characters at a time.
     """
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
+    vocab = vocabulary(path)
+    proof = docs.sparkSession.sparkContext.broadcast(([vocab.id_of[t.encode()] for t in whole_tokens(vocab)], vocab.unbroken))  # two ids a vocabulary string at most
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return each_row(rows, _setup(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return each_row(rows, _setup(path, limit, proof), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
