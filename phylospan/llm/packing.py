@@ -34,8 +34,8 @@ ISLANDS = 3
 EPOCHS = 3
 POPULATION = 6
 GENERATIONS = 60
-#: Of a bin's pieces so many, its largest, are tried for replacement.
-TRIED = 5
+#: A mutation looks for exchanges in so many bins with room, drawn by chance, and tries so many of each one's pieces, the largest.
+LOOKED, TRIED = 256, 5
 
 
 # --- one shard ---------------------------------------------------------------------------------------
@@ -59,33 +59,34 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return int(np.max(alone + large + over))
 
 
-def best_fit(order, lengths: list[int], bin_of: list[int], room: list[int], capacity: int) -> None:
-    """Put each piece of ``order`` into the open bin with the least sufficient room, else into a new one.
+def best_fit(sizes: list[int], room: np.ndarray, capacity: int) -> list[int]:
+    """Bins of pieces of these sizes, each put in turn into the open bin with the least sufficient room, else into a new one.
 
-    ``room[b] < 0`` marks a closed bin.  ``bin_of`` and ``room`` are changed in place.
+    ``room[b]`` is 0 or less for bins that nothing goes into; new bins are numbered on from ``len(room)``.
     """
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    open_rooms = 0
-    for b, r in enumerate(room):
-        if r > 0:
-            by_room[r].append(b)
-            open_rooms |= 1 << r
-    for piece in order:
-        n = lengths[piece]
+    by_room: dict[int, list[int]] = {}
+    open_rooms, new = 0, len(room)
+    some = np.flatnonzero(room > 0)
+    for b, r in zip(some.tolist(), room[some].tolist()):
+        by_room.setdefault(r, []).append(b)
+    for r in by_room:
+        open_rooms |= 1 << r
+    out = []
+    for n in sizes:
         fitting = open_rooms >> n
         if fitting:
             r = n + (fitting & -fitting).bit_length() - 1
-            b = by_room[r].pop()
-            if not by_room[r]:
-                open_rooms &= ~(1 << r)
+            there = by_room[r]
+            b = there.pop()
+            if not there:
+                open_rooms ^= 1 << r
         else:
-            r, b = capacity, len(room)
-            room.append(capacity)
-        bin_of[piece] = b
-        room[b] = r - n
+            r, b, new = capacity, new, new + 1
+        out.append(b)
         if r > n:
-            by_room[r - n].append(b)
+            by_room.setdefault(r - n, []).append(b)
             open_rooms |= 1 << (r - n)
+    return out
 
 
 class Shard:
@@ -94,7 +95,7 @@ class Shard:
     def __init__(self, lengths: np.ndarray, capacity: int, seed: int):
         self.lengths, self.capacity = lengths.astype(np.int64), capacity
         self.as_list = self.lengths.tolist()
-        self.rng = random.Random(seed)
+        self.rng, self.chance = random.Random(seed), np.random.default_rng(abs(seed))
         self.bound = lower_bound(self.lengths, capacity)
 
     def fitness(self, packing: np.ndarray) -> tuple[int, int]:
@@ -102,34 +103,24 @@ class Shard:
         fill = np.bincount(packing, weights=self.lengths)
         return len(fill), -int((fill * fill).sum())
 
-    def tidy(self, bin_of) -> np.ndarray:
-        return np.unique(np.asarray(bin_of, np.int64), return_inverse=True)[1].astype(np.int32)
+    def tidy(self, bin_of: np.ndarray) -> np.ndarray:
+        """The packing with its bins numbered without gaps."""
+        return (np.cumsum(np.bincount(bin_of) > 0, dtype=np.int32) - 1)[bin_of]
 
     def seeded(self, noise: float) -> np.ndarray:
         """Best fit in order of decreasing length; with noise the order is disturbed."""
-        order = range(len(self.as_list))
+        order = np.arange(len(self.as_list))
         if noise:
-            order = sorted(order, key=lambda i: -self.as_list[i] * (1 + noise * self.rng.random()))
-        bin_of, room = [0] * len(self.as_list), []
-        best_fit(order, self.as_list, bin_of, room, self.capacity)
+            order = np.argsort(-self.lengths * (1 + noise * self.chance.random(len(order))), kind="stable")
+        bin_of = np.empty(len(self.as_list), np.int64)
+        bin_of[order] = best_fit(self.lengths[order].tolist(), np.zeros(0, np.int64), self.capacity)
         return self.tidy(bin_of)
 
-    def refit(self, packing: np.ndarray, gone: np.ndarray, kept_new: np.ndarray | None) -> np.ndarray:
-        """Close the bins ``gone`` and best-fit their pieces anew; ``kept_new`` (bin numbers, -1: none) stay as bins of their own."""
-        n_bins = int(packing.max()) + 1
-        bin_of = packing.astype(np.int64)
-        displaced = np.isin(packing, gone)
-        if kept_new is not None:
-            inside = kept_new >= 0
-            displaced &= ~inside
-            bin_of[inside] = n_bins + kept_new[inside]
-        room = np.full(int(bin_of.max()) + 1, self.capacity, np.int64)
-        np.subtract.at(room, bin_of[~displaced], self.lengths[~displaced])
-        closed = np.bincount(bin_of[~displaced], minlength=len(room)) == 0
-        room[closed] = -1
-        as_list, rooms = bin_of.tolist(), room.tolist()
-        best_fit(np.flatnonzero(displaced).tolist(), self.as_list, as_list, rooms, self.capacity)
-        return self.tidy(as_list)
+    def refit(self, bin_of: np.ndarray, loose: np.ndarray, bins: int) -> np.ndarray:
+        """Best-fit the ``loose`` pieces into the bins of the others; ``bin_of`` has -1 for them, ``bins`` numbers are in use."""
+        fill = np.bincount(bin_of + 1, weights=np.where(bin_of < 0, 0, self.lengths), minlength=bins + 1)[1:].astype(np.int64)
+        bin_of[loose] = best_fit(self.lengths[loose].tolist(), np.where(fill > 0, self.capacity - fill, 0), self.capacity)
+        return self.tidy(bin_of)
 
     def crossed(self, mother: np.ndarray, father: np.ndarray) -> np.ndarray:
         """``mother`` with some of the father's best-filled bins injected whole."""
@@ -138,37 +129,39 @@ class Shard:
         if not len(good):
             good = np.argsort(-fill, kind="stable")[: max(1, len(fill) // 20)]
         wanted = max(1, int(len(good) * self.rng.uniform(0.02, 0.12)))
-        chosen = np.sort(np.array(self.rng.sample(good.tolist(), min(wanted, len(good)))))
+        chosen = np.sort(self.chance.permutation(good)[:wanted])
+        bins = int(mother.max()) + 1
         place = np.full(len(fill), -1)
         place[chosen] = np.arange(len(chosen))
         injected = place[father]
-        hit = np.unique(mother[injected >= 0])  # bins with duplicates
-        return self.refit(mother, hit, injected)
+        hit = np.zeros(bins, bool)
+        hit[mother[injected >= 0]] = True  # bins with duplicates
+        bin_of = np.where(hit[mother], -1, mother.astype(np.int64))
+        bin_of[injected >= 0] = bins + injected[injected >= 0]
+        return self.refit(bin_of, np.flatnonzero(bin_of < 0), bins + len(chosen))
 
     def mutated(self, packing: np.ndarray) -> np.ndarray:
         """The emptiest bins and a few others opened, their pieces exchanged for better-fitting ones, the rest best-fitted."""
         fill = np.bincount(packing, weights=self.lengths)
         k = min(len(fill), self.rng.randrange(2, 9))
-        gone = np.concatenate([np.argsort(fill, kind="stable")[:k], self.rng.sample(range(len(fill)), k)])
-        bin_of = packing.astype(np.int64)
-        opened = np.flatnonzero(np.isin(packing, gone))
-        bin_of[opened] = -1
-        rest = self.exchanged(bin_of, opened)
-        inside = bin_of >= 0
-        room = self.capacity - np.bincount(bin_of[inside], weights=self.lengths[inside], minlength=len(fill)).astype(np.int64)
-        room[room == self.capacity] = -1
-        as_list, rooms = bin_of.tolist(), room.tolist()
-        best_fit(rest, self.as_list, as_list, rooms, self.capacity)
-        return self.tidy(as_list)
-
-    def exchanged(self, bin_of: np.ndarray, loose: np.ndarray) -> list[int]:
+        gone = np.zeros(len(fill), bool)
+        gone[np.argpartition(fill, k - 1)[:k]] = True
+        gone[self.chance.integers(0, len(fill), k)] = True
+        bin_of = np.where(gone[packing], -1, packing.astype(np.int64))
+        rest = self.exchanged(bin_of, np.flatnonzero(bin_of < 0))
+        return self.refit(bin_of, rest, len(fill))
+
+    def exchanged(self, bin_of: np.ndarray, loose: np.ndarray) -> np.ndarray:
         """Put loose pieces in the place of up to three smaller ones that leave the most room, and these in turn.
 
         Every exchange fills its bin further, each bin changes once; gives the pieces without a place, longest first.
         """
         inside = np.flatnonzero(bin_of >= 0)
         fill = np.bincount(bin_of[inside], weights=self.lengths[inside]).astype(np.int64)
-        inside = inside[fill[bin_of[inside]] < self.capacity]
+        with_room = np.flatnonzero((fill > 0) & (fill < self.capacity))
+        looked = np.zeros(len(fill), bool)
+        looked[self.chance.permutation(with_room)[:LOOKED]] = True
+        inside = inside[looked[bin_of[inside]]]
         inside = inside[np.argsort(bin_of[inside], kind="stable")]
         first = np.flatnonzero(np.diff(bin_of[inside], prepend=-1))
         size = np.diff(first, append=len(inside))
@@ -198,7 +191,7 @@ class Shard:
                 if p < len(self.lengths):
                     bin_of[p] = -1
                     heapq.heappush(waiting, (-self.as_list[p], p))
-        return rest
+        return np.array(rest, np.int64)
 
     def evolved(self, people: list[np.ndarray], generations: int, size: int, island: int = 0) -> list[np.ndarray]:
         """The next population, fittest first; ends early at the lower bound.
@@ -272,20 +265,18 @@ def _solved(shards: DataFrame, capacity: int, n: int) -> DataFrame:
     start = shards.select("shard", F.explode(F.array(*map(F.lit, range(ISLANDS)))).alias("island"), "lengths")
     start = start.withColumns({"people": F.lit(None).cast("array<binary>"), "migrant": F.lit(None).cast("binary")})
     state = written(each_row(dealt(start, n), _evolve(capacity, 0), _STATE, rows=1), "islands")
-    ended = []
+    fittest = F.min_by(F.col("people")[0], F.struct("bins", "island"))
+    found = state.groupBy("shard").agg(fittest.alias("packing"), F.min("bins").alias("bins"))
     for epoch in range(1, EPOCHS):
-        open_shards = written(state.groupBy("shard").agg(F.max("proved").alias("solved")).where("not solved").select("shard"), "open-shards")
+        open_shards = state.groupBy("shard").agg(F.max("proved").alias("solved")).where("not solved").select("shard")
         n = open_shards.count()
         if n == 0:
             break
-        ended.append(state.join(open_shards, "shard", "left_anti"))
-        state = state.join(open_shards, "shard", "left_semi")
         elite = state.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("people")[0].alias("migrant"))
-        now = state.join(elite, ["shard", "island"]).select("shard", "island", "lengths", "people", "migrant")
+        now = state.join(open_shards, "shard").join(elite, ["shard", "island"]).select("shard", "island", "lengths", "people", "migrant")
         state = written(each_row(dealt(now, n), _evolve(capacity, epoch), _STATE, rows=1), "islands")
-    for part in ended:
-        state = state.unionByName(part)
-    return state.groupBy("shard").agg(F.min_by(F.col("people")[0], F.struct("bins", "island")).alias("packing"))
+        found = found.unionByName(state.groupBy("shard").agg(fittest.alias("packing"), F.min("bins").alias("bins")))
+    return found.groupBy("shard").agg(F.min_by("packing", "bins").alias("packing"))
 
 
 def _placed(capacity: int, level: int, last: bool):

@@ -15,6 +15,8 @@ WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u20
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 #: The same split in the compiled encoder's pattern language (fixed values).
 COMPILED_SPLIT = CONTRACTIONS + r"| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Without the look-ahead, which only matters where white space runs on; some quarter faster.
+SINGLE_SPLIT = COMPILED_SPLIT.replace(r"|\s+(?!\S)", "")
 
 
 def tokenizer_path(name: str) -> str:
@@ -81,6 +83,10 @@ def chunks(text: str, size: int = 1 << 20):
     yield text[lo:]
 
 
+#: A superset of runs of white space.
+_white_run = re.compile(r"\s\s")
+
+
 class BytePairVocabulary:
     """A byte-level BPE file: token bytes, merge ranks, special strings, and the pre-token splitter.
 
@@ -157,7 +163,10 @@ class BytePairVocabulary:
         import tiktoken
 
         merge = self.merger()
-        ordinary = tiktoken.Encoding("split", pat_str=COMPILED_SPLIT, mergeable_ranks=self.id_of, special_tokens={}).encode_ordinary
+        with_runs, single = (tiktoken.Encoding("split", pat_str=p, mergeable_ranks=self.id_of, special_tokens={}).encode_ordinary for p in (COMPILED_SPLIT, SINGLE_SPLIT))
+
+        def ordinary(text: str) -> list[int]:
+            return (with_runs if _white_run.search(text) else single)(text)
 
         def encode(text: str) -> list[int]:
             runs = self.pieces(text)

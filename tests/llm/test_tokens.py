@@ -126,7 +126,7 @@ def test_search_beats_best_fit(seed):
 def test_exchange_fills_bins():
     shard = Shard(np.array([700, 600, 500, 400, 324, 100]), CAPACITY, 0)
     bin_of = np.array([-1, 0, 1, 0, 1, -1])
-    assert shard.exchanged(bin_of, np.array([0])) == [2] and bin_of.tolist() == [1, 0, -1, 0, 1, -1]  # 700 beside 324, 500 finds no place
+    assert shard.exchanged(bin_of, np.array([0])).tolist() == [2] and bin_of.tolist() == [1, 0, -1, 0, 1, -1]  # 700 beside 324, 500 finds no place
 
 
 def test_crossover_keeps_all_pieces():
@@ -177,4 +177,4 @@ def test_pack_items_over_levels(spark):
     for r in got:
         fill[r.sequence_id] += rows[r.pid][1]
     assert len(got) == 900 and max(fill.values()) <= 1024
-    assert len(fill) <= lower_bound(np.array([n for _, n in rows]), 1024) + 2
+    assert len(fill) <= 1.04 * lower_bound(np.array([n for _, n in rows]), 1024)
