@@ -223,11 +223,15 @@ def _starts(keys) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _trie_join(u, alo, ahi, blo, bhi, depth, err, budget):
+def _trie_join(u, alo, ahi, blo, bhi, depth, err, budget, label=None):
     """Index pairs within the budget, for node pairs given as ranges of the sorted ``u``; equal ranges are a node with itself.
 
-    All node pairs of a level are walked at once; pairs of few members are compared directly.
+    All node pairs of a level are walked at once; pairs of few members are compared directly.  With labels,
+    node pairs whose members all have one label are left out.
     """
+    if label is not None:
+        change = np.append(np.flatnonzero(label[1:] != label[:-1]) + 1, len(label))
+        until = change[np.searchsorted(change, np.arange(len(label)), "right").clip(max=len(change) - 1)]  # the run of equal labels ends here
     found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     while len(alo):
         na, nb = ahi - alo, bhi - blo
@@ -259,6 +263,9 @@ def _trie_join(u, alo, ahi, blo, bhi, depth, err, budget):
         alo, ahi, blo, bhi, err, use = (np.concatenate(v) for v in zip(*kids))
         depth = np.tile(depth + 1, 4)
         use &= (err <= budget) & (ahi > alo) & (bhi > blo) & ~((alo == blo) & (ahi - alo < 2))
+        if label is not None:
+            a, b = np.minimum(alo, len(u) - 1), np.minimum(blo, len(u) - 1)
+            use &= (until[a] < ahi) | (until[b] < bhi) | (label[a] != label[b])
         alo, ahi, blo, bhi, depth, err = (v[use] for v in (alo, ahi, blo, bhi, depth, err))
     return np.concatenate(found_a), np.concatenate(found_b)
 

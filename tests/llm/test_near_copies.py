@@ -1,8 +1,10 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline
-from phylospan.llm import minhash
+from phylospan.llm import near_copies, simhash
 from phylospan.llm.simhash import keep_one_of_each
 
 
@@ -62,17 +64,44 @@ def test_near_copies_against_all_pairs(spark, tmp_path):
     kept = corpus_pipeline.keep_distinct(spark, df, str(tmp_path))
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == want
-    assert minhash.keep_one_of_similar(df.limit(0)).count() == 0
+    small_cells = near_copies.keep_one_of_similar(df, cell=16)
+    assert sorted(r.doc_id for r in small_cells.collect()) == want
+    assert near_copies.keep_one_of_similar(df.limit(0)).count() == 0
+
+
+def test_fingerprints_differ_as_the_similarity_says():
+    rng = np.random.default_rng(3)
+    far, first = [], []
+    for _ in range(300):
+        n = int(rng.integers(20, 400))
+        both = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        rest = rng.integers(0, 1 << 63, n // 4, dtype=np.uint64)  # similarity 0.8
+        cut = int(rng.integers(0, len(rest) + 1))
+        a, b = (near_copies.wide_fingerprint(np.concatenate([both, r])) for r in (rest[:cut], rest[cut:]))
+        bits = np.bitwise_count(a ^ b)
+        first.append(int(bits[0]))
+        far.append(int(bits.sum()))
+    assert 34 < np.mean(far) < 44 and max(far) <= near_copies.TOTAL and max(first) <= near_copies.FIRST
+
+
+def test_trie_join_with_labels_is_all_pairs():
+    rng = np.random.default_rng(4)
+    u = np.sort(rng.integers(0, 1 << 9, 400, dtype=np.uint64) << np.uint64(55))
+    label = np.where(rng.random(400) < 0.8, 0, rng.integers(1, 40, 400))
+    ends = [np.array([150, 400]), np.array([0, 150])]
+    zero = np.zeros(2, np.int64)
+    i, j = simhash._trie_join(u, ends[1], ends[0], ends[1], ends[0], zero, zero, 3, label)
+    found = {(a, b) for a, b in zip(i.tolist(), j.tolist()) if label[a] != label[b]}
+    want = {(a, b) for lo, hi in ((0, 150), (150, 400)) for a, b in combinations(range(lo, hi), 2) if label[a] != label[b] and np.bitwise_count(u[a] ^ u[b]) <= 3}
+    assert found == want
 
 
 def test_shingle_sets_of_long_texts(monkeypatch):
-    from phylospan.llm import simhash
-
     whole, rng = simhash._word_runs, random.Random(1)
     texts = [" ".join(rng.choices("abcdé", k=n)) for n in (0, 1, 4, 5, 6, 300)]
-    want = [minhash.shingle_set(t).tolist() for t in texts]
-    monkeypatch.setattr(minhash, "_word_runs", lambda data: whole(data, 37))
-    assert [minhash.shingle_set(t).tolist() for t in texts] == want
+    want = [near_copies.shingle_set(t).tolist() for t in texts]
+    monkeypatch.setattr(near_copies, "_word_runs", lambda data: whole(data, 37))
+    assert [near_copies.shingle_set(t).tolist() for t in texts] == want
     assert [len(w) for w in want] == [len(shingles(t)) for t in texts]
 
 
@@ -80,8 +109,8 @@ def test_one_id_in_several_groups(spark):
     a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
     rows = [(1, a), (1, b), (2, a), (3, b), (4, b + " end"), (1, a + " end"), (None, a)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for keep in (keep_one_of_each, minhash.keep_one_of_similar):
+    for keep in (keep_one_of_each, near_copies.keep_one_of_similar):
         kept = [(r.doc_id, r.text) for r in keep(df.where("text not like '% end'")).collect()]
         assert sorted(kept, key=str) == sorted([(1, a), (1, b), (None, a)], key=str)
-    kept = [(r.doc_id, r.text) for r in minhash.keep_one_of_similar(df).collect()]
+    kept = [(r.doc_id, r.text) for r in near_copies.keep_one_of_similar(df).collect()]
     assert sorted(kept, key=str) == sorted([(1, a), (1, b), (None, a)], key=str)
