@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phylospan.llm import minhash, packing, pii, quality, toxicity
+from phylospan.llm import near_copies, packing, pii, quality, toxicity
 from phylospan.llm.common import table, written
 
 
@@ -23,8 +23,8 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: 5-word shingles, Jaccard similarity 0.8 or more."""
-    return minhash.keep_one_of_similar(docs)
+    """One document of each group of near copies: SimHash tries over 5-word shingles, shingle similarity 0.8 or more."""
+    return near_copies.keep_one_of_similar(docs)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
