@@ -1,7 +1,7 @@
 """Media columns: payloads kept as lossless images, read back to pixel arrays and described by features.
 
-A payload of any length is a column of grey images of 64 samples a row, each a whole WebP file of at most
-``TILE_ROWS`` rows, joined one after the other; its length says how many rows the last one has.
+A payload of any length is a column of images of 64 samples a row (16 pixels of four 8-bit samples: blue, green,
+red, alpha), each a whole WebP file of at most ``TILE_ROWS`` rows, joined one after the other.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phylospan.llm import webp
-from phylospan.llm.common import each_row
+from phylospan.llm.common import each_row, written
 
 UNIT = 64
 TILE_ROWS = 4096
@@ -26,13 +26,14 @@ def pad(data: bytes) -> bytes:
 
 
 def to_media(payload: bytes) -> bytes:
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
-    return b"".join(webp.encode_samples(rows[k : k + TILE_ROWS]) for k in range(0, len(rows), TILE_ROWS))
+    rows = np.frombuffer(payload, "<u4").astype(np.uint32, copy=False).reshape(-1, UNIT // 4)
+    return b"".join(webp.encode(rows[k : k + TILE_ROWS]) for k in range(0, len(rows), TILE_ROWS))
 
 
-def from_media(media: bytes) -> np.ndarray:
-    """The samples of a medium, one array of shape (rows, 64)."""
-    return np.concatenate([webp.grey(webp.decode(f)) for f in webp.split_files(media)])
+def from_media(media: bytes, parts: set[str] | None = None) -> np.ndarray:
+    """The samples of a medium, one array of shape (rows, 64); the format's parts it uses are added to ``parts``."""
+    pixels = np.concatenate([webp.decode(f, parts) for f in webp.split_files(media)])
+    return np.ascontiguousarray(pixels.astype("<u4", copy=False)).view(np.uint8)
 
 
 def describe(samples: np.ndarray) -> str:
@@ -49,35 +50,45 @@ def _stored(text: str | None) -> tuple[int, bytes]:
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_bytes, media binary)``: each text's UTF-8, padded, as lossless images.  Null is empty."""
+    """``(doc_id, n_bytes, media binary)``: each text's UTF-8, padded, as lossless images.
+
+    Null and empty texts are one row of zeros, a null id stays null, repeated rows repeat, other columns are
+    ignored, an empty table gives an empty one.  No shuffle.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return each_row(rows, lambda: lambda doc_id, text: (doc_id, *_stored(text)), "doc_id long, n_bytes long, media binary", rows=64)
 
 
 def decode_media(media: DataFrame) -> DataFrame:
-    """``(doc_id, width, height, pixels binary)`` from ``(doc_id, media)``: the samples read back, row by row."""
+    """``(doc_id, width, height, pixels binary)`` from ``(doc_id, media)``: the samples read back, row by row.
+
+    A null medium has null results; one that is broken is an error; an empty table gives an empty one.
+    """
 
     def row(doc_id, data):
+        if data is None:
+            return doc_id, None, None, None
         x = from_media(data)
         return doc_id, x.shape[1], x.shape[0], x.tobytes()
 
     return each_row(media.select("doc_id", "media"), lambda: row, "doc_id long, width int, height int, pixels binary", rows=16)
 
 
-def _features(doc_id, text):
-    n, media = _stored(text)
-    samples = from_media(media)
+def _features(doc_id, n, media):
+    parts: set[str] = set()
+    samples = from_media(media, parts)
     back = samples.tobytes()
-    return doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), describe(samples)
+    return doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), describe(samples), ",".join(sorted(parts))
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature)`` per row.
+    """``(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, parts)`` per row.
 
-    Digest, checksum and feature are of the samples decoded from the stored form.  Null and empty texts are
-    one row of zeros; a null id stays null; repeated rows repeat; other columns are ignored.  No shuffle: a
-    medium lives in the task that makes and reads it, :func:`encode_texts` gives the stored form as a column.
+    The media are written into the shared folder and read back from there; digest, checksum and feature are of
+    the samples decoded from what was read.  ``parts`` lists what the medium uses of the format.  Null and empty
+    texts are one row of zeros; a null id stays null; repeated rows repeat; other columns are ignored; an empty
+    table gives an empty one.  No shuffle.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return each_row(rows, lambda: _features, schema, rows=64)
+    stored = written(encode_texts(docs, id_col, text_col), "media")
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, parts string"
+    return each_row(stored, lambda: _features, schema, rows=64)

@@ -1,17 +1,21 @@
-"""Lossless WebP: a decoder for every still image of the format, and an encoder for samples.
+"""Lossless WebP: a decoder for every still image of the format, and an encoder.
 
 The bit stream is read least significant bit first.  An image is a list of transforms (predictor, cross
 colour, subtract green, palette) and an entropy-coded image of prefix codes, back-references and a colour
-cache; the transforms are inverted in reverse order.  A stream whose only varying channel is green and that
-has neither back-references nor cache hits, as this module's sample encoder writes them, is decoded with
-array operations: the code length at every bit position is looked up at once, and a chain of positions is
-followed.  All else takes the general, symbol-by-symbol path.
+cache; the transforms are inverted in reverse order.  An image of some size with one group of codes is read
+with array operations: what a pixel, a cache hit or a back-reference that began there would be and where it
+would end is looked up for every bit position at once, and the chain of positions is followed.  Small images
+and those of several groups take the symbol-by-symbol path.
+
+The encoder tries each transform on the whole image and takes the one with the least entropy, finds
+back-references by equal runs of three pixels, and uses a colour cache where its hits save bits.
 """
 
 from __future__ import annotations
 
-import heapq
 import struct
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 
@@ -32,6 +36,7 @@ NEAR = (
 )
 CACHE_FACTOR = 0x1E35A7BD
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
+NAMES = ("predictor", "cross-colour", "subtract-green", "palette")
 LENGTH_CODES, DISTANCE_CODES = 24, 40
 SIGNATURE = 0x2F
 
@@ -61,6 +66,11 @@ class BitReader:
         """Bits read so far."""
         return 8 * self.at - self.count
 
+    def peek(self, n: int) -> int:
+        """The next ``n`` bits, or fewer at the end."""
+        first = self.position
+        return int.from_bytes(self.data[first // 8 : (first + n + 7) // 8], "little") >> first % 8 & ((1 << n) - 1)
+
     def seek(self, bit: int) -> None:
         self.at, self.held, self.count = bit // 8, 0, 0
         self.fill()
@@ -76,14 +86,23 @@ def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
         return {used[0][1]: (0, 0)}
     if sum(1 << (15 - n) for n, _ in used) != 1 << 15:
         raise ValueError("a prefix code is not complete")
-    codes, code, before = {}, 0, used[0][0]
+    codes, code, before, turned = {}, 0, used[0][0], _turned()
     for n, s in used:
         code <<= n - before
-        codes[s] = (int(f"{code:0{n}b}"[::-1], 2), n)
+        codes[s] = (turned[code] >> (15 - n), n)
         code, before = code + 1, n
     return codes
 
 
+@lru_cache(1)
+def _turned() -> list[int]:
+    """The numbers of 15 bits with their bits in opposite order."""
+    n, out = np.arange(1 << 15), np.zeros(1 << 15, np.int64)
+    for k in range(15):
+        out |= (n >> k & 1) << (14 - k)
+    return out.tolist()
+
+
 class PrefixCode:
     """A prefix code for reading: by the next ``width`` bits, the symbol and its length."""
 
@@ -95,17 +114,16 @@ class PrefixCode:
 
     @classmethod
     def of_lengths(cls, lengths: list[int]) -> PrefixCode:
-        return cls(canonical(lengths))
+        return _of_lengths(tuple(lengths))
 
     @property
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
+    def table(self) -> np.ndarray:
+        """By the next ``width`` bits, the symbol, and its length times 65,536."""
         if self._table is None:
-            symbol, length = np.zeros(1 << self.width, np.int32), np.zeros(1 << self.width, np.uint8)
+            self._table = np.zeros(1 << self.width, np.uint32)
             for s, (code, n) in self.codes.items():
-                symbol[code :: 1 << n] = s
-                length[code :: 1 << n] = n
-            self._table = symbol, length
-            self._lists = symbol.tolist(), length.tolist()
+                self._table[code :: 1 << n] = s | n << 16
+            self._list = self._table.tolist()
         return self._table
 
     def read(self, bits: BitReader) -> int:
@@ -113,16 +131,20 @@ class PrefixCode:
             return self.only
         if self._table is None:
             self.table
-        symbol, length = self._lists
         if bits.count < self.width:
             bits.fill()
-        k = bits.held & ((1 << self.width) - 1)
-        n = length[k]
+        k = self._list[bits.held & ((1 << self.width) - 1)]
+        n = k >> 16
         if n > bits.count:
             raise ValueError("the stream ends early")
         bits.held >>= n
         bits.count -= n
-        return symbol[k]
+        return k & 0xFFFF
+
+
+@lru_cache(64)
+def _of_lengths(lengths: tuple[int, ...]) -> PrefixCode:
+    return PrefixCode(canonical(list(lengths)))
 
 
 def _read_code(bits: BitReader, alphabet: int) -> PrefixCode:
@@ -158,6 +180,25 @@ def _read_code(bits: BitReader, alphabet: int) -> PrefixCode:
     return PrefixCode.of_lengths(lengths)
 
 
+def _read_codes(bits: BitReader, greens: int) -> list[PrefixCode]:
+    """A group's five codes.  Of red, blue and alpha one that has the very bits of the one before is that one again."""
+    out = [_read_code(bits, greens), _read_code(bits, 256)]
+    at = bits.position
+    before = None
+    for alphabet in (256, 256, DISTANCE_CODES):
+        if before is not None and alphabet == 256 and bits.peek(n) == before:
+            bits.seek(at + n)
+            out.append(out[-1])
+        else:
+            out.append(_read_code(bits, alphabet))
+        n = bits.position - at
+        bits.seek(at)
+        before = bits.peek(n)
+        bits.seek(at + n)
+        at += n
+    return out
+
+
 def _value(bits: BitReader, prefix: int) -> int:
     """A length or distance from its prefix symbol."""
     if prefix < 4:
@@ -170,8 +211,12 @@ def _blocks(n: int, bits: int) -> int:
     return (n + (1 << bits) - 1) >> bits
 
 
-def _read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndarray:
-    """The ARGB numbers of an entropy-coded image, row by row."""
+#: Pixels from which on an image is read with array operations.
+MANY = 64
+
+
+def _read_image(bits: BitReader, width: int, height: int, main: bool, parts: set[str]) -> np.ndarray:
+    """The ARGB numbers of an entropy-coded image, row by row; what the image uses is added to ``parts``."""
     cache_bits = 0
     if bits.read(1):
         cache_bits = bits.read(4)
@@ -180,45 +225,113 @@ def _read_image(bits: BitReader, width: int, height: int, main: bool) -> np.ndar
     group_of, tile_bits, groups = None, 0, 1
     if main and bits.read(1):
         tile_bits = bits.read(3) + 2
-        group_of = ((_read_image(bits, _blocks(width, tile_bits), _blocks(height, tile_bits), False) >> 8) & 0xFFFF).tolist()
+        group_of = ((_read_image(bits, _blocks(width, tile_bits), _blocks(height, tile_bits), False, set()) >> 8) & 0xFFFF).tolist()
         groups = max(group_of) + 1
     cache_size = 1 << cache_bits if cache_bits else 0
-    codes = [[_read_code(bits, n) for n in (256 + LENGTH_CODES + cache_size, 256, 256, 256, DISTANCE_CODES)] for _ in range(groups)]
-    if group_of is None:
-        green, red, blue, alpha, _ = codes[0]
-        if red.only is not None and blue.only is not None and alpha.only is not None:
-            got = _read_green(bits, green, width * height)
-            if got is not None:
-                return (got << 8) | np.uint32(alpha.only << 24 | red.only << 16 | blue.only)
+    codes = [_read_codes(bits, 256 + LENGTH_CODES + cache_size) for _ in range(groups)]
+    if group_of is None and width * height >= MANY:
+        return _read_chain(bits, width, height, codes[0], cache_bits, parts)
     return _read_general(bits, width, height, codes, group_of, tile_bits, cache_bits)
 
 
-def _read_green(bits: BitReader, code: PrefixCode, n: int) -> np.ndarray | None:
-    """``n`` green literals with array operations, or nothing if there is any other symbol among them."""
-    if code.only is not None:
-        return np.full(n, code.only, np.uint32) if code.only < 256 else None
-    symbol, length = code.table
-    start = bits.position
-    need = start // 8 + (n * code.width + 7) // 8 + 8
-    raw = np.frombuffer(bits.data[start // 8 : need] + bytes(8), np.uint8).astype(np.uint32)
-    words = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
-    ahead = ((words[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << code.width) - 1)).ravel()
-    step = length[ahead].tobytes()
-    at, places = start % 8, []
+def _read_chain(bits: BitReader, width: int, height: int, codes: list[PrefixCode], cache_bits: int, parts: set[str]) -> np.ndarray:
+    """An image of one group of codes: every bit position is read as if a pixel began there, then the chain is followed."""
+    total, start = width * height, bits.position
+    need = start // 8 + (total * sum(c.width for c in codes[:4]) + 7) // 8 + 16
+    raw = np.frombuffer(bits.data[start // 8 : need] + bytes(40), np.uint8)
+    wide = raw.astype(np.uint32)
+    wide = wide[:-3] | wide[1:-2] << np.uint32(8) | wide[2:-1] << np.uint32(16) | wide[3:] << np.uint32(24)
+    ahead = (wide[:, None] >> np.arange(8, dtype=np.uint32)).ravel()  # at least 24 bits ahead of each position
+    entry = codes[0].table[ahead & np.uint32((1 << codes[0].width) - 1)]
+    green, step = entry & np.uint32(0xFFFF), entry >> np.uint32(16)
+    usable = len(ahead) - 120
+    at = np.arange(usable)
+    end = at + step[:usable]
+    value, before = green[:usable] << np.uint32(8), None
+    for code, shift in zip(codes[1:4], (16, 0, 24)):
+        if code.only is not None:
+            value |= np.uint32(code.only << shift)
+            continue
+        if code is not before:
+            entry, before = code.table[ahead & np.uint32((1 << code.width) - 1)], code
+        now = entry[end]
+        value |= (now & np.uint32(0xFF)) << np.uint32(shift)
+        end += now >> np.uint32(16)
+    green = green[:usable]
+    other = np.flatnonzero(green >= 256)
+    back: dict[int, tuple[int, int]] = {}
+    if len(other):
+        end[other] = other + step[other]
+        copy = other[green[other] < 256 + LENGTH_CODES]
+        run, end[copy] = _prefixed(ahead, green[copy] - np.uint32(256), end[copy])
+        now = codes[4].table[ahead[end[copy]] & np.uint32((1 << codes[4].width) - 1)]
+        far, end[copy] = _prefixed(ahead, now & np.uint32(0xFFFF), end[copy] + (now >> np.uint32(16)))
+        back = dict(zip(copy.tolist(), zip(run.tolist(), far.tolist())))
+    leap = np.minimum(end - at, 255).astype(np.uint8).tobytes()
+    here, made, places = start % 8, 0, []
     add = places.append
     try:
-        for _ in range(n):
-            add(at)
-            at += step[at]
+        if not back:
+            for _ in range(total):
+                add(here)
+                here += leap[here]
+        else:
+            while made < total:
+                add(here)
+                made += back[here][0] if here in back else 1
+                here += leap[here]
     except IndexError:
         raise ValueError("the stream ends early") from None
-    if start - start % 8 + at > 8 * len(bits.data):
+    if start - start % 8 + here > 8 * len(bits.data):
         raise ValueError("the stream ends early")
-    got = symbol[ahead[np.array(places, np.int64)]]
-    if int(got.max()) >= 256:
-        return None
-    bits.seek(start - start % 8 + at)
-    return got.astype(np.uint32)
+    bits.seek(start - start % 8 + here)
+    places = np.array(places, np.int64)
+    green, value = green[places], value[places]
+    copies, hits = (green >= 256) & (green < 256 + LENGTH_CODES), green >= 256 + LENGTH_CODES
+    if not copies.any() and not hits.any():
+        return value
+    parts.update(name for name, some in (("backward", copies.any()), ("cache", hits.any())) if some)
+    if hits.any() and not cache_bits:
+        raise ValueError("a cache symbol without a cache")
+    out: list[int] = []
+    cache, shift, fresh = [0] * (1 << cache_bits), 32 - cache_bits, 0
+    values = value.tolist()
+    done = 0
+    for k in np.flatnonzero(copies | hits).tolist():
+        out += values[done:k]
+        done = k + 1
+        s = int(green[k])
+        if s < 256 + LENGTH_CODES:
+            _copy(out, *back[int(places[k])], width, total)
+        else:
+            for v in out[fresh:]:
+                cache[(CACHE_FACTOR * v & 0xFFFFFFFF) >> shift] = v
+            fresh = len(out)
+            out.append(cache[s - 256 - LENGTH_CODES])
+    return np.array(out + values[done:], np.uint32)
+
+
+def _prefixed(ahead: np.ndarray, prefix: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distances of prefix symbols whose extra bits begin at given positions, and where these end."""
+    extra = np.maximum(prefix.astype(np.int64) - 2, 0) >> 1
+    bits = (ahead[at] & ((np.uint32(1) << extra.astype(np.uint32)) - np.uint32(1))).astype(np.int64)
+    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)).astype(np.int64) << extra) + bits + 1), at + extra
+
+
+def _copy(out: list[int], n: int, d: int, width: int, total: int) -> None:
+    """A back-reference of ``n`` pixels with distance code ``d``."""
+    if d > len(NEAR):
+        d -= len(NEAR)
+    else:
+        dx, dy = NEAR[d - 1]
+        d = max(1, dx + dy * width)
+    at = len(out)
+    if d > at or n > total - at:
+        raise ValueError("a back-reference leaves the image")
+    if d >= n:
+        out += out[at - d : at - d + n]
+    else:
+        out += (out[at - d :] * (n // d + 1))[:n]
 
 
 def _read_general(bits, width, height, codes, group_of, tile_bits, cache_bits) -> np.ndarray:
@@ -238,16 +351,7 @@ def _read_general(bits, width, height, codes, group_of, tile_bits, cache_bits) -
             out.append(alpha.read(bits) << 24 | r << 16 | s << 8 | b)
         elif s < 256 + LENGTH_CODES:
             n = _value(bits, s - 256)
-            d = _value(bits, distance.read(bits))
-            if d > len(NEAR):
-                d -= len(NEAR)
-            else:
-                dx, dy = NEAR[d - 1]
-                d = max(1, dx + dy * width)
-            if d > at or n > total - at:
-                raise ValueError("a back-reference leaves the image")
-            for k in range(at - d, at - d + n):
-                out.append(out[k])
+            _copy(out, n, _value(bits, distance.read(bits)), width, total)
         else:
             if not cache_bits:
                 raise ValueError("a cache symbol without a cache")
@@ -271,6 +375,15 @@ def _joined(c: np.ndarray) -> np.ndarray:
     return c[..., 0] << 24 | c[..., 1] << 16 | c[..., 2] << 8 | c[..., 3]
 
 
+def _octets(argb: np.ndarray) -> np.ndarray:
+    """Blue, green, red, alpha as bytes of the same memory; sums of bytes wrap as the format's do."""
+    return argb.astype("<u4", copy=False).view(np.uint8).reshape(*argb.shape, 4)
+
+
+def _pixels(octets: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(octets).view("<u4")[..., 0].astype(np.uint32, copy=False)
+
+
 def predicted(mode: int, left, top, top_right, top_left):
     """The predictor's value from four neighbours, each a sequence of channel values."""
     mean = lambda a, b: [(p + q) >> 1 for p, q in zip(a, b)]
@@ -309,6 +422,13 @@ def predicted(mode: int, left, top, top_right, top_left):
 def unpredict(residual: np.ndarray, modes: np.ndarray, size_bits: int) -> np.ndarray:
     """Inverse of the predictor transform; ``modes`` is a block image."""
     height, width = residual.shape
+    only = int(modes.flat[0] >> 8) & 15
+    if only in (1, 2) and ((modes >> 8) & 15 == only).all():  # left or top everywhere: sums along rows and columns
+        c = _octets(residual.copy())
+        c[0, 0, 3:] -= 1
+        line = (slice(None), 0) if only == 1 else 0
+        c[line] = c[line].cumsum(axis=0, dtype=np.uint8)
+        return _pixels(c.cumsum(axis=only % 2, dtype=np.uint8))
     rows = _channels(residual).tolist()
     which = ((modes >> 8) & 15).tolist()
     for y in range(height):
@@ -343,10 +463,11 @@ def cross_colour(pixels: np.ndarray, factors: np.ndarray, size_bits: int, forwar
 
 
 def add_green(pixels: np.ndarray, sign: int = 1) -> np.ndarray:
-    c = _channels(pixels)
-    c[..., 1] += sign * c[..., 2]
-    c[..., 3] += sign * c[..., 2]
-    return _joined(c)
+    c = _octets(pixels.copy())
+    green = c[..., 1] if sign == 1 else -c[..., 1]
+    c[..., 0] += green
+    c[..., 2] += green
+    return _pixels(c)
 
 
 def _bundle_bits(colours: int) -> int:
@@ -378,21 +499,25 @@ def split_files(data: bytes) -> list[bytes]:
     return out
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The pixels of a lossless WebP file as ``uint32`` ARGB numbers of shape (height, width)."""
+def decode(data: bytes, parts: set[str] | None = None) -> np.ndarray:
+    """The pixels of a lossless WebP file as ``uint32`` ARGB numbers of shape (height, width).
+
+    Names of the transforms, and of ``backward`` references and ``cache`` hits of the image, are added to ``parts``.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise ValueError("not a WebP file")
     at = 12
     while at + 8 <= len(data):
         kind, n = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
         if kind == b"VP8L":
-            return decode_stream(data[at + 8 : at + 8 + n])
+            return decode_stream(data[at + 8 : at + 8 + n], parts)
         at += 8 + n + n % 2
     raise ValueError("no lossless image in the file")
 
 
-def decode_stream(data: bytes) -> np.ndarray:
+def decode_stream(data: bytes, parts: set[str] | None = None) -> np.ndarray:
     bits = BitReader(data)
+    parts = set() if parts is None else parts
     if bits.read(8) != SIGNATURE:
         raise ValueError("not a lossless stream")
     width, height = bits.read(14) + 1, bits.read(14) + 1
@@ -407,16 +532,17 @@ def decode_stream(data: bytes) -> np.ndarray:
         if kind in (PREDICTOR, CROSS_COLOUR):
             size = bits.read(3) + 2
             w, h = _blocks(now, size), _blocks(height, size)
-            block = _read_image(bits, w, h, False).reshape(h, w)
+            block = _read_image(bits, w, h, False, set()).reshape(h, w)
             undo.append((kind, lambda p, b=block, s=size, k=kind: unpredict(p, b, s) if k == PREDICTOR else cross_colour(p, b, s)))
         elif kind == SUBTRACT_GREEN:
             undo.append((kind, add_green))
         else:
             n = bits.read(8) + 1
-            palette = _joined(np.cumsum(_channels(_read_image(bits, n, 1, False)), axis=0))
+            palette = _joined(np.cumsum(_channels(_read_image(bits, n, 1, False, set())), axis=0))
             undo.append((kind, lambda p, c=palette, w=now: unpalette(p, c, w)))
             now = _blocks(now, _bundle_bits(n))
-    pixels = _read_image(bits, now, height, True).reshape(height, now)
+    pixels = _read_image(bits, now, height, True, parts).reshape(height, now)
+    parts.update(NAMES[kind] for kind, _ in undo)
     for _, step in reversed(undo):
         pixels = step(pixels)
     return pixels | np.uint32(0xFF000000) if opaque else pixels
@@ -433,22 +559,29 @@ def code_lengths(counts: list[int], limit: int = 15) -> list[int]:
         lengths[used[0][1]] = 1
         return lengths
     while True:
-        heap = [(c, s, None) for c, s in used]
-        heapq.heapify(heap)
-        number = len(counts)
-        while len(heap) > 1:
-            a = heapq.heappop(heap)
-            b = heapq.heappop(heap)
-            heapq.heappush(heap, (a[0] + b[0], number, (a, b)))
-            number += 1
-        todo = [(heap[0], 0)]
-        while todo:
-            (_, s, kids), depth = todo.pop()
-            if kids is None:
-                lengths[s] = depth
-            else:
-                todo += ((kids[0], depth + 1), (kids[1], depth + 1))
-        if max(lengths) <= limit:
+        used.sort()
+        weights = [c for c, _ in used]
+        n = len(weights)
+        parent = [0] * (2 * n - 1)
+        leaf, made, made_at = 0, [], 0
+        for node in range(n, 2 * n - 1):  # leaves and inner nodes both come in order of weight
+            weight = 0
+            for _ in range(2):
+                if leaf < n and (made_at >= len(made) or weights[leaf] <= made[made_at]):
+                    weight += weights[leaf]
+                    parent[leaf] = node
+                    leaf += 1
+                else:
+                    weight += made[made_at]
+                    parent[n + made_at] = node
+                    made_at += 1
+            made.append(weight)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:n]) <= limit:
+            for (_, s), d in zip(used, depth):
+                lengths[s] = d
             return lengths
         used = [(c // 2 + 1, s) for c, s in used]  # flatter counts, shorter codes
 
@@ -480,21 +613,21 @@ def put_code(out: BitWriter, lengths: list[int]) -> dict[int, tuple[int, int]]:
             return {symbols[0]: (0, 1), symbols[1]: (1, 1)}
         return {symbols[0]: (0, 0)}
     tokens: list[tuple[int, int, int]] = []  # symbol, extra bits and their number
-    at, before, end = 0, 8, used[-1] + 1
-    while at < end:
-        n = lengths[at]
-        run = 1
-        while at + run < end and lengths[at + run] == n and run < (138 if n == 0 else 6):
-            run += 1
-        if n == 0 and run >= 3:
-            tokens.append((17, run - 3, 3) if run <= 10 else (18, run - 11, 7))
-        elif n and n == before and run >= 3:
-            tokens.append((16, run - 3, 2))
-        else:
-            run = 1
+    before = 8
+    for n, same in groupby(lengths[: used[-1] + 1]):
+        run = len(list(same))
+        if n and n != before:
             tokens.append((n, 0, 0))
-            before = n or before
-        at += run
+            before, run = n, run - 1
+        while run:
+            k = min(run, 6 if n else 138)
+            if k < 3:
+                tokens += [(n, 0, 0)] * k
+            elif n:
+                tokens.append((16, k - 3, 2))
+            else:
+                tokens.append((17, k - 3, 3) if k <= 10 else (18, k - 11, 7))
+            run -= k
     counts = [0] * 19
     for s, _, _ in tokens:
         counts[s] += 1
@@ -521,27 +654,209 @@ def riff(stream: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def encode_samples(samples: np.ndarray) -> bytes:
-    """A grey image of ``uint8`` samples, at most 16384 a side, as a WebP file: subtracted green, one prefix code."""
-    height, width = samples.shape
-    out = BitWriter()
-    for value, n in ((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3), (1, 1), (SUBTRACT_GREEN, 2), (0, 1), (0, 1), (0, 1)):
+#: A back-reference has at least so many pixels, and at most (a limit of the format).
+SHORTEST, LONGEST = 3, 4096
+
+
+def _entropies(images: list[np.ndarray]) -> np.ndarray:
+    """Bits of each image's four channels by their histograms."""
+    each = [i.size for i in images]
+    offset = np.repeat(np.arange(len(images)) * 1024, each)[:, None] + np.arange(4) * 256
+    c = np.bincount((np.concatenate([_octets(i).reshape(-1, 4) for i in images]) + offset).ravel(), minlength=1024 * len(images)).reshape(len(images), 4, 256)
+    own = (c * np.log2(np.maximum(c, 1))).sum(axis=(1, 2))
+    return 4 * np.array(each) * np.log2(each) - own
+
+
+#: Share of a channel's variance that cross-colour factors must explain to be tried.
+EXPLAINED = 0.05
+
+
+def _fitted_factors(pixels: np.ndarray) -> int:
+    """The cross-colour factors that make red and blue least alike to green, and blue to red, as a block's ARGB number; 0 if they explain little."""
+    c = _octets(pixels).view(np.int8).reshape(-1, 4).astype(np.float32)
+    moments = c.T @ c
+    blue, green, red = range(3)
+    if all(moments[a, b] ** 2 <= EXPLAINED * moments[a, a] * moments[b, b] for a, b in ((red, green), (blue, green), (blue, red))):
+        return 0
+    slope = lambda y, x: int(np.clip(np.round(32 * moments[y, x] / max(1.0, moments[x, x])), -128, 127))
+    green_red, green_blue = slope(red, green), slope(blue, green)
+    red_blue = int(np.clip(np.round((32 * moments[blue, red] - green_blue * moments[green, red]) / max(1.0, moments[red, red])), -128, 127))
+    return (red_blue & 255) << 16 | (green_blue & 255) << 8 | green_red & 255
+
+
+def _predict(pixels: np.ndarray, mode: int) -> np.ndarray:
+    """Residuals of the left (1) or top (2) predictor everywhere."""
+    c = _octets(pixels)
+    out = c.copy()
+    if mode == 2:
+        out[0, 1:] -= c[0, :-1]
+        out[1:] -= c[:-1]
+    else:
+        out[:, 1:] -= c[:, :-1]
+        out[1:, 0] -= c[:-1, 0]
+    out[0, 0, 3:] += 1
+    return _pixels(out)
+
+
+def _transforms(pixels: np.ndarray):
+    """``(bits of the header, pixels after it, kind, content)`` of what may be done to an image."""
+    yield 0, pixels, None, None
+    yield 3, add_green(pixels, -1), SUBTRACT_GREEN, None
+    for mode in (1, 2):
+        yield 60, _predict(pixels, mode), PREDICTOR, mode << 8
+    factors = _fitted_factors(pixels)
+    if factors & 0xFFFFFF:
+        block = np.full((_blocks(pixels.shape[0], 9), _blocks(pixels.shape[1], 9)), factors, np.uint32)
+        yield 60, cross_colour(pixels, block, 9, forward=True), CROSS_COLOUR, factors
+    few = pixels.size <= 512 or len(np.unique(pixels.ravel()[:512])) <= 256
+    colours = np.unique(pixels) if few else ()
+    if 0 < len(colours) <= 256:
+        bits, width = _bundle_bits(len(colours)), pixels.shape[1]
+        index = np.searchsorted(colours, pixels).astype(np.uint32)
+        packed = np.zeros((len(pixels), _blocks(width, bits)), np.uint32)
+        for k in range(1 << bits):
+            part = index[:, k :: 1 << bits]
+            packed[:, : part.shape[1]] |= part << np.uint32((8 >> bits) * k)
+        yield 26 * len(colours) + 150, packed << np.uint32(8), PALETTE, colours
+
+
+def _matches(flat: np.ndarray) -> list[tuple[int, int, int]]:
+    """``(start, length, distance)`` of back-references from left to right: equal runs of at least three pixels, the nearest earlier one."""
+    if len(flat) <= SHORTEST:
+        return []
+    wide = flat.astype(np.uint64)
+    key = wide[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ wide[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ wide[2:] * np.uint64(0x165667B19E3779F9)
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    if not same.any():
+        return []
+    now, before = order[1:][same], order[:-1][same]
+    true = (flat[now] == flat[before]) & (flat[now + 1] == flat[before + 1]) & (flat[now + 2] == flat[before + 2])
+    far = np.zeros(len(key), np.int64)
+    far[now[true]] = now[true] - before[true]
+    first = np.flatnonzero(np.diff(far, prepend=0))
+    out, at = [], 0
+    for s, e, d in zip(first.tolist(), np.append(first[1:], len(far)).tolist(), far[first].tolist()):
+        s = max(s, at)
+        end = e + SHORTEST - 1
+        while d and s < e and end - s >= SHORTEST:
+            n = min(LONGEST, end - s)
+            out.append((s, n, d))
+            s += n
+            at = s
+    return out
+
+
+def _prefix_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, extra bits and their number of lengths or distances."""
+    v = v.astype(np.int64) - 1
+    top = np.maximum(np.frexp(np.maximum(v, 1).astype(np.float64))[1].astype(np.int64) - 1, 1)
+    symbol = np.where(v < 4, v, 2 * top + (v >> (top - 1) & 1))
+    n = np.where(v < 4, 0, top - 1)
+    return symbol, v & ((1 << n) - 1), n
+
+
+def put_image(out: BitWriter, pixels: np.ndarray, main: bool) -> np.ndarray:
+    """Write an entropy-coded image: its head to ``out``; gives the bits of its pixels."""
+    flat = pixels.ravel()
+    n = len(flat)
+    copies = _matches(flat)
+    starts = np.ones(n, bool)
+    run = np.ones(n, np.int64)
+    code_of = np.zeros(n, np.int64)
+    for s, length, d in copies:
+        starts[s + 1 : s + length] = False
+        run[s], code_of[s] = length, d + len(NEAR)
+    green = ((flat >> 8) & 255).astype(np.int64)
+    copied = run > 1
+    cache_bits = 0
+    if main and n >= MANY:
+        bits = min(7, n.bit_length() - 2)
+        slot = ((flat * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - bits)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        again = (slot[order[1:]] == slot[order[:-1]]) & (flat[order[1:]] == flat[order[:-1]])
+        hit = np.zeros(n, bool)
+        hit[order[1:][again]] = True
+        hit &= starts & ~copied
+        used = slot[hit]
+        if 10 * len(used) > 8 * len(np.unique(used)) + 40:
+            cache_bits = bits
+            green[hit] = 256 + LENGTH_CODES + used
+    long_symbol, long_extra, long_n = _prefix_of(run[copied])
+    green[copied] = 256 + long_symbol
+    far_symbol, far_extra, far_n = _prefix_of(code_of[copied])
+    out.put(int(cache_bits > 0), 1)
+    if cache_bits:
+        out.put(cache_bits, 4)
+    if main:
+        out.put(0, 1)
+    green = green[starts]
+    pixel = green < 256
+    others = flat[starts][pixel]
+    channels = [((others >> np.uint32(k)) & np.uint32(255)).astype(np.int64) for k in (16, 0, 24)]
+    counts = np.stack([np.bincount(c, minlength=256) for c in channels])
+    alone = [int(c.argmax()) if c.max() == len(others) else None for c in counts]
+    shared = code_lengths(sum(c for c, a in zip(counts, alone) if a is None).tolist()) if None in alone else None
+    size = (1 << cache_bits) if cache_bits else 0
+    code, width = _arrays(put_code(out, code_lengths(np.bincount(green, minlength=256 + LENGTH_CODES + size).tolist())), 256 + LENGTH_CODES + size)
+    value, length = code[green], width[green]
+    if shared:
+        head = BitWriter()
+        code, width = _arrays(put_code(head, shared), 256)
+    for c, a in zip(channels, alone):
+        if a is not None:
+            put_code(out, [0] * a + [1])
+            continue
+        out.put(head.value, head.count)
+        value[pixel] |= code[c] << length[pixel].astype(np.uint64)
+        length[pixel] += width[c]
+    far = put_code(out, code_lengths(np.bincount(far_symbol, minlength=DISTANCE_CODES).tolist()) if copies else [1])
+    if copies:
+        code, width = _arrays(far, DISTANCE_CODES)
+        at = np.flatnonzero(copied[starts])
+        for v, w in ((long_extra.astype(np.uint64), long_n), (code[far_symbol], width[far_symbol]), (far_extra.astype(np.uint64), far_n)):
+            value[at] |= v << length[at].astype(np.uint64)
+            length[at] += w
+    total = int(length.sum())
+    token = np.repeat(np.arange(len(value)), length)
+    place = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
+    return ((value[token] >> place.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
+
+
+def _arrays(codes: dict[int, tuple[int, int]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    code, width = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    used = list(codes)
+    code[used] = [c for c, _ in codes.values()]
+    width[used] = [w for _, w in codes.values()]
+    return code, width
+
+
+def encode(pixels: np.ndarray) -> bytes:
+    """An image of ``uint32`` ARGB numbers, at most 16384 a side, as a lossless WebP file."""
+    height, width = pixels.shape
+    tried = list(_transforms(pixels))
+    bits = _entropies([t[1] for t in tried]) + [t[0] for t in tried]
+    _, now, kind, content = tried[int(bits.argmin())]
+    out, body = BitWriter(), []
+
+    def image(part: np.ndarray, main: bool) -> None:
+        nonlocal out
+        tail = put_image(out, part, main)
+        body.extend((out.bits(), tail))
+        out = BitWriter()
+
+    for value, n in ((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
         out.put(value, n)
-    flat = samples.ravel()
-    codes = put_code(out, code_lengths(np.bincount(flat, minlength=256).tolist() + [0] * LENGTH_CODES))
-    for only in (0, 0, 255, 0):  # red and blue less green, alpha, distance
-        put_code(out, [0] * only + [1])
-    longest = max(n for _, n in codes.values())
-    table = np.full((256, max(1, longest)), 2, np.uint8)
-    for s, (code, n) in codes.items():
-        table[s, :n] = [code >> k & 1 for k in range(n)]
-    body = table[flat].ravel()
-    return riff(np.packbits(np.concatenate([out.bits(), body[body < 2]]), bitorder="little").tobytes())
-
-
-def grey(pixels: np.ndarray) -> np.ndarray:
-    """The samples of a grey, opaque image."""
-    g = (pixels >> 8) & 255
-    if ((pixels ^ (np.uint32(0xFF000000) | g * np.uint32(0x10101))) != 0).any():
-        raise ValueError("the image is not grey")
-    return g.astype(np.uint8)
+    if kind is not None:
+        out.put(1, 1)
+        out.put(kind, 2)
+        if kind in (PREDICTOR, CROSS_COLOUR):
+            out.put(7, 3)  # blocks of 512
+            image(np.full((_blocks(height, 9), _blocks(width, 9)), content, np.uint32), False)
+        elif kind == PALETTE:
+            out.put(len(content) - 1, 8)
+            c = _channels(content)
+            image(_joined(np.diff(c, axis=0, prepend=0))[None, :], False)
+    out.put(0, 1)
+    image(now, True)
+    return riff(np.packbits(np.concatenate(body), bitorder="little").tobytes())

@@ -163,7 +163,7 @@ def test_a_public_one_pixel_file():
 
 
 def test_broken_files_are_refused():
-    good = webp.encode_samples(np.arange(256, dtype=np.uint8).reshape(4, 64))
+    good = webp.encode(np.arange(256, dtype=np.uint32).reshape(4, 64) * np.uint32(0x1234567))
     for bad in (b"", b"RIFF", good[:-30], good.replace(b"VP8L", b"VP8 ")):
         with pytest.raises(ValueError):
             webp.decode(bad)
@@ -197,3 +197,46 @@ def test_media_features(spark):
     assert media_features(df.limit(0)).count() == 0
     back = decode_media(encode_texts(df)).collect()
     assert all(r.pixels.rstrip(b"\0") == (next(t for i, t in rows if i == r.doc_id) or "").encode() for r in back)
+
+
+def channels(*planes):
+    a = [np.asarray(p).astype(np.uint32) & 255 for p in planes]
+    return a[0] << 24 | a[1] << 16 | a[2] << 8 | a[3]
+
+
+def suited():
+    """Images that one transform suits each, and one with repeats."""
+    r = np.random.default_rng(7)
+    y, x = np.mgrid[0:60, 0:16]
+    noise = lambda n: r.integers(0, n, (60, 16))
+    g = r.integers(-100, 100, (60, 16))
+    yield "predictor", channels(3 * x + y * y + noise(2), 5 * x + 90 * y + noise(2), x * y + noise(2), 7 * x + y * y * y)
+    yield "cross-colour", channels(255 + 0 * x, 2 * g + noise(3), g, -g + noise(3))
+    yield "subtract-green", channels(255 + 0 * x, g + noise(2), g, g + noise(2))
+    yield "palette", r.choice(r.integers(0, 1 << 32, 12, dtype=np.uint32), (60, 16))
+    yield "backward", np.tile(r.integers(0, 1 << 32, (9, 16), dtype=np.uint32), (20, 1))
+    yield "cache", r.choice(r.integers(0, 1 << 32, 300, dtype=np.uint32), (600, 16))
+
+
+def test_encoder_uses_what_suits():
+    for part, pixels in suited():
+        used = set()
+        assert (webp.decode(webp.encode(pixels), used) == pixels).all()
+        assert part in used, (part, used)
+
+
+def test_both_ways_of_reading_agree(monkeypatch):
+    files = [webp.encode(p) for _, p in suited()] + [to_media(pad(("line %d of a text\n" % (k % 7) * 40).encode())) for k in range(5)]
+    fast = [webp.decode(f) for f in files]
+    monkeypatch.setattr(webp, "MANY", 1 << 30)
+    assert all((webp.decode(f) == p).all() for f, p in zip(files, fast))
+
+
+def test_the_query_uses_the_format(spark):
+    from phylospan.llm.queries import QUERIES
+
+    got = QUERIES["op2_webp"](spark, "/root/testdata/sf0.001").collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(got) >= 200 and all(r.payload_sha256 == hashlib.sha256(pad(texts[r.doc_id].encode())).hexdigest() for r in got)
+    used = {p for r in got for p in r.parts.split(",")}
+    assert {"backward", "cache", "palette"} <= used
