@@ -1,8 +1,9 @@
 """Personal data: fixed base patterns, and spans that a character-level tagger adds to them.
 
 The tagger (:mod:`phylospan.llm.tagger`) is trained on windows of the corpus with the spans that the base
-patterns label, and with made-up items in forms that they do not cover.  A text's windows overlap by half;
-each is decoded by itself, and the spans that any of them finds compete by score in one global choice of
+patterns label, also in other spellings, and with made-up items in forms that they do not cover.  It knows one
+kind more than the patterns: ``secret``, a key or token that stands with its name.  A text's windows overlap by
+half; each is decoded by itself, and the spans that any of them finds compete by score in one global choice of
 spans that do not overlap.  A span needs a digit, ``@``, ``[at]`` or ``(at)``, so windows lie around these: every
 text that :func:`plausible` can accept is inside some window, with :data:`CONTEXT` characters on either side.
 """
@@ -26,7 +27,9 @@ from phylospan.llm.common import quoted
 from phylospan.llm.tagger import Tagger, fit
 from phylospan.shipping import ship
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds of the base patterns, and all kinds.
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 WINDOW, STRIDE = 80, 40
 #: Characters around a possible span that windows cover, and those on either side of it that some window has.
 AROUND, CONTEXT = 40, 16
@@ -37,7 +40,7 @@ NUMBER = 45
 #: Characters of a local part, and of a domain with its dots written out, at most (RFC 5321: 64 and 255).
 LOCAL, DOMAIN = 64, 1100
 #: Documents that training windows are taken from, and windows of each source.
-SAMPLE, MADE, FOUND = 300, 3000, 600
+SAMPLE, MADE, FOUND = 300, 3600, 600
 HIDDEN, EPOCHS, SEED = 20, 8, 5
 #: Windows decoded at once.
 BATCH = 512
@@ -53,6 +56,8 @@ _dot = r"(?:\.| ?[\[(](?i:dot)[\])] ?)"
 _marker = re.compile(_at)
 _labels_on = re.compile(rf"[A-Za-z0-9-]++(?:{_dot}[A-Za-z0-9-]++)*+")
 _number_like = re.compile(r"[0-9][\x20()/.+0-9-]*+")
+#: Characters of a secret, and how many of them it has at least.
+_secret_like = re.compile(r"[A-Za-z0-9_+/=-]{16,}+")
 
 
 def luhn(digits: str) -> bool:
@@ -126,10 +131,11 @@ def _word(rng, lo=2, hi=9):
 
 def made_item(rng: random.Random) -> tuple[int, str]:
     """A made-up item and its kind (-1: no personal data), in forms in and beyond the base patterns."""
-    form = rng.randrange(16)
+    form = rng.randrange(18)
     if form < 3:
-        domain = f"{_word(rng)}{rng.choice(['', _number(rng, 1)])}.{_word(rng)}.{rng.choice(['com', 'net', 'org', 'de'])}" if rng.random() < 0.5 else f"{_word(rng)}.{rng.choice(['com', 'net', 'org', 'fr'])}"
-        user = _word(rng) + rng.choice(["", ".", "_", "-"]) + rng.choice([_number(rng, 2), _word(rng)])
+        label = lambda: rng.choice([_word(rng), _word(rng), _word(rng, 8, 14), f"{_word(rng)}-{_word(rng)}"]) + rng.choice(["", "", _number(rng, 1)])
+        domain = ".".join([*(label() for _ in range(rng.choice([1, 1, 2]))), rng.choice(["com", "net", "org", "de", "fr"])])
+        user = _word(rng) + (rng.choice(["", ".", "_", "-"]) + rng.choice([_number(rng, 2), _word(rng)]) if rng.random() < 0.7 else "")
         at, dot = [("@", "."), (" [at] ", " [dot] "), (" (at) ", " (dot) ")][form]
         return 0, user + at + domain.replace(".", dot)
     if form < 5:
@@ -152,9 +158,37 @@ def made_item(rng: random.Random) -> tuple[int, str]:
         return -1, rng.choice(["#", "no. ", "$", ""]) + _number(rng, rng.randint(1, 11))
     if form == 14:
         return -1, "".join(rng.choice("0123456789ABCDEF") for _ in range(rng.randint(16, 40)))
+    if form > 15:
+        n = rng.choice([16, 20, 24, 32, 40, 40, 48, 64])
+        return 4, "".join(rng.choices(rng.choice([_HEX, _HEX, _KEY]), k=n))
     return -1, f"{_number(rng, rng.randint(1, 6))}.{_number(rng, 2)}"
 
 
+_HEX, _KEY = "0123456789abcdef", string.ascii_letters + string.digits + "_-"
+
+
+def _named(rng: random.Random) -> tuple[str, str]:
+    """What stands before and behind a made-up secret: its name, a sign, and quotes or none."""
+    name = rng.choice(["token", "key", "api_key", "apikey", "secret", "password", "passwd", "auth", "access_token", "API_KEY", "Token"])
+    quote = rng.choice(['"', '"', "'", ""])
+    return name + rng.choice([" = ", " = ", "=", ": ", ":"]) + quote, quote
+
+
+def _respelled(rng: random.Random, kind: int, item: str) -> str:
+    """A real span in a spelling that the base patterns do not know."""
+    if kind == 0:
+        at, dot = rng.choice([(" [at] ", " [dot] "), (" (at) ", " (dot) "), ("(at)", ".")])
+        user, _, domain = item.partition("@")
+        return user + at + domain.replace(".", dot)
+    if kind == 3:
+        digits = _digits(item)
+        if len(digits) < 9:
+            return item
+        a, b = len(digits) - 7, len(digits) - 4
+        return rng.choice([f"({digits[:a]}) {digits[a:b]}-{digits[b:]}", f"{digits[:a]}-{digits[a:b]}-{digits[b:]}", f"{digits[:a]} {digits[a:b]} {digits[b:]}"])
+    return item
+
+
 def training_windows(texts: list[str], seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """Windows and labels: made-up items set into pieces of the texts, and the texts' own base spans."""
     rng = random.Random(seed)
@@ -168,10 +202,11 @@ def training_windows(texts: list[str], seed: int = SEED) -> tuple[np.ndarray, np
         at = 0
         for cut in sorted(rng.sample(range(5, WINDOW - 5), rng.choice([1, 1, 1, 2]))):
             kind, item = made_item(rng)
-            text += piece[at:cut] + rng.choice([" ", " ", ": ", "\n"])
+            before, behind = _named(rng) if kind == 4 else ("", "")
+            text += piece[at:cut] + rng.choice([" ", " ", ": ", "\n"]) + before
             if kind >= 0:
                 spans.append((len(text), kind, len(text) + len(item)))
-            text += item + rng.choice([" ", " ", ". ", ", ", "\n"])
+            text += item + behind + rng.choice([" ", " ", ". ", ", ", "\n"])
             at = cut
         text += piece[at:]
         spans += [b for b in base_spans(text) if not any(b[0] < e and s < b[2] for s, _, e in spans)]
@@ -180,7 +215,13 @@ def training_windows(texts: list[str], seed: int = SEED) -> tuple[np.ndarray, np
     own = [(t, spans) for t in texts if (spans := base_spans(t))]
     for _ in range(FOUND if own else 0):
         t, spans = rng.choice(own)
-        s, _, e = rng.choice(spans)
+        s, kind, e = rng.choice(spans)
+        if rng.random() < 0.5:
+            item = _respelled(rng, kind, t[s:e])
+            t = t[max(0, s - WINDOW) : s] + item + t[e : e + WINDOW]
+            s = min(s, WINDOW)
+            e = s + len(item)
+            spans = [*(b for b in base_spans(t) if b[2] <= s or b[0] >= e), (s, kind, e)]
         windows.append((t, spans, max(0, rng.randint(e - WINDOW, s) if e - s < WINDOW else s)))
     x, y = np.zeros((len(windows), WINDOW), np.int64), np.zeros((len(windows), WINDOW), np.int8)
     for k, (text, spans, off) in enumerate(windows):
@@ -220,7 +261,7 @@ def train(texts: list[str], seed: int = SEED) -> Tagger:
 # --- decoding ----------------------------------------------------------------------------------------
 
 _mail_like = re.compile(rf"[A-Za-z0-9._%+-]+{_at}[A-Za-z0-9-]+(?:{_dot}[A-Za-z0-9-]+)+\Z")
-_phone_like = re.compile(r"\+?\(?[0-9](?:[\x20()/-]{0,2}[0-9])+\Z")
+_phone_like = re.compile(r"\+?\(?[0-9](?:[\x20()/.-]{0,2}[0-9])+\Z")
 
 
 def plausible(kind: int, text: str, before: str, after: str) -> bool:
@@ -233,13 +274,15 @@ def plausible(kind: int, text: str, before: str, after: str) -> bool:
     if kind == 1:
         return re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", text) is not None and all(int(p) <= 255 for p in text.split(".")) and before != "." and after != "."
     if kind == 2:
-        return len(digits) in (15, 16) and digits[0] in "3456" and luhn(digits) and re.fullmatch(r"[0-9](?:[\x20-]?[0-9])+", text) is not None
+        return 12 <= len(digits) <= 19 and luhn(digits) and re.fullmatch(r"[0-9](?:[\x20/.-]?[0-9])+", text) is not None
+    if kind == 4:
+        return _secret_like.fullmatch(text) is not None and bool(digits) and len(set(text)) >= 8
     groups = len(re.findall("[0-9]+", text))
-    return 9 <= len(digits) <= 15 and groups >= 3 and _phone_like.match(text) is not None
+    return 9 <= len(digits) <= 15 and groups >= 2 and _phone_like.match(text) is not None
 
 
 def possible_spans(text: str) -> list[tuple[int, int, bool]]:
-    """In order ``(start, end, whole)``: each plausible span lies in one of these, which is a possible address (``whole``) or a run of digits and separators."""
+    """In order ``(start, end, whole)``: each plausible span lies in one of these, which is a possible address or secret (``whole``) or a run of digits and separators."""
     found = []
     for m in _marker.finditer(text):
         start, least = m.start(), max(0, m.start() - LOCAL)
@@ -248,6 +291,9 @@ def possible_spans(text: str) -> list[tuple[int, int, bool]]:
         domain = _labels_on.match(text, m.end(), m.end() + DOMAIN) if start < m.start() else None
         if domain:
             found.append((start, domain.end(), True))
+    for m in _secret_like.finditer(text):
+        if _digit.search(m[0]) and len(set(m[0])) >= 8:
+            found.append((m.start(), m.end(), True))
     for m in _number_like.finditer(text):
         start = m.start()
         start -= text.startswith("(", max(0, start - 1), start)
@@ -399,7 +445,7 @@ def _reported(finder, part):
     texts = [t or "" for t in part.column(1).to_pylist()]
     rows = []
     for base, added in finder.find(texts):
-        n = [sum(k == q for _, k, _ in base) for q in range(len(KINDS))]
+        n = [sum(k == q for _, k, _ in base) for q in range(len(BASE))]
         rows.append((*n, hashlib.sha256(listed(base).encode()).hexdigest(), listed([*base, *added]), len(added)))
     types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
     return [part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), types))]
@@ -409,7 +455,7 @@ def find_personal_data(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id",
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added)`` per row of ``docs``.
 
     The four counts and the digest are of the base spans; ``spans`` lists these and the ``n_added`` spans of
-    the tagger.  Null and empty texts have none; a null id stays null; repeated rows repeat; other columns are
+    the tagger, which may also be of the kind ``secret``.  Null and empty texts have none; a null id stays null; repeated rows repeat; other columns are
     ignored.  No shuffle.
     """
     ship(docs.sparkSession)
@@ -420,7 +466,10 @@ def find_personal_data(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id",
 
 
 def mask_personal_data(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> DataFrame:
-    """``docs`` with the spans of its texts masked; null texts stay null, all other columns as they are."""
+    """``docs`` with the spans of its texts masked; all other columns, whatever their names, as they are.
+
+    Null texts stay null, empty ones empty, repeated rows repeat; an empty table gives an empty one.  No shuffle.
+    """
     ship(docs.sparkSession)
     packed = docs.sparkSession.sparkContext.broadcast((tagger.hidden, tagger.p))
     at = docs.columns.index(text_col)

@@ -111,7 +111,7 @@ class Tagger:
 
     def _back(self, x, d, kept, dstates):
         h, loop = self.hidden, self.p["loop" + d]
-        dtable, dloop = np.zeros_like(self.p["table" + d]), np.zeros_like(loop)
+        dloop, dgates = np.zeros_like(loop), np.empty((len(kept), len(x[0]), 4 * h), np.float32)
         dstate, dcell = np.zeros_like(dstates[0]), np.zeros_like(dstates[0])
         for t in range(len(kept) - 1, -1, -1):
             state, before, squashed, z = kept[t]
@@ -119,11 +119,11 @@ class Tagger:
             ds = dstate + dstates[t]
             dc = dcell + ds * o * (1 - squashed * squashed)
             dz = np.concatenate([dc * c * i * (1 - i), dc * before * f * (1 - f), ds * squashed * o * (1 - o), dc * i * (1 - c * c)], axis=1)
-            np.add.at(dtable, x[t], dz)
+            dgates[t] = dz
             dloop += state.T @ dz
             dstate = dz @ loop.T
             dcell = dc * f
-        return dtable, dloop
+        return _summed(dgates.reshape(-1, 4 * h), x.ravel(), len(self.p["table" + d])), dloop
 
     def _crf(self, e, y):
         """Summed loss and gradients by the forward-backward algorithm."""
@@ -152,6 +152,15 @@ class Tagger:
         return float((total - path).sum()), (marginal - gold).astype(np.float32), expected - seen, marginal[0].sum(0) - np.bincount(y[0][n], minlength=labels)
 
 
+def _summed(rows: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Sums of rows by group."""
+    order = np.argsort(group, kind="stable")
+    first = np.flatnonzero(np.diff(group[order], prepend=-1))
+    out = np.zeros((groups, rows.shape[1]), rows.dtype)
+    out[group[order][first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 def _log_sum(x, axis):
     top = x.max(axis=axis, keepdims=True)
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))

@@ -226,7 +226,7 @@ def test_every_plausible_span_lies_inside_a_window():
         for s in range(len(t)):
             for e in range(s + 5, min(len(t), s + 130) + 1):
                 # the ends are cheap to test, so that few need the patterns
-                if t[e - 1].isalnum() and (t[s].isalnum() or t[s] in "+(._%-") and any(pii.plausible(k, t[s:e], t[s - 1 : s], t[e : e + 1]) for k in range(4)):
+                if t[e - 1].isalnum() and (t[s].isalnum() or t[s] in "+(._%-") and any(pii.plausible(k, t[s:e], t[s - 1 : s], t[e : e + 1]) for k in range(len(pii.KINDS))):
                     met += 1
                     assert any(a <= max(0, s - pii.CONTEXT) and min(len(t), e + pii.CONTEXT) <= a + w for a, w in windows), t[s:e]
     assert met > 300
@@ -268,3 +268,34 @@ def test_ordinary_dictionary_learns_from_all_windows(monkeypatch):
     learned = [t for k, t in enumerate(ordinary) if k % 2 == 0]
     assert b"".join(seen[0]).endswith(learned[-1].encode()[-20:]) and len(seen[0]) > 60_000
     assert sum(map(len, seen[0])) == sum(len(t.encode()) for t in learned)
+
+
+def test_tagger_adds_what_the_patterns_miss(tagger):
+    """Made-up items beyond the base patterns, set into texts it has not seen: most are found whole, decoys hardly ever."""
+    finder, rng = pii.Finder(tagger), random.Random(21)
+    found, asked, false, decoys = [0] * len(pii.KINDS), [0] * len(pii.KINDS), 0, 0
+    for _ in range(500):
+        kind, item = pii.made_item(rng)
+        before, behind = pii._named(rng) if kind == 4 else ("", "")
+        text = f"{sentence(rng, 120)} {before}{item}{behind} {sentence(rng, 60)}"
+        s = text.index(before + item) + len(before)
+        ((base, added),) = finder.find([text])
+        if kind < 0:
+            decoys += 1
+            false += bool(added)
+        elif (s, kind, s + len(item)) not in base:
+            asked[kind] += 1
+            found[kind] += (s, kind, s + len(item)) in added
+    for kind in (0, 3, 4):
+        assert asked[kind] > 25 and found[kind] >= 0.7 * asked[kind], (kind, found, asked)
+    assert false <= 0.05 * decoys
+
+
+def test_query_adds_spans(spark):
+    from phylospan.llm.queries import QUERIES
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = QUERIES["op3_pii"](spark, "/root/testdata/sf0.01").collect()
+    named = [r for r in got if 'token = "' in texts[r.doc_id]]
+    assert sum("secret:" in r.spans for r in named) >= 0.8 * len(named) > 0
+    assert not [r for r in got if r.n_added and not any(c.isdigit() for c in texts[r.doc_id])]
