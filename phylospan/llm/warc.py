@@ -203,6 +203,12 @@ def number_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return named.select(F.monotonically_increasing_id().alias("cid"), "page_id", "url", "html")
 
 
+def _scan_only(df: DataFrame) -> bool:
+    """Whether the plan only reads files and picks columns or rows, so that each evaluation splits and orders the rows alike."""
+    nodes = [line.lstrip(" +-:*()0123456789").split(" ")[0] for line in df._jdf.queryExecution().executedPlan().toString().splitlines()]
+    return bool(df.inputFiles()) and all(n in ("FileScan", "ColumnarToRow", "Project", "Filter", "") for n in nodes)
+
+
 def find_revisits(slim: DataFrame, at_least: int = REVISIT_FROM) -> DataFrame:
     """``(cid, page_id, n, sha1, refers_cid, refers_to)`` of the rows of ``slim(cid, page_id, n, sha1)`` whose payload of at
     least so many bytes another row's response has: of equal payloads that with the largest page id (null is
@@ -337,6 +343,8 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     gives an empty result, and other columns are ignored.
     """
     numbered = number_pages(pages, id_col, url_col, html_col)
+    if not _scan_only(pages):  # the numbers are used twice: of any other plan they are written once
+        numbered = written(numbered, "numbered-pages")
     slim = written(numbered.select("cid", "page_id", "url", F.octet_length("html").cast("long").alias("n"), F.sha1(F.col("html").cast("binary")).alias("sha1")), "captures")
     captures = write_captures(numbered, slim)
     wanted = each_row(slim.select("url", "cid"), lambda: lambda url, cid: (url_key(url), cid), "urlkey string, cid long")

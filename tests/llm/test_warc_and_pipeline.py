@@ -57,6 +57,20 @@ def test_pages_come_back(spark):
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_pages_of_any_plan_are_numbered_once(spark, tmp_path):
+    rows = pages()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.write.parquet(str(tmp_path / "pages"))
+    plain = spark.read.parquet(str(tmp_path / "pages"))
+    assert warc._scan_only(plain) and warc._scan_only(plain.where("page_id > 3").select("page_id", "url", "html"))
+    shuffled = plain.repartition(7)
+    assert not warc._scan_only(shuffled) and not warc._scan_only(df) and not warc._scan_only(plain.orderBy("html"))
+    assert sorted(str(tuple(r)) for r in warc.archive_pages(shuffled).collect()) == expected(rows)
+    long_page = spark.createDataFrame([(1, "http://a.com/", "<p>" * 1_000_000), (2, "http://a.com/2", "<p>" * 1_000_000)], "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_pages(long_page).collect()}
+    assert got == {1: (3_000_000, "revisit", 2), 2: (3_000_000, "response", None)}
+
+
 def test_index_finds_what_a_scan_finds(spark, tmp_path):
     rows = pages()
     numbered = warc.number_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
