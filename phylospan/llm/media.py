@@ -38,10 +38,11 @@ def from_media(media: bytes, parts: set[str] | None = None) -> np.ndarray:
 
 def describe(samples: np.ndarray) -> str:
     """Whole numbers from the pixel array: rows, width, sum, sum of squares, steps along and across rows, 16-bin histogram."""
-    x = samples.astype(np.int64)
+    x = samples.astype(np.int16)
     along, across = (int(np.abs(np.diff(x, axis=k)).sum()) for k in (1, 0))
-    bins = np.bincount(samples.ravel() >> 4, minlength=16)
-    return f"{x.shape[0]}x{x.shape[1]};sum={x.sum()};squares={(x * x).sum()};along={along};across={across};bins={','.join(map(str, bins))}"
+    count, value = np.bincount(samples.ravel(), minlength=256), np.arange(256)
+    bins = count.reshape(16, 16).sum(axis=1)
+    return f"{x.shape[0]}x{x.shape[1]};sum={count @ value};squares={count @ (value * value)};along={along};across={across};bins={','.join(map(str, bins))}"
 
 
 def _stored(text: str | None) -> tuple[int, bytes]:

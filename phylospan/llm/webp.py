@@ -243,50 +243,55 @@ def _read_chain(bits: BitReader, width: int, height: int, codes: list[PrefixCode
     wide = wide[:-3] | wide[1:-2] << np.uint32(8) | wide[2:-1] << np.uint32(16) | wide[3:] << np.uint32(24)
     ahead = (wide[:, None] >> np.arange(8, dtype=np.uint32)).ravel()  # at least 24 bits ahead of each position
     entry = codes[0].table[ahead & np.uint32((1 << codes[0].width) - 1)]
-    green, step = entry & np.uint32(0xFFFF), entry >> np.uint32(16)
-    usable = len(ahead) - 120
-    at = np.arange(usable)
-    end = at + step[:usable]
-    value, before = green[:usable] << np.uint32(8), None
-    for code, shift in zip(codes[1:4], (16, 0, 24)):
-        if code.only is not None:
-            value |= np.uint32(code.only << shift)
-            continue
-        if code is not before:
-            entry, before = code.table[ahead & np.uint32((1 << code.width) - 1)], code
-        now = entry[end]
-        value |= (now & np.uint32(0xFF)) << np.uint32(shift)
-        end += now >> np.uint32(16)
-    green = green[:usable]
-    other = np.flatnonzero(green >= 256)
-    back: dict[int, tuple[int, int]] = {}
-    if len(other):
-        end[other] = other + step[other]
-        copy = other[green[other] < 256 + LENGTH_CODES]
-        run, end[copy] = _prefixed(ahead, green[copy] - np.uint32(256), end[copy])
-        now = codes[4].table[ahead[end[copy]] & np.uint32((1 << codes[4].width) - 1)]
-        far, end[copy] = _prefixed(ahead, now & np.uint32(0xFFFF), end[copy] + (now >> np.uint32(16)))
-        back = dict(zip(copy.tolist(), zip(run.tolist(), far.tolist())))
-    leap = np.minimum(end - at, 255).astype(np.uint8).tobytes()
+    steps, tables = [(entry >> np.uint32(16)).astype(np.uint8).tobytes()], {}
+    for code in codes[1:4]:
+        if code.only is None:
+            if code not in tables:
+                tables[code] = code.table[ahead & np.uint32((1 << code.width) - 1)]
+            steps.append((tables[code] >> np.uint32(16)).astype(np.uint8).tobytes())
+    other = np.flatnonzero((entry & np.uint32(0xFFFF)) >= 256)
+    other = other[other < len(ahead) - 120]
+    green = entry[other] & np.uint32(0xFFFF)
+    copy = other[green < 256 + LENGTH_CODES]
+    special: dict[int, tuple[int, int, int]] = dict.fromkeys(other[green >= 256 + LENGTH_CODES].tolist(), (0, 0, 0))
+    if len(copy):
+        run, end = _prefixed(ahead, (entry[copy] & np.uint32(0xFFFF)) - np.uint32(256), copy + (entry[copy] >> np.uint32(16)))
+        now = codes[4].table[ahead[end] & np.uint32((1 << codes[4].width) - 1)]
+        far, end = _prefixed(ahead, now & np.uint32(0xFFFF), end + (now >> np.uint32(16)))
+        special.update(zip(copy.tolist(), zip(run.tolist(), far.tolist(), end.tolist())))
     here, made, places = start % 8, 0, []
-    add = places.append
+    add, first, rest = places.append, steps[0], steps[1:]
     try:
-        if not back:
-            for _ in range(total):
-                add(here)
-                here += leap[here]
-        else:
-            while made < total:
-                add(here)
-                made += back[here][0] if here in back else 1
-                here += leap[here]
+        while made < total:
+            add(here)
+            made += 1
+            if here in special:
+                n, _, end = special[here]
+                if n:
+                    made += n - 1
+                    here = end
+                else:
+                    here += first[here]
+                continue
+            here += first[here]
+            for step in rest:
+                here += step[here]
     except IndexError:
         raise ValueError("the stream ends early") from None
     if start - start % 8 + here > 8 * len(bits.data):
         raise ValueError("the stream ends early")
     bits.seek(start - start % 8 + here)
     places = np.array(places, np.int64)
-    green, value = green[places], value[places]
+    now = entry[places]
+    green = now & np.uint32(0xFFFF)
+    value, end = (green & np.uint32(0xFF)) << np.uint32(8), places + (now >> np.uint32(16))
+    for code, shift in zip(codes[1:4], (16, 0, 24)):
+        if code.only is not None:
+            value |= np.uint32(code.only << shift)
+            continue
+        now = tables[code][np.minimum(end, len(ahead) - 1)]
+        value |= (now & np.uint32(0xFF)) << np.uint32(shift)
+        end = end + (now >> np.uint32(16))
     copies, hits = (green >= 256) & (green < 256 + LENGTH_CODES), green >= 256 + LENGTH_CODES
     if not copies.any() and not hits.any():
         return value
@@ -302,7 +307,7 @@ def _read_chain(bits: BitReader, width: int, height: int, codes: list[PrefixCode
         done = k + 1
         s = int(green[k])
         if s < 256 + LENGTH_CODES:
-            _copy(out, *back[int(places[k])], width, total)
+            _copy(out, *special[int(places[k])][:2], width, total)
         else:
             for v in out[fresh:]:
                 cache[(CACHE_FACTOR * v & 0xFFFFFFFF) >> shift] = v
@@ -643,9 +648,12 @@ def put_code(out: BitWriter, lengths: list[int]) -> dict[int, tuple[int, int]]:
     wide = max(1, -(-(max(len(tokens) - 2, 1).bit_length() - 2) // 2)) if len(tokens) > 5 else 0
     out.put(wide, 3)
     out.put(len(tokens) - 2, 2 + 2 * wide)
+    value = count = 0
     for s, extra, n in tokens:
-        out.put(*codes[s])
-        out.put(extra, n)
+        code, width = codes[s]
+        value |= (code | extra << width) << count
+        count += width + n
+    out.put(value, count)
     return canonical(lengths)
 
 
@@ -667,6 +675,8 @@ def _entropies(images: list[np.ndarray]) -> np.ndarray:
     return 4 * np.array(each) * np.log2(each) - own
 
 
+#: Rows, evenly spread, by which transforms are compared.
+SEEN = 32
 #: Share of a channel's variance that cross-colour factors must explain to be tried.
 EXPLAINED = 0.05
 
@@ -674,6 +684,7 @@ EXPLAINED = 0.05
 def _fitted_factors(pixels: np.ndarray) -> int:
     """The cross-colour factors that make red and blue least alike to green, and blue to red, as a block's ARGB number; 0 if they explain little."""
     c = _octets(pixels).view(np.int8).reshape(-1, 4).astype(np.float32)
+    c -= c.mean(axis=0)
     moments = c.T @ c
     blue, green, red = range(3)
     if all(moments[a, b] ** 2 <= EXPLAINED * moments[a, a] * moments[b, b] for a, b in ((red, green), (blue, green), (blue, red))):
@@ -835,7 +846,8 @@ def encode(pixels: np.ndarray) -> bytes:
     """An image of ``uint32`` ARGB numbers, at most 16384 a side, as a lossless WebP file."""
     height, width = pixels.shape
     tried = list(_transforms(pixels))
-    bits = _entropies([t[1] for t in tried]) + [t[0] for t in tried]
+    some = slice(None, None, max(1, height // SEEN))
+    bits = _entropies([t[1][some] for t in tried]) * height / len(pixels[some]) + [t[0] for t in tried]
     _, now, kind, content = tried[int(bits.argmin())]
     out, body = BitWriter(), []
 
