@@ -173,7 +173,11 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with a quality score of at least ``threshold``, all columns as they are."""
+    """The rows of ``docs`` with a quality score of at least ``threshold``, all columns, whatever their names, as they are.
+
+    Null and empty texts have one and the same score, repeated rows stay or go together, ids are not looked at; an
+    empty table gives an empty one.  No shuffle.
+    """
     packed = docs.sparkSession.sparkContext.broadcast((model.weight, model.base))
     name = fresh(docs, "quality_score")
 

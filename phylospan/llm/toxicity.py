@@ -208,7 +208,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 
 def keep_civil(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with a toxicity score below ``threshold``, all columns as they are."""
+    """The rows of ``docs`` with a toxicity score below ``threshold``, all columns, whatever their names, as they are.
+
+    Null and empty texts have the score of no evidence, repeated rows stay or go together, ids are not looked at; an
+    empty table gives an empty one.  No shuffle.
+    """
     parts = docs.sparkSession.sparkContext.broadcast(model.parts)
     name = fresh(docs, "toxicity_score")
 

@@ -299,3 +299,12 @@ def test_query_adds_spans(spark):
     named = [r for r in got if 'token = "' in texts[r.doc_id]]
     assert sum("secret:" in r.spans for r in named) >= 0.8 * len(named) > 0
     assert not [r for r in got if r.n_added and not any(c.isdigit() for c in texts[r.doc_id])]
+
+
+@pytest.mark.parametrize("module, keep, column", [(toxicity, "keep_civil", "toxicity_score"), (quality, "keep_good", "quality_score")])
+def test_filters_on_odd_rows(spark, module, keep, column):
+    df = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "", 2), (2, "some words", 3)], f"doc_id long, text string, {column} int")
+    model = module.train([], np.zeros(0, np.int64), 0.5)
+    kept = getattr(module, keep)(df, model, threshold=0.5 if keep == "keep_good" else 0.9)
+    assert kept.columns == df.columns and sorted(r[2] for r in kept.collect()) == [1, 2, 2, 3]
+    assert getattr(module, keep)(df.limit(0), model).count() == 0
