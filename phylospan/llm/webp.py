@@ -2,10 +2,8 @@
 
 The bit stream is read least significant bit first.  An image is a list of transforms (predictor, cross
 colour, subtract green, palette) and an entropy-coded image of prefix codes, back-references and a colour
-cache; the transforms are inverted in reverse order.  An image of some size with one group of codes is read
-with array operations: what a pixel, a cache hit or a back-reference that began there would be and where it
-would end is looked up for every bit position at once, and the chain of positions is followed.  Small images
-and those of several groups take the symbol-by-symbol path.
+cache; the transforms are inverted in reverse order.  An image of some size with one group of codes is read by
+a loop of its own; small images and those of several groups take the general path.
 
 The encoder tries each transform on the whole image and takes the one with the least entropy, finds
 back-references by equal runs of three pixels, and uses a colour cache where its hits save bits.
@@ -77,63 +75,58 @@ class BitReader:
         self.read(bit % 8)
 
 
-def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
-    """``{symbol: (code with its first bit lowest, length)}`` of a complete canonical prefix code."""
-    used = sorted((n, s) for s, n in enumerate(lengths) if n)
-    if not used:
+@lru_cache(16)
+def _turned(width: int) -> np.ndarray:
+    """The numbers of ``width`` bits with their bits in opposite order."""
+    n, out = np.arange(1 << width), np.zeros(1 << width, np.int64)
+    for k in range(width):
+        out |= (n >> k & 1) << (width - 1 - k)
+    return out
+
+
+def _in_order(lengths) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of a complete canonical prefix code the symbols in order, their lengths, how many numbers of the greatest length
+    begin with each one's code, and that length; a single symbol has length 0."""
+    lengths = np.asarray(lengths, np.int64)
+    used = np.flatnonzero(lengths)
+    if not len(used):
         raise ValueError("a prefix code without symbols")
     if len(used) == 1:
-        return {used[0][1]: (0, 0)}
-    if sum(1 << (15 - n) for n, _ in used) != 1 << 15:
+        return used, np.zeros(1, np.int64), np.ones(1, np.int64), 0
+    each = lengths[used]
+    order = np.argsort(each, kind="stable")
+    used, each = used[order], each[order]
+    width = int(each[-1])
+    share = 1 << (width - each)
+    if share.sum() != 1 << width:
         raise ValueError("a prefix code is not complete")
-    codes, code, before, turned = {}, 0, used[0][0], _turned()
-    for n, s in used:
-        code <<= n - before
-        codes[s] = (turned[code] >> (15 - n), n)
-        code, before = code + 1, n
-    return codes
+    return used, each, share, width
 
 
-@lru_cache(1)
-def _turned() -> list[int]:
-    """The numbers of 15 bits with their bits in opposite order."""
-    n, out = np.arange(1 << 15), np.zeros(1 << 15, np.int64)
-    for k in range(15):
-        out |= (n >> k & 1) << (14 - k)
-    return out.tolist()
+def canonical(lengths) -> np.ndarray:
+    """By symbol, the code with its first bit lowest, and its length, of a complete canonical prefix code."""
+    used, each, share, width = _in_order(lengths)
+    out = np.zeros((len(lengths), 2), np.int64)
+    out[used, 0] = _turned(width)[np.cumsum(share) - share]
+    out[used, 1] = each
+    return out
 
 
 class PrefixCode:
-    """A prefix code for reading: by the next ``width`` bits, the symbol and its length."""
+    """A prefix code for reading: by the next bits under ``mask``, the symbol, and its length times 65,536."""
 
-    def __init__(self, codes: dict[int, tuple[int, int]]):
-        self.codes = codes
-        self.width = max(n for _, n in codes.values())
-        self.only = next(iter(codes)) if self.width == 0 else None
-        self._table = None
+    def __init__(self, table: list[int]):
+        self.table, self.mask = table, len(table) - 1
 
     @classmethod
-    def of_lengths(cls, lengths: list[int]) -> PrefixCode:
-        return _of_lengths(tuple(lengths))
-
-    @property
-    def table(self) -> np.ndarray:
-        """By the next ``width`` bits, the symbol, and its length times 65,536."""
-        if self._table is None:
-            self._table = np.zeros(1 << self.width, np.uint32)
-            for s, (code, n) in self.codes.items():
-                self._table[code :: 1 << n] = s | n << 16
-            self._list = self._table.tolist()
-        return self._table
+    def of_lengths(cls, lengths) -> PrefixCode:
+        used, each, share, width = _in_order(lengths)
+        return cls(np.repeat(used | each << 16, share)[_turned(width)].tolist())
 
     def read(self, bits: BitReader) -> int:
-        if self.only is not None:
-            return self.only
-        if self._table is None:
-            self.table
-        if bits.count < self.width:
+        if bits.count < 15:
             bits.fill()
-        k = self._list[bits.held & ((1 << self.width) - 1)]
+        k = self.table[bits.held & self.mask]
         n = k >> 16
         if n > bits.count:
             raise ValueError("the stream ends early")
@@ -142,11 +135,6 @@ class PrefixCode:
         return k & 0xFFFF
 
 
-@lru_cache(64)
-def _of_lengths(lengths: tuple[int, ...]) -> PrefixCode:
-    return PrefixCode(canonical(list(lengths)))
-
-
 def _read_code(bits: BitReader, alphabet: int) -> PrefixCode:
     if bits.read(1):
         two = bits.read(1)
@@ -155,7 +143,7 @@ def _read_code(bits: BitReader, alphabet: int) -> PrefixCode:
             symbols.append(bits.read(8))
         if max(symbols) >= alphabet:
             raise ValueError("a symbol outside the alphabet")
-        return PrefixCode({symbols[0]: (0, 0)} if len(set(symbols)) == 1 else {min(symbols): (0, 1), max(symbols): (1, 1)})
+        return PrefixCode([symbols[0]] if len(set(symbols)) == 1 else [k | 1 << 16 for k in sorted(symbols)])
     first = [0] * 19
     for k in range(4 + bits.read(4)):
         first[CODE_LENGTH_ORDER[k]] = bits.read(3)
@@ -164,17 +152,29 @@ def _read_code(bits: BitReader, alphabet: int) -> PrefixCode:
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
     lengths: list[int] = []
-    before = 8
+    before, held, count = 8, bits.held, bits.count
     while len(lengths) < alphabet and left:
         left -= 1
-        s = code.read(bits)
+        if count < 16:
+            bits.held, bits.count = held, count
+            bits.fill()
+            held, count = bits.held, bits.count
+        k = code.table[held & code.mask]
+        s, n = k & 0xFFFF, k >> 16
+        held >>= n
         if s < 16:
             lengths.append(s)
             before = s or before
-        elif s == 16:
-            lengths += [before] * (3 + bits.read(2))
         else:
-            lengths += [0] * (3 + bits.read(3) if s == 17 else 11 + bits.read(7))
+            extra = (2, 3, 7)[s - 16]
+            run = (11 if s == 18 else 3) + (held & ((1 << extra) - 1))
+            lengths += [before if s == 16 else 0] * run
+            held >>= extra
+            n += extra
+        count -= n
+    if count < 0:
+        raise ValueError("the stream ends early")
+    bits.held, bits.count = held, count
     if len(lengths) > alphabet:
         raise ValueError("code lengths beyond the alphabet")
     return PrefixCode.of_lengths(lengths)
@@ -211,7 +211,7 @@ def _blocks(n: int, bits: int) -> int:
     return (n + (1 << bits) - 1) >> bits
 
 
-#: Pixels from which on an image is read with array operations.
+#: Pixels from which on an image of one group of codes is read by the shorter loop, and may have a cache.
 MANY = 64
 
 
@@ -230,97 +230,61 @@ def _read_image(bits: BitReader, width: int, height: int, main: bool, parts: set
     cache_size = 1 << cache_bits if cache_bits else 0
     codes = [_read_codes(bits, 256 + LENGTH_CODES + cache_size) for _ in range(groups)]
     if group_of is None and width * height >= MANY:
-        return _read_chain(bits, width, height, codes[0], cache_bits, parts)
+        return _read_single(bits, width, height, codes[0], cache_bits, parts)
     return _read_general(bits, width, height, codes, group_of, tile_bits, cache_bits)
 
 
-def _read_chain(bits: BitReader, width: int, height: int, codes: list[PrefixCode], cache_bits: int, parts: set[str]) -> np.ndarray:
-    """An image of one group of codes: every bit position is read as if a pixel began there, then the chain is followed."""
-    total, start = width * height, bits.position
-    need = start // 8 + (total * sum(c.width for c in codes[:4]) + 7) // 8 + 16
-    raw = np.frombuffer(bits.data[start // 8 : need] + bytes(40), np.uint8)
-    wide = raw.astype(np.uint32)
-    wide = wide[:-3] | wide[1:-2] << np.uint32(8) | wide[2:-1] << np.uint32(16) | wide[3:] << np.uint32(24)
-    ahead = (wide[:, None] >> np.arange(8, dtype=np.uint32)).ravel()  # at least 24 bits ahead of each position
-    entry = codes[0].table[ahead & np.uint32((1 << codes[0].width) - 1)]
-    steps, tables = [(entry >> np.uint32(16)).astype(np.uint8).tobytes()], {}
-    for code in codes[1:4]:
-        if code.only is None:
-            if code not in tables:
-                tables[code] = code.table[ahead & np.uint32((1 << code.width) - 1)]
-            steps.append((tables[code] >> np.uint32(16)).astype(np.uint8).tobytes())
-    other = np.flatnonzero((entry & np.uint32(0xFFFF)) >= 256)
-    other = other[other < len(ahead) - 120]
-    green = entry[other] & np.uint32(0xFFFF)
-    copy = other[green < 256 + LENGTH_CODES]
-    special: dict[int, tuple[int, int, int]] = dict.fromkeys(other[green >= 256 + LENGTH_CODES].tolist(), (0, 0, 0))
-    if len(copy):
-        run, end = _prefixed(ahead, (entry[copy] & np.uint32(0xFFFF)) - np.uint32(256), copy + (entry[copy] >> np.uint32(16)))
-        now = codes[4].table[ahead[end] & np.uint32((1 << codes[4].width) - 1)]
-        far, end = _prefixed(ahead, now & np.uint32(0xFFFF), end + (now >> np.uint32(16)))
-        special.update(zip(copy.tolist(), zip(run.tolist(), far.tolist(), end.tolist())))
-    here, made, places = start % 8, 0, []
-    add, first, rest = places.append, steps[0], steps[1:]
-    try:
-        while made < total:
-            add(here)
-            made += 1
-            if here in special:
-                n, _, end = special[here]
-                if n:
-                    made += n - 1
-                    here = end
-                else:
-                    here += first[here]
-                continue
-            here += first[here]
-            for step in rest:
-                here += step[here]
-    except IndexError:
-        raise ValueError("the stream ends early") from None
-    if start - start % 8 + here > 8 * len(bits.data):
-        raise ValueError("the stream ends early")
-    bits.seek(start - start % 8 + here)
-    places = np.array(places, np.int64)
-    now = entry[places]
-    green = now & np.uint32(0xFFFF)
-    value, end = (green & np.uint32(0xFF)) << np.uint32(8), places + (now >> np.uint32(16))
-    for code, shift in zip(codes[1:4], (16, 0, 24)):
-        if code.only is not None:
-            value |= np.uint32(code.only << shift)
-            continue
-        now = tables[code][np.minimum(end, len(ahead) - 1)]
-        value |= (now & np.uint32(0xFF)) << np.uint32(shift)
-        end = end + (now >> np.uint32(16))
-    copies, hits = (green >= 256) & (green < 256 + LENGTH_CODES), green >= 256 + LENGTH_CODES
-    if not copies.any() and not hits.any():
-        return value
-    parts.update(name for name, some in (("backward", copies.any()), ("cache", hits.any())) if some)
-    if hits.any() and not cache_bits:
-        raise ValueError("a cache symbol without a cache")
+def _read_single(bits: BitReader, width: int, height: int, codes: list[PrefixCode], cache_bits: int, parts: set[str]) -> np.ndarray:
+    """An image of one group of codes.  The bits ahead are kept here, at least 64 of them before each symbol."""
+    (greens, green), (reds, red), (blues, blue), (alphas, alpha), (fars, far) = ((c.table, c.mask) for c in codes)
+    held, count, data, at = bits.held, bits.count, bits.data, bits.at
+    total, shift, fresh = width * height, 32 - cache_bits, 0
+    cache = [0] * (1 << cache_bits)
     out: list[int] = []
-    cache, shift, fresh = [0] * (1 << cache_bits), 32 - cache_bits, 0
-    values = value.tolist()
-    done = 0
-    for k in np.flatnonzero(copies | hits).tolist():
-        out += values[done:k]
-        done = k + 1
-        s = int(green[k])
-        if s < 256 + LENGTH_CODES:
-            _copy(out, *special[int(places[k])][:2], width, total)
+    add = out.append
+    while len(out) < total:
+        if count < 64:
+            held |= int.from_bytes(data[at : at + 8], "little") << count
+            at += 8
+            count += 64
+        k = greens[held & green]
+        s, n = k & 0xFFFF, k >> 16
+        if s < 256:
+            r = reds[held >> n & red]
+            n += r >> 16
+            b = blues[held >> n & blue]
+            n += b >> 16
+            a = alphas[held >> n & alpha]
+            n += a >> 16
+            add((a & 255) << 24 | (r & 255) << 16 | s << 8 | b & 255)
+        elif s < 256 + LENGTH_CODES:
+            length, n = _prefixed(held, s - 256, n)
+            k = fars[held >> n & far]
+            distance, n = _prefixed(held, k & 0xFFFF, n + (k >> 16))
+            _copy(out, length, distance, width, total)
+            parts.add("backward")
         else:
+            if not cache_bits:
+                raise ValueError("a cache symbol without a cache")
             for v in out[fresh:]:
                 cache[(CACHE_FACTOR * v & 0xFFFFFFFF) >> shift] = v
             fresh = len(out)
-            out.append(cache[s - 256 - LENGTH_CODES])
-    return np.array(out + values[done:], np.uint32)
+            add(cache[s - 256 - LENGTH_CODES])
+            parts.add("cache")
+        held >>= n
+        count -= n
+    if 8 * at - count > 8 * len(data):
+        raise ValueError("the stream ends early")
+    bits.seek(8 * at - count)
+    return np.array(out, np.uint32)
 
 
-def _prefixed(ahead: np.ndarray, prefix: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths or distances of prefix symbols whose extra bits begin at given positions, and where these end."""
-    extra = np.maximum(prefix.astype(np.int64) - 2, 0) >> 1
-    bits = (ahead[at] & ((np.uint32(1) << extra.astype(np.uint32)) - np.uint32(1))).astype(np.int64)
-    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)).astype(np.int64) << extra) + bits + 1), at + extra
+def _prefixed(held: int, prefix: int, at: int) -> tuple[int, int]:
+    """A length or distance from its prefix symbol and the extra bits at ``at``, and where these end."""
+    if prefix < 4:
+        return prefix + 1, at
+    extra = (prefix - 2) >> 1
+    return ((2 + (prefix & 1)) << extra) + (held >> at & ((1 << extra) - 1)) + 1, at + extra
 
 
 def _copy(out: list[int], n: int, d: int, width: int, total: int) -> None:
@@ -596,16 +560,24 @@ class BitWriter:
         self.value, self.count = 0, 0
 
     def put(self, value: int, n: int) -> None:
-        self.value |= value << self.count
-        self.count += n
+        self.value |= int(value) << self.count
+        self.count += int(n)
+
+    def put_all(self, values: np.ndarray, widths: np.ndarray) -> None:
+        """Numbers of at most 63 bits each, one after the other."""
+        end = np.cumsum(widths)
+        start, total = end - widths, int(end[-1])
+        words, at, by = np.zeros(total // 64 + 2, np.uint64), start >> 6, (start & 63).astype(np.uint64)
+        np.add.at(words, at, values << by)
+        np.add.at(words, at + 1, values >> np.uint64(1) >> (np.uint64(63) - by))
+        self.put(int.from_bytes(words.astype("<u8", copy=False).tobytes(), "little"), total)
 
-    def bits(self) -> np.ndarray:
-        raw = np.frombuffer(self.value.to_bytes((self.count + 7) // 8, "little"), np.uint8)
-        return np.unpackbits(raw, bitorder="little")[: self.count]
+    def bytes(self) -> bytes:
+        return self.value.to_bytes((self.count + 7) // 8, "little")
 
 
-def put_code(out: BitWriter, lengths: list[int]) -> dict[int, tuple[int, int]]:
-    """Write a prefix code and give its codes; runs of zero and of equal lengths are shortened."""
+def put_code(out: BitWriter, lengths: list[int]) -> np.ndarray:
+    """Write a prefix code and give its codes as ``canonical`` does; runs of zero and of equal lengths are shortened."""
     used = [s for s, n in enumerate(lengths) if n]
     if len(used) <= 2 and max(used, default=0) < 256:
         symbols = used or [0]
@@ -615,8 +587,7 @@ def put_code(out: BitWriter, lengths: list[int]) -> dict[int, tuple[int, int]]:
         out.put(symbols[0], 8 if symbols[0] > 1 else 1)
         if len(symbols) == 2:
             out.put(symbols[1], 8)
-            return {symbols[0]: (0, 1), symbols[1]: (1, 1)}
-        return {symbols[0]: (0, 0)}
+        return canonical(lengths if used else [1])
     tokens: list[tuple[int, int, int]] = []  # symbol, extra bits and their number
     before = 8
     for n, same in groupby(lengths[: used[-1] + 1]):
@@ -643,7 +614,7 @@ def put_code(out: BitWriter, lengths: list[int]) -> dict[int, tuple[int, int]]:
     out.put(last - 3, 4)
     for s in CODE_LENGTH_ORDER[: last + 1]:
         out.put(first[s], 3)
-    codes = canonical(first)
+    codes = canonical(first).tolist()
     out.put(1, 1)
     wide = max(1, -(-(max(len(tokens) - 2, 1).bit_length() - 2) // 2)) if len(tokens) > 5 else 0
     out.put(wide, 3)
@@ -671,10 +642,17 @@ def _entropies(images: list[np.ndarray]) -> np.ndarray:
     each = [i.size for i in images]
     offset = np.repeat(np.arange(len(images)) * 1024, each)[:, None] + np.arange(4) * 256
     c = np.bincount((np.concatenate([_octets(i).reshape(-1, 4) for i in images]) + offset).ravel(), minlength=1024 * len(images)).reshape(len(images), 4, 256)
-    own = (c * np.log2(np.maximum(c, 1))).sum(axis=(1, 2))
+    own = _times_log(1 << (max(each) - 1).bit_length())[c].sum(axis=(1, 2))
     return 4 * np.array(each) * np.log2(each) - own
 
 
+@lru_cache(4)
+def _times_log(most: int) -> np.ndarray:
+    """Numbers to ``most`` times their binary logarithms."""
+    n = np.arange(most + 1)
+    return n * np.log2(np.maximum(n, 1))
+
+
 #: Rows, evenly spread, by which transforms are compared.
 SEEN = 32
 #: Share of a channel's variance that cross-colour factors must explain to be tried.
@@ -767,8 +745,8 @@ def _prefix_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbol, v & ((1 << n) - 1), n
 
 
-def put_image(out: BitWriter, pixels: np.ndarray, main: bool) -> np.ndarray:
-    """Write an entropy-coded image: its head to ``out``; gives the bits of its pixels."""
+def put_image(out: BitWriter, pixels: np.ndarray, main: bool) -> None:
+    """Write an entropy-coded image."""
     flat = pixels.ravel()
     n = len(flat)
     copies = _matches(flat)
@@ -809,37 +787,25 @@ def put_image(out: BitWriter, pixels: np.ndarray, main: bool) -> np.ndarray:
     alone = [int(c.argmax()) if c.max() == len(others) else None for c in counts]
     shared = code_lengths(sum(c for c, a in zip(counts, alone) if a is None).tolist()) if None in alone else None
     size = (1 << cache_bits) if cache_bits else 0
-    code, width = _arrays(put_code(out, code_lengths(np.bincount(green, minlength=256 + LENGTH_CODES + size).tolist())), 256 + LENGTH_CODES + size)
-    value, length = code[green], width[green]
+    codes = put_code(out, code_lengths(np.bincount(green, minlength=256 + LENGTH_CODES + size).tolist()))
+    value, length = codes[green, 0], codes[green, 1]
     if shared:
         head = BitWriter()
-        code, width = _arrays(put_code(head, shared), 256)
+        codes = put_code(head, shared)
     for c, a in zip(channels, alone):
         if a is not None:
             put_code(out, [0] * a + [1])
             continue
         out.put(head.value, head.count)
-        value[pixel] |= code[c] << length[pixel].astype(np.uint64)
-        length[pixel] += width[c]
+        value[pixel] |= codes[c, 0] << length[pixel]
+        length[pixel] += codes[c, 1]
     far = put_code(out, code_lengths(np.bincount(far_symbol, minlength=DISTANCE_CODES).tolist()) if copies else [1])
     if copies:
-        code, width = _arrays(far, DISTANCE_CODES)
         at = np.flatnonzero(copied[starts])
-        for v, w in ((long_extra.astype(np.uint64), long_n), (code[far_symbol], width[far_symbol]), (far_extra.astype(np.uint64), far_n)):
-            value[at] |= v << length[at].astype(np.uint64)
+        for v, w in ((long_extra, long_n), (far[far_symbol, 0], far[far_symbol, 1]), (far_extra, far_n)):
+            value[at] |= v << length[at]
             length[at] += w
-    total = int(length.sum())
-    token = np.repeat(np.arange(len(value)), length)
-    place = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
-    return ((value[token] >> place.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
-
-
-def _arrays(codes: dict[int, tuple[int, int]], n: int) -> tuple[np.ndarray, np.ndarray]:
-    code, width = np.zeros(n, np.uint64), np.zeros(n, np.int64)
-    used = list(codes)
-    code[used] = [c for c, _ in codes.values()]
-    width[used] = [w for _, w in codes.values()]
-    return code, width
+    out.put_all(value.astype(np.uint64), length)
 
 
 def encode(pixels: np.ndarray) -> bytes:
@@ -849,14 +815,7 @@ def encode(pixels: np.ndarray) -> bytes:
     some = slice(None, None, max(1, height // SEEN))
     bits = _entropies([t[1][some] for t in tried]) * height / len(pixels[some]) + [t[0] for t in tried]
     _, now, kind, content = tried[int(bits.argmin())]
-    out, body = BitWriter(), []
-
-    def image(part: np.ndarray, main: bool) -> None:
-        nonlocal out
-        tail = put_image(out, part, main)
-        body.extend((out.bits(), tail))
-        out = BitWriter()
-
+    out = BitWriter()
     for value, n in ((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
         out.put(value, n)
     if kind is not None:
@@ -864,11 +823,11 @@ def encode(pixels: np.ndarray) -> bytes:
         out.put(kind, 2)
         if kind in (PREDICTOR, CROSS_COLOUR):
             out.put(7, 3)  # blocks of 512
-            image(np.full((_blocks(height, 9), _blocks(width, 9)), content, np.uint32), False)
+            put_image(out, np.full((_blocks(height, 9), _blocks(width, 9)), content, np.uint32), False)
         elif kind == PALETTE:
             out.put(len(content) - 1, 8)
             c = _channels(content)
-            image(_joined(np.diff(c, axis=0, prepend=0))[None, :], False)
+            put_image(out, _joined(np.diff(c, axis=0, prepend=0))[None, :], False)
     out.put(0, 1)
-    image(now, True)
-    return riff(np.packbits(np.concatenate(body), bitorder="little").tobytes())
+    put_image(out, now, True)
+    return riff(out.bytes())
