@@ -126,23 +126,26 @@ class Tagger:
         return _summed(dgates.reshape(-1, 4 * h), x.ravel(), len(self.p["table" + d])), dloop
 
     def _crf(self, e, y):
-        """Summed loss and gradients by the forward-backward algorithm."""
+        """Summed loss and gradients by the forward-backward algorithm, every step's sums scaled to one."""
         steps, batch, labels = e.shape
-        move, start = self.p["move"].astype(np.float64), self.p["start"]
+        move, start = self.p["move"].astype(np.float64), self.p["start"].astype(np.float64)
         e64 = e.astype(np.float64)
-        a = np.empty_like(e64)
-        a[0] = start + e64[0]
-        for t in range(1, steps):
-            a[t] = _log_sum(a[t - 1][:, :, None] + move, 1) + e64[t]
-        total = _log_sum(a[-1], 1)
-        b = np.zeros_like(e64)
-        expected = np.zeros((labels, labels))
+        top = e64.max(axis=2, keepdims=True)
+        weight, via = np.exp(e64 - top), np.exp(move)
+        a, b, scale = np.empty_like(weight), np.ones_like(weight), np.empty((steps, batch, 1))
+        for t in range(steps):
+            a[t] = (a[t - 1] @ via if t else np.exp(start)) * weight[t]
+            scale[t] = a[t].sum(axis=1, keepdims=True)
+            a[t] /= scale[t]
+        weight /= scale
+        pairs = np.zeros_like(via)
         for t in range(steps - 2, -1, -1):
-            ahead = e64[t + 1] + b[t + 1]
-            joint = move + ahead[:, None, :]
-            b[t] = _log_sum(joint, 2)
-            expected += np.exp(a[t][:, :, None] + joint - total[:, None, None]).sum(0)
-        marginal = np.exp(a + b - total[None, :, None])
+            ahead = weight[t + 1] * b[t + 1]
+            pairs += a[t].T @ ahead  # small products, which start no threads
+            b[t] = ahead @ via.T
+        total = (np.log(scale) + top).sum((0, 2))
+        marginal = a * b
+        expected = pairs * via
         gold = np.zeros_like(marginal)
         np.put_along_axis(gold, y[:, :, None].astype(np.int64), 1.0, axis=2)
         seen = np.zeros((labels, labels))
@@ -161,11 +164,6 @@ def _summed(rows: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
     return out
 
 
-def _log_sum(x, axis):
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
-
-
 def fit(symbols: int, labels: int, x: np.ndarray, y: np.ndarray, allowed: np.ndarray | None = None, hidden: int = 16, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 5) -> Tagger:
     """A tagger trained on windows ``x`` with labels ``y``, by Adam steps on shuffled batches.
 
