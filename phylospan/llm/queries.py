@@ -12,6 +12,7 @@ from phylospan.llm.media import media_features
 from phylospan.llm.packing import pack_documents
 from phylospan.llm.simhash import near_duplicate_classes
 from phylospan.llm.token_counts import count_tokens
+from phylospan.llm.token_files import token_files_round_trip
 from phylospan.llm.warc import archive_pages
 
 
@@ -58,6 +59,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files_round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_simhash": op1_simhash,
@@ -70,6 +75,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_embeddings": op9_embeddings,
     "op10_quality": op10_quality,
+    "op11_token_files": op11_token_files,
 }
 
 #: The other operators are beyond SQL (hash functions, tokenisers, trained models, codecs, genetic search);
