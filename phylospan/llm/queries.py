@@ -11,6 +11,7 @@ from phylospan.llm.common import table
 from phylospan.llm.media import media_features
 from phylospan.llm.negatives import hard_negatives
 from phylospan.llm.packing import pack_documents
+from phylospan.llm.prefix_trie import conversation_trie
 from phylospan.llm.simhash import near_duplicate_classes
 from phylospan.llm.token_counts import count_tokens
 from phylospan.llm.token_files import token_files_round_trip
@@ -68,6 +69,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_simhash": op1_simhash,
@@ -82,11 +87,25 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_token_files": op11_token_files,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: The other operators are beyond SQL (hash functions, tokenisers, trained models, codecs, genetic search);
 #: tests/llm compares each with a brute-force version, a library or an exact round trip.
 ORACLE_SQL: dict[str, str] = {
+    "op13_prefix_trie": """
+WITH o AS (SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+b AS (SELECT c, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT) AS bytes FROM o),
+h AS (SELECT c, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda a, x: list_reduce(list_prepend(xor(a, x), [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 6 AS h FROM b),
+s AS (SELECT o.c, list_concat(coalesce(p.t, [])[:h.h], o.t[h.h + 1:]) AS s FROM o JOIN h ON h.c = o.c LEFT JOIN o p ON p.c = o.c - o.c % 100),
+m AS (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM s),
+n AS (SELECT s[:d] AS p, d, min(c) AS c, count(*) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(s) = d), '')) AS ends FROM m GROUP BY ALL),
+k AS (SELECT n.*, CASE WHEN d > 0 THEN (n - 1) * length(p[d].t) ELSE 0 END AS saved, CASE WHEN d > 0 THEN p[:d - 1] END AS above FROM n),
+w AS (SELECT above AS p, count(*) AS children FROM k WHERE d > 0 GROUP BY above),
+f AS (SELECT k.*, coalesce(w.children, 0) AS children FROM k LEFT JOIN w ON w.p = k.p),
+u AS (SELECT x.p, sum((y.children = 0)::INT) AS leaves, sum(y.saved) AS saved FROM f x JOIN f y ON y.d >= x.d AND y.p[:x.d] = x.p GROUP BY x.p)
+SELECT f.c::BIGINT AS conv_id, f.d::BIGINT AS depth, q.c::BIGINT AS parent_conv_id, f.n::BIGINT AS n_convs, f.children::BIGINT AS n_children, u.leaves::BIGINT AS n_leaves, u.saved::BIGINT AS saved_tokens, f.ends AS ends_sha256
+FROM f JOIN u ON u.p = f.p LEFT JOIN f q ON q.p = f.above AND f.d > 0""",
     "op12_hard_negatives": """
 WITH v AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
