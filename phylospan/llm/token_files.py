@@ -37,7 +37,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Ids in a data frame, and ids and documents in a file, at most (a document longer than a file's ids has one alone).
 FRAME_IDS, FILE_IDS, FILE_DOCS = 1 << 16, 1 << 25, 1 << 20
-LEVEL = 3
+LEVEL = 1
 #: Magic numbers of skippable frames (own header, own directory) and of the seekable format (fixed values).
 HEADER_FRAME, DIRECTORY_FRAME, SEEK_FRAME, SEEK_END = 0x184D2A50, 0x184D2A51, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
