@@ -33,8 +33,11 @@ ANCHORS, ROWS = 8192, 8192
 #: Radians, and shares of the norms' product, by which bounds are widened for rounding.
 SLACK, SHARE = 1e-6, 1e-9
 
-#: Window ends in whole numbers stay below this; sums of products below 2**53 are exact in floating point.
-_EXACT, _LONG = float(1 << 53), 1 << 63
+#: A window that leaves out less than this share of a block is widened to the block, which needs no gathering.
+NARROW = 0.125
+#: Whole numbers below these are exact in floating point of 32 and of 64 bits, and in a long.  No part of a sum of
+#: products is larger than the product of the norms.
+_SINGLE, _EXACT, _LONG = float(1 << 24), float(1 << 53), 1 << 63
 
 
 def fit_references(vectors: np.ndarray, k: int = REFERENCES, rounds: int = 8) -> np.ndarray:
@@ -99,12 +102,14 @@ def stored_angles(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     return written(angled.select(F.monotonically_increasing_id().alias("row"), "vec_id", "label", F.size("q").alias("dim"), "q", "norm", "theta"), "angles")
 
 
-def integer_scores(q: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inner products of a whole-number vector with others, and which of them a 64-bit integer holds."""
-    if len(rows) == 0 or float(np.abs(q).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, len(q)) < _EXACT:
-        return (rows @ q).astype(np.int64), np.ones(len(rows), bool)
+def integer_scores(q: np.ndarray, norm: float, rows: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray | None]:
+    """Inner products of a whole-number vector with others of at most a norm, and which of them a 64-bit integer
+    holds (None for all)."""
+    size = norm * most * (1 + 1e-6) + 1
+    if size < (_SINGLE if rows.dtype == np.float32 else _EXACT):
+        return (rows @ q.astype(rows.dtype)).astype(np.int64), None
     exact = [sum(int(a) * int(b) for a, b in zip(q, r)) for r in rows]
-    fits = np.array([-_LONG <= s < _LONG for s in exact])
+    fits = np.array([-_LONG <= s < _LONG for s in exact], bool)
     return np.array([s if ok else 0 for s, ok in zip(exact, fits)], np.int64), fits
 
 
@@ -114,7 +119,8 @@ class Block:
     def __init__(self, q, norm, theta, label, vec_id, row):
         self.q, self.norm, self.theta, self.label, self.vec_id, self.row = q, norm, theta, label, vec_id, row
         self.most = float(norm.max(initial=0))
-        self.least = float(norm.min(initial=0)) if len(norm) else 0.0
+        self.single = q.astype(np.float32) if self.most < _SINGLE else q
+        self.least = float(norm.min()) if len(norm) else 0.0
         self.order = np.argsort(theta, axis=0, kind="stable")
         self.sorted = np.take_along_axis(theta, self.order, axis=0)
 
@@ -131,13 +137,13 @@ class Block:
             return np.pi if c <= -1 else None if c > 1 else float(np.arccos(c))
         return 0.0 if c >= 1 else float(np.arccos(max(c, -1.0)))
 
-    def window(self, theta: np.ndarray, norm: float, low: float, high: float) -> np.ndarray:
-        """Positions of the rows whose score with a vector may lie in ``low .. high``."""
+    def window(self, theta: np.ndarray, norm: float, low: float, high: float) -> np.ndarray | slice:
+        """Positions of the rows whose score with a vector may lie in ``low .. high``; a slice for the whole block."""
         n, k = self.theta.shape
         if not n:
             return np.zeros(0, np.int64)
         if not k or not norm or not self.most or not self.least:  # no angles are known
-            return np.arange(n)
+            return slice(0, n)
         far = np.pi if low == -np.inf else self._angle(low, norm, True)
         if far is None:
             return np.zeros(0, np.int64)
@@ -151,7 +157,11 @@ class Block:
             if hi - lo < best:
                 best, place = max(0, hi - lo), (r, lo, hi)
         r, lo, hi = place
-        return self.order[lo:hi, r]
+        return slice(0, n) if best > (1 - NARROW) * n else self.order[lo:hi, r]
+
+    def scores(self, q: np.ndarray, norm: float, at: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray | None]:
+        single = norm * self.most * (1 + 1e-6) + 1 < _SINGLE
+        return integer_scores(q, norm, (self.single if single else self.q)[at], self.most)
 
 
 def best_of(score: np.ndarray, vec_id: np.ndarray, n: int, *more: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -222,25 +232,28 @@ class _Meeting:
             b = block(int(a["label"]) if self.positives else None)
             if self.positives:
                 score = a["found"][0][0]
-                low, high = (float(score[-1]) if len(score) == POSITIVES else -np.inf), np.inf
+                ends = [float(score[-1]) if len(score) == POSITIVES else -np.inf]
+                high = np.inf
             else:
                 if not a["windows"]:
                     continue
                 ends = [(float(max(w["low"], s[-1])) if len(s) == NEGATIVES else float(w["low"])) for w, (s, _) in zip(a["windows"], a["found"])]
-                low, high = min(ends), float(max(w["high"] for w in a["windows"]))
-            at = b.window(a["theta"], a["norm"], low, high)
-            at = at[b.row[at] != a["row"]] if self.positives else at[b.label[at] != a["label"]]
-            self.scored += len(at)
-            score, fits = integer_scores(a["q"], b.q[at])
-            at, score = at[fits], score[fits]
+                high = float(max(w["high"] for w in a["windows"]))
+            at = b.window(a["theta"], a["norm"], min(ends), high)
+            score, fits = b.scores(a["q"], a["norm"], at)
+            self.scored += len(score)
+            other = b.row[at] != a["row"] if self.positives else b.label[at] != a["label"]
+            keep = (score >= min(ends)) & (score <= high) & other
+            keep = np.flatnonzero(keep if fits is None else keep & fits)
+            score, vec_id = score[keep], b.vec_id[at][keep]
             if self.positives:
                 old = a["found"][0]
-                a["found"][0] = best_of(np.concatenate((old[0], score)), np.concatenate((old[1], b.vec_id[at])), POSITIVES)
+                a["found"][0] = best_of(np.concatenate((old[0], score)), np.concatenate((old[1], vec_id)), POSITIVES)
                 continue
             for k, (w, old) in enumerate(zip(a["windows"], a["found"])):
                 inside = (score >= w["low"]) & (score <= w["high"])
                 if inside.any():
-                    a["found"][k] = best_of(np.concatenate((old[0], score[inside])), np.concatenate((old[1], b.vec_id[at[inside]])), NEGATIVES)
+                    a["found"][k] = best_of(np.concatenate((old[0], score[inside])), np.concatenate((old[1], vec_id[inside])), NEGATIVES)
 
     def done(self, anchors):
         out = [(a["row"], k, s, i) for a in anchors for k, (score, ids) in enumerate(a["found"]) for s, i in zip(score.tolist(), ids.tolist())]
