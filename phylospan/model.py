@@ -9,7 +9,7 @@ TOGGLE = 0xE37E28C4271B5A2D
 REVCOM_VERSION = 1
 
 SEQUENCES = "seq_no long, mate int, header string, comment string, seq string, quals string, format string"
-TAXONOMY = "node long, parent long, ext_id long, name string, rank string, depth int, path array<long>"
+TAXONOMY = "node long, parent long, ext_id long, name string, rank string, depth int, path array<long>, entry int, last int"
 INDEX = "minimizer long, taxon long"
 
 

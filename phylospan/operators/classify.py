@@ -1,14 +1,14 @@
 """Classification: probing the index, scoring root-to-leaf paths, calls, hit lists and output lines.
 
-Two plans give the same rows.  Where the index is small enough for every executor, each read is classified
-in one Arrow pass over broadcast arrays and nothing is shuffled.  Otherwise runs of tokens are joined with
-the index by minimizer, and hits are scored with joins on the taxonomy's closure.
+Three plans give the same rows.  The taxonomy's depth-first numbers are broadcast (see :mod:`~phylospan.operators.tree`),
+and many whole reads are settled at once by array steps.  Where the index is small enough for every executor
+too, reads are scanned and settled in one Arrow pass and nothing is shuffled.  Otherwise runs of tokens are joined with
+the index by minimizer and brought together by read.  Only for a taxonomy beyond the arrays' bound are hits scored
+by joins on its closure.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,13 +17,12 @@ from pyspark.sql import functions as F
 from phylospan.functions.bits import fmix64
 from phylospan.functions.sequence import mask_low_quality, six_frames, trim_pair_suffix
 from phylospan.model import ClassifyOptions
-from phylospan.operators.index import TaxIndex
+from phylospan.operators.index import BROADCAST_ROWS, TaxIndex
 from phylospan.operators.minimizers import minimizer_runs, runs_of
-from phylospan.operators.taxonomy import lca_by
+from phylospan.operators.taxonomy import lca_by_closure
+from phylospan.operators.tree import Tree
 from phylospan.shipping import ship
 
-#: Index rows that are broadcast at most: 12 bytes each, some 50 MB.
-BROADCAST_ROWS = 4_000_000
 #: Codes of a run that is no taxon.
 AMBIGUOUS, MATE_BORDER, FRAME_BORDER = -1, -2, -3
 
@@ -83,14 +82,109 @@ def total_terms(opts: ClassifyOptions, borders: int | None = None) -> int:
     return borders - (1 if opts.paired else 0) - ((4 if opts.paired else 2) if opts.translated else 0)
 
 
+# --- whole reads -------------------------------------------------------------------------------------
+
+
+def hit_list(codes: list[int], sizes: list[int], ext) -> str:
+    """Runs of equal codes as ``taxid:count``, ``A:count``, ``|:|`` and ``-:-``; ``0:0`` if there are none."""
+    out: list[list[int]] = []
+    for c, n in zip(codes, sizes):
+        if out and out[-1][0] == c:
+            out[-1][1] += n
+        else:
+            out.append([c, n])
+    return " ".join(_entry(c, n, ext) for c, n in out) or "0:0"
+
+
+_MARKS = {MATE_BORDER: "|:|", FRAME_BORDER: "-:-"}
+
+
+def _entry(code: int, n: int, ext) -> str:
+    return f"{ext[code]}:{n}" if code >= 0 else _MARKS.get(code) or f"A:{n}"
+
+
+CALL_SCHEMA = pa.schema([("read", pa.int64()), ("call", pa.int64()), ("total", pa.int64()), ("hit_groups", pa.int64()), ("hitlist", pa.string()), ("hits", pa.map_(pa.int64(), pa.int64())), ("kmers", pa.map_(pa.int64(), pa.list_(pa.int64())))])
+
+
+def settle(tree: Tree, opts: ClassifyOptions, reads: np.ndarray, owner: np.ndarray, code: np.ndarray, fresh: np.ndarray, size: np.ndarray, minimizer: np.ndarray, kmers: bool) -> pa.RecordBatch:
+    """The rows of whole reads, all at once.
+
+    Every read has the same number of frames (of both mates), numbered through all reads; runs come in order
+    with the frame that owns them, a ``code`` (an entry of the tree, 0, or ``AMBIGUOUS``), whether they open a
+    hit group if they hit, and how many tokens they have.
+    """
+    n, frames = len(reads), (6 if opts.translated else 1) * (2 if opts.paired else 1)
+    read = owner // frames
+    first = np.searchsorted(read, np.arange(n + 1))
+    opened = fresh & (code > 0)
+    used = np.ones(len(code), bool)
+    borders = np.full(n, frames - 1)
+    if opts.quick:
+        so_far = np.concatenate(([0], np.cumsum(opened)))
+        reached = np.flatnonzero((code > 0) & (so_far[1:] - so_far[first[read]] >= opts.minimum_hit_groups))
+        stop = np.full(n, len(code))
+        np.minimum.at(stop, read[reached], reached)
+        at = np.arange(len(code))
+        used, opened = at < stop[read], opened & (at <= stop[read])
+        stopped = np.flatnonzero(stop < len(code))
+        borders[stopped] = owner[stop[stopped]] - stopped * frames
+    groups = np.bincount(read[opened], minlength=n)
+    total = np.bincount(read[used], size[used], minlength=n).astype(np.int64) + [total_terms(opts, b) for b in range(frames)] @ (borders == np.arange(frames)[:, None])
+    total = np.maximum(total, 0)
+    hit = np.flatnonzero(used & (code > 0))
+    width = len(tree.above)
+    key, place = np.unique(read[hit].astype(np.int64) * width + code[hit], return_inverse=True)
+    hit_read, hit_entry, hit_n = key // width, key % width, np.bincount(place, size[hit], minlength=len(key)).astype(np.int64)
+    need = np.ceil(opts.confidence * total.astype(np.float64)).astype(np.int64)
+    call = tree.resolve(hit_read, hit_entry, hit_n, need)
+    call[groups < opts.minimum_hit_groups] = 0
+    ends = np.searchsorted(hit_read, np.arange(n + 1))
+    hits = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tree.node[hit_entry].astype(np.int64)), pa.array(hit_n))
+    text = [f"{e}:Q" for e in tree.ext[call].tolist()] if opts.quick else _hit_texts(tree, n, frames, 6 if opts.translated else 1, owner, code, size)
+    return pa.RecordBatch.from_arrays([pa.array(reads, pa.int64()), pa.array(tree.node[call].astype(np.int64)), pa.array(total), pa.array(groups.astype(np.int64)), pa.array(text), hits, _kmer_maps(tree, n, read, opened, code, minimizer) if kmers else pa.array([[]] * n, CALL_SCHEMA.field("kmers").type)], schema=CALL_SCHEMA)
+
+
+def _hit_texts(tree: Tree, n: int, frames: int, per_mate: int, owner, code, size) -> list[str]:
+    """The hit lists of all reads: borders stand behind every frame but a read's last."""
+    if frames > 1:
+        frame = np.arange(n * frames)
+        marks = np.where((frame + 1) % per_mate == 0, MATE_BORDER, FRAME_BORDER)
+        inner = (frame + 1) % frames != 0
+        frame, marks = frame[inner], marks[inner]
+        order = np.argsort(np.concatenate((owner * 2, frame * 2 + 1)), kind="stable")
+        owner = np.concatenate((owner, frame))[order]
+        code, size = np.concatenate((code, marks))[order], np.concatenate((size, np.ones(len(frame), size.dtype)))[order]
+    if not len(code):
+        return ["0:0"] * n
+    read = owner // frames
+    start = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (read[1:] != read[:-1])))
+    count = np.add.reduceat(size.astype(np.int64), start).tolist()
+    first = np.searchsorted(read[start], np.arange(n + 1)).tolist()
+    codes = code[start].tolist()
+    taxa = sorted({c for c in codes if c >= 0})
+    ext = dict(zip(taxa, tree.ext[taxa].tolist())) if taxa else {}
+    entries = [_entry(c, k, ext) for c, k in zip(codes, count)]
+    return [" ".join(entries[a:b]) or "0:0" for a, b in zip(first, first[1:])]
+
+
+def _kmer_maps(tree: Tree, n: int, read, opened, code, minimizer) -> pa.MapArray:
+    """The minimizers that opened hit groups, by taxon, for every read."""
+    at = np.flatnonzero(opened)
+    at = at[np.lexsort((at, code[at], read[at]))]
+    new = np.flatnonzero(np.append(True, (code[at][1:] != code[at][:-1]) | (read[at][1:] != read[at][:-1]))) if len(at) else at
+    lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(at)), pa.int32()), pa.array(minimizer[at].view(np.int64)))
+    outer = np.searchsorted(read[at[new]], np.arange(n + 1))
+    return pa.MapArray.from_arrays(pa.array(outer, pa.int32()), pa.array(tree.node[code[at[new]]].astype(np.int64)), lists)
+
+
 # --- one pass over broadcast arrays ------------------------------------------------------------------
 
 
 class _Arrays:
-    """The index and taxonomy as arrays, for the one-pass plan."""
+    """The index as sorted arrays, for the one-pass plan; taxa are entries of the tree."""
 
-    def __init__(self, minimizers, taxa, paths, ext, names):
-        self.minimizers, self.taxa, self.paths, self.ext, self.names = minimizers, taxa, paths, ext, names
+    def __init__(self, minimizers, entries):
+        self.minimizers, self.entries = minimizers, entries
 
         # most minimizers of a read are in no index: one bit of a hash tells, before any search
         self.shift = np.uint64(64 - max(10, (16 * len(minimizers)).bit_length()))
@@ -101,132 +195,53 @@ class _Arrays:
         return (m * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
 
     def find(self, m: np.ndarray) -> np.ndarray:
-        """The taxa of minimizers, 0 where there is none."""
+        """The entries of minimizers, 0 where there is none."""
         out = np.zeros(len(m), np.int64)
         if len(self.minimizers):
             likely = np.flatnonzero(self.maybe[self._slot(m)])
             keys = m[likely]
             at = np.minimum(np.searchsorted(self.minimizers, keys), len(self.minimizers) - 1)
-            out[likely] = np.where(self.minimizers[at] == keys, self.taxa[at], 0)
+            out[likely] = np.where(self.minimizers[at] == keys, self.entries[at], 0)
         return out
 
 
-def resolve(hits: dict[int, int], paths: dict[int, tuple], total: int, confidence: float) -> int:
-    """The call for a read's hits: the taxon with the heaviest path, ties by their ancestor, walked up to the confidence."""
-    if not hits:
-        return 0
-    score = {t: sum(hits.get(a, 0) for a in paths[t]) for t in hits}
-    top = max(score.values())
-    best = [t for t, s in score.items() if s == top]
-    shared = set(paths[best[0]]).intersection(*(paths[t] for t in best[1:]))
-    call = max(shared)
-    need = math.ceil(confidence * total)
-    if need == 0:
-        return call
-    below: dict[int, int] = {}
-    for t, n in hits.items():
-        for a in paths[t]:
-            below[a] = below.get(a, 0) + n
-    return next((a for a in reversed(paths[call]) if below.get(a, 0) >= need), 0)
-
-
-def hit_list(codes: list[int], sizes: list[int], ext) -> str:
-    """Runs of equal codes as ``taxid:count``, ``A:count``, ``|:|`` and ``-:-``; ``0:0`` if there are none."""
-    out: list[list[int]] = []
-    for c, n in zip(codes, sizes):
-        if out and out[-1][0] == c:
-            out[-1][1] += n
-        else:
-            out.append([c, n])
-    marks = {MATE_BORDER: "|:|", FRAME_BORDER: "-:-"}
-    return " ".join(marks[c] if c in marks else f"A:{n}" if c == AMBIGUOUS else f"{ext[c]}:{n}" for c, n in out) or "0:0"
+#: Reads whose rows are made at once, and bases after which no more are taken.
+READS, BASES = 4096, 1 << 22
 
 
 class _OnePass:
-    schema = pa.schema([("read", pa.int64()), ("call", pa.int64()), ("total", pa.int64()), ("hit_groups", pa.int64()), ("hitlist", pa.string()), ("hits", pa.map_(pa.int64(), pa.int64())), ("kmers", pa.map_(pa.int64(), pa.list_(pa.int64())))])
-
-    def __init__(self, arrays, options, opts: ClassifyOptions, kmers: bool):
-        self.arrays, self.options, self.opts, self.kmers = arrays, options, opts, kmers
+    def __init__(self, arrays, tree, options, opts: ClassifyOptions, kmers: bool):
+        self.arrays, self.tree, self.options, self.opts, self.kmers = arrays, tree, options, opts, kmers
 
     def __call__(self, batches):
-        arrays, o = self.arrays.value, self.options
+        arrays, tree, o = self.arrays.value, self.tree.value, self.options
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                reads, frames = part.column(0).to_pylist(), part.column(1).to_pylist()
-                seqs = [(s or "").encode("latin-1", "replace") for f in frames for s in f]
+            lo = 0
+            while lo < batch.num_rows:
+                part = batch.slice(lo, READS)
+                seqs, taken, bases = [], 0, 0
+                for frames in part.column(1):
+                    seqs += [(s or "").encode("latin-1", "replace") for s in frames.as_py()]
+                    taken, bases = taken + 1, bases + sum(map(len, seqs[-len(frames):]))
+                    if bases >= BASES:
+                        break
+                lo += taken
                 owner, m, ambiguous, fresh, size = runs_of(seqs, o)
-                taxa = arrays.find(m)
+                code = arrays.find(m)
                 if o.min_hash:
-                    taxa = np.where(fmix64(m) < np.uint64(o.min_hash), 0, taxa)
-                taxa = np.where(ambiguous, AMBIGUOUS, taxa)
-                ends = np.searchsorted(owner, np.arange(len(seqs)), "right")
-                rows, at, first = [], 0, 0
-                for read, f in zip(reads, frames):
-                    last = int(ends[at + len(f) - 1]) if f else first
-                    cuts = [int(e) - first for e in ends[at : at + len(f)]]
-                    view = slice(first, last)
-                    rows.append(self.read(read, cuts, taxa[view], fresh[view], size[view], m[view]))
-                    at, first = at + len(f), last
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), self.schema.types)], schema=self.schema)
-
-    def read(self, read, cuts, taxa, fresh, size, m):
-        """One read's row; ``cuts`` are the ends of its frames among its runs."""
-        opts, arrays = self.opts, self.arrays.value
-        per_mate, borders = (6 if opts.translated else 1), len(cuts) - 1
-        opened = fresh & (taxa > 0)
-        stop = len(taxa)
-        if opts.quick:
-            reached = np.flatnonzero((taxa > 0) & (np.cumsum(opened) >= opts.minimum_hit_groups))
-            if len(reached):
-                stop = int(reached[0])
-                borders = int(np.searchsorted(cuts, stop, "right"))
-                opened[stop + 1 :] = False
-        groups = int(opened.sum())
-        used, sizes = taxa[:stop], size[:stop]
-        hit = used > 0
-        hits: dict[int, int] = {}
-        if hit.any():
-            names, place = np.unique(used[hit], return_inverse=True)
-            hits = dict(zip(names.tolist(), np.bincount(place, weights=sizes[hit]).astype(np.int64).tolist()))
-        kmers: dict[int, list[int]] = {}
-        if self.kmers:
-            for t, value in zip(taxa[opened].tolist(), m[opened].view(np.int64).tolist()):
-                kmers.setdefault(t, []).append(value)
-        total = max(0, int(sizes.sum()) + total_terms(opts, borders))
-        call = resolve(hits, arrays.paths, total, opts.confidence) if hits else 0
-        if groups < opts.minimum_hit_groups:
-            call = 0
-        if opts.quick:
-            text = f"{arrays.ext[call]}:Q"
-        else:
-            codes, counts, done = [], [], 0
-            for k, end in enumerate(cuts):
-                part = used[done:end]
-                if len(part):
-                    start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                    codes += part[start].tolist()
-                    counts += np.add.reduceat(sizes[done:end], start).tolist()
-                if k + 1 < len(cuts):
-                    codes.append(MATE_BORDER if (k + 1) % per_mate == 0 else FRAME_BORDER)
-                    counts.append(1)
-                done = end
-            text = hit_list(codes, counts, arrays.ext)
-        return read, call, total, groups, text, list(hits.items()), list(kmers.items())
-
-
-def _one_pass(index: TaxIndex, reads: DataFrame, opts: ClassifyOptions, kmers: bool) -> DataFrame:
+                    code = np.where(fmix64(m) < np.uint64(o.min_hash), 0, code)
+                code = np.where(ambiguous, AMBIGUOUS, code)
+                yield settle(tree, self.opts, part.column(0).to_numpy()[:taken], owner, code, fresh, size, m, self.kmers)
+
+
+def classify_narrow(index: TaxIndex, reads: DataFrame, opts: ClassifyOptions = ClassifyOptions(), kmers: bool = False) -> DataFrame:
+    """Calls of prepared reads in one pass without a shuffle, batch or stream; index and taxonomy must fit their bounds."""
     spark = reads.sparkSession
-    table = index.index.toArrow()
-    minimizers = table["minimizer"].to_numpy().view(np.uint64)
-    order = np.argsort(minimizers)
-    nodes = index.taxonomy.nodes.select("node", "ext_id", "path").collect()
-    paths = {r.node: tuple(r.path) for r in nodes}
-    arrays = _Arrays(minimizers[order], table["taxon"].to_numpy()[order], paths, {0: 0} | {r.node: r.ext_id for r in nodes}, None)
-    packed = spark.sparkContext.broadcast(arrays)
+    if index.taxonomy.tree() is None:
+        raise ValueError("a taxonomy beyond the bound of the broadcast arrays is asked for in one pass")
     gathered = reads.select(F.col("seq_no").alias("read"), _frame_array(opts).alias("frames"))
     ship(spark)
-    return gathered.mapInArrow(_OnePass(packed, index.options, opts, kmers), CALLS)
+    return gathered.mapInArrow(_OnePass(index.arrays(), index.taxonomy.tree(), index.options, opts, kmers), CALLS)
 
 
 def _frame_array(opts: ClassifyOptions):
@@ -239,6 +254,59 @@ def _frame_array(opts: ClassifyOptions):
 # --- joins -------------------------------------------------------------------------------------------
 
 
+class _Settled:
+    """Runs sorted by read, mate, frame and place, an end behind every frame, to the rows of whole reads."""
+
+    def __init__(self, tree, opts: ClassifyOptions, kmers: bool):
+        self.tree, self.opts, self.kmers = tree, opts, kmers
+        self.frames = (6 if opts.translated else 1) * (2 if opts.paired else 1)
+
+    def __call__(self, batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            read = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(read, read[-1]))  # the last read may go on
+            if cut or (held and held[-1].column(0)[0].as_py() != read[0]):
+                yield self.rows([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield self.rows(held)
+
+    def rows(self, held):
+        t = pa.Table.from_batches(held)
+        read, end, minimizer, fresh, size, code = (t[c].to_numpy() for c in ("read", "end", "minimizer", "fresh", "tokens", "code"))
+        end = end.astype(bool)
+        before = np.cumsum(end)  # frames ended up to a row
+        last = np.flatnonzero(end)
+        reads = read[last[:: self.frames]]
+        tree = self.tree.value
+        at = ~end
+        code = np.where(code > 0, tree.entry[np.maximum(code, 0)], code)
+        return settle(tree, self.opts, reads, before[at], code[at], fresh[at].astype(bool), size[at].astype(np.int64), minimizer[at].view(np.uint64), self.kmers)
+
+
+def _by_joins(index: TaxIndex, reads: DataFrame, opts: ClassifyOptions, kmers: bool) -> DataFrame:
+    """Runs meet the index by minimizer and come together again by read: two shuffles of runs, and no closure."""
+    taxonomy = index.taxonomy
+    scanned = minimizer_runs(frames_of(reads, opts), index.options)
+    keyed = scanned.withColumn("key", F.when(~F.col("ambiguous") & ~F.col("low"), F.col("minimizer")))
+    # keys of no hit, all null, would gather in one task
+    probed = keyed.where("key is not null").join(index.index.select(F.col("minimizer").alias("key"), "taxon"), "key", "left").unionByName(keyed.where("key is null"), allowMissingColumns=True)
+    code = F.when(F.col("ambiguous"), F.lit(AMBIGUOUS).cast("long")).otherwise(F.coalesce("taxon", F.lit(0).cast("long")))
+    runs = probed.select("read", "mate", "frame", "run", F.lit(False).alias("end"), "minimizer", "fresh", "tokens", code.alias("code"))
+    marks = [F.struct(F.lit(m).alias("mate"), F.lit(f).alias("frame")) for m in range(2 if opts.paired else 1) for f in range(6 if opts.translated else 1)]
+    ends = reads.select(F.col("seq_no").alias("read"), F.explode(F.array(*marks)).alias("m")).select("read", "m.mate", "m.frame", F.lit((1 << 31) - 1).alias("run"), F.lit(True).alias("end"), F.lit(0).cast("long").alias("minimizer"), F.lit(False).alias("fresh"), F.lit(0).alias("tokens"), F.lit(0).cast("long").alias("code"))
+    ordered = runs.unionByName(ends).repartition("read").sortWithinPartitions("read", "mate", "frame", "run")
+    ship(reads.sparkSession)
+    return ordered.mapInArrow(_Settled(taxonomy.tree(), opts, kmers), CALLS)
+
+
+# --- joins on the closure, for taxonomies beyond the broadcast arrays ---------------------------------
+
+
 def path_scores(hits: DataFrame, taxonomy) -> DataFrame:
     """``(read, taxon, score)``: the hits of each hit taxon and of all above it, for ``hits(read, taxon, n)``."""
     above = hits.select("read", "taxon").join(taxonomy.closure().select(F.col("node").alias("taxon"), "ancestor"), "taxon")
@@ -249,7 +317,7 @@ def resolve_calls(hits: DataFrame, totals: DataFrame, taxonomy, confidence: floa
     """``(read, call)`` for ``hits(read, taxon, n)`` and ``totals(read, total)``; reads without hits are left out."""
     scores = path_scores(hits, taxonomy)
     top = scores.withColumn("best", F.max("score").over(Window.partitionBy("read"))).where("score = best")
-    call = lca_by(top, ["read"], taxonomy).withColumnRenamed("lca", "top")
+    call = lca_by_closure(top, ["read"], taxonomy).withColumnRenamed("lca", "top")
     need = F.ceil(F.lit(float(confidence)) * F.col("total").cast("double"))
     closure = taxonomy.closure()
     clade = hits.join(closure.select(F.col("node").alias("taxon"), "ancestor"), "taxon").groupBy("read", "ancestor").agg(F.sum("n").alias("below"))
@@ -259,7 +327,7 @@ def resolve_calls(hits: DataFrame, totals: DataFrame, taxonomy, confidence: floa
     return walked.groupBy("read").agg(F.max(fits).alias("walked"), F.max("top").alias("top"), F.max("need").alias("need")).select("read", F.when(F.col("need") == 0, F.col("top")).otherwise(F.col("walked")).alias("call"))
 
 
-def _by_joins(index: TaxIndex, reads: DataFrame, opts: ClassifyOptions, kmers: bool) -> DataFrame:
+def _by_closure(index: TaxIndex, reads: DataFrame, opts: ClassifyOptions, kmers: bool) -> DataFrame:
     taxonomy = index.taxonomy
     scanned = minimizer_runs(frames_of(reads, opts), index.options)
     keyed = scanned.withColumn("key", F.when(~F.col("ambiguous") & ~F.col("low"), F.col("minimizer")))
@@ -340,13 +408,14 @@ def classify(index: TaxIndex, reads: DataFrame, opts: ClassifyOptions = Classify
 
     ``call`` is an internal number, 0 for unclassified.  ``hits`` counts tokens by taxon; with ``kmers`` the
     minimizers that opened hit groups are kept by taxon, for reports.  A protein index turns on translated
-    search.  The size of the index decides the plan; both give the same rows.
+    search.  The sizes of the taxonomy and of the index decide the plan; all give the same rows.
     """
     if not index.options.dna and not opts.translated:
         opts = ClassifyOptions(**{**opts.__dict__, "translated": True})
     ready = prepared(reads, opts)
-    small = index.index.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return _one_pass(index, ready, opts, kmers) if small else _by_joins(index, ready, opts, kmers)
+    if index.taxonomy.tree() is None:
+        return _by_closure(index, ready, opts, kmers)
+    return classify_narrow(index, ready, opts, kmers) if index.fits(broadcast_rows) else _by_joins(index, ready, opts, kmers)
 
 
 def output_lines(calls: DataFrame, reads: DataFrame, taxonomy, opts: ClassifyOptions = ClassifyOptions()) -> DataFrame:

@@ -4,20 +4,48 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phylospan.functions.bits import SECTIONS, murmur64, signed, unsigned_less
 from phylospan.model import INDEX, IndexOptions
-from phylospan.operators.minimizers import minimizers
-from phylospan.operators.taxonomy import Taxonomy, lca_by
+from phylospan.operators.minimizers import found_minimizers, minimizers
+from phylospan.operators.taxonomy import Taxonomy, lca_by, lca_of_entries
+
+
+#: Index rows that are broadcast at most: 12 bytes each, some 50 MB.
+BROADCAST_ROWS = 4_000_000
 
 
 class TaxIndex:
-    """Index, taxonomy and options; what a classifier needs."""
+    """Index, taxonomy and options; what a classifier needs.  Its broadcast form is made once, however often it classifies."""
 
     def __init__(self, index: DataFrame, taxonomy: Taxonomy, options: IndexOptions):
         self.index, self.taxonomy, self.options = index, taxonomy, options
+        self._rows: int | None = None
+        self._arrays = None
+
+    def fits(self, rows: int | None = None) -> bool:
+        """Whether the index has at most so many rows (by default ``BROADCAST_ROWS``); they are counted, once."""
+        rows = BROADCAST_ROWS if rows is None else rows
+        if self._rows is None:
+            self._rows = self.index.count()
+        return self._rows <= rows
+
+    def arrays(self):
+        """The index as broadcast arrays, sorted by minimizer; refused beyond ``BROADCAST_ROWS``."""
+        if self._arrays is None:
+            if not self.fits():
+                raise ValueError(f"an index of more than {BROADCAST_ROWS} rows is not broadcast")
+            from phylospan.operators.classify import _Arrays
+
+            table = self.index.toArrow()
+            minimizers = table["minimizer"].to_numpy().view(np.uint64)
+            order = np.argsort(minimizers)
+            entries = self.taxonomy.tree().value.entry[table["taxon"].to_numpy()]
+            self._arrays = self.index.sparkSession.sparkContext.broadcast(_Arrays(minimizers[order], entries[order]))
+        return self._arrays
 
     def save(self, path: str) -> None:
         """Write the three parts; the index is sorted by minimizer within files, so reads can skip."""
@@ -50,12 +78,17 @@ def sequence_taxa(headers: DataFrame, id_map: DataFrame, taxonomy: Taxonomy) ->
 def build_index(sequences: DataFrame, taxa: DataFrame, taxonomy: Taxonomy, options: IndexOptions) -> TaxIndex:
     """The index of ``sequences(seq_no, seq)`` with ``taxa(seq_no, taxon)``.
 
-    Distinct minimizers per sequence leave the scan; they are joined with taxa, made distinct again, and
-    only minimizers of several taxa go through the closure.
+    Minimizers leave the scan and meet the entries of their sequence's taxon; a minimizer's taxon is the common
+    ancestor of its least and largest entry, two numbers that are combined before the shuffle.
     """
     seqs = sequences if options.dna else sequences.withColumn("seq", F.when(F.col("seq").endswith("*"), F.col("seq")).otherwise(F.concat("seq", F.lit("*"))))
-    found = minimizers(seqs, options).withColumnRenamed("read", "seq_no").join(taxa.where("taxon <> 0"), "seq_no").select("minimizer", "taxon")
-    index = lca_by(found, ["minimizer"], taxonomy).select("minimizer", F.col("lca").alias("taxon"))
+    found = found_minimizers(seqs, options).withColumnRenamed("read", "seq_no")
+    if taxonomy.tree() is None:
+        index = lca_by(found.join(taxa.where("taxon <> 0"), "seq_no"), ["minimizer"], taxonomy)
+    else:
+        entries = taxa.join(taxonomy.nodes.select(F.col("node").alias("taxon"), "entry"), "taxon").select("seq_no", "entry")
+        index = lca_of_entries(found.join(entries, "seq_no"), ["minimizer"], taxonomy)
+    index = index.select("minimizer", F.col("lca").alias("taxon"))
     return TaxIndex(index, taxonomy, options)
 
 

@@ -192,10 +192,15 @@ def single_frames(sequences: DataFrame, id_col: str = "seq_no", seq_col: str = "
     return sequences.select(F.col(id_col).alias("read"), F.lit(0).alias("mate"), F.lit(0).alias("frame"), F.col(seq_col).alias("seq"))
 
 
+def found_minimizers(sequences: DataFrame, o: IndexOptions, id_col: str = "seq_no", seq_col: str = "seq") -> DataFrame:
+    """Unambiguous minimizers of each sequence that pass the hash threshold, once a run and so repeated: ``(read, minimizer)``."""
+    found = minimizer_runs(single_frames(sequences, id_col, seq_col), o)
+    return found.where("not ambiguous and not low").select("read", "minimizer")
+
+
 def minimizers(sequences: DataFrame, o: IndexOptions, id_col: str = "seq_no", seq_col: str = "seq") -> DataFrame:
     """Distinct unambiguous minimizers of each sequence that pass the hash threshold: ``(read, minimizer)``."""
-    found = minimizer_runs(single_frames(sequences, id_col, seq_col), o)
-    return found.where("not ambiguous and not low").select("read", "minimizer").distinct()
+    return found_minimizers(sequences, o, id_col, seq_col).distinct()
 
 
 def minimizer_tokens(sequences: DataFrame, o: IndexOptions, id_col: str = "seq_no", seq_col: str = "seq") -> DataFrame:

@@ -258,14 +258,14 @@ def stream_call_counts(spark: SparkSession, d: str) -> DataFrame:
     """Part names that arrive as a stream, counted by call."""
     import uuid
 
-    from phylospan.operators.classify import _one_pass
+    from phylospan.operators.classify import classify_narrow
     from phylospan.storage import new_path
 
     index = part_index(spark, d)
     stream = spark.readStream.schema("p_partkey long, p_name string, p_brand string, p_type string").parquet(f"{d}/part.parquet*")
     null = lambda c: F.lit(None).cast("string").alias(c)
     reads = stream.select(F.col("p_partkey").alias("seq_no"), null("header1"), null("comment1"), dna(F.concat_ws(" ", "p_name", "p_brand", "p_type"), BASES_N).alias("seq1"), F.lit("").alias("quals1"), F.lit("fasta").alias("format1"), *[null(f"{c}2") for c in ("header", "comment", "seq", "quals", "format")])
-    counts = _one_pass(index, reads, ClassifyOptions(), False).groupBy("call").agg(F.count("*").alias("reads"))
+    counts = classify_narrow(index, reads).groupBy("call").agg(F.count("*").alias("reads"))
     name = f"calls_{uuid.uuid4().hex}"
     counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
     ext = index.taxonomy.nodes.select(F.col("node").alias("call"), "ext_id")

@@ -15,8 +15,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from phylospan.functions.bits import bits_for_taxa, fmix64
-from phylospan.model import TAXONOMY, IndexOptions
-from phylospan.operators.taxonomy import Taxonomy
+from phylospan.model import IndexOptions
+from phylospan.operators.taxonomy import Taxonomy, toured
+from phylospan.storage import written
 
 # Fixed values of the format.
 TAXONOMY_MAGIC = b"K2TAXDAT"
@@ -70,7 +71,7 @@ def unpack_taxonomy(spark: SparkSession, data: bytes) -> Taxonomy:
         parent, _, _, name, rank, ext, _ = map(int, table[node])
         paths[node] = [*paths[parent], node]
         rows.append((node, parent, ext, text(names, name), text(ranks, rank), len(paths[node]) - 1, paths[node]))
-    return Taxonomy(spark.createDataFrame(rows, TAXONOMY))
+    return Taxonomy(written(toured(spark.createDataFrame(rows, "node long, parent long, ext_id long, name string, rank string, depth int, path array<long>")), "taxonomy"))
 
 
 @dataclass

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phylospan.model import ClassifyOptions
-from phylospan.operators.classify import _one_pass, output_lines, prepared, single_reads
+from phylospan.operators.classify import classify_narrow, output_lines, prepared, single_reads
 from phylospan.operators.index import TaxIndex
 
 
@@ -22,7 +22,7 @@ def read_stream(spark: SparkSession, folder: str, schema: str | T.StructType, fi
 
 def classify_stream(index: TaxIndex, records: DataFrame, opts: ClassifyOptions = ClassifyOptions()) -> DataFrame:
     """Calls of a stream of single records, in one pass per batch over broadcast arrays."""
-    return _one_pass(index, prepared(single_reads(records), opts), opts, False)
+    return classify_narrow(index, prepared(single_reads(records), opts), opts)
 
 
 def start_lines(index: TaxIndex, records: DataFrame, out: str, checkpoint: str, opts: ClassifyOptions = ClassifyOptions()):
@@ -30,7 +30,7 @@ def start_lines(index: TaxIndex, records: DataFrame, out: str, checkpoint: str,
 
     def write(batch: DataFrame, number: int) -> None:
         reads = prepared(single_reads(batch), opts).persist()
-        calls = _one_pass(index, reads, opts, False)
+        calls = classify_narrow(index, reads, opts)
         output_lines(calls, reads, index.taxonomy, opts).select(F.col("line").alias("value")).write.mode("overwrite").text(f"{out}/batch={number}")
         reads.unpersist()
 

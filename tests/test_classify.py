@@ -3,15 +3,18 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from phylospan.functions.bits import fmix64
 from phylospan.model import ClassifyOptions, IndexOptions
 from phylospan.operators import reports
-from phylospan.operators.classify import classify, hit_list, output_lines, pair_files, pair_interleaved, prepared, resolve, run_stats, single_reads, split_names, split_reads, stats_text
+from phylospan.operators.classify import classify, hit_list, output_lines, pair_files, pair_interleaved, prepared, run_stats, single_reads, split_names, split_reads, stats_text
 from phylospan.operators.index import TaxIndex, build_index, estimate_capacity, sequence_taxa, subsampled
-from phylospan.operators.taxonomy import Taxonomy, mark, number
+from phylospan.operators.taxonomy import Taxonomy, lca_by, lca_by_closure, mark, number
+from phylospan.operators import tree as trees
+from phylospan.operators.tree import Tree
 from test_scan import model_tokens
 from test_sequences import model_frames
 
@@ -178,7 +181,7 @@ def make_reads(library, rng, n=60):
 
 
 @pytest.mark.parametrize("opts", [ClassifyOptions(), ClassifyOptions(confidence=0.3), ClassifyOptions(confidence=0.07, minimum_hit_groups=3), ClassifyOptions(quick=True, minimum_hit_groups=2), ClassifyOptions(quick=True), ClassifyOptions(paired=True, confidence=0.2), ClassifyOptions(paired=True, quick=True, minimum_hit_groups=2, confidence=0.5)])
-def test_both_plans_equal_the_model(spark, world, opts):
+def test_all_plans_equal_the_model(spark, world, opts, monkeypatch):
     index, want, paths, ext, library = world
     rng = random.Random(5)
     one, two = make_reads(library, rng), make_reads(library, rng)
@@ -189,11 +192,51 @@ def test_both_plans_equal_the_model(spark, world, opts):
     for a, b in zip(one, two):
         mates = [[a[3] or ""], [b[3] or ""]] if opts.paired else [[a[3] or ""]]
         expected[a[0]] = model_classify(mates, want, paths, ext, index.options, opts)
-    for rows in (10**6, 0):
-        got = {r.read: (r.call, r.hit_groups, r.hitlist) for r in classify(index, reads, opts, broadcast_rows=rows).collect()}
-        if opts.quick and rows == 0:
+    for plan, rows in (("narrow", 10**6), ("joins", 0), ("closure", 0)):
+        if plan == "closure":
+            monkeypatch.setattr(trees, "TREE_NODES", 0)
+        calls = classify(index, reads, opts, broadcast_rows=rows)
+        assert calls.count() == len(one)
+        got = {r.read: (r.call, r.hit_groups, r.hitlist) for r in calls.collect()}
+        if opts.quick and plan == "closure":
             got = {k: (c, expected[k][1], h) for k, (c, _, h) in got.items()}  # groups after the stop are not comparable
-        assert got == expected, rows
+        assert got == expected, plan
+
+
+def test_hits_and_kmers_of_all_plans(spark, world, monkeypatch):
+    index, _, _, _, library = world
+    reads = single_reads(spark.createDataFrame(make_reads(library, random.Random(3), 30), SEQ))
+    found = []
+    for rows, limit in ((10**6, 10**6), (0, 10**6), (0, 0)):
+        monkeypatch.setattr(trees, "TREE_NODES", limit)
+        found.append({r.read: (r.total, r.hits, {t: sorted(m) for t, m in r.kmers.items()}) for r in classify(index, reads, kmers=True, broadcast_rows=rows).collect()})
+    assert found[0] == found[1] == found[2] and any(h for _, h, _ in found[0].values())
+    assert all(sum(h.values()) >= sum(map(len, k.values())) for _, h, k in found[0].values())
+
+
+def test_no_closure_in_the_plans(spark, world):
+    """The closure, an explode of paths, is in no plan of a taxonomy that fits the arrays."""
+    index, _, _, _, library = world
+    reads = single_reads(spark.createDataFrame(make_reads(library, random.Random(3), 5), SEQ))
+    groups = spark.createDataFrame([(1, 4), (1, 9)], "g long, taxon long")
+    pairs = spark.createDataFrame([(4, 9)], "a long, b long")
+    for df in (classify(index, reads, broadcast_rows=0), lca_by(groups, ["g"], index.taxonomy), index.taxonomy.lca_pairs(pairs), index.taxonomy.is_ancestor(pairs)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode(path" not in plan and "array_intersect" not in plan and "array_contains" not in plan
+
+
+def test_wide_borders_are_checked(spark, world, monkeypatch):
+    from phylospan.operators import index as indexes
+    from phylospan.operators.classify import classify_narrow
+
+    index, _, _, _, library = world
+    reads = single_reads(spark.createDataFrame(make_reads(library, random.Random(3), 5), SEQ))
+    monkeypatch.setattr(indexes, "BROADCAST_ROWS", 3)
+    with pytest.raises(ValueError):
+        classify_narrow(TaxIndex(index.index, index.taxonomy, index.options), reads)
+    monkeypatch.setattr(trees, "TREE_NODES", 0)
+    with pytest.raises(ValueError):
+        classify_narrow(index, reads)
 
 
 def test_minimum_hash(spark, world):
@@ -225,11 +268,12 @@ def test_translated(spark):
 
 
 def test_resolve_by_hand():
-    paths = {1: (1,), 2: (1, 2), 3: (1, 3), 4: (1, 2, 4), 5: (1, 2, 5)}
-    assert resolve({}, paths, 10, 0) == 0
-    assert resolve({4: 3, 5: 3}, paths, 6, 0) == 2
-    assert resolve({4: 3, 3: 1}, paths, 10, 0.35) == 1
-    assert resolve({4: 3}, paths, 10, 0.9) == 0
+    # 1 - (2 - (4, 5), 3): entries 1, 2, 5, 3, 4
+    tree = Tree.of(*(np.array(x) for x in ([1, 2, 3, 4, 5], [0, 1, 1, 2, 2], [1, 2, 5, 3, 4], [5, 4, 5, 3, 4], [1, 2, 3, 4, 5])))
+    groups = [({}, 0), ({4: 3, 5: 3}, 0), ({4: 3, 3: 1}, 4), ({4: 3}, 9)]
+    rows = [(g, tree.entry[t], n) for g, (hits, _) in enumerate(groups) for t, n in hits.items()]
+    calls = tree.resolve(*(np.array(c) for c in zip(*rows)), np.array([need for _, need in groups]))
+    assert tree.node[calls].tolist() == [0, 2, 1, 0]
     assert hit_list([], [], {}) == "0:0"
     assert hit_list([0, 0, -1, 4, -2, -3, 4], [1, 2, 3, 1, 1, 1, 5], {0: 0, 4: 77}) == "0:3 A:3 77:1 |:| -:- 77:5"
 
