@@ -7,12 +7,11 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phylospan.functions.bits import fmix64
-from phylospan.shipping import ship
+from phylospan.functions.bits import fmix64, murmur64
+from phylospan.storage import written
 
 #: Bits of a sparse sketch's index.
 SPARSE_BITS = 25
@@ -136,10 +135,13 @@ class Sketch:
         return self._bounded(raw)
 
 
+def _alpha(m: int) -> float:
+    return {16: 0.673, 32: 0.697, 64: 0.709}.get(m, 0.7213 / (1 + 1.079 / m))
+
+
 def _raw(registers: np.ndarray) -> float:
     m = len(registers)
-    alpha = {16: 0.673, 32: 0.697, 64: 0.709}.get(m, 0.7213 / (1 + 1.079 / m))
-    return alpha * m * m / float(np.exp2(-registers.astype(float)).sum())
+    return _alpha(m) * m * m / float(np.exp2(-registers.astype(float)).sum())
 
 
 def _sigma(x: float) -> float:
@@ -184,58 +186,95 @@ def bias_curve(precision: int, points: int = 40, trials: int = 12) -> tuple[np.n
     return means, means - sizes
 
 
-# --- over tables -------------------------------------------------------------------------------------
-
-
-class _Partial:
-    """One sketch per group and task, for groups that few of a task's rows belong to or many."""
-
-    schema = pa.schema([("g", pa.int64()), ("sketch", pa.binary())])
-
-    def __init__(self, precision: int, merge: bool):
-        self.precision, self.merge = precision, merge
-
-    def __call__(self, batches):
-        held: dict[int, Sketch] = {}
-        for batch in batches:
-            groups = batch.column(0).to_numpy(zero_copy_only=False)
-            if self.merge:
-                for g, data in zip(groups.tolist(), batch.column(1).to_pylist()):
-                    new = Sketch.from_bytes(data)
-                    held[g] = held[g].merge(new) if g in held else new
-                continue
-            keys = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            order = np.argsort(groups, kind="stable")
-            names, first = np.unique(groups[order], return_index=True)
-            for g, part in zip(names.tolist(), np.split(keys[order], first[1:])):
-                held.setdefault(g, Sketch(self.precision)).add(part)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([s.to_bytes() for s in held.values()], pa.binary())], schema=self.schema)
-
-
-def sketches(rows: DataFrame, group: str, key: str, precision: int = 12) -> DataFrame:
-    """``(g, sketch)`` per group of ``rows``: made map-side, then merged; a group moves as one sketch per task."""
-    ship(rows.sparkSession)
-    part = rows.select(F.col(group).cast("long").alias("g"), F.col(key).cast("long").alias("k")).mapInArrow(_Partial(precision, False), "g long, sketch binary")
-    return merged(part, precision)
-
-
-def merged(made: DataFrame, precision: int = 12) -> DataFrame:
-    """One sketch per group of ``made(g, sketch)``; merged in each task before they move, and after."""
-    ship(made.sparkSession)
-    step = _Partial(precision, True)
-    return made.select("g", "sketch").mapInArrow(step, "g long, sketch binary").repartition("g").mapInArrow(step, "g long, sketch binary")
-
-
-def estimates(made: DataFrame) -> DataFrame:
-    """``(g, observed, estimate, estimate_linear, estimate_corrected)`` of sketches."""
-
-    def run(batches):
-        for batch in batches:
-            all_ = [Sketch.from_bytes(b) for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f(s) for s in all_], pa.int64()) for f in (lambda s: s.observed, Sketch.estimate, Sketch.estimate_linear, Sketch.estimate_corrected))], names=["g", "observed", "estimate", "estimate_linear", "estimate_corrected"])
-
-    return made.select("g", "sketch").mapInArrow(run, "g long, observed long, estimate long, estimate_linear long, estimate_corrected long")
+# --- as columns --------------------------------------------------------------------------------------
+#
+# A sketch table has a row ``(g, dense, slot, rank)`` for every used slot of a group's sketch: of a sparse one the
+# 25-bit indexes, of a dense one the registers.  Merging is a maximum, estimating a histogram of ranks.
+
+
+def _rank_of(rest: Column, width: int) -> Column:
+    """Position of the first set bit among ``width`` low bits, counted from their top from 1; ``width + 1`` without one."""
+    return F.when(rest == 0, F.lit(width + 1)).otherwise(F.lit(width + 1) - F.length(F.bin(rest))).cast("int")
+
+
+def _slots(hashed: Column, bits: int) -> tuple[Column, Column]:
+    """The slot of a hash at a precision, and its rank there."""
+    return F.shiftrightunsigned(hashed, 64 - bits).cast("int"), _rank_of(hashed.bitwiseAND(F.lit((1 << (64 - bits)) - 1)), 64 - bits)
+
+
+def _to_register(slot: Column, rank: Column, precision: int) -> tuple[Column, Column]:
+    """Register and rank there of a sparse slot and its rank."""
+    more = SPARSE_BITS - precision
+    low = slot.bitwiseAND(F.lit((1 << more) - 1))
+    return F.shiftright(slot, more), F.when(low == 0, rank + more).otherwise(F.lit(more + 1) - F.length(F.bin(low.cast("long")))).cast("int")
+
+
+def sketches(rows: DataFrame, group: str, key: str, precision: int = 12) -> tuple[DataFrame, DataFrame]:
+    """``(g, dense, slot, rank)`` and ``(g, observed)`` for the keys of every group of ``rows``.
+
+    A sketch is dense once it has more sparse slots than a quarter of its registers.  Registers of all groups are
+    made by one aggregation, at most one row a register, group and task; a group whose used registers already
+    exceed that quarter is dense, and only of the others, which have few slots, are sparse slots made.
+    """
+    following = F.when(F.col("k") == F.lit((1 << 63) - 1), F.lit(-(1 << 63))).otherwise(F.col("k") + 1)
+    hashed = rows.select(F.col(group).cast("long").alias("g"), F.col(key).cast("long").alias("k")).where("g is not null and k is not null").select("g", murmur64(following).alias("h"))
+    most = (1 << precision) // 4
+    slot, rank = _slots(F.col("h"), precision)
+    registers = written(hashed.select("g", slot.alias("slot"), rank.alias("rank")).groupBy("g", "slot").agg(F.max("rank").alias("rank"), F.count("*").alias("n")), "registers")
+    totals = registers.groupBy("g").agg(F.sum("n").alias("observed"), F.count("*").alias("used"))
+    few = totals.where(F.col("used") <= most).select("g")
+    slot, rank = _slots(F.col("h"), SPARSE_BITS)
+    sparse = written(hashed.join(few, "g", "left_semi").select("g", slot.alias("slot"), rank.alias("rank")).groupBy("g", "slot").agg(F.max("rank").alias("rank")), "sparse-slots")
+    kept = sparse.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("g")
+    table = registers.join(kept, "g", "left_anti").select("g", F.lit(True).alias("dense"), "slot", "rank").unionByName(sparse.join(kept, "g", "left_semi").select("g", F.lit(False).alias("dense"), "slot", "rank"))
+    return table, totals.select("g", "observed")
+
+
+def merged(table: DataFrame, precision: int = 12) -> DataFrame:
+    """One sketch a group of ``table(g, dense, slot, rank)``, whose groups may have slots of many sketches: sparse
+    ones stay sparse together, with a dense one all become registers."""
+    kinds = table.groupBy("g").agg(F.max("dense").alias("to_dense"))
+    both = table.join(kinds, "g")
+    turned = F.col("to_dense") & ~F.col("dense")
+    slot, rank = _to_register(F.col("slot"), F.col("rank"), precision)
+    moved = both.select("g", F.col("to_dense").alias("dense"), F.when(turned, slot).otherwise(F.col("slot")).alias("slot"), F.when(turned, rank).otherwise(F.col("rank")).alias("rank"))
+    return moved.groupBy("g", "dense", "slot").agg(F.max("rank").alias("rank"))
+
+
+#: Terms of the two correction series; later ones vanish in double precision.
+_TERMS = 64
+
+
+def _total(term) -> Column:
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_TERMS)), F.lit(0.0), lambda acc, k: acc + term(k.cast("double")))
+
+
+def estimates(table: DataFrame, observed: DataFrame, precision: int = 12) -> DataFrame:
+    """``(g, observed, estimate, estimate_linear)`` of a sketch table: the bias-free estimator with its corrections for
+    empty and for full slots, and the raw one with linear counting (of registers; sparse slots are turned into them)."""
+    def figures(slots: DataFrame, bits: Column, name: str) -> DataFrame:
+        counts = slots.groupBy("g", "dense", "rank").agg(F.count("*").alias("n"))
+        q = F.lit(64) - bits
+        weight = F.col("n") * F.pow(F.lit(2.0), -F.col("rank").cast("double"))
+        return counts.groupBy("g", "dense").agg(F.sum("n").alias(f"used_{name}"), F.sum(F.when(F.col("rank") <= q, weight).otherwise(0.0)).alias(f"sum_{name}"), F.sum(F.when(F.col("rank") > q, F.col("n")).otherwise(0)).alias(f"full_{name}"), F.sum(weight).alias(f"all_{name}"))
+
+    bits = F.when(F.col("dense"), F.lit(precision)).otherwise(F.lit(SPARSE_BITS))
+    own = figures(table, bits, "own")
+    slot, rank = _to_register(F.col("slot"), F.col("rank"), precision)
+    as_registers = table.select("g", "dense", F.when(F.col("dense"), F.col("slot")).otherwise(slot).alias("slot"), F.when(F.col("dense"), F.col("rank")).otherwise(rank).alias("rank")).groupBy("g", "dense", "slot").agg(F.max("rank").alias("rank"))
+    raw = figures(as_registers, F.lit(precision), "raw").drop("dense")
+    m = F.pow(F.lit(2.0), bits.cast("double"))
+    empty, full = (m - F.col("used_own")) / m, F.lit(1.0) - F.col("full_own") / m
+    sigma = empty + _total(lambda k: F.pow(empty, F.pow(F.lit(2.0), k)) * F.pow(F.lit(2.0), k - 1))
+    tau = F.when((full == 0) | (full == 1), F.lit(0.0)).otherwise((F.lit(1.0) - full - _total(lambda k: F.pow(F.lit(1.0) - F.pow(full, F.pow(F.lit(2.0), -k)), F.lit(2.0)) * F.pow(F.lit(2.0), -k))) / 3)
+    z = m * tau * F.pow(F.lit(2.0), bits.cast("double") - 64) + F.col("sum_own") + m * sigma
+    estimate = m * m / (2 * math.log(2)) / z
+    size = float(1 << precision)
+    harmonic = F.lit(_alpha(1 << precision) * size * size) / (F.col("all_raw") + F.lit(size) - F.col("used_raw"))
+    free = F.lit(size) - F.col("used_raw")
+    linear = F.when((harmonic <= 2.5 * size) & (free > 0), size * F.log(F.lit(size) / free)).otherwise(harmonic)
+    bounded = lambda e: F.when(F.col("observed") < e, F.col("observed")).otherwise(F.round(e).cast("long"))
+    return own.join(raw, "g").join(observed, "g").select("g", "observed", bounded(estimate).alias("estimate"), bounded(linear).alias("estimate_linear"))
 
 
 def exact_distinct(rows: DataFrame, group: str, key: str) -> DataFrame:

@@ -32,11 +32,13 @@ def clade_distinct(calls: DataFrame, taxonomy: Taxonomy) -> DataFrame:
 def clade_sketches(rows: DataFrame, taxonomy: Taxonomy, precision: int = 12) -> DataFrame:
     """``(node, observed, estimate)``: distinct keys of every clade by merged sketches, for ``rows(taxon, m)``.
 
-    A taxon's keys become one sketch; only sketches go up the tree, so the cost does not follow the keys.
+    A taxon's keys become one sketch; only the sketches' slots go up the tree, so the cost does not follow the keys.
     """
-    own = written(sketches(rows, "taxon", "m", precision), "sketches")
-    above = own.join(taxonomy.closure().select(F.col("node").alias("g"), "ancestor"), "g").select(F.col("ancestor").alias("g"), "sketch")
-    return estimates(merged(above, precision)).select(F.col("g").alias("node"), "observed", "estimate")
+    own, observed = sketches(rows, "taxon", "m", precision)
+    closure = taxonomy.closure().select(F.col("node").alias("g"), "ancestor")
+    above = own.join(closure, "g").select(F.col("ancestor").alias("g"), "dense", "slot", "rank")
+    totals = observed.join(closure, "g").groupBy(F.col("ancestor").alias("g")).agg(F.sum("observed").alias("observed"))
+    return estimates(merged(above, precision), totals, precision).select(F.col("g").alias("node"), "observed", "estimate")
 
 
 def ranked_tree(counts: DataFrame, taxonomy: Taxonomy, zeros: bool = False) -> DataFrame:

@@ -15,8 +15,9 @@ from phylospan.operators.lookup import lookup_accessions, lookup_any_version
 from phylospan.operators.minimizers import minimizer_tokens, minimizers
 from phylospan.operators.taxonomy import clade_sums, mark
 from phylospan.plans.bridges import BASES_N, SHORT, benchmark_index, dna, document_reads, market, market_nodes, part_index, part_reads, table
+from phylospan.sources.fastx import read_fastx
 from phylospan.sources.taxfiles import parse_id_map, prelim_map
-from phylospan.storage import written
+from phylospan.storage import new_path, written
 
 PROTEIN = IndexOptions(k=6, l=4, dna=False)
 
@@ -259,7 +260,6 @@ def stream_call_counts(spark: SparkSession, d: str) -> DataFrame:
     import uuid
 
     from phylospan.operators.classify import classify_narrow
-    from phylospan.storage import new_path
 
     index = part_index(spark, d)
     stream = spark.readStream.schema("p_partkey long, p_name string, p_brand string, p_type string").parquet(f"{d}/part.parquet*")
@@ -302,7 +302,23 @@ def distinct_exact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def distinct_sketch(spark: SparkSession, d: str) -> DataFrame:
-    return sketch.estimates(sketch.sketches(table(spark, d, "lineitem"), "l_suppkey", "l_partkey"))
+    return sketch.estimates(*sketch.sketches(table(spark, d, "lineitem"), "l_suppkey", "l_partkey"))
+
+
+def distinct_sketch_dense(spark: SparkSession, d: str) -> DataFrame:
+    """Different items by line number: groups of many keys, whose sketches are registers."""
+    return sketch.estimates(*sketch.sketches(table(spark, d, "lineitem").select(F.col("l_linenumber").alias("line"), (F.col("l_orderkey") * 100_003 + F.col("l_partkey")).alias("item")), "line", "item"))
+
+
+def fastx_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as sequence files, FASTQ and wrapped FASTA records mixed, and read back by splits."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", dna(F.coalesce("text", F.lit("")), BASES_N).alias("seq"), F.translate(F.hex(F.coalesce("text", F.lit("")).cast("binary")), "0123456789ABCDEF", "@>+$&(*,.02468:<").alias("quals"))
+    fastq = F.concat(F.lit("@"), F.col("doc_id").cast("string"), F.lit(" "), "lang", F.lit("\n"), "seq", F.lit("\n+\n"), "quals")
+    text = F.when(F.col("doc_id") % 2 == 0, fastq).otherwise(sequence.fasta_text(F.col("doc_id").cast("string"), F.col("lang"), F.col("seq"), 60))
+    folder = new_path(spark, "fastx")
+    docs.select(text.alias("value")).write.text(folder)
+    read = read_fastx(spark, f"{folder}/*.txt")
+    return read.select(F.col("header").cast("long").alias("doc_id"), F.col("comment").alias("lang"), "format", F.length("seq").cast("long").alias("bases"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"), F.md5(F.col("quals").cast("binary")).alias("quals_md5"))
 
 
 def dust_mask(spark: SparkSession, d: str) -> DataFrame:
@@ -315,5 +331,5 @@ QUERIES = {f.__name__: f for f in (
     tax_bfs_ids, tax_closure, tax_children, tax_mark_prune, tax_lca_pairs, tax_is_ancestor, clade_rollup_counts, clade_rollup_distinct, clade_rollup_sketch, clade_report, path_report,
     murmur_hash, revcomp, quality_mask, trim_pair, seqid_extract, header_taxids, fasta_wrap, six_frame,
     minimizers_dna, minimizers_ambiguous, minimizers_spaced, minimizers_protein, minimizers_scan, index_build_lca, index_value_counts, index_subsample, capacity,
-    accession_lookup, accession_unmapped, accession_any_version, id_map, distinct_exact, distinct_sketch, dust_mask,
+    accession_lookup, accession_unmapped, accession_any_version, id_map, distinct_exact, distinct_sketch, distinct_sketch_dense, dust_mask, fastx_scan,
 )}

@@ -28,6 +28,29 @@ def _signed(u: str) -> str:
     return f"(CASE WHEN {u} >= 9223372036854775808::UBIGINT THEN ({u}::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE {u}::BIGINT END)"
 
 
+def _sketch(p: int = 12) -> str:
+    """From ``k(own, g, key)``: the estimates of the sketches of ``g``, merged from those of ``own``, as ``done``."""
+    rank = lambda w, width: f"CASE WHEN {w} = 0 THEN {width + 1} ELSE {width + 1} - length(bin({w})) END"
+    more = 25 - p
+    return f""",
+    hashed AS (SELECT own, g, {_murmur("key + 1")} AS h FROM k),
+    sl AS (SELECT own, g, (h >> 39)::BIGINT AS slot, {rank("(h & 549755813887)::BIGINT", 39)} AS rank FROM hashed),
+    kinds AS (SELECT own, count(DISTINCT slot) > {1 << (p - 2)} AS dense FROM sl GROUP BY own),
+    kind AS (SELECT g, bool_or(dense) AS dense, sum(n)::BIGINT AS observed FROM (SELECT g, own, count(*) AS n FROM sl GROUP BY ALL) JOIN kinds USING (own) GROUP BY g),
+    low AS (SELECT g, slot >> {more} AS r, CASE WHEN slot & {(1 << more) - 1} = 0 THEN {more} + rank ELSE {more + 1} - length(bin(slot & {(1 << more) - 1})) END AS rank FROM sl),
+    reg AS (SELECT g, r, max(rank) AS rank FROM low GROUP BY ALL),
+    big AS (SELECT g, slot AS r, max(rank) AS rank FROM sl GROUP BY ALL),
+    own_slots AS (SELECT g, rank, {p} AS bits FROM reg JOIN kind USING (g) WHERE dense UNION ALL SELECT g, rank, 25 FROM big JOIN kind USING (g) WHERE NOT dense),
+    f AS (SELECT g, bits, pow(2.0::DOUBLE, bits) AS m, count(*) AS used, sum(CASE WHEN rank <= 64 - bits THEN pow(2.0::DOUBLE, -rank) ELSE 0 END) AS s, sum((rank > 64 - bits)::INT) AS full_ FROM own_slots GROUP BY g, bits),
+    f2 AS (SELECT *, (m - used) / m AS e, 1 - full_ / m AS u FROM f),
+    f3 AS (SELECT *, e + list_sum(list_transform(range(1, 65), lambda i: pow(e, pow(2.0::DOUBLE, i)) * pow(2.0::DOUBLE, i - 1))) AS sigma,
+      CASE WHEN u = 0 OR u = 1 THEN 0 ELSE (1 - u - list_sum(list_transform(range(1, 65), lambda i: pow(1 - pow(u, pow(2.0::DOUBLE, -i)), 2) * pow(2.0::DOUBLE, -i)))) / 3 END AS tau FROM f2),
+    f4 AS (SELECT g, m * m / (2 * ln(2)) / (m * tau * pow(2.0::DOUBLE, bits - 64) + s + m * sigma) AS est FROM f3),
+    raw AS (SELECT g, {0.7213 / (1 + 1.079 / (1 << p)) * (1 << p) ** 2!r}::DOUBLE / (sum(pow(2.0::DOUBLE, -rank)) + {1 << p} - count(*)) AS x, {1 << p} - count(*) AS free_ FROM reg GROUP BY g),
+    lin AS (SELECT g, CASE WHEN x <= {2.5 * (1 << p)} AND free_ > 0 THEN {1 << p} * ln({1 << p}::DOUBLE / free_) ELSE x END AS l FROM raw),
+    done AS (SELECT g, observed, CASE WHEN observed < est THEN observed ELSE round(est)::BIGINT END AS estimate, CASE WHEN observed < l THEN observed ELSE round(l)::BIGINT END AS estimate_linear FROM kind JOIN f4 USING (g) JOIN lin USING (g))"""
+
+
 MARKET = """
 WITH nodes_in AS (
   SELECT 1::BIGINT AS ext_id, 0::BIGINT AS parent_ext, 'root' AS name, 'no rank' AS rank, 0 AS depth
@@ -241,5 +264,9 @@ SELECT row_number() OVER (ORDER BY key)::INT AS line_no, clade_reads::BIGINT AS
     "accession_unmapped": _accession + "SELECT DISTINCT accession FROM targets WHERE accession NOT IN (SELECT accession FROM maps)",
     "accession_any_version": _accession + "SELECT seqid, targets.accession, coalesce(taxid, 0) AS taxid FROM targets LEFT JOIN last_line USING (accession)",
     "id_map": "SELECT seqid, arg_max(taxid, o_orderkey) AS taxid FROM (SELECT 'seq' || o_custkey::VARCHAR AS seqid, o_orderkey % 7 AS taxid, o_orderkey FROM orders) WHERE taxid > 0 GROUP BY 1",
+    "distinct_sketch": "WITH k AS (SELECT l_suppkey AS own, l_suppkey AS g, l_partkey AS key FROM lineitem)" + _sketch() + " SELECT g, observed, estimate, estimate_linear FROM done",
+    "distinct_sketch_dense": "WITH k AS (SELECT l_linenumber AS own, l_linenumber AS g, l_orderkey * 100003 + l_partkey AS key FROM lineitem)" + _sketch() + " SELECT g::BIGINT AS g, observed, estimate, estimate_linear FROM done",
+    "clade_rollup_sketch": MARKET + ", k AS (SELECT t.node AS own, c.ancestor AS g, l_partkey AS key FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN tax t ON t.ext_id = 1000000000 + o_custkey JOIN closure c ON c.node = t.node)" + _sketch() + " SELECT g AS node, observed, estimate FROM done",
+    "fastx_scan": f"SELECT doc_id, lang, CASE WHEN doc_id % 2 = 0 THEN 'fastq' ELSE 'fasta' END AS format, length(s)::BIGINT AS bases, md5(s) AS seq_md5, md5(CASE WHEN doc_id % 2 = 0 THEN translate(hex(coalesce(text, '')), '{HEX}', '@>+$&(*,.02468:<') ELSE '' END) AS quals_md5 FROM (SELECT *, {_dna("coalesce(text, '')", BASES_N)} AS s FROM documents)",
     "distinct_exact": "SELECT l_suppkey AS supplier, count(*) AS observed, count(DISTINCT l_partkey) AS distinct_keys FROM lineitem GROUP BY 1",
 }

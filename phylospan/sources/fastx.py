@@ -1,4 +1,4 @@
-"""FASTA and FASTQ: a streaming parser, a Spark data source, and a reader in parallel splits for large FASTA."""
+"""FASTA and FASTQ: the reader, a Spark data source for whole local files, writers and cleaning up."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from phylospan.model import SEQUENCES
-from phylospan.shipping import ship
+from phylospan.sources.splits import parse_lines, read_splits
 
 
 def open_text(path: str):
@@ -21,38 +21,6 @@ def open_text(path: str):
     return opener(path, "rt", encoding="latin-1", newline="\n")
 
 
-def _split_header(line: str) -> tuple[str, str]:
-    cut = next((k for k, c in enumerate(line) if c in " \t"), len(line))
-    return line[:cut], line[cut:].lstrip(" \t")
-
-
-def parse_fastx(lines):
-    """Records ``(header, comment, seq, quals, format)`` of lines; the first ``>`` or ``@`` decides the format.
-
-    Lines before it are skipped.  A FASTQ record's qualities are read until they are as long as its sequence.
-    """
-    lines = (line.rstrip("\r\n") for line in lines)
-    line = next((x for x in lines if x[:1] in (">", "@")), None)
-    fastq = line is not None and line[0] == "@"
-    while line is not None:
-        header, comment = _split_header(line[1:])
-        parts: list[str] = []
-        line = next(lines, None)
-        while line is not None and not line.startswith("+" if fastq else ">"):
-            parts.append(line)
-            line = next(lines, None)
-        seq = "".join(parts)
-        if not fastq:
-            yield header, comment, seq, "", "fasta"
-            continue
-        quals = ""
-        while line is not None and len(quals) < len(seq):
-            line = next(lines, None)
-            quals += line or ""
-        yield header, comment, seq, quals, "fastq"
-        line = next((x for x in lines if x.startswith("@")), None)
-
-
 class _File(InputPartition):
     def __init__(self, number: int, path: str, mate: int):
         super().__init__(number)
@@ -69,7 +37,7 @@ class FastxReader(DataSourceReader):
 
     def read(self, partition):
         with open_text(partition.path) as f:
-            for k, record in enumerate(parse_fastx(f)):
+            for k, record in enumerate(parse_lines(f)):
                 yield ((partition.number << 40) + k, partition.mate, *record)
 
 
@@ -92,22 +60,8 @@ class FastxSource(DataSource):
 
 
 def read_fastx(spark: SparkSession, paths: str | list[str], mate: int = 0) -> DataFrame:
-    """Sequence records of files, plain or ``.gz`` or ``.bz2``."""
-    ship(spark)
-    spark.dataSource.register(FastxSource)
-    names = paths if isinstance(paths, str) else ",".join(paths)
-    return spark.read.format("fastx").option("mate", str(mate)).load(names)
-
-
-def read_large_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """FASTA records read by splits of a file, from any store Spark reads; numbered in file order.
-
-    Records are cut at line breaks before ``>``, which Spark's text reader finds across splits.
-    """
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value"))
-    head = F.regexp_replace(F.substring_index("value", "\n", 1), "\r$", "")
-    rows = raw.where("value <> ''").select(head.alias("head"), F.regexp_replace(F.expr("substring(value, length(substring_index(value, '\n', 1)) + 2)"), "[\r\n]", "").alias("seq"))
-    return rows.select(F.monotonically_increasing_id().alias("seq_no"), F.lit(0).alias("mate"), F.regexp_extract("head", "^([^ \t]*)", 1).alias("header"), F.regexp_replace("head", "^[^ \t]*[ \t]*", "").alias("comment"), "seq", F.lit("").alias("quals"), F.lit("fasta").alias("format"))
+    """Sequence records of files, plain or ``.gz`` or ``.bz2``, from any store, read by splits; see :func:`~phylospan.sources.splits.read_splits`."""
+    return read_splits(spark, paths, mate)
 
 
 def write_fasta(sequences: DataFrame, path: str, width: int = 72) -> None:

@@ -26,7 +26,7 @@ def other():
 
 def test_registry():
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE_SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE_SQL) == {"classify_documents", "distinct_sketch", "clade_rollup_sketch", "dust_mask"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"classify_documents", "dust_mask"}
 
 
 @needs_tables

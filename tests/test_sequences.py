@@ -13,6 +13,7 @@ from phylospan.model import IndexOptions
 from phylospan.operators.lookup import lookup_accessions, lookup_any_version
 from phylospan.operators.taxonomy import Taxonomy
 from phylospan.sources import binary, fastx, taxfiles
+from phylospan.sources.splits import parse_lines
 
 
 def model_frames(dna):
@@ -124,14 +125,34 @@ def test_sketch_merges():
         sketch.Sketch(12).merge(sketch.Sketch(10))
 
 
-def test_sketch_table(spark):
-    df = spark.range(30_000).select((F.col("id") % 3).alias("g"), (F.col("id") % 7000).alias("k"))
-    got = {r.g: r for r in sketch.estimates(sketch.sketches(df, "g", "k")).collect()}
-    exact = {r.g: r for r in sketch.exact_distinct(df, "g", "k").collect()}
-    for g in range(3):
-        assert got[g].observed == exact[g].observed == 10_000
-        assert abs(got[g].estimate - exact[g].distinct_keys) <= 0.06 * exact[g].distinct_keys
-    assert sketch.estimates(sketch.sketches(df.limit(0), "g", "k")).count() == 0
+def test_sketch_columns_equal_the_step_by_step_sketch(spark):
+    """Groups around the size at which a sketch turns into registers, with repeated, negative and extreme keys."""
+    rng = np.random.default_rng(5)
+    sizes = [1, 2, 50, 1000, 1023, 1024, 1025, 1030, 1500, 4000, 20_000]
+    keys = {g: rng.integers(-(1 << 63), (1 << 63) - 1, n) for g, n in enumerate(sizes)}
+    keys[0] = np.array([(1 << 63) - 1])
+    keys[2] = np.repeat(keys[2][:10], 5)
+    rows = spark.createDataFrame([(g, int(k)) for g, x in keys.items() for k in x] + [(None, 1), (3, None)], "g long, k long")
+    table, observed = sketch.sketches(rows, "g", "k")
+    got = {r.g: (r.observed, r.estimate, r.estimate_linear) for r in sketch.estimates(table, observed).collect()}
+    own = {g: sketch.Sketch().add(x) for g, x in keys.items()}
+    assert got == {g: (s.observed, s.estimate(), s.estimate_linear()) for g, s in own.items()}
+    assert {r.g: r.dense for r in table.select("g", "dense").distinct().collect()} == {g: s.registers is not None for g, s in own.items()}
+    # merged: sparse ones with each other, with dense ones, and many sparse ones beyond the size of a dense one
+    groups = {0: [0, 2], 1: [4, 10], 2: [3, 4, 5], 3: [9, 10], 4: [8]}
+    members = spark.createDataFrame([(g, t) for t, gs in groups.items() for g in gs], "g long, t long")
+    both = table.join(members, "g").select(F.col("t").alias("g"), "dense", "slot", "rank")
+    totals = observed.join(members, "g").groupBy(F.col("t").alias("g")).agg(F.sum("observed").alias("observed"))
+    merged = {r.g: (r.observed, r.estimate, r.estimate_linear) for r in sketch.estimates(sketch.merged(both), totals).collect()}
+    for t, gs in groups.items():
+        s = own[gs[0]]
+        for g in gs[1:]:
+            s = s.merge(own[g])
+        assert merged[t] == (s.observed, s.estimate(), s.estimate_linear()), t
+
+
+def test_sketch_of_no_rows(spark):
+    assert sketch.estimates(*sketch.sketches(spark.createDataFrame([], "g long, k long"), "g", "k")).count() == 0
 
 
 # --- sources -----------------------------------------------------------------------------------------
@@ -140,11 +161,11 @@ FASTA = ">seq1 some comment\nACGTACGT\nGGGG\n>seq2\nTTTT\n"
 FASTQ = "@read1 desc\nACGT\n+\nIIII\n@read2\nTT\nTT\n+x\n@JJ\nJ\n"
 
 
-def test_parse_fastx():
-    assert list(fastx.parse_fastx(FASTA.splitlines(True))) == [("seq1", "some comment", "ACGTACGTGGGG", "", "fasta"), ("seq2", "", "TTTT", "", "fasta")]
-    assert list(fastx.parse_fastx(FASTQ.splitlines(True))) == [("read1", "desc", "ACGT", "IIII", "fastq"), ("read2", "", "TTTT", "@JJJ", "fastq")]
-    assert list(fastx.parse_fastx(["junk\n", "\n", ">a\tb  c\r\n", "AC\r\n"])) == [("a", "b  c", "AC", "", "fasta")]
-    assert list(fastx.parse_fastx([])) == [] and list(fastx.parse_fastx([">x"])) == [("x", "", "", "", "fasta")]
+def test_parse_lines():
+    assert list(parse_lines(FASTA.splitlines(True))) == [("seq1", "some comment", "ACGTACGTGGGG", "", "fasta"), ("seq2", "", "TTTT", "", "fasta")]
+    assert list(parse_lines(FASTQ.splitlines(True))) == [("read1", "desc", "ACGT", "IIII", "fastq"), ("read2", "", "TTTT", "@JJJ", "fastq")]
+    assert list(parse_lines(["junk\n", "\n", ">a\tb  c\r\n", "AC\r\n"])) == [("a", "b  c", "AC", "", "fasta")]
+    assert list(parse_lines([])) == [] and list(parse_lines([">x"])) == [("x", "", "", "", "fasta")]
 
 
 def test_fastx_source(spark, tmp_path):
@@ -157,8 +178,8 @@ def test_fastx_source(spark, tmp_path):
     assert [r.header for r in got] == ["seq1", "seq2", "read1", "read2", "seq1", "seq2"]
     assert [r.seq_no for r in got] == [0, 1, 1 << 40, (1 << 40) + 1, 2 << 40, (2 << 40) + 1]
     assert fastx.read_fastx(spark, f"{tmp_path}/a.fa", mate=1).first().mate == 1
-    large = fastx.read_large_fasta(spark, f"{tmp_path}/a.fa").orderBy("seq_no").collect()
-    assert [(r.header, r.comment, r.seq) for r in large] == [("seq1", "some comment", "ACGTACGTGGGG"), ("seq2", "", "TTTT")]
+    spark.dataSource.register(fastx.FastxSource)
+    assert [(r.header, r.seq) for r in spark.read.format("fastx").load(f"{tmp_path}/b.fq.gz").collect()] == [("read1", "ACGT"), ("read2", "TTTT")]
     fastx.write_fasta(fastx.read_fastx(spark, f"{tmp_path}/a.fa"), f"{tmp_path}/out", 8)
     assert "\n".join(r.value for r in spark.read.text(f"{tmp_path}/out").collect()) == ">seq1 some comment\nACGTACGT\nGGGG\n>seq2\nTTTT"
 
