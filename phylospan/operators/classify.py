@@ -205,6 +205,35 @@ class _Arrays:
         return out
 
 
+class _PieceCodes:
+    """Pieces ``(read, mate, frame, piece, seq)`` to coded runs; neighbouring runs of no hit become one.
+
+    Such runs' minimizers are none that hits, so they tell hit groups apart no less together.
+    """
+
+    schema = pa.schema([("read", pa.int64()), ("mate", pa.int32()), ("frame", pa.int32()), ("piece", pa.int32()), ("run", pa.int32()), ("minimizer", pa.int64()), ("tokens", pa.int64()), ("code", pa.int64())])
+    ddl = "read long, mate int, frame int, piece int, run int, minimizer long, tokens long, code long"
+
+    def __init__(self, arrays, tree, options):
+        self.arrays, self.tree, self.options = arrays, tree, options
+
+    def __call__(self, batches):
+        arrays, tree, o = self.arrays.value, self.tree.value, self.options
+        for batch in batches:
+            for k in range(batch.num_rows):
+                _, m, ambiguous, _, size = runs_of([(batch.column(4)[k].as_py() or "").encode("latin-1", "replace")], o)
+                if not len(m):
+                    continue
+                code = tree.node[arrays.find(m)].astype(np.int64)
+                if o.min_hash:
+                    code = np.where(fmix64(m) < np.uint64(o.min_hash), 0, code)
+                code = np.where(ambiguous, AMBIGUOUS, code)
+                first = np.flatnonzero(np.append(True, (code[1:] != 0) | (code[:-1] != 0)))
+                place = [np.full(len(first), batch.column(c)[k].as_py()) for c in range(4)]
+                columns = (*place, np.arange(len(first)), m[first].view(np.int64), np.add.reduceat(size.astype(np.int64), first), code[first])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, self.schema.types)], schema=self.schema)
+
+
 #: Reads whose rows are made at once, and bases after which no more are taken.
 READS, BASES = 4096, 1 << 22
 
@@ -254,6 +283,21 @@ def _frame_array(opts: ClassifyOptions):
 # --- joins -------------------------------------------------------------------------------------------
 
 
+#: Bases of a piece of a long sequence.
+PIECE = 1 << 20
+
+
+def pieces_of(frames: DataFrame, k: int, piece: int | None = None) -> DataFrame:
+    """``frames(read, mate, frame, seq)`` in pieces ``(read, mate, frame, piece, seq)``, dealt out over tasks.
+
+    Pieces overlap by ``k - 1`` bases, so each token lies in one of them, and what is ambiguous in it shows there.
+    """
+    piece = piece or PIECE
+    last = F.greatest(F.floor((F.length("seq") - k) / piece), F.lit(0)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("seq"), i * piece + 1, F.lit(piece + k - 1)))
+    return frames.select("read", "mate", "frame", F.posexplode(parts).alias("piece", "seq")).repartition("read", "mate", "frame", "piece")
+
+
 class _Settled:
     """Runs sorted by read, mate, frame and place, an end behind every frame, to the rows of whole reads."""
 
@@ -277,15 +321,19 @@ class _Settled:
 
     def rows(self, held):
         t = pa.Table.from_batches(held)
-        read, end, minimizer, fresh, size, code = (t[c].to_numpy() for c in ("read", "end", "minimizer", "fresh", "tokens", "code"))
+        read, end, minimizer, size, code = (t[c].to_numpy() for c in ("read", "end", "minimizer", "tokens", "code"))
         end = end.astype(bool)
         before = np.cumsum(end)  # frames ended up to a row
         last = np.flatnonzero(end)
         reads = read[last[:: self.frames]]
         tree = self.tree.value
         at = ~end
-        code = np.where(code > 0, tree.entry[np.maximum(code, 0)], code)
-        return settle(tree, self.opts, reads, before[at], code[at], fresh[at].astype(bool), size[at].astype(np.int64), minimizer[at].view(np.uint64), self.kmers)
+        owner, code, minimizer = before[at], np.where(code > 0, tree.entry[np.maximum(code, 0)], code)[at], minimizer[at]
+        # a run opens a hit group where its minimizer is not the frame's last unambiguous one, in whatever piece that was
+        fresh = code != AMBIGUOUS
+        clear = np.flatnonzero(fresh)
+        fresh[clear[1:]] = (minimizer[clear[1:]] != minimizer[clear[:-1]]) | (owner[clear[1:]] != owner[clear[:-1]])
+        return settle(tree, self.opts, reads, owner, code, fresh, size[at].astype(np.int64), minimizer.view(np.uint64), self.kmers)
 
 
 def _by_joins(index: TaxIndex, reads: DataFrame, opts: ClassifyOptions, kmers: bool) -> DataFrame:
@@ -296,12 +344,26 @@ def _by_joins(index: TaxIndex, reads: DataFrame, opts: ClassifyOptions, kmers: b
     # keys of no hit, all null, would gather in one task
     probed = keyed.where("key is not null").join(index.index.select(F.col("minimizer").alias("key"), "taxon"), "key", "left").unionByName(keyed.where("key is null"), allowMissingColumns=True)
     code = F.when(F.col("ambiguous"), F.lit(AMBIGUOUS).cast("long")).otherwise(F.coalesce("taxon", F.lit(0).cast("long")))
-    runs = probed.select("read", "mate", "frame", "run", F.lit(False).alias("end"), "minimizer", "fresh", "tokens", code.alias("code"))
+    return _together(index, reads, probed.select("read", "mate", "frame", F.lit(0).alias("piece"), "run", "minimizer", F.col("tokens").cast("long").alias("tokens"), code.alias("code")), opts, kmers)
+
+
+def _together(index: TaxIndex, reads: DataFrame, runs: DataFrame, opts: ClassifyOptions, kmers: bool) -> DataFrame:
+    """The rows of reads from their coded runs ``(read, mate, frame, piece, run, minimizer, tokens, code)``."""
     marks = [F.struct(F.lit(m).alias("mate"), F.lit(f).alias("frame")) for m in range(2 if opts.paired else 1) for f in range(6 if opts.translated else 1)]
-    ends = reads.select(F.col("seq_no").alias("read"), F.explode(F.array(*marks)).alias("m")).select("read", "m.mate", "m.frame", F.lit((1 << 31) - 1).alias("run"), F.lit(True).alias("end"), F.lit(0).cast("long").alias("minimizer"), F.lit(False).alias("fresh"), F.lit(0).alias("tokens"), F.lit(0).cast("long").alias("code"))
-    ordered = runs.unionByName(ends).repartition("read").sortWithinPartitions("read", "mate", "frame", "run")
+    last = F.lit((1 << 31) - 1)
+    zero = F.lit(0).cast("long")
+    ends = reads.select(F.col("seq_no").alias("read"), F.explode(F.array(*marks)).alias("m")).select("read", "m.mate", "m.frame", last.alias("piece"), last.alias("run"), zero.alias("minimizer"), zero.alias("tokens"), zero.alias("code"), F.lit(True).alias("end"))
+    ordered = runs.withColumn("end", F.lit(False)).unionByName(ends).repartition("read").sortWithinPartitions("read", "mate", "frame", "piece", "run")
+    ship(reads.sparkSession)
+    return ordered.mapInArrow(_Settled(index.taxonomy.tree(), opts, kmers), CALLS)
+
+
+def classify_long(index: TaxIndex, reads: DataFrame, opts: ClassifyOptions = ClassifyOptions(), kmers: bool = False, piece: int | None = None) -> DataFrame:
+    """Calls of prepared reads as long as chromosomes: pieces of each are scanned and looked up by many tasks, and
+    the runs that are left, stretches without a hit being one each, come together by read."""
+    pieces = pieces_of(frames_of(reads, opts), index.options.k, piece)
     ship(reads.sparkSession)
-    return ordered.mapInArrow(_Settled(taxonomy.tree(), opts, kmers), CALLS)
+    return _together(index, reads, pieces.mapInArrow(_PieceCodes(index.arrays(), index.taxonomy.tree(), index.options), _PieceCodes.ddl), opts, kmers)
 
 
 # --- joins on the closure, for taxonomies beyond the broadcast arrays ---------------------------------
@@ -403,19 +465,26 @@ def hitlists(coded: DataFrame, taxonomy) -> DataFrame:
 # --- the operator ------------------------------------------------------------------------------------
 
 
-def classify(index: TaxIndex, reads: DataFrame, opts: ClassifyOptions = ClassifyOptions(), kmers: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def classify(index: TaxIndex, reads: DataFrame, opts: ClassifyOptions = ClassifyOptions(), kmers: bool = False, broadcast_rows: int = BROADCAST_ROWS, long_bases: int | None = None) -> DataFrame:
     """Calls of ``reads`` (see :func:`single_reads`): ``(read, call, total, hit_groups, hitlist, hits, kmers)``.
 
     ``call`` is an internal number, 0 for unclassified.  ``hits`` counts tokens by taxon; with ``kmers`` the
     minimizers that opened hit groups are kept by taxon, for reports.  A protein index turns on translated
-    search.  The sizes of the taxonomy and of the index decide the plan; all give the same rows.
+    search.  The sizes of the taxonomy and of the index decide the plan; all give the same rows.  With
+    ``long_bases`` reads with more bases are scanned in pieces by many tasks (see :func:`classify_long`); the
+    reads are then scanned by two branches of the plan.
     """
     if not index.options.dna and not opts.translated:
         opts = ClassifyOptions(**{**opts.__dict__, "translated": True})
     ready = prepared(reads, opts)
     if index.taxonomy.tree() is None:
         return _by_closure(index, ready, opts, kmers)
-    return classify_narrow(index, ready, opts, kmers) if index.fits(broadcast_rows) else _by_joins(index, ready, opts, kmers)
+    if not index.fits(broadcast_rows):
+        return _by_joins(index, ready, opts, kmers)
+    if long_bases is None:
+        return classify_narrow(index, ready, opts, kmers)
+    bases = F.coalesce(F.length("seq1"), F.lit(0)) + F.coalesce(F.length("seq2"), F.lit(0))
+    return classify_narrow(index, ready.where(bases <= long_bases), opts, kmers).unionByName(classify_long(index, ready.where(bases > long_bases), opts, kmers))
 
 
 def output_lines(calls: DataFrame, reads: DataFrame, taxonomy, opts: ClassifyOptions = ClassifyOptions()) -> DataFrame:

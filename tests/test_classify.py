@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from phylospan.functions.bits import fmix64
 from phylospan.model import ClassifyOptions, IndexOptions
 from phylospan.operators import reports
-from phylospan.operators.classify import classify, hit_list, output_lines, pair_files, pair_interleaved, prepared, run_stats, single_reads, split_names, split_reads, stats_text
+from phylospan.operators.classify import classify, classify_long, hit_list, output_lines, pair_files, pair_interleaved, prepared, run_stats, single_reads, split_names, split_reads, stats_text
 from phylospan.operators.index import TaxIndex, build_index, estimate_capacity, sequence_taxa, subsampled
 from phylospan.operators.taxonomy import Taxonomy, lca_by, lca_by_closure, mark, number
 from phylospan.operators import tree as trees
@@ -201,6 +201,10 @@ def test_all_plans_equal_the_model(spark, world, opts, monkeypatch):
         if opts.quick and plan == "closure":
             got = {k: (c, expected[k][1], h) for k, (c, _, h) in got.items()}  # groups after the stop are not comparable
         assert got == expected, plan
+        if plan == "narrow":  # pieces of 10 bases, whose borders fall everywhere
+            for piece in (1, 10):
+                assert {r.read: (r.call, r.hit_groups, r.hitlist) for r in classify_long(index, prepared(reads, opts), opts, piece=piece).collect()} == expected
+            assert {r.read: (r.call, r.hit_groups, r.hitlist) for r in classify(index, reads, opts, long_bases=70).collect()} == expected
 
 
 def test_hits_and_kmers_of_all_plans(spark, world, monkeypatch):
