@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,31 +18,67 @@ from phylospan.shipping import ship
 
 WINDOW, THRESHOLD = 64, 20
 _runs = re.compile("[ACGTUacgtu]+")
-_code = str.maketrans("ACGTU", "01233")
+_codes = np.zeros(256, np.int64)
+for _k, _letters in enumerate(("Aa", "Cc", "Gg", "TtUu")):
+    _codes[[ord(c) for c in _letters]] = _k
+
+
+#: Triplets whose ends are looked at together; each stretch of them reads a window more before its start.
+STRETCH = 1 << 16
+
+
+def promising_ends(codes: np.ndarray, window: int = WINDOW, threshold: int = THRESHOLD) -> np.ndarray:
+    """Last triplets at which some stretch scores over the threshold, by array steps over all of them.
+
+    A stretch's last triplet must have come often enough in the window before.  For each that has, the equal pairs of
+    all its stretches follow from how often every triplet has come up to there and up to each start.
+    """
+    triplets = codes[:-2] * 16 + codes[1:-1] * 4 + codes[2:]
+    limit = window - 2
+    out = [_promising(triplets[max(0, lo - limit + 1) : lo + STRETCH], min(lo, limit - 1), limit, threshold) + max(0, lo - limit + 1) for lo in range(0, len(triplets), STRETCH)]
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+def _promising(t: np.ndarray, skip: int, limit: int, threshold: int) -> np.ndarray:
+    n = len(t)
+    order = np.argsort(t, kind="stable")
+    in_order = t[order]
+    place = np.empty(n, np.int64)  # how often a triplet has come, up to and with a position
+    place[order] = np.arange(n) - np.searchsorted(in_order, in_order) + 1
+    others = threshold // 10 + 1
+    often = np.zeros(n, bool)
+    if n > others:
+        often[order[others:]] = (in_order[others:] == in_order[:-others]) & (order[others:] - order[:-others] < limit)
+    ends = np.flatnonzero(often)
+    ends = ends[ends >= skip]
+    if not len(ends):
+        return ends
+    upto = np.bincount(np.searchsorted(ends, np.arange(n)) * 64 + t, minlength=64 * (len(ends) + 1)).reshape(-1, 64)[:-1].cumsum(axis=0)
+    rows, pairs, hit = np.arange(len(ends)), np.zeros(len(ends), np.int64), np.zeros(len(ends), bool)
+    for back in range(limit):
+        at = ends - back
+        inside = at >= 0
+        at = np.maximum(at, 0)
+        pairs += np.where(inside, upto[rows, t[at]] - place[at], 0)
+        hit |= inside & (pairs * 10 > threshold * back) & (back > 0)
+    return ends[hit]
 
 
 def perfect_intervals(run: str, window: int = WINDOW, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
     """Merged ``(start, end)`` of the perfect intervals of a run of bases.
 
-    For each last triplet the starts are walked backwards with the number of equal pairs kept up to date; a
+    For each promising last triplet the starts are walked backwards with the number of equal pairs kept up to date; a
     stretch is perfect if it scores at least as high as the best perfect stretch inside it.
     """
-    digits = run.upper().translate(_code)
-    triplets = [int(digits[k : k + 3], 4) for k in range(len(digits) - 2)]
+    codes = _codes[np.frombuffer(run.encode("ascii"), np.uint8)]
+    if len(codes) < 3:
+        return []
+    triplets = (codes[:-2] * 16 + codes[1:-1] * 4 + codes[2:]).tolist()
     limit = window - 2  # triplets in a window
     best: list[tuple[int, int, int, int]] = []  # (start, last triplet, pairs, triplets - 1) of perfect stretches in reach
     found: list[tuple[int, int]] = []
-    held = [0] * 64
-    enough = threshold // 10 + 2
-    for last, newest in enumerate(triplets):
+    for last in promising_ends(codes, window, threshold).tolist():
         low = max(0, last - limit + 1)
-        held[newest] += 1
-        if low:
-            held[triplets[low - 1]] -= 1
-        # an interval stays perfect only if its last triplet has more pairs in it than the threshold asks
-        # of each, else it would score higher without it
-        if held[newest] < enough:
-            continue
         best = [b for b in best if b[0] >= low]
         counts: dict[int, int] = {}
         pairs, top_pairs, top_len = 0, 0, 0

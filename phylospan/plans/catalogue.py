@@ -17,7 +17,7 @@ from phylospan.operators.taxonomy import clade_sums, mark
 from phylospan.plans.bridges import BASES_N, SHORT, benchmark_index, dna, document_reads, market, market_nodes, part_index, part_reads, table
 from phylospan.sources.fastx import read_fastx
 from phylospan.sources.taxfiles import parse_id_map, prelim_map
-from phylospan.storage import new_path, written
+from phylospan.storage import dealt, new_path, written
 
 PROTEIN = IndexOptions(k=6, l=4, dna=False)
 
@@ -326,10 +326,33 @@ def dust_mask(spark: SparkSession, d: str) -> DataFrame:
     return dust.mask_low_complexity(items)
 
 
+def dust_mask_parts(spark: SparkSession, d: str) -> DataFrame:
+    return dust.mask_low_complexity(dealt(_names(spark, d)))
+
+
+def dust_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents as DNA: masked bases of each, and a digest of the masked text."""
+    docs = dealt(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", dna(F.col("text"), BASES_N).alias("seq"))
+    masked = dust.mask_low_complexity(docs)
+    return masked.select("doc_id", F.length(F.regexp_replace("seq", "[^acgt]", "")).cast("long").alias("masked"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
+
+
+def classify_long_documents(spark: SparkSession, d: str) -> DataFrame:
+    """As classify_documents, documents of more than 20,000 bases in pieces of 16,384."""
+    from phylospan.operators.classify import classify_long, classify_narrow, prepared
+
+    index, opts = benchmark_index(spark, d), ClassifyOptions()
+    reads = prepared(document_reads(spark, d), opts)
+    long = F.coalesce(F.length("seq1"), F.lit(0)) > 20_000
+    got = classify_narrow(index, reads.where(~long), opts).unionByName(classify_long(index, reads.where(long), opts, piece=1 << 14))
+    ext = index.taxonomy.nodes.select(F.col("node").alias("call"), "ext_id")
+    return got.join(ext, "call", "left").select(F.col("read").alias("doc_id"), F.coalesce("ext_id", F.lit(0).cast("long")).alias("taxid"), "total", "hit_groups")
+
+
 QUERIES = {f.__name__: f for f in (
-    classify_calls, classify_joins, classify_confidence, classify_hit_groups, classify_paired, classify_quick, classify_lines, classify_stats, split_outputs, classify_report, classify_documents, stream_call_counts,
+    classify_calls, classify_joins, classify_confidence, classify_hit_groups, classify_paired, classify_quick, classify_lines, classify_stats, split_outputs, classify_report, classify_documents, classify_long_documents, stream_call_counts,
     tax_bfs_ids, tax_closure, tax_children, tax_mark_prune, tax_lca_pairs, tax_is_ancestor, clade_rollup_counts, clade_rollup_distinct, clade_rollup_sketch, clade_report, path_report,
     murmur_hash, revcomp, quality_mask, trim_pair, seqid_extract, header_taxids, fasta_wrap, six_frame,
     minimizers_dna, minimizers_ambiguous, minimizers_spaced, minimizers_protein, minimizers_scan, index_build_lca, index_value_counts, index_subsample, capacity,
-    accession_lookup, accession_unmapped, accession_any_version, id_map, distinct_exact, distinct_sketch, distinct_sketch_dense, dust_mask, fastx_scan,
+    accession_lookup, accession_unmapped, accession_any_version, id_map, distinct_exact, distinct_sketch, distinct_sketch_dense, dust_mask, dust_mask_parts, dust_documents, fastx_scan,
 )}

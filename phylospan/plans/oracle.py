@@ -268,5 +268,18 @@ SELECT row_number() OVER (ORDER BY key)::INT AS line_no, clade_reads::BIGINT AS
     "distinct_sketch_dense": "WITH k AS (SELECT l_linenumber AS own, l_linenumber AS g, l_orderkey * 100003 + l_partkey AS key FROM lineitem)" + _sketch() + " SELECT g::BIGINT AS g, observed, estimate, estimate_linear FROM done",
     "clade_rollup_sketch": MARKET + ", k AS (SELECT t.node AS own, c.ancestor AS g, l_partkey AS key FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN tax t ON t.ext_id = 1000000000 + o_custkey JOIN closure c ON c.node = t.node)" + _sketch() + " SELECT g AS node, observed, estimate FROM done",
     "fastx_scan": f"SELECT doc_id, lang, CASE WHEN doc_id % 2 = 0 THEN 'fastq' ELSE 'fasta' END AS format, length(s)::BIGINT AS bases, md5(s) AS seq_md5, md5(CASE WHEN doc_id % 2 = 0 THEN translate(hex(coalesce(text, '')), '{HEX}', '@>+$&(*,.02468:<') ELSE '' END) AS quals_md5 FROM (SELECT *, {_dna("coalesce(text, '')", BASES_N)} AS s FROM documents)",
+    "dust_mask_parts": f"""
+WITH p AS (SELECT p_partkey, {_dna("p_name")} AS s FROM part),
+t AS (SELECT p_partkey AS k, i, substr(s, (i + 1)::INT, 3) AS c FROM (SELECT *, unnest(range(0, greatest(length(s) - 2, 0))) AS i FROM p)),
+pairs AS (SELECT a.k, a.i AS s, b.i AS e, (a.c = b.c)::INT AS q FROM t a JOIN t b ON a.k = b.k AND b.i BETWEEN a.i AND a.i + 61),
+more AS (SELECT *, sum(q) OVER (PARTITION BY k, s ORDER BY e) - 1 AS q2 FROM pairs),
+whole AS (SELECT *, sum(q2) OVER (PARTITION BY k, e ORDER BY s DESC) AS n FROM more),
+scored AS (SELECT *, CASE WHEN e > s AND 10 * n > 20 * (e - s) THEN n / (e - s) END AS score FROM whole),
+ending AS (SELECT *, max(score) OVER (PARTITION BY k, e ORDER BY s DESC) AS top FROM scored),
+within AS (SELECT *, max(top) OVER (PARTITION BY k, s ORDER BY e) AS best FROM ending),
+low AS (SELECT DISTINCT k, unnest(range(s, e + 3)) AS i FROM within WHERE score >= best),
+bases AS (SELECT p_partkey, i, substr(s, (i + 1)::INT, 1) AS b FROM (SELECT *, unnest(range(0, length(s))) AS i FROM p)),
+shown AS (SELECT p_partkey, bases.i, CASE WHEN low.k IS NULL THEN b ELSE lower(b) END AS b FROM bases LEFT JOIN low ON low.k = p_partkey AND low.i = bases.i)
+SELECT p_partkey AS seq_no, string_agg(b, '' ORDER BY i) AS seq FROM shown GROUP BY 1""",
     "distinct_exact": "SELECT l_suppkey AS supplier, count(*) AS observed, count(DISTINCT l_partkey) AS distinct_keys FROM lineitem GROUP BY 1",
 }

@@ -26,7 +26,7 @@ def other():
 
 def test_registry():
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE_SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE_SQL) == {"classify_documents", "dust_mask"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"classify_documents", "classify_long_documents", "dust_documents", "dust_mask"}
 
 
 @needs_tables
@@ -60,12 +60,15 @@ def test_documents_by_brute_force(spark):
 
 @needs_tables
 def test_masks_and_sketches(spark):
-    from phylospan.plans.bridges import dna, table
+    from phylospan.plans.bridges import BASES_N, dna, table
     from pyspark.sql import functions as F
 
     masked = {r.item_id: r.seq for r in QUERIES["dust_mask"](spark, DATA).collect()}
     for r in table(spark, DATA, "benchmark").select("item_id", dna(F.col("text")).alias("s")).collect():
         assert masked[r.item_id] == dust_mask(r.s)
+    whole = {r.doc_id: r.masked for r in QUERIES["dust_documents"](spark, DATA).collect()}
+    for r in table(spark, DATA, "documents").where("doc_id % 20 = 0").select("doc_id", dna(F.col("text"), BASES_N).alias("s")).collect():
+        assert whole[r.doc_id] == sum(c in "acgt" for c in dust_mask(r.s))
     exact = {r.supplier: r.distinct_keys for r in QUERIES["distinct_exact"](spark, DATA).collect()}
     for r in QUERIES["distinct_sketch"](spark, DATA).collect():
         assert abs(r.estimate - exact[r.g]) <= 0.06 * exact[r.g] + 1
@@ -74,3 +77,9 @@ def test_masks_and_sketches(spark):
     assert set(rolled) == set(estimated)
     for n, r in estimated.items():
         assert r.observed == rolled[n].parts and abs(r.estimate - rolled[n].distinct_parts) <= 0.06 * rolled[n].distinct_parts + 1
+
+
+@needs_tables
+def test_pieces_of_documents_give_the_calls_of_whole_ones(spark):
+    rows = [sorted(map(tuple, QUERIES[q](spark, DATA).collect())) for q in ("classify_documents", "classify_long_documents")]
+    assert rows[0] == rows[1]

@@ -96,6 +96,19 @@ def test_dust():
         assert got == plain_perfect(run)
 
 
+def test_dust_by_stretches(monkeypatch):
+    """Promising ends do not depend on where the array steps are cut, and leave out no interval."""
+    rng = random.Random(4)
+    for _ in range(40):
+        run = "".join(rng.choices(rng.choice(["ACGT", "AC", "AAAT"]), k=rng.randint(0, 400))) + "ACT" * rng.randint(0, 30)
+        want = dust.perfect_intervals(run)
+        for stretch in (1, 7, 100):
+            monkeypatch.setattr(dust, "STRETCH", stretch)
+            assert dust.perfect_intervals(run) == want
+        monkeypatch.undo()
+    assert dust.perfect_intervals("AC") == [] and dust.perfect_intervals("ACG") == []
+
+
 def test_dust_table(spark):
     df = spark.createDataFrame([(1, "A" * 30, "x"), (2, None, "y"), (3, "", "z")], "seq_no long, seq string, masked string")
     got = {r.seq_no: (r.seq, r.masked) for r in dust.mask_low_complexity(df).collect()}
