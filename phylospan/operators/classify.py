@@ -336,15 +336,45 @@ class _Settled:
         return settle(tree, self.opts, reads, owner, code, fresh, size[at].astype(np.int64), minimizer.view(np.uint64), self.kmers)
 
 
+class _Sifted:
+    """Frames ``(read, mate, frame, seq)`` to runs; ``ask`` marks those whose minimizer may be in the index, the others
+    have their code.  Neighbouring runs that surely hit nothing become one."""
+
+    schema = pa.schema([("read", pa.int64()), ("mate", pa.int32()), ("frame", pa.int32()), ("run", pa.int32()), ("minimizer", pa.int64()), ("tokens", pa.int64()), ("code", pa.int64()), ("ask", pa.bool_())])
+    ddl = "read long, mate int, frame int, run int, minimizer long, tokens long, code long, ask boolean"
+
+    def __init__(self, sieve, options):
+        self.sieve, self.options = sieve, options
+
+    def __call__(self, batches):
+        sieve, o = self.sieve.value, self.options
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                read, mate, frame = (part.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+                owner, m, ambiguous, _, size = runs_of([(s or "").encode("latin-1", "replace") for s in part.column(3).to_pylist()], o)
+                if not len(m):
+                    continue
+                ask = ~ambiguous & sieve.maybe(m)
+                if o.min_hash:
+                    ask &= fmix64(m) >= np.uint64(o.min_hash)
+                none = ~ambiguous & ~ask
+                first = np.flatnonzero(np.append(True, ~(none[1:] & none[:-1]) | (owner[1:] != owner[:-1])))
+                code = np.where(ambiguous, AMBIGUOUS, 0)[first]
+                own = owner[first]
+                columns = (read[own], mate[own], frame[own], np.arange(len(first)), m[first].view(np.int64), np.add.reduceat(size.astype(np.int64), first), code, ask[first])
+                for at in range(0, len(first), 1 << 17):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 17)], t) for c, t in zip(columns, self.schema.types)], schema=self.schema)
+
+
 def _by_joins(index: TaxIndex, reads: DataFrame, opts: ClassifyOptions, kmers: bool) -> DataFrame:
-    """Runs meet the index by minimizer and come together again by read: two shuffles of runs, and no closure."""
-    taxonomy = index.taxonomy
-    scanned = minimizer_runs(frames_of(reads, opts), index.options)
-    keyed = scanned.withColumn("key", F.when(~F.col("ambiguous") & ~F.col("low"), F.col("minimizer")))
-    # keys of no hit, all null, would gather in one task
-    probed = keyed.where("key is not null").join(index.index.select(F.col("minimizer").alias("key"), "taxon"), "key", "left").unionByName(keyed.where("key is null"), allowMissingColumns=True)
-    code = F.when(F.col("ambiguous"), F.lit(AMBIGUOUS).cast("long")).otherwise(F.coalesce("taxon", F.lit(0).cast("long")))
-    return _together(index, reads, probed.select("read", "mate", "frame", F.lit(0).alias("piece"), "run", "minimizer", F.col("tokens").cast("long").alias("tokens"), code.alias("code")), opts, kmers)
+    """Runs that may hit meet the index by minimizer, and all come together by read: no closure, and of an index saved
+    in buckets no move of the index."""
+    ship(reads.sparkSession)
+    runs = frames_of(reads, opts).select("read", "mate", "frame", "seq").mapInArrow(_Sifted(index.sieve(), index.options), _Sifted.ddl)
+    asked = runs.where("ask").drop("code").join(index.index.select("minimizer", "taxon"), "minimizer", "left").withColumn("code", F.coalesce("taxon", F.lit(0).cast("long")))
+    columns = ["read", "mate", "frame", F.lit(0).alias("piece"), "run", "minimizer", "tokens", "code"]
+    return _together(index, reads, asked.select(columns).unionByName(runs.where("not ask").select(columns)), opts, kmers)
 
 
 def _together(index: TaxIndex, reads: DataFrame, runs: DataFrame, opts: ClassifyOptions, kmers: bool) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from phylospan.functions.bits import SECTIONS, murmur64, signed, unsigned_less
 from phylospan.model import INDEX, IndexOptions
 from phylospan.operators.minimizers import found_minimizers, minimizers
+from phylospan.operators.sieve import sieve_of
 from phylospan.operators.taxonomy import Taxonomy, lca_by, lca_of_entries
 
 
@@ -24,7 +26,14 @@ class TaxIndex:
     def __init__(self, index: DataFrame, taxonomy: Taxonomy, options: IndexOptions):
         self.index, self.taxonomy, self.options = index, taxonomy, options
         self._rows: int | None = None
-        self._arrays = None
+        self._arrays = self._sieve = None
+
+    def sieve(self):
+        """The broadcast sieve of the index's minimizers, made once."""
+        if self._sieve is None:
+            self.fits()
+            self._sieve = self.index.sparkSession.sparkContext.broadcast(sieve_of(self.index, self._rows))
+        return self._sieve
 
     def fits(self, rows: int | None = None) -> bool:
         """Whether the index has at most so many rows (by default ``BROADCAST_ROWS``); they are counted, once."""
@@ -47,17 +56,30 @@ class TaxIndex:
             self._arrays = self.index.sparkSession.sparkContext.broadcast(_Arrays(minimizers[order], entries[order]))
         return self._arrays
 
-    def save(self, path: str) -> None:
-        """Write the three parts; the index is sorted by minimizer within files, so reads can skip."""
+    def save(self, path: str, buckets: int | None = None) -> None:
+        """Write the three parts.  The index is sorted by minimizer within files, so reads can skip; with ``buckets``
+        it is cut into so many by the minimizer's hash, and is later joined without moving."""
         spark = self.index.sparkSession
-        self.index.repartitionByRange("minimizer").sortWithinPartitions("minimizer").write.mode("overwrite").parquet(f"{path}/index")
+        if buckets is None:
+            self.index.repartitionByRange("minimizer").sortWithinPartitions("minimizer").write.mode("overwrite").parquet(f"{path}/index")
+        else:
+            name = f"index_{uuid.uuid4().hex}"
+            self.index.repartition(buckets, "minimizer").write.mode("overwrite").bucketBy(buckets, "minimizer").sortBy("minimizer").option("path", f"{path}/index").saveAsTable(name)
+            spark.sql(f"DROP TABLE {name}")  # its files stay
         self.taxonomy.write(f"{path}/taxonomy")
-        spark.createDataFrame([(json.dumps(self.options.as_dict()),)], "options string").coalesce(1).write.mode("overwrite").text(f"{path}/options")
+        spark.createDataFrame([(json.dumps(self.options.as_dict() | {"buckets": buckets}),)], "options string").coalesce(1).write.mode("overwrite").text(f"{path}/options")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TaxIndex:
-        options = IndexOptions(**json.loads(spark.read.text(f"{path}/options").first()[0]))
-        return cls(spark.read.schema(INDEX).parquet(f"{path}/index"), Taxonomy.read(spark, f"{path}/taxonomy"), options)
+        saved = json.loads(spark.read.text(f"{path}/options").first()[0])
+        buckets = saved.pop("buckets", None)
+        if buckets is None:
+            index = spark.read.schema(INDEX).parquet(f"{path}/index")
+        else:
+            name, place = f"index_{uuid.uuid4().hex}", f"{path}/index".replace("'", "\\'")
+            spark.sql(f"CREATE TABLE {name} ({INDEX.replace('long', 'bigint')}) USING parquet CLUSTERED BY (minimizer) SORTED BY (minimizer) INTO {buckets} BUCKETS LOCATION '{place}'")
+            index = spark.table(name)
+        return cls(index, Taxonomy.read(spark, f"{path}/taxonomy"), IndexOptions(**saved))
 
     def value_counts(self) -> DataFrame:
         """``(taxon, minimizers)`` of the index."""

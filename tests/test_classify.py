@@ -12,6 +12,7 @@ from phylospan.model import ClassifyOptions, IndexOptions
 from phylospan.operators import reports
 from phylospan.operators.classify import classify, classify_long, hit_list, output_lines, pair_files, pair_interleaved, prepared, run_stats, single_reads, split_names, split_reads, stats_text
 from phylospan.operators.index import TaxIndex, build_index, estimate_capacity, sequence_taxa, subsampled
+from phylospan.operators.sieve import sieve_of
 from phylospan.operators.taxonomy import Taxonomy, lca_by, lca_by_closure, mark, number
 from phylospan.operators import tree as trees
 from phylospan.operators.tree import Tree
@@ -380,3 +381,30 @@ def test_sequence_taxa(spark):
     heads = spark.createDataFrame([(1, ["x"]), (2, ["x", "y"]), (3, ["z", "y"]), (4, ["q"])], "seq_no long, ids array<string>")
     got = {r.seq_no: r.taxon for r in sequence_taxa(heads, spark.createDataFrame([("x", a), ("y", b), ("z", 123456)], "seqid string, taxid long"), taxonomy).collect()}
     assert got == {1: inner[a], 2: lca(paths, inner[a], inner[b]), 3: inner[b]}
+
+
+def test_sieve_lets_all_hits_through_and_few_others(spark):
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 62, 5000)
+    index = spark.createDataFrame([(int(k), 1) for k in keys], "minimizer long, taxon long").repartition(3)
+    s = sieve_of(index, 5000)
+    assert s.maybe(keys.view(np.uint64)).all()
+    assert s.maybe(rng.integers(0, 1 << 62, 50_000).view(np.uint64)).mean() < 0.06
+    assert s.words.nbytes * 8 <= 16 * 5000
+
+
+def test_a_bucketed_index_is_joined_in_place(spark, world, tmp_path):
+    index, want, _, _, library = world
+    path = str(tmp_path / "b u")
+    index.save(path, buckets=4)
+    again = TaxIndex.load(spark, path)
+    assert {r.minimizer: r.taxon for r in again.index.collect()} == want and again.options == index.options
+    reads = single_reads(spark.createDataFrame(make_reads(library, random.Random(3), 30), SEQ))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = classify(again, reads, broadcast_rows=0)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(minimizer") == 1  # of the tokens alone
+        assert sorted(map(str, got.collect())) == sorted(map(str, classify(index, reads, broadcast_rows=0).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
