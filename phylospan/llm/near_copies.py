@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phylospan.llm.common import each_row, fresh, quoted, with_computed, written
+from phylospan.llm.common import dropped, each_row, fresh, quoted, with_computed, written
 from phylospan.llm.components import connected_components
 from phylospan.llm.simhash import SEED, _one_row_each, _signed, _starts, _trie_join, _word_runs
 from phylospan.shipping import ship
@@ -168,8 +168,9 @@ def _proposed(cells: DataFrame, how: _Tries) -> DataFrame:
     return written(dealt.mapInArrow(how, "a long, b long, bits long").distinct(), "proposed-pairs")
 
 
-def _split_cells(members: DataFrame, cell: int) -> DataFrame:
-    """Members of tries with several components, dealt to the pairs of cells that they must be compared in.
+def _split_cells(members: DataFrame, cell: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Members of tries with several components, dealt to the pairs of cells that they must be compared in; and the
+    written tables they come from.
 
     A small trie is one cell.  In a larger one a component of many members has cells of its own, which are
     not compared among themselves; the others share cells by component.
@@ -187,7 +188,7 @@ def _split_cells(members: DataFrame, cell: int) -> DataFrame:
     a, b = cells.toDF("trie", "one", "all_a"), cells.toDF("trie", "other", "all_b")
     pairs = written(a.join(b, "trie").where("one <= other and not coalesce(all_a = all_b, false)").select("trie", "one", "other"), "cell-pairs")
     sides = pairs.select("trie", "one", "other", F.explode(F.array_distinct(F.array("one", "other"))).alias("cell"))
-    return placed.join(sides, ["trie", "cell"])
+    return placed.join(sides, ["trie", "cell"]), [part, placed, pairs]
 
 
 def similar_links(rows: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR, cell: int = CELL) -> DataFrame:
@@ -198,33 +199,45 @@ def similar_links(rows: DataFrame, shingle: int = SHINGLE, similar: float = SIMI
     members = sets.select("key", F.explode("tries").alias("trie"), *words)
     shared = members.groupBy("trie").agg(F.count("*").alias("n")).where("n > 1")
     members = written(members.join(shared, "trie"), "trie-members")
+    dropped(sets)
     slim = rows.select("key", "text")
 
     def checked(pairs: DataFrame) -> DataFrame:
         keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         texts = slim.join(keys, "key", "left_semi").dropDuplicates(["key"])
         own = written(each_row(texts, lambda: lambda key, text: (key, shingle_set(text, shingle).view(np.int64)), "key long, shingles array<long>", rows=64), "proposed-sets")
-        pairs = pairs.join(own.toDF("a", "of_a"), "a").join(own.toDF("b", "of_b"), "b").select("a", "b", "of_a", "of_b", F.size(F.array_intersect("of_a", "of_b")).alias("both"))
-        return written(pairs.where(F.col("both") / (F.size("of_a") + F.size("of_b") - F.col("both")) >= similar).select("a", "b"), "similar-pairs")
+        both = pairs.join(own.toDF("a", "of_a"), "a").join(own.toDF("b", "of_b"), "b").select("a", "b", "of_a", "of_b", F.size(F.array_intersect("of_a", "of_b")).alias("both"))
+        found = written(both.where(F.col("both") / (F.size("of_a") + F.size("of_b") - F.col("both")) >= similar).select("a", "b"), "similar-pairs")
+        dropped(own)
+        return found
 
     part = F.pmod(F.xxhash64("key", "trie"), F.ceil(F.col("n") / cell))
     led = members.withColumns({"one": part, "other": part, "cell": part, "root": F.col("key")})
-    links = checked(_proposed(led, _Led(similar)).select("a", "b"))
+    proposed = _proposed(led, _Led(similar))
+    links = checked(proposed.select("a", "b"))
+    dropped(proposed)
     roots = connected_components(links, "near-copies")
     rooted = members.drop("n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    left = _proposed(_split_cells(written(rooted, "rooted-members"), cell), _Joined(similar))
+    rooted = written(rooted, "rooted-members")
+    dropped(members)
+    cells, parts = _split_cells(rooted, cell)
+    left = _proposed(cells, _Joined(similar))
+    for table in (rooted, *parts):
+        dropped(table)
     for nearest in (*ROUNDS, None):
         if left.isEmpty():
             break
         rank = F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))
-        left = written(left.withColumn("rank", rank), "ranked-pairs")
-        now = left if nearest is None else left.where(F.col("rank") <= nearest)
+        ranked = written(left.withColumn("rank", rank), "ranked-pairs")
+        dropped(left)
+        now = ranked if nearest is None else ranked.where(F.col("rank") <= nearest)
         links = links.unionByName(checked(now.select("a", "b")))
         roots = connected_components(links, "near-copies")
         if nearest is not None:
             root_of = {side: roots.toDF(side, f"root_{side}") for side in "ab"}
-            rest = left.where(F.col("rank") > nearest).drop("rank").join(root_of["a"], "a", "left").join(root_of["b"], "b", "left")
+            rest = ranked.where(F.col("rank") > nearest).drop("rank").join(root_of["a"], "a", "left").join(root_of["b"], "b", "left")
             left = written(rest.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b", "bits"), "open-pairs")
+        dropped(ranked)
     return roots
 
 
