@@ -30,10 +30,9 @@ def ancestor_paths(nodes: DataFrame) -> DataFrame:
     a cycle, whose paths never end; they hold all nodes of the cycle.
     """
     links = nodes.select("ext_id", F.when((F.col("ext_id") != 1) & (F.col("parent_ext") != F.col("ext_id")), F.col("parent_ext")).alias("top"))
-    known = links.select(F.col("ext_id").alias("top")).distinct()
-    # most nodes of a flat tree hang on the root, whose path is known
-    first = links.join(known, "top", "left_semi").unionByName(links.join(known, "top", "left_anti").withColumn("top", F.lit(None).cast("long")))
-    rooted = F.col("top") == 1
+    known = links.select(F.col("ext_id").alias("top"), F.lit(True).alias("there")).distinct()
+    first = links.join(known, "top", "left").select("ext_id", F.when(F.col("there"), F.col("top")).alias("top"))
+    rooted = F.col("top") == 1  # most nodes of a flat tree hang on the root, whose path is known
     own = F.array("ext_id")
     now = written(first.select("ext_id", F.when(rooted, F.concat(F.array(F.lit(1).cast("long")), own)).otherwise(own).alias("path"), F.when(~rooted, F.col("top")).alias("top")), "paths")
     pending = now.where("top is not null").count()
@@ -84,14 +83,14 @@ def number(nodes: DataFrame) -> DataFrame:
     Nodes are numbered from 1 breadth first, children in order of their external id, under parents in
     theirs.  Nodes that the root does not reach are left out; missing names and ranks are empty.
     """
-    rows = nodes.select("ext_id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("rank", F.lit("")).alias("rank"))
-    paths = ancestor_paths(nodes).where(~F.col("open") & (F.col("path")[0] == 1)).select("ext_id", (F.size("path") - 1).alias("depth"), F.col("path").alias("ids"))
+    rows = written(nodes.select("ext_id", "parent_ext", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("rank", F.lit("")).alias("rank")), "nodes")
+    paths = ancestor_paths(rows).where(~F.col("open") & (F.col("path")[0] == 1)).select("ext_id", (F.size("path") - 1).alias("depth"), F.col("path").alias("ids"))
     placed = ranked(paths, ["depth", "ids"], "node")
     steps = placed.select("ext_id", "node", "depth", F.posexplode("ids").alias("at", "id")).join(placed.select(F.col("ext_id").alias("id"), F.col("node").alias("step")), "id")
     whole = steps.groupBy("ext_id", "node", "depth").agg(F.array_sort(F.collect_list(F.struct("at", "step"))).alias("s"))
     whole = whole.select("ext_id", "node", "depth", F.col("s.step").alias("path"))
     parent = F.when(F.col("depth") > 0, F.element_at("path", -2)).otherwise(F.lit(0)).cast("long")
-    return toured(written(whole.join(rows, "ext_id").select("node", parent.alias("parent"), "ext_id", "name", "rank", "depth", "path"), "numbered"))
+    return toured(written(whole.join(rows.drop("parent_ext"), "ext_id").select("node", parent.alias("parent"), "ext_id", "name", "rank", "depth", "path"), "numbered"))
 
 
 class Taxonomy:
