@@ -16,7 +16,7 @@ from phylospan.operators.minimizers import minimizer_tokens, minimizers
 from phylospan.operators.taxonomy import clade_sums, mark
 from phylospan.plans.bridges import BASES_N, SHORT, benchmark_index, dna, document_reads, market, market_nodes, part_index, part_reads, table
 from phylospan.sources.fastx import read_fastx
-from phylospan.sources.taxfiles import parse_id_map, prelim_map
+from phylospan.sources.taxfiles import parse_assemblies, parse_id_map, prelim_map, read_taxdump
 from phylospan.storage import dealt, new_path, written
 
 PROTEIN = IndexOptions(k=6, l=4, dna=False)
@@ -96,6 +96,12 @@ def clade_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.clade_report(_order_counts(spark, d, tax), tax, 7).select("line_no", "clade_reads", "own_reads", "rank_code", "ext_id", "name", "depth")
 
 
+def clade_report_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The report as it is printed, with percentages and indents."""
+    tax = market(spark, d)
+    return reports.clade_report(_order_counts(spark, d, tax), tax, 7).select("line_no", "pct", "line")
+
+
 def path_report(spark: SparkSession, d: str) -> DataFrame:
     tax = market(spark, d)
     return reports.path_report(_order_counts(spark, d, tax), tax).select("line_no", "clade_path", "clade_reads")
@@ -131,6 +137,30 @@ def header_taxids(spark: SparkSession, d: str) -> DataFrame:
     return prelim_map(table(spark, d, "part").select(head.alias("header")))
 
 
+def first_fields(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", F.array_join(sequence.first_fields(F.concat_ws(".", "p_name", "p_type", "p_brand"), ".", 2), "|").alias("fields"))
+
+
+def taxdump_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The market's nodes written as dump files, with other names beside the scientific ones, and read back."""
+    nodes, folder = market_nodes(spark, d), new_path(spark, "dump")
+    joined = lambda *c: F.concat(F.concat_ws("\t|\t", *c), F.lit("\t|")).alias("value")
+    text = lambda c: F.col(c).cast("string")
+    nodes.select(joined(text("ext_id"), text("parent_ext"), "rank", F.lit("x"))).write.text(f"{folder}/nodes")
+    names = nodes.select(text("ext_id").alias("id"), "name")
+    every = names.select(joined("id", F.reverse("name"), F.lit(""), F.lit("synonym"))).union(names.select(joined("id", "name", F.lit(""), F.lit("scientific name"))))
+    every.write.text(f"{folder}/names")
+    return read_taxdump(spark, f"{folder}/nodes", f"{folder}/names")
+
+
+def assembly_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as lines of an assembly summary, of which whole genomes that can be fetched stay; some are comments or short."""
+    level = F.element_at(F.array(*[F.lit(x) for x in ("Complete Genome", "Chromosome", "Scaffold", "Contig")]), (F.col("p_size") % 4 + 1).cast("int"))
+    fields = [F.lit("f")] * 5 + [F.col("p_partkey").cast("string")] + [F.lit("f")] * 5 + [level] + [F.lit("f")] * 7 + [F.when(F.col("p_partkey") % 5 == 0, F.lit("na")).otherwise(F.concat(F.lit("ftp/"), "p_name"))]
+    line = F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("#"), F.concat_ws("\t", *fields))).when(F.col("p_partkey") % 11 == 0, F.concat_ws("\t", *fields[:12])).otherwise(F.concat_ws("\t", *fields))
+    return parse_assemblies(table(spark, d, "part").select(line.alias("value")))
+
+
 def fasta_wrap(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", sequence.fasta_text(F.col("p_name"), F.col("p_type"), dna(F.col("p_name")), 7).alias("record"))
 
@@ -351,8 +381,8 @@ def classify_long_documents(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     classify_calls, classify_joins, classify_confidence, classify_hit_groups, classify_paired, classify_quick, classify_lines, classify_stats, split_outputs, classify_report, classify_documents, classify_long_documents, stream_call_counts,
-    tax_bfs_ids, tax_closure, tax_children, tax_mark_prune, tax_lca_pairs, tax_is_ancestor, clade_rollup_counts, clade_rollup_distinct, clade_rollup_sketch, clade_report, path_report,
-    murmur_hash, revcomp, quality_mask, trim_pair, seqid_extract, header_taxids, fasta_wrap, six_frame,
+    tax_bfs_ids, tax_closure, tax_children, tax_mark_prune, tax_lca_pairs, tax_is_ancestor, clade_rollup_counts, clade_rollup_distinct, clade_rollup_sketch, clade_report, clade_report_lines, path_report,
+    murmur_hash, revcomp, quality_mask, trim_pair, seqid_extract, header_taxids, first_fields, taxdump_scan, assembly_scan, fasta_wrap, six_frame,
     minimizers_dna, minimizers_ambiguous, minimizers_spaced, minimizers_protein, minimizers_scan, index_build_lca, index_value_counts, index_subsample, capacity,
     accession_lookup, accession_unmapped, accession_any_version, id_map, distinct_exact, distinct_sketch, distinct_sketch_dense, dust_mask, dust_mask_parts, dust_documents, fastx_scan,
 )}

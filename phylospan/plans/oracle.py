@@ -242,6 +242,12 @@ SELECT row_number() OVER (ORDER BY key)::INT AS line_no, clade_reads::BIGINT AS
     "clade_rollup_counts": COUNTS + "SELECT node, clade AS reads FROM clade",
     "clade_rollup_distinct": MARKET + "SELECT c.ancestor AS node, count(*) AS parts, count(DISTINCT l_partkey) AS distinct_parts FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN tax t ON t.ext_id = 1000000000 + o_custkey JOIN closure c ON c.node = t.node GROUP BY 1",
     "clade_report": _report(COUNTS) + ", every AS (SELECT '' AS key, 7 AS clade_reads, 7 AS own_reads, 'U' AS rank_code, 0 AS ext_id, 'unclassified' AS name, 0 AS depth UNION ALL SELECT key, clade, own, rank_code, ext_id, name, depth FROM lines) SELECT row_number() OVER (ORDER BY key)::INT AS line_no, clade_reads::BIGINT AS clade_reads, own_reads::BIGINT AS own_reads, rank_code, ext_id::BIGINT AS ext_id, name, depth::INT AS depth FROM every",
+    "clade_report_lines": _report(COUNTS) + """, every AS (SELECT '' AS key, 7 AS n, 7 AS own, 'U' AS code, 0 AS ext, 'unclassified' AS name, 0 AS depth UNION ALL SELECT key, clade, own, rank_code, ext_id, name, depth FROM lines),
+    shown AS (SELECT *, printf('%6.2f', 100.0::DOUBLE * n / (7 + (SELECT sum(reads) FROM counts))) AS pct FROM every)
+    SELECT row_number() OVER (ORDER BY key)::INT AS line_no, pct, concat_ws(chr(9), pct, n::BIGINT::VARCHAR, own::BIGINT::VARCHAR, code, ext::BIGINT::VARCHAR, repeat('  ', depth::INT) || name) AS line FROM shown""",
+    "first_fields": "SELECT p_partkey, array_to_string(string_split(concat_ws('.', p_name, p_type, p_brand), '.')[:2], '|') AS fields FROM part",
+    "taxdump_scan": MARKET + " SELECT ext_id::BIGINT AS ext_id, parent_ext::BIGINT AS parent_ext, name, rank FROM nodes_in",
+    "assembly_scan": "SELECT p_partkey AS taxid, CASE p_size % 4 WHEN 0 THEN 'Complete Genome' ELSE 'Chromosome' END AS level, 'ftp/' || p_name AS ftp_path FROM part WHERE p_size % 4 < 2 AND p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0",
     "path_report": _report(COUNTS) + " SELECT row_number() OVER (ORDER BY key)::INT AS line_no, clade_path, clade AS clade_reads FROM lines WHERE letter IS NOT NULL",
     "murmur_hash": f"SELECT o_orderkey, {_signed('h')} AS h FROM (SELECT o_orderkey, {_murmur('o_orderkey')} AS h FROM orders)",
     "revcomp": f"SELECT p_partkey, translate(reverse({_dna('p_name', BASES_N)}), 'ACGT', 'TGCA') AS rc FROM part",

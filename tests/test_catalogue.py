@@ -83,3 +83,15 @@ def test_masks_and_sketches(spark):
 def test_pieces_of_documents_give_the_calls_of_whole_ones(spark):
     rows = [sorted(map(tuple, QUERIES[q](spark, DATA).collect())) for q in ("classify_documents", "classify_long_documents")]
     assert rows[0] == rows[1]
+
+
+@needs_tables
+def test_printed_lines_keep_the_format(spark):
+    """Counts of a hit list add up to the read's tokens, neighbours differ, and the called taxon is among them."""
+    for r in QUERIES["classify_lines"](spark, DATA).collect():
+        flag, header, taxon, length, hits = r.line.split("\t")
+        runs = [x.split(":") for x in hits.split(" ")]
+        assert header == f"part{r.read}/1" and sum(int(n) for _, n in runs) == int(length) - 11
+        assert all(a[0] != b[0] for a, b in zip(runs, runs[1:]))
+        called = taxon.rsplit("taxid ", 1)[1].rstrip(")")
+        assert (flag == "C") == (called != "0") and taxon.startswith("unclassified") == (flag == "U")
