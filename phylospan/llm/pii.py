@@ -456,7 +456,7 @@ def find_personal_data(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id",
 
     The four counts and the digest are of the base spans; ``spans`` lists these and the ``n_added`` spans of
     the tagger, which may also be of the kind ``secret``.  Null and empty texts have none; a null id stays null; repeated rows repeat; other columns are
-    ignored.  No shuffle.
+    ignored; an empty table gives an empty one.  A very long text is read whole, its tagger's windows in batches.  No shuffle.
     """
     ship(docs.sparkSession)
     packed = docs.sparkSession.sparkContext.broadcast((tagger.hidden, tagger.p))  # some 50 KB

@@ -155,7 +155,8 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     """``(doc_id, held_out, score, predicted)`` per row of ``docs``.
 
     Only the text enters the score.  Null and empty texts have the score of no evidence; a null id has a
-    null ``held_out``; repeated rows repeat; other columns are ignored.  No shuffle.
+    null ``held_out``; repeated rows repeat; other columns are ignored; an empty table gives an empty one.  Of a
+    very long text all words and n-grams count.  No shuffle.
     """
     packed = docs.sparkSession.sparkContext.broadcast((model.weight, model.base))  # 1 MB, whatever the input
 

@@ -19,57 +19,70 @@ from phylospan.llm.warc import archive_pages
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash classes of all documents; :func:`~phylospan.llm.simhash.near_duplicate_classes` says what odd rows give."""
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
 def op2_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lossless media of all documents, stored and read back; see :func:`~phylospan.llm.media.media_features` for odd rows."""
     return media_features(table(spark, sf_dir, "documents"))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents; see :func:`~phylospan.llm.pii.find_personal_data` for odd rows."""
     docs = table(spark, sf_dir, "documents")
     return pii.find_personal_data(docs, pii.train(pii.sample_texts(docs)))
 
 
 def op4_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded; see :func:`~phylospan.llm.bpe_prefix.round_trip` for odd rows."""
     return round_trip(table(spark, sf_dir, "documents"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents; see :func:`~phylospan.llm.toxicity.score_toxicity` for odd rows."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.train_from(docs, table(spark, sf_dir, "labels")))
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all vectors; see :func:`~phylospan.llm.embeddings.near_duplicate_vectors` for odd rows."""
     return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; see :func:`~phylospan.llm.quality.score_quality` for odd rows."""
     docs = table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.train_from(docs, table(spark, sf_dir, "labels")))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages archived, indexed and read back; see :func:`~phylospan.llm.warc.archive_pages` for odd rows."""
     return archive_pages(table(spark, sf_dir, "pages"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences; see :func:`~phylospan.llm.packing.pack_documents` for odd rows."""
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents; see :func:`~phylospan.llm.token_counts.count_tokens` for odd rows."""
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
 def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents in files and read back; see :func:`~phylospan.llm.token_files.write_token_files` for odd rows."""
     return token_files_round_trip(table(spark, sf_dir, "documents"))
 
 
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of all anchors; see :func:`~phylospan.llm.negatives.hard_negatives` for odd rows."""
     return hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations; see :func:`~phylospan.llm.prefix_trie.conversation_trie` for odd rows."""
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 

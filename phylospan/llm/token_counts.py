@@ -69,7 +69,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(doc_id, n_bytes, n_tokens, over_limit)`` per row of ``docs``.
 
     Null text counts as empty (0 tokens), a null id stays null, repeated rows give repeated results, and
-    columns besides the two named are ignored.  No shuffle; memory is bounded by the vocabulary, the
+    columns besides the two named are ignored; an empty table gives an empty one.  No shuffle; memory is bounded by the vocabulary, the
     remembered pre-tokens and one text, which is split a million characters at a time.
     """
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")

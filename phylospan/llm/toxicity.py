@@ -190,7 +190,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     """``(doc_id, held_out, score, predicted)`` per row of ``docs``.
 
     Only the text enters the score; every window of it is compressed.  Null and empty texts have the score of
-    no evidence; a null id has a null ``held_out``; repeated rows repeat; other columns are ignored.  No shuffle.
+    no evidence; a null id has a null ``held_out``; repeated rows repeat; other columns are ignored; an empty table
+    gives an empty one.  Of a very long text every window counts.  No shuffle.
     """
     parts = docs.sparkSession.sparkContext.broadcast(model.parts)  # two dictionaries of some KB
 
