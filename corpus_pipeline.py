@@ -1,7 +1,12 @@
 """The corpus pipeline: from raw documents to packed training sequences, one operator a stage.
 
 ``STAGES`` are applied in order; each stage's rows are written as Parquet and read again as the next one's
-``docs``.  All but the last return the columns of ``documents``.
+``docs``.  All but the last return the columns of ``documents``, whatever further ones there are.
+
+In every stage an empty table gives an empty one, repeated rows are rows of their own, null ids stay null, and texts of
+any length count whole.  Null and empty texts are texts without words: both classifiers give them the score of no
+evidence, near-dedup takes them for copies of each other, masking leaves them as they are, and packing makes
+them a piece of the end id alone.
 """
 
 from __future__ import annotations
