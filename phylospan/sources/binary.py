@@ -2,21 +2,24 @@
 
 A compact table keeps 32-bit cells: the high bits of a key's hash, and a value in the low bits; probing is
 linear.  Looking a key up in it can hit another key with the same cell, so it is imported as a table of its
-own and probed as it is; exact indexes are exported into it with the collisions that its size brings.
-These files are driver-sized by design: one machine reads them whole.
+own and probed as it is; exact indexes are exported into it with the collisions that its size brings.  Both
+are done by ranges of cells (see :mod:`~phylospan.sources.compact`); :class:`CompactTable` is the same on one array.
 """
 
 from __future__ import annotations
 
+import os
 import struct
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from phylospan.functions.bits import bits_for_taxa, fmix64
-from phylospan.model import IndexOptions
+from phylospan.functions.bits import fmix64
+from phylospan.model import ClassifyOptions, IndexOptions
+from phylospan.operators.minimizers import found_minimizers
 from phylospan.operators.taxonomy import Taxonomy, toured
+from phylospan.sources.compact import CompactIndex
 from phylospan.storage import written
 
 # Fixed values of the format.
@@ -135,50 +138,27 @@ class CompactTable:
         return {int(v): int(c) for v, c in zip(values, counts) if v}
 
 
-def to_compact(index: DataFrame, taxonomy: Taxonomy, capacity: int) -> CompactTable:
-    """An exact index as a compact table; keys that share a cell get the ancestor their taxa share."""
-    nodes = taxonomy.nodes.select("node", "path").collect()
-    paths = {r.node: r.path for r in nodes}
-    table = CompactTable.empty(capacity, bits_for_taxa(len(nodes) + 1))
-    for r in index.orderBy("minimizer").toLocalIterator():
-        old, new = 0, r.taxon
-        while True:
-            done, seen = table.compare_and_set(r.minimizer, new, old)
-            if done:
-                break
-            old, new = seen, max(set(paths[seen]) & set(paths[r.taxon]))
-    return table
-
-
-def from_compact(table: CompactTable, keys: DataFrame) -> DataFrame:
-    """``(minimizer, taxon)`` of ``keys(minimizer)`` as a compact table answers them."""
-    packed = keys.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            m = b.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed.value.get(m.view(np.uint64)))], names=["minimizer", "taxon"])
-
-    from phylospan.shipping import ship
-
-    ship(keys.sparkSession)
-    return keys.select("minimizer").mapInArrow(run, "minimizer long, taxon long").where("taxon <> 0")
-
-
 def write_index_files(folder: str, index, capacity: int) -> None:
-    """``opts.k2d``, ``taxo.k2d`` and ``hash.k2d`` (fixed names) of a :class:`phylospan.operators.index.TaxIndex`."""
-    import os
-
+    """``opts.k2d``, ``taxo.k2d`` and ``hash.k2d`` (fixed names) of a :class:`phylospan.operators.index.TaxIndex`, in a
+    folder on a mount that all executors share; the table is built and written by ranges."""
     os.makedirs(folder, exist_ok=True)
-    for name, data in (("opts.k2d", pack_options(index.options)), ("taxo.k2d", pack_taxonomy(index.taxonomy)), ("hash.k2d", to_compact(index.index, index.taxonomy, capacity).pack())):
+    for name, data in (("opts.k2d", pack_options(index.options)), ("taxo.k2d", pack_taxonomy(index.taxonomy))):
         with open(os.path.join(folder, name), "wb") as f:
             f.write(data)
+    CompactIndex.build(index.index, index.taxonomy, capacity).save(os.path.join(folder, "hash.k2d"))
+
+
+def read_index_files(spark: SparkSession, folder: str) -> tuple[IndexOptions, Taxonomy, CompactIndex]:
+    """Options, taxonomy and the table in ranges; the taxonomy alone is read whole, being bounded by what is known of life."""
+    parts = [open(os.path.join(folder, name), "rb").read() for name in ("opts.k2d", "taxo.k2d")]
+    return unpack_options(parts[0]), unpack_taxonomy(spark, parts[1]), CompactIndex.load(spark, os.path.join(folder, "hash.k2d"))
 
 
-def read_index_files(spark: SparkSession, folder: str) -> tuple[IndexOptions, Taxonomy, CompactTable]:
-    import os
+def index_for(table: CompactIndex, taxonomy: Taxonomy, options: IndexOptions, reads: DataFrame, opts: ClassifyOptions = ClassifyOptions()):
+    """What a compact table says of the minimizers of ``reads``, as an index to classify them with."""
+    from phylospan.operators.classify import frames_of, prepared
+    from phylospan.operators.index import TaxIndex
 
-    parts = [open(os.path.join(folder, name), "rb").read() for name in ("opts.k2d", "taxo.k2d", "hash.k2d")]
-    return unpack_options(parts[0]), unpack_taxonomy(spark, parts[1]), CompactTable.unpack(parts[2])
+    opts = replace(opts, translated=opts.translated or not options.dna)
+    found = found_minimizers(frames_of(prepared(reads, opts), opts), options, "read")
+    return TaxIndex(written(table.lookup(found), "answers"), taxonomy, options)
