@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import shutil
 import sys
 import time
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -108,9 +110,10 @@ def _put(lines, path: str | None) -> None:
 
 def _classify(a) -> None:
     from phylospan.operators import reports
-    from phylospan.operators.classify import classify, output_lines, pair_files, pair_interleaved, run_stats, single_reads, split_names, split_reads, stats_text
+    from phylospan.operators.classify import classify, pair_files, pair_interleaved, run_stats, single_reads, split_names, stats_text
     from phylospan.operators.index import TaxIndex
     from phylospan.sources.fastx import read_fastx
+    from phylospan.sources.sinks import join_parts, write_outputs
 
     if a.use_mpa_style and not a.report:
         raise SystemExit("the path report needs --report")
@@ -128,13 +131,18 @@ def _classify(a) -> None:
         reads = single_reads(read_fastx(spark, a.files))
     reads = reads.persist()
     calls = classify(index, reads, opts, kmers=bool(a.report)).persist()
-    if a.output:
-        _put((r.line for r in output_lines(calls, reads, index.taxonomy, opts).orderBy("read").toLocalIterator()), a.output)
-    for name, flag in ((a.classified_out, True), (a.unclassified_out, False)):
-        if name:
-            parts = split_reads(calls, reads, index.taxonomy).where(F.col("classified") == flag)
-            for k, path in enumerate(split_names(name, paired), 1):
-                _put((r.record for r in parts.where(F.col("mate") == k).orderBy("read").toLocalIterator()), path)
+    outputs = (a.output, a.classified_out, a.unclassified_out)
+    if any(outputs):
+        # tasks write parts, and copy each to its place in the one file that is asked for
+        stage = f"{next(filter(None, outputs))}.{uuid.uuid4().hex}"
+        wanted = {f"{stage}/{k}" + ("_#" if paired and k else ""): name for k, name in enumerate(outputs) if name}
+        given = [next((s for s, n in wanted.items() if s.startswith(f"{stage}/{k}")), None) for k in range(3)]
+        write_outputs(calls, reads, index.taxonomy, opts, *given)
+        for staged, name in wanted.items():
+            in_pairs = paired and staged.endswith("#")
+            for folder, path in zip(split_names(staged, in_pairs), split_names(name, in_pairs)):
+                join_parts(spark, folder, path)
+        shutil.rmtree(stage)
     if a.report:
         counts = calls.where("call <> 0").groupBy(F.col("call").alias("taxon")).agg(F.count("*").alias("reads"))
         if a.use_mpa_style:
@@ -144,6 +152,8 @@ def _classify(a) -> None:
             report = reports.clade_report(counts, index.taxonomy, calls.where("call = 0").count(), zeros=a.report_zero_counts, kmers=kmers)
         _put((r.line for r in report.orderBy("line_no").toLocalIterator()), a.report)
     print(stats_text(run_stats(calls, reads).first(), time.time() - began), file=sys.stderr)
+    calls.unpersist()
+    reads.unpersist()
 
 
 def _build(a) -> None:
