@@ -209,6 +209,12 @@ def _to_register(slot: Column, rank: Column, precision: int) -> tuple[Column, Co
     return F.shiftright(slot, more), F.when(low == 0, rank + more).otherwise(F.lit(more + 1) - F.length(F.bin(low.cast("long")))).cast("int")
 
 
+def register_of(key: Column, precision: int = 12) -> tuple[Column, Column]:
+    """The register of a sketch that a key falls into, and its rank there."""
+    key = key.cast("long")
+    return _slots(murmur64(F.when(key == F.lit((1 << 63) - 1), F.lit(-(1 << 63))).otherwise(key + 1)), precision)
+
+
 def sketches(rows: DataFrame, group: str, key: str, precision: int = 12) -> tuple[DataFrame, DataFrame]:
     """``(g, dense, slot, rank)`` and ``(g, observed)`` for the keys of every group of ``rows``.
 

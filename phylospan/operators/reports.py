@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phylospan.functions.sequence import percent, rank_letter
-from phylospan.functions.sketch import estimates, merged, sketches
+from phylospan.functions.sketch import estimates, merged, register_of, sketches
 from phylospan.operators.taxonomy import Taxonomy, clade_sums
 from phylospan.storage import written
 
@@ -41,6 +41,33 @@ def clade_sketches(rows: DataFrame, taxonomy: Taxonomy, precision: int = 12) ->
     return estimates(merged(above, precision), totals, precision).select(F.col("g").alias("node"), "observed", "estimate")
 
 
+def counter_rows(calls: DataFrame, precision: int = 12) -> DataFrame:
+    """``(taxon, slot, rank, kmers, reads)``: what each call that kept its k-mers adds to taxa; its read has slot -1."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    slot, rank = register_of(F.col("m"), precision)
+    own = F.struct(F.col("call").alias("taxon"), F.lit(None).cast("long").alias("m"))
+    hits = F.flatten(F.transform(F.map_entries("kmers"), lambda e: F.transform(e.value, lambda m: F.struct(e.key.alias("taxon"), m.alias("m")))))
+    each = calls.select(F.explode(F.concat(F.array(own), hits)).alias("x")).select("x.*")
+    read = F.col("m").isNull()
+    return each.select("taxon", F.when(read, F.lit(-1)).otherwise(slot).alias("slot"), F.when(read, F.lit(0)).otherwise(rank).alias("rank"), F.when(read, zero).otherwise(one).alias("kmers"), F.when(read, one).otherwise(zero).alias("reads"))
+
+
+def counters(rows: DataFrame) -> DataFrame:
+    """Counters ``(taxon, slot, rank, kmers, reads)`` of rows or of other counters, batch or stream: taxon 0 has the unclassified."""
+    return rows.groupBy("taxon", "slot").agg(F.max("rank").alias("rank"), F.sum("kmers").alias("kmers"), F.sum("reads").alias("reads"))
+
+
+def counter_report(state: DataFrame, taxonomy: Taxonomy, precision: int = 12) -> DataFrame:
+    """:func:`clade_report` of counters, with the k-mers of clades and an estimate of how many differ."""
+    counts = state.where("taxon <> 0 and slot = -1").select("taxon", "reads")
+    none = state.where("taxon = 0").agg(F.coalesce(F.sum("reads"), F.lit(0))).first()[0]
+    above = state.where("slot >= 0").join(taxonomy.closure().select(F.col("node").alias("taxon"), F.col("ancestor").alias("g")), "taxon")
+    slots = above.groupBy("g", "slot").agg(F.max("rank").alias("rank"), F.sum("kmers").alias("n"))
+    observed = slots.groupBy("g").agg(F.sum("n").alias("observed"))
+    kmers = estimates(slots.select("g", F.lit(True).alias("dense"), "slot", "rank"), observed, precision).select(F.col("g").alias("node"), F.col("observed").alias("clade_kmers"), F.col("estimate").alias("clade_distinct_kmers"))
+    return clade_report(counts, taxonomy, none, kmers=kmers)
+
+
 def ranked_tree(counts: DataFrame, taxonomy: Taxonomy, zeros: bool = False) -> DataFrame:
     """Every node with ``own`` and ``clade`` reads, its sort ``key`` and rank code, for ``counts(taxon, reads)``.
 

@@ -4,6 +4,7 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from phylospan import cli
 from phylospan.model import ClassifyOptions
@@ -152,3 +153,68 @@ def test_streams(spark, library, tmp_path):
     for r in classify(index, single_reads(frame)).collect():
         want[r.call] = want.get(r.call, 0) + 1
     assert got == want and len(got) == 2
+
+
+def test_running_report_is_that_of_the_batch(spark, library, tmp_path):
+    from phylospan.operators import reports
+
+    index = TaxIndex.load(spark, str(library / "db"))
+    schema = "seq_no long, header string, comment string, seq string, quals string, format string"
+    rng = random.Random(4)
+    genomes = [g.split("\n")[1] for g in (library / "lib.fa").read_text().split(">")[1:]]
+    rows = [(k, f"r{k}", "", "".join(rng.choices("ACGT", k=60)) if k % 4 == 3 else genomes[k % 4][a : a + 80], "", "fasta") for k in range(24) for a in [rng.randrange(300)]]
+    frame = spark.createDataFrame(rows, schema)
+    folder = str(tmp_path / "in" / "*")
+    query = None
+    for k in range(2):  # the second part comes to a query that starts again from its checkpoint
+        frame.where(f"seq_no % 2 = {k}").coalesce(1).write.parquet(str(tmp_path / "in" / f"p{k}"))
+        query = continuous.start_report(index, continuous.read_stream(spark, folder, schema), str(tmp_path / "out"), str(tmp_path / "cp"))
+        query.processAllAvailable()
+        query.stop()
+        calls = classify(index, single_reads(frame.where(f"seq_no % 2 <= {k}")), kmers=True)
+        order = "line_no"
+        want = reports.counter_report(reports.counters(reports.counter_rows(calls)), index.taxonomy).orderBy(order).collect()
+        got = spark.read.parquet(str(tmp_path / "out" / f"batch={k}")).orderBy(order).collect()
+        assert list(map(tuple, got)) == list(map(tuple, want)) and len(got) > 2
+    counts = calls.where("call <> 0").groupBy(F.col("call").alias("taxon")).agg(F.count("*").alias("reads"))
+    exact = reports.clade_report(counts, index.taxonomy, calls.where("call = 0").count(), kmers=reports.clade_distinct(calls, index.taxonomy)).orderBy(order).collect()
+    same = ("clade_reads", "own_reads", "clade_kmers", "rank_code", "ext_id")
+    assert [[r[c] for c in same] for r in got] == [[r[c] for c in same] for r in exact]
+    assert all(abs(a.clade_distinct_kmers - b.clade_distinct_kmers) <= 0.06 * b.clade_distinct_kmers + 2 for a, b in zip(got, exact))
+
+
+def test_outputs_in_one_pass(spark, library, tmp_path):
+    from phylospan.operators.classify import output_lines, pair_files, split_reads
+    from phylospan.sources.fastx import read_fastx
+    from phylospan.sources.sinks import join_parts, write_outputs
+
+    index, opts = TaxIndex.load(spark, str(library / "db")), ClassifyOptions(paired=True)
+    records = read_fastx(spark, str(library / "reads.fq"))
+    reads = pair_files(records, records).repartition(3)
+    calls = classify(index, reads, opts)
+    names = {"output": str(tmp_path / "o"), "classified": str(tmp_path / "c#.fq"), "unclassified": str(tmp_path / "u#.fq")}
+    folders = write_outputs(calls, reads, index.taxonomy, opts, **names)
+    assert [f.rsplit("/", 1)[1] for f in folders] == ["o", "c_1.fq", "c_2.fq", "u_1.fq", "u_2.fq"]
+    lines = [r.line for r in output_lines(calls, reads, index.taxonomy, opts).orderBy("read").collect()]
+    for f in folders:
+        join_parts(spark, f, f + ".txt")
+    assert (tmp_path / "o.txt").read_text().splitlines() == lines
+    for name, flag in (("c", True), ("u", False)):
+        for mate in (1, 2):
+            parts = split_reads(calls, reads, index.taxonomy).where((F.col("classified") == flag) & (F.col("mate") == mate)).orderBy("read").collect()
+            assert (tmp_path / f"{name}_{mate}.fq.txt").read_text() == "".join(r.record + "\n" for r in parts)
+    assert all((tmp_path / f / "_SUCCESS").exists() and not (tmp_path / f / "_temporary").exists() for f in folders)
+    with pytest.raises(ValueError, match="already"):
+        write_outputs(calls, reads, index.taxonomy, opts, **names)
+    with pytest.raises(ValueError, match="one name"):
+        write_outputs(calls, reads, index.taxonomy, opts, classified=str(tmp_path / "x#"), unclassified=str(tmp_path / "x#"))
+
+
+def test_failed_tasks_leave_nothing(spark, tmp_path):
+    from phylospan.sources.sinks import TextParts
+
+    spark.dataSource.register(TextParts)
+    boom = spark.range(0, 200, 1, 4).select(F.lit(0).alias("target"), F.when(F.col("id") < 199, F.col("id").cast("string")).otherwise(F.raise_error(F.lit("lost"))).alias("value"))
+    with pytest.raises(Exception, match="lost"):
+        boom.write.format("text_parts").option("targets", str(tmp_path / "t")).mode("append").save()
+    assert not [p for p in (tmp_path / "t").rglob("*") if p.is_file()]
