@@ -58,6 +58,10 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("--spaced-seed-mask", type=_seed, default=0)
     b.add_argument("--toggle-mask", type=_seed, default=TOGGLE)
     b.add_argument("--min-hash", type=int, default=0)
+    b.add_argument("--capacity", type=int, default=0, help="cells of the compact table; estimated if not given")
+    b.add_argument("--maximum-capacity", type=int, default=0, help="leave out minimizers of low hash so that the index fits so many cells")
+    b.add_argument("--taxid-bits", type=int, default=0, help="at least so many bits of a cell for the taxon")
+    b.add_argument("--compact", metavar="FOLDER", help="write the binary index files too")
 
     e = sub.add_parser("estimate", help="estimate an index's capacity")
     e.add_argument("files", nargs="+")
@@ -93,6 +97,17 @@ def parser() -> argparse.ArgumentParser:
     x = sub.add_parser("clean", help="remove a library's working files")
     x.add_argument("folder")
 
+    v = sub.add_parser("serve", help="answer the requests of a growing log until STOP")
+    v.add_argument("--db", required=True)
+    v.add_argument("--log", required=True)
+    v.add_argument("--out", required=True)
+    v.add_argument("--checkpoint", required=True)
+    v.add_argument("--quick", action="store_true")
+    v.add_argument("--confidence", type=float, default=0.0)
+    v.add_argument("--minimum-hit-groups", type=int, default=2)
+    v.add_argument("--minimum-base-quality", type=int, default=0)
+    v.add_argument("--use-names", action="store_true")
+
     n = sub.add_parser("minimizers", help="print a sequence's minimizers")
     n.add_argument("sequence")
     n.add_argument("-k", type=int, default=10)
@@ -158,8 +173,9 @@ def _classify(a) -> None:
 
 def _build(a) -> None:
     from phylospan.functions.sequence import sequence_ids
-    from phylospan.operators.index import build_index, sequence_taxa
+    from phylospan.operators.index import TaxIndex, build_index, estimate_capacity, limited, sequence_taxa
     from phylospan.operators.taxonomy import Taxonomy
+    from phylospan.sources.binary import write_index_files
     from phylospan.sources.fastx import read_fastx
     from phylospan.sources.taxfiles import read_id_map, read_taxdump
 
@@ -170,7 +186,14 @@ def _build(a) -> None:
     head = F.concat_ws(" ", "header", "comment")
     taxa = sequence_taxa(seqs.select("seq_no", sequence_ids(head).alias("ids")), ids, taxonomy)
     options = IndexOptions(a.k, a.l, a.spaced_seed_mask, a.toggle_mask, not a.protein, a.min_hash)
+    capacity = a.capacity
+    if not capacity and (a.maximum_capacity or a.compact):
+        capacity = max(a.maximum_capacity, estimate_capacity(seqs, options).first().capacity)
+    options, capacity = limited(options, capacity, a.maximum_capacity)
     build_index(seqs.select("seq_no", "seq"), taxa, taxonomy, options).save(a.db)
+    if a.compact:
+        write_index_files(a.compact, TaxIndex.load(spark, a.db), capacity, a.taxid_bits)
+    seqs.unpersist()
 
 
 def describe(index) -> list[str]:
@@ -238,6 +261,15 @@ def _clean(a) -> None:
     clean(a.folder)
 
 
+def _serve(a) -> None:
+    from phylospan.operators.index import TaxIndex
+    from phylospan.streaming.session import RequestSession
+
+    index = TaxIndex.load(_session(), a.db)
+    opts = ClassifyOptions(a.confidence, a.minimum_hit_groups, a.quick, False, not index.options.dna, a.minimum_base_quality, a.use_names)
+    RequestSession(index, a.log, a.out, a.checkpoint, opts).run()
+
+
 def _minimizers(a) -> None:
     from phylospan.operators.minimizers import tokens
 
@@ -246,7 +278,7 @@ def _minimizers(a) -> None:
         print("ambiguous" if flag else f"{v:016x} {h:016x}")
 
 
-COMMANDS = {"classify": _classify, "build": _build, "estimate": _estimate, "inspect": _inspect, "dump-table": _inspect, "lookup-accessions": _lookup, "mask": _mask, "blast-to-fasta": _blast, "clean": _clean, "minimizers": _minimizers}
+COMMANDS = {"classify": _classify, "build": _build, "estimate": _estimate, "inspect": _inspect, "dump-table": _inspect, "lookup-accessions": _lookup, "mask": _mask, "blast-to-fasta": _blast, "clean": _clean, "serve": _serve, "minimizers": _minimizers}
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phylospan.functions.bits import SECTIONS, murmur64, signed, unsigned_less
+from phylospan.functions.bits import SECTIONS, murmur64, signed, subsample_threshold, unsigned_less
 from phylospan.model import INDEX, IndexOptions
 from phylospan.operators.minimizers import found_minimizers, minimizers
 from phylospan.operators.sieve import sieve_of
@@ -114,6 +115,14 @@ def build_index(sequences: DataFrame, taxa: DataFrame, taxonomy: Taxonomy, optio
     return TaxIndex(index, taxonomy, options)
 
 
+def limited(options: IndexOptions, capacity: int, maximum: int) -> tuple[IndexOptions, int]:
+    """Options and capacity of an index that may have ``maximum`` cells where it would need ``capacity``: minimizers of
+    low hash are left out, alike in building and in classification.  Without a maximum (0) all stay."""
+    if not maximum:
+        return options, capacity
+    return replace(options, min_hash=subsample_threshold(maximum, capacity)), maximum
+
+
 def subsampled(index: DataFrame, threshold: int) -> DataFrame:
     """The index without minimizers whose hash is below an unsigned threshold."""
     if not threshold:

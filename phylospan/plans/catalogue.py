@@ -16,6 +16,7 @@ from phylospan.operators.minimizers import minimizer_tokens, minimizers
 from phylospan.operators.taxonomy import clade_sums, mark
 from phylospan.plans.bridges import BASES_N, SHORT, benchmark_index, dna, document_reads, market, market_nodes, part_index, part_reads, table
 from phylospan.sources.fastx import read_fastx
+from phylospan.sources.sinks import write_outputs
 from phylospan.sources.taxfiles import parse_assemblies, parse_id_map, prelim_map, read_taxdump
 from phylospan.storage import dealt, new_path, written
 
@@ -302,6 +303,43 @@ def stream_call_counts(spark: SparkSession, d: str) -> DataFrame:
     return spark.table(name).join(ext, "call", "left").select(F.coalesce("ext_id", F.lit(0).cast("long")).alias("taxid"), "reads")
 
 
+def stream_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report of part names that arrive as a stream, after the last of them."""
+    from phylospan.operators.classify import classify_narrow
+
+    index, state = part_index(spark, d), new_path(spark, "stream-counters")
+    stream = spark.readStream.schema("p_partkey long, p_name string, p_brand string, p_type string").parquet(f"{d}/part.parquet*")
+    null = lambda c: F.lit(None).cast("string").alias(c)
+    reads = stream.select(F.col("p_partkey").alias("seq_no"), null("header1"), null("comment1"), dna(F.concat_ws(" ", "p_name", "p_brand", "p_type"), BASES_N).alias("seq1"), F.lit("").alias("quals1"), F.lit("fasta").alias("format1"), *[null(f"{c}2") for c in ("header", "comment", "seq", "quals", "format")])
+    running = reports.counters(reports.counter_rows(classify_narrow(index, reads, kmers=True)))
+    running.writeStream.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(state)).option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return reports.counter_report(spark.read.parquet(state), index.taxonomy).select("line_no", "clade_reads", "own_reads", "clade_kmers", "rank_code", "ext_id", "name", "depth")
+
+
+def output_files(spark: SparkSession, d: str) -> DataFrame:
+    """Output lines and split reads written by one pass, and all files' lines read back."""
+    index, opts = part_index(spark, d), ClassifyOptions(use_names=True)
+    reads, folder = part_reads(spark, d), new_path(spark, "outputs")
+    files = write_outputs(classify(index, reads, opts), reads, index.taxonomy, opts, *[f"{folder}/{k}" for k in ("lines", "classified", "unclassified")])
+    kinds = [spark.read.text(f).select(F.lit(k).alias("output"), F.col("value").alias("line")) for f, k in zip(files, ("lines", "classified", "unclassified"))]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+
+
+def compact_probe(spark: SparkSession, d: str) -> DataFrame:
+    """All minimizers of whole documents asked of the passages' index as a compact table, seven tenths full: by taxon how
+    many differ that the table answers, and how many of these the exact index has."""
+    from phylospan.operators.classify import frames_of
+    from phylospan.operators.minimizers import found_minimizers
+    from phylospan.sources.compact import CompactIndex
+
+    index = benchmark_index(spark, d)
+    table_ = CompactIndex.build(index.index, index.taxonomy, index.index.count() * 10 // 7 + 1)
+    answers = table_.lookup(found_minimizers(frames_of(document_reads(spark, d), ClassifyOptions()), index.options, "read"))
+    both = answers.join(index.index.select("minimizer", F.lit(1).alias("known")), "minimizer", "left")
+    ext = index.taxonomy.nodes.select(F.col("node").alias("taxon"), "ext_id")
+    return both.groupBy("taxon").agg(F.count("*").alias("answered"), F.count("known").alias("known")).join(ext, "taxon").select(F.col("ext_id").alias("taxid"), "answered", "known")
+
+
 # --- look-ups, sketches, masking ---------------------------------------------------------------------
 
 
@@ -380,7 +418,7 @@ def classify_long_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    classify_calls, classify_joins, classify_confidence, classify_hit_groups, classify_paired, classify_quick, classify_lines, classify_stats, split_outputs, classify_report, classify_documents, classify_long_documents, stream_call_counts,
+    classify_calls, classify_joins, classify_confidence, classify_hit_groups, classify_paired, classify_quick, classify_lines, classify_stats, split_outputs, classify_report, classify_documents, classify_long_documents, stream_call_counts, stream_report, output_files, compact_probe,
     tax_bfs_ids, tax_closure, tax_children, tax_mark_prune, tax_lca_pairs, tax_is_ancestor, clade_rollup_counts, clade_rollup_distinct, clade_rollup_sketch, clade_report, clade_report_lines, path_report,
     murmur_hash, revcomp, quality_mask, trim_pair, seqid_extract, header_taxids, first_fields, taxdump_scan, assembly_scan, fasta_wrap, six_frame,
     minimizers_dna, minimizers_ambiguous, minimizers_spaced, minimizers_protein, minimizers_scan, index_build_lca, index_value_counts, index_subsample, capacity,

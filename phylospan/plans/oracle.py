@@ -232,6 +232,10 @@ kmers AS (SELECT ancestor AS node, sum(c)::BIGINT AS clade_kmers, count(DISTINCT
 every AS (SELECT '' AS key, count(*) AS clade_reads, count(*) AS own_reads, 0 AS clade_kmers, 0 AS clade_distinct_kmers, 'U' AS rank_code, 0 AS ext_id, 'unclassified' AS name, 0 AS depth FROM calls WHERE call = 0 HAVING count(*) > 0
   UNION ALL SELECT key, clade, own, coalesce(clade_kmers, 0), coalesce(clade_distinct_kmers, 0), rank_code, ext_id, name, depth FROM lines LEFT JOIN kmers ON kmers.node = lines.node)
 SELECT row_number() OVER (ORDER BY key)::INT AS line_no, clade_reads::BIGINT AS clade_reads, own_reads::BIGINT AS own_reads, clade_kmers::BIGINT AS clade_kmers, clade_distinct_kmers::BIGINT AS clade_distinct_kmers, rank_code, ext_id::BIGINT AS ext_id, name, depth::INT AS depth FROM every""",
+    "output_files": _classify() + """, rec AS (SELECT c.*, s.s, CASE WHEN call > 0 THEN 'classified' ELSE 'unclassified' END AS kind FROM calls c JOIN tok_s s ON s.read = c.read)
+SELECT 'lines' AS output, concat_ws(chr(9), CASE WHEN call > 0 THEN 'C' ELSE 'U' END, 'part' || read::VARCHAR || '/1', CASE WHEN call > 0 THEN name ELSE 'unclassified' END || ' (taxid ' || taxid::VARCHAR || ')', length(s)::VARCHAR, hitlist) AS line FROM rec
+UNION ALL SELECT kind, '>part' || read::VARCHAR || '/1' || CASE WHEN call > 0 THEN ' taxid|' || taxid::VARCHAR ELSE '' END FROM rec
+UNION ALL SELECT kind, s FROM rec""",
     "stream_call_counts": _classify() + "SELECT taxid, count(*) AS reads FROM calls GROUP BY 1",
     "tax_bfs_ids": MARKET + "SELECT node, parent, ext_id, name, rank, depth FROM tax",
     "tax_closure": MARKET + "SELECT node, ancestor, dist FROM closure",
@@ -289,3 +293,5 @@ shown AS (SELECT p_partkey, bases.i, CASE WHEN low.k IS NULL THEN b ELSE lower(b
 SELECT p_partkey AS seq_no, string_agg(b, '' ORDER BY i) AS seq FROM shown GROUP BY 1""",
     "distinct_exact": "SELECT l_suppkey AS supplier, count(*) AS observed, count(DISTINCT l_partkey) AS distinct_keys FROM lineitem GROUP BY 1",
 }
+
+ORACLE_SQL["stream_report"] = f"SELECT * EXCLUDE (clade_distinct_kmers) FROM ({ORACLE_SQL['classify_report']})"

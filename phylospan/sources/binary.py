@@ -138,14 +138,14 @@ class CompactTable:
         return {int(v): int(c) for v, c in zip(values, counts) if v}
 
 
-def write_index_files(folder: str, index, capacity: int) -> None:
+def write_index_files(folder: str, index, capacity: int, value_bits: int = 0) -> None:
     """``opts.k2d``, ``taxo.k2d`` and ``hash.k2d`` (fixed names) of a :class:`phylospan.operators.index.TaxIndex`, in a
     folder on a mount that all executors share; the table is built and written by ranges."""
     os.makedirs(folder, exist_ok=True)
     for name, data in (("opts.k2d", pack_options(index.options)), ("taxo.k2d", pack_taxonomy(index.taxonomy))):
         with open(os.path.join(folder, name), "wb") as f:
             f.write(data)
-    CompactIndex.build(index.index, index.taxonomy, capacity).save(os.path.join(folder, "hash.k2d"))
+    CompactIndex.build(index.index, index.taxonomy, capacity, value_bits=value_bits).save(os.path.join(folder, "hash.k2d"))
 
 
 def read_index_files(spark: SparkSession, folder: str) -> tuple[IndexOptions, Taxonomy, CompactIndex]:

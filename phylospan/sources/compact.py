@@ -230,16 +230,17 @@ class CompactIndex:
     layout: Layout
 
     @classmethod
-    def build(cls, index: DataFrame, taxonomy: Taxonomy, capacity: int, cells: int = CELLS) -> CompactIndex:
+    def build(cls, index: DataFrame, taxonomy: Taxonomy, capacity: int, cells: int = CELLS, value_bits: int = 0) -> CompactIndex:
         """An exact index as a compact table; keys that share a cell get the ancestor that their taxa share.
 
-        Null minimizers and taxon 0 are left out.  Refused if the keys do not fit, or for a taxonomy beyond the
+        Null minimizers and taxon 0 are left out.  Values have the bits that the taxa need, or ``value_bits`` if these are
+        more.  Refused if the keys or the taxa do not fit, or for a taxonomy beyond the
         bound of the broadcast arrays, which would leave keys fewer than nine bits.
         """
         tree, spark = taxonomy.tree(), index.sparkSession
         if tree is None:
             raise ValueError("a compact table of so many taxa has no room for keys")
-        layout = Layout(capacity, bits_for_taxa(len(tree.value.entry)), cells)
+        layout = Layout(capacity, bits_for_taxa(len(tree.value.entry), value_bits), cells)
         ship(spark)
         placed = index.where("minimizer is not null and taxon > 0").join(taxonomy.nodes.select(F.col("node").alias("taxon"), "entry"), "taxon").select("minimizer", F.col("entry").cast("int"))
         keys = placed.mapInArrow(_Homes(layout, ["minimizer", "entry"]), "part int, turns int, minimizer long, entry int")

@@ -26,7 +26,7 @@ def other():
 
 def test_registry():
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLE_SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE_SQL) == {"classify_documents", "classify_long_documents", "dust_documents", "dust_mask"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"classify_documents", "classify_long_documents", "compact_probe", "dust_documents", "dust_mask"}
 
 
 @needs_tables
@@ -95,3 +95,18 @@ def test_printed_lines_keep_the_format(spark):
         assert all(a[0] != b[0] for a, b in zip(runs, runs[1:]))
         called = taxon.rsplit("taxid ", 1)[1].rstrip(")")
         assert (flag == "C") == (called != "0") and taxon.startswith("unclassified") == (flag == "U")
+
+
+@needs_tables
+def test_compact_probe_by_brute_force(spark):
+    """Every minimizer that the exact index has is answered, hardly any other, and shared cells are rare."""
+    from phylospan.model import IndexOptions
+    from phylospan.operators.minimizers import tokens
+    from phylospan.plans.bridges import dna, table
+    from pyspark.sql import functions as F
+
+    o = IndexOptions()
+    found = lambda name: set().union(*(tokens(r.s.encode(), o)[0].tolist() for r in table(spark, DATA, name).select(dna(F.coalesce("text", F.lit(""))).alias("s")).collect()))
+    rows = QUERIES["compact_probe"](spark, DATA).collect()
+    both = len(found("benchmark") & found("documents"))
+    assert both > 0 and sum(r.known for r in rows) == both and sum(r.answered for r in rows) <= both * 1.01 + 5

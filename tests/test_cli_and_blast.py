@@ -218,3 +218,22 @@ def test_failed_tasks_leave_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         boom.write.format("text_parts").option("targets", str(tmp_path / "t")).mode("append").save()
     assert not [p for p in (tmp_path / "t").rglob("*") if p.is_file()]
+
+
+def test_build_limits_and_serving(spark, library, tmp_path):
+    from phylospan.sources import binary
+
+    build = ["build", "--fasta", str(library / "lib.fa"), "--id-map", str(library / "map"), "--nodes", str(library / "nodes"), "--names", str(library / "names"), "-k", "21", "-l", "15"]
+    cli.main([*build, "--db", str(tmp_path / "half"), "--capacity", "1000", "--maximum-capacity", "500", "--taxid-bits", "9", "--compact", str(tmp_path / "files")])
+    whole, half = TaxIndex.load(spark, str(library / "db")), TaxIndex.load(spark, str(tmp_path / "half"))
+    assert half.options.min_hash == 1 << 63 and 0.3 < half.index.count() / whole.index.count() < 0.7
+    assert half.index.join(whole.index, ["minimizer", "taxon"], "left_anti").isEmpty()
+    options, _, table = binary.read_index_files(spark, str(tmp_path / "files"))
+    assert options == half.options and (table.layout.capacity, table.layout.value_bits) == (500, 9) and table.size() == half.index.count()
+    with pytest.raises(ValueError, match="exceeds"):
+        cli.main([*build, "--db", str(tmp_path / "x"), "--capacity", "10", "--maximum-capacity", "11"])
+    with pytest.raises(ValueError, match="cannot hold"):
+        cli.main([*build, "--db", str(tmp_path / "y"), "--taxid-bits", "1", "--compact", str(tmp_path / "z")])
+    (tmp_path / "log").write_text(f"{library / 'reads.fq'}\nSTOP\n")
+    cli.main(["serve", "--db", str(library / "db"), "--log", str(tmp_path / "log"), "--out", str(tmp_path / "answers"), "--checkpoint", str(tmp_path / "cp")])
+    assert '"classified": 2' in (tmp_path / "answers" / "request=0" / "summary.json").read_text()
