@@ -174,10 +174,16 @@ class _Probe:
         self.layout = layout
 
     def __call__(self, batches):
-        layout, cells = self.layout, None
+        layout, cells, last = self.layout, None, None
         for part, data, (minimizer, turns) in _of_parts(batches, 2):
             if data is not None:
-                cells = np.frombuffer(data, "<u4")
+                cells, last = np.frombuffer(data, "<u4"), None
+            # keys come in order, so repeated ones are neighbours
+            new = np.append(True, minimizer[1:] != minimizer[:-1])[: len(minimizer)]
+            if len(minimizer):
+                new[0] = last is None or minimizer[0] != last
+                last = minimizer[-1]
+            minimizer, turns = minimizer[new], turns[new]
             if not len(minimizer):
                 continue
             keys = minimizer.view(np.uint64)
@@ -204,6 +210,19 @@ class _Heads:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.binary())], names=["part", "cells"])
 
 
+class _Asked:
+    """Keys with the range of their first cell, those that repeat in a batch once, so that a frequent one is thinned before it moves."""
+
+    def __init__(self, layout: Layout):
+        self.layout = layout
+
+    def __call__(self, batches):
+        for batch in batches:
+            keys = np.unique(batch.column(0).to_numpy())
+            home = self.layout.home(keys.view(np.uint64)) // self.layout.cells
+            yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(np.zeros(len(keys), np.int32)), pa.array(keys)], names=["part", "turns", "minimizer"])
+
+
 class _Homes:
     """Keys with the range of their first cell; other columns stay as they are."""
 
@@ -257,10 +276,13 @@ class CompactIndex:
                 raise ValueError("the compact table is full")
 
     def lookup(self, keys: DataFrame) -> DataFrame:
-        """``(minimizer, taxon)`` of the different ``keys(minimizer)`` that the table answers, right or by chance."""
+        """``(minimizer, taxon)`` of the different ``keys(minimizer)`` that the table answers, right or by chance.
+
+        Keys move once: they are brought to their ranges in order, where those that repeat are left out.
+        """
         layout = self.layout
         ship(keys.sparkSession)
-        todo = keys.select("minimizer").where("minimizer is not null").distinct().mapInArrow(_Homes(layout, ["minimizer"]), "part int, turns int, minimizer long")
+        todo = keys.select("minimizer").where("minimizer is not null").mapInArrow(_Asked(layout), "part int, turns int, minimizer long")
         ranges, answers = self.ranges, []
         while True:
             step = written(_meet(ranges, todo, layout, ["minimizer", "turns"]).mapInArrow(_Probe(layout), _Probe.ddl), "probed")
