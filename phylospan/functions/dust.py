@@ -7,8 +7,6 @@ window long; each run of A, C, G, T (U counts as T) is looked at by itself.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,112 +15,104 @@ from pyspark.sql import functions as F
 from phylospan.shipping import ship
 
 WINDOW, THRESHOLD = 64, 20
-_runs = re.compile("[ACGTUacgtu]+")
-_codes = np.zeros(256, np.int64)
+_OTHER = 4
+_codes = np.full(256, _OTHER, np.uint8)
 for _k, _letters in enumerate(("Aa", "Cc", "Gg", "TtUu")):
     _codes[[ord(c) for c in _letters]] = _k
 
 
-#: Triplets whose ends are looked at together; each stretch of them reads a window more before its start.
+#: Starts that are looked at together; each stretch of them reads a window more behind its end.
 STRETCH = 1 << 16
 
 
-def promising_ends(codes: np.ndarray, window: int = WINDOW, threshold: int = THRESHOLD) -> np.ndarray:
-    """Last triplets at which some stretch scores over the threshold, by array steps over all of them.
+def low_complexity(text: np.ndarray, borders: np.ndarray | None = None, window: int = WINDOW, threshold: int = THRESHOLD) -> np.ndarray:
+    """Which bases of ``text`` (bytes) lie in perfect intervals; none of these crosses a byte that is no base or a border.
 
-    A stretch's last triplet must have come often enough in the window before.  For each that has, the equal pairs of
-    all its stretches follow from how often every triplet has come up to there and up to each start.
+    All starts grow together, triplet by triplet: the equal pairs of a stretch are those of the one without its first
+    triplet and those that this triplet has, and the best score inside it is that of its two stretches without an end.
+    """
+    out, limit = np.zeros(len(text), bool), window - 2
+    borders = np.empty(0, np.int64) if borders is None else np.asarray(borders, np.int64)
+    for lo in range(0, len(text) - 2, STRETCH):
+        part = text[lo : lo + STRETCH + limit + 1]
+        near = borders[np.searchsorted(borders, lo, "right") : np.searchsorted(borders, lo + len(part))] - lo
+        ends = _reach(_codes[part], near, limit, threshold)[:STRETCH]
+        found = np.zeros(len(part), np.int32)
+        found[: len(ends)] = np.where(ends > 0, ends + np.arange(len(ends), dtype=np.int32), 0)
+        out[lo : lo + len(part)] |= np.maximum.accumulate(found) > np.arange(len(part))
+    return out
+
+
+def _reach(code: np.ndarray, borders: np.ndarray, limit: int, threshold: int) -> np.ndarray:
+    """Bases of the longest perfect interval from every triplet on, 0 where there is none.
+
+    Scores are quotients; those of unequal value differ by more than the type's rounding, equal ones are rounded alike.
     """
-    triplets = codes[:-2] * 16 + codes[1:-1] * 4 + codes[2:]
-    limit = window - 2
-    out = [_promising(triplets[max(0, lo - limit + 1) : lo + STRETCH], min(lo, limit - 1), limit, threshold) + max(0, lo - limit + 1) for lo in range(0, len(triplets), STRETCH)]
-    return np.concatenate(out) if out else np.empty(0, np.int64)
-
-
-def _promising(t: np.ndarray, skip: int, limit: int, threshold: int) -> np.ndarray:
-    n = len(t)
-    order = np.argsort(t, kind="stable")
-    in_order = t[order]
-    place = np.empty(n, np.int64)  # how often a triplet has come, up to and with a position
-    place[order] = np.arange(n) - np.searchsorted(in_order, in_order) + 1
-    others = threshold // 10 + 1
-    often = np.zeros(n, bool)
-    if n > others:
-        often[order[others:]] = (in_order[others:] == in_order[:-others]) & (order[others:] - order[:-others] < limit)
-    ends = np.flatnonzero(often)
-    ends = ends[ends >= skip]
-    if not len(ends):
-        return ends
-    upto = np.bincount(np.searchsorted(ends, np.arange(n)) * 64 + t, minlength=64 * (len(ends) + 1)).reshape(-1, 64)[:-1].cumsum(axis=0)
-    rows, pairs, hit = np.arange(len(ends)), np.zeros(len(ends), np.int64), np.zeros(len(ends), bool)
-    for back in range(limit):
-        at = ends - back
-        inside = at >= 0
-        at = np.maximum(at, 0)
-        pairs += np.where(inside, upto[rows, t[at]] - place[at], 0)
-        hit |= inside & (pairs * 10 > threshold * back) & (back > 0)
-    return ends[hit]
+    m = len(code) - 2
+    good = code < _OTHER
+    valid = good[:-2] & good[1:-1] & good[2:]
+    for back in (1, 2):
+        at = borders - back
+        valid[at[(at >= 0) & (at < m)]] = False
+    at = np.arange(m, dtype=np.int32)
+    room = np.minimum(np.minimum.accumulate(np.where(valid, m, at)[::-1])[::-1] - at, limit).astype(np.int32)  # triplets from here on
+    kind, whole = (np.float32, np.int16) if limit <= 128 else (np.float64, np.int64)
+    triplet = code[:-2] * 16 + code[1:-1] * 4 + code[2:]
+    reach, own, pairs = np.zeros(m, np.int32), np.zeros(m, whole), np.zeros(m, whole)
+    best = np.full(m, np.nextafter(kind(threshold / 10), kind(np.inf)), kind)
+    room = room.astype(np.int16) if limit < 1 << 15 else room
+    for n in range(1, int(room.max(initial=0))):
+        k = m - n
+        own[:k] += triplet[:k] == triplet[n:]
+        pairs = pairs[1 : k + 1] + own[:k]
+        score = np.divide(pairs, kind(n), dtype=kind)
+        best = np.maximum(best[:-1], best[1:])
+        perfect = score >= best
+        perfect &= room[:k] > n
+        np.copyto(reach[:k], n + 3, where=perfect)
+        np.maximum(best, score, out=best)
+    return reach
 
 
 def perfect_intervals(run: str, window: int = WINDOW, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
-    """Merged ``(start, end)`` of the perfect intervals of a run of bases.
+    """Merged ``(start, end)`` of the perfect intervals of a run of bases."""
+    return _intervals(low_complexity(np.frombuffer(run.encode("ascii"), np.uint8), None, window, threshold))
 
-    For each promising last triplet the starts are walked backwards with the number of equal pairs kept up to date; a
-    stretch is perfect if it scores at least as high as the best perfect stretch inside it.
-    """
-    codes = _codes[np.frombuffer(run.encode("ascii"), np.uint8)]
-    if len(codes) < 3:
-        return []
-    triplets = (codes[:-2] * 16 + codes[1:-1] * 4 + codes[2:]).tolist()
-    limit = window - 2  # triplets in a window
-    best: list[tuple[int, int, int, int]] = []  # (start, last triplet, pairs, triplets - 1) of perfect stretches in reach
-    found: list[tuple[int, int]] = []
-    for last in promising_ends(codes, window, threshold).tolist():
-        low = max(0, last - limit + 1)
-        best = [b for b in best if b[0] >= low]
-        counts: dict[int, int] = {}
-        pairs, top_pairs, top_len = 0, 0, 0
-        inside = sorted(best, key=lambda b: -b[0])
-        at = 0
-        new = []
-        for start in range(last, low - 1, -1):
-            t = triplets[start]
-            pairs += counts.get(t, 0)
-            counts[t] = counts.get(t, 0) + 1
-            n = last - start
-            if not n or pairs * 10 <= threshold * n:
-                continue
-            while at < len(inside) and inside[at][0] >= start:
-                _, _, p, m = inside[at]
-                if not top_pairs or p * top_len > top_pairs * m:
-                    top_pairs, top_len = p, m
-                at += 1
-            if not top_pairs or pairs * top_len >= top_pairs * n:
-                top_pairs, top_len = pairs, n
-                new.append((start, last, pairs, n))
-                found.append((start, last + 3))
-        best += new
-    out: list[list[int]] = []
-    for s, e in sorted(found):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+
+def _intervals(masked: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], masked.view(np.int8), [0]))))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+
+def _shown(text: np.ndarray, masked: np.ndarray) -> np.ndarray:
+    """Bytes with bases in upper case and masked ones in lower case."""
+    return np.where(_codes[text] < _OTHER, text & 0xDF, text) | masked.view(np.uint8) << 5
 
 
 def dust_mask(seq: str, window: int = WINDOW, threshold: int = THRESHOLD, replace_with: str | None = None) -> str:
     """The sequence with its bases in upper case and masked ones in lower case, or replaced."""
-    out, done = [], 0
-    for m in _runs.finditer(seq):
-        out.append(seq[done : m.start()])
-        run, at = m[0].upper(), 0
-        for s, e in perfect_intervals(run, window, threshold):
-            out += [run[at:s], replace_with * (e - s) if replace_with else run[s:e].lower()]
-            at = e
-        out.append(run[at:])
-        done = m.end()
-    return "".join([*out, seq[done:]])
+    text = np.frombuffer(seq.encode(), np.uint8)
+    masked = low_complexity(text, None, window, threshold)
+    shown = _shown(text, masked).tobytes()
+    if not replace_with:
+        return shown.decode()
+    out, at = [], 0
+    for s, e in _intervals(masked):
+        out += [shown[at:s], replace_with.encode() * (e - s)]
+        at = e
+    return b"".join([*out, shown[at:]]).decode()
+
+
+def _mask_column(column: pa.Array, window: int, threshold: int) -> pa.Array:
+    """All texts of a column masked at once, where they lie side by side in its buffer."""
+    n = len(column)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int32)
+    if ends[-1] == ends[0]:
+        return column
+    text = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    shown = _shown(text, low_complexity(text, ends, window, threshold))
+    return pa.StringArray.from_buffers(n, pa.py_buffer(ends), pa.py_buffer(shown), column.is_valid().buffers()[1])
 
 
 def mask_low_complexity(sequences: DataFrame, seq_col: str = "seq", window: int = WINDOW, threshold: int = THRESHOLD, replace_with: str | None = None) -> DataFrame:
@@ -130,9 +120,13 @@ def mask_low_complexity(sequences: DataFrame, seq_col: str = "seq", window: int
     ship(sequences.sparkSession)
     at = sequences.columns.index(seq_col)
 
+    def masked(column):
+        if not replace_with:
+            return _mask_column(column, window, threshold)
+        return pa.array([None if s is None else dust_mask(s, window, threshold, replace_with) for s in column.to_pylist()], pa.string())
+
     def run(batches):
         for batch in batches:
-            new = [None if s is None else dust_mask(s, window, threshold, replace_with) for s in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([masked(c) if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
 
     return sequences.withColumn(seq_col, F.col(seq_col).cast("string")).mapInArrow(run, sequences.withColumn(seq_col, F.col(seq_col).cast("string")).schema)

@@ -18,7 +18,7 @@ from phylospan.plans.bridges import BASES_N, SHORT, benchmark_index, dna, docume
 from phylospan.sources.fastx import read_fastx
 from phylospan.sources.sinks import write_outputs
 from phylospan.sources.taxfiles import parse_assemblies, parse_id_map, prelim_map, read_taxdump
-from phylospan.storage import dealt, new_path, written
+from phylospan.storage import dealt, new_path, spread, written
 
 PROTEIN = IndexOptions(k=6, l=4, dna=False)
 
@@ -400,7 +400,7 @@ def dust_mask_parts(spark: SparkSession, d: str) -> DataFrame:
 
 def dust_documents(spark: SparkSession, d: str) -> DataFrame:
     """Whole documents as DNA: masked bases of each, and a digest of the masked text."""
-    docs = dealt(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", dna(F.col("text"), BASES_N).alias("seq"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", dna(F.col("text"), BASES_N).alias("seq"))
     masked = dust.mask_low_complexity(docs)
     return masked.select("doc_id", F.length(F.regexp_replace("seq", "[^acgt]", "")).cast("long").alias("masked"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
 

@@ -64,3 +64,11 @@ def dealt(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(2 * cores) if size <= SMALL * cores else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """An input dealt out over all cores, however large: for work that costs far more than moving the rows, which
+    would otherwise run in as many tasks as the files have row groups."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(max(2 * cores, size // (SMALL // 2)))
