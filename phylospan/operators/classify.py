@@ -362,7 +362,10 @@ class _Sifted:
                 first = np.flatnonzero(np.append(True, ~(none[1:] & none[:-1]) | (owner[1:] != owner[:-1])))
                 code = np.where(ambiguous, AMBIGUOUS, 0)[first]
                 own = owner[first]
-                columns = (read[own], mate[own], frame[own], np.arange(len(first)), m[first].view(np.int64), np.add.reduceat(size.astype(np.int64), first), code, ask[first])
+                # places count from each frame's start: the plan scans reads twice, and their batches may differ
+                begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                place = np.arange(len(first)) - np.repeat(begin, np.diff(np.append(begin, len(first))))
+                columns = (read[own], mate[own], frame[own], place, m[first].view(np.int64), np.add.reduceat(size.astype(np.int64), first), code, ask[first])
                 for at in range(0, len(first), 1 << 17):
                     yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 17)], t) for c, t in zip(columns, self.schema.types)], schema=self.schema)
 

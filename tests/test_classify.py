@@ -409,3 +409,23 @@ def test_a_bucketed_index_is_joined_in_place(spark, world, tmp_path):
         assert sorted(map(str, got.collect())) == sorted(map(str, classify(index, reads, broadcast_rows=0).collect()))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_runs_of_a_read_keep_their_places_in_any_batch():
+    """The join plan scans reads in two branches, whose tasks may see them in another order and other batches."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from phylospan.operators.classify import _Sifted
+
+    rng, o = random.Random(8), IndexOptions(k=12, l=8)
+    seqs = {r: "".join(rng.choices("ACGTACGTN", k=rng.randint(0, 80))) for r in range(50)}
+    sieve = SimpleNamespace(value=SimpleNamespace(maybe=lambda m: m % np.uint64(3) == 0))
+
+    def places(order):
+        batches = [pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([0] * len(ids), pa.int32()), pa.array([0] * len(ids), pa.int32()), pa.array([seqs[r] for r in ids])], names=["read", "mate", "frame", "seq"]) for ids in order]
+        return sorted((r["read"], r["run"], r["minimizer"], r["tokens"]) for b in _Sifted(sieve, o)(iter(batches)) for r in b.to_pylist())
+
+    ids = list(seqs)
+    assert places([ids]) == places([ids[30:], ids[:30]]) == places([ids[::-1]])
