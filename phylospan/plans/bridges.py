@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from phylospan.model import IndexOptions
 from phylospan.operators.index import TaxIndex, build_index
 from phylospan.operators.taxonomy import Taxonomy
-from phylospan.storage import dealt, written
+from phylospan.storage import dealt, spread, written
 
 HEX, BASES, BASES_N = "0123456789ABCDEF", "ACGTACGTACGTACGT", "ACGTACGTACGTACGN"
 #: The options of the small bridges.
@@ -89,6 +89,6 @@ def benchmark_index(spark: SparkSession, sf_dir: str, options: IndexOptions = In
 
 def document_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, whole, as reads."""
-    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     null = lambda c: F.lit(None).cast("string").alias(c)
     return docs.select(F.col("doc_id").alias("seq_no"), F.col("doc_id").cast("string").alias("header1"), F.lit("").alias("comment1"), dna(F.col("text")).alias("seq1"), F.lit("").alias("quals1"), F.lit("fasta").alias("format1"), *[null(f"{c}2") for c in ("header", "comment", "seq", "quals", "format")])

@@ -329,12 +329,11 @@ def compact_probe(spark: SparkSession, d: str) -> DataFrame:
     """All minimizers of whole documents asked of the passages' index as a compact table, seven tenths full: by taxon how
     many differ that the table answers, and how many of these the exact index has."""
     from phylospan.operators.classify import frames_of
-    from phylospan.operators.minimizers import found_minimizers
     from phylospan.sources.compact import CompactIndex
 
     index = benchmark_index(spark, d)
     table_ = CompactIndex.build(index.index, index.taxonomy, index.index.count() * 10 // 7 + 1)
-    answers = table_.lookup(found_minimizers(frames_of(document_reads(spark, d), ClassifyOptions()), index.options, "read"))
+    answers = table_.search(frames_of(document_reads(spark, d), ClassifyOptions()), index.options)
     both = answers.join(index.index.select("minimizer", F.lit(1).alias("known")), "minimizer", "left")
     ext = index.taxonomy.nodes.select(F.col("node").alias("taxon"), "ext_id")
     return both.groupBy("taxon").agg(F.count("*").alias("answered"), F.count("known").alias("known")).join(ext, "taxon").select(F.col("ext_id").alias("taxid"), "answered", "known")

@@ -6,7 +6,8 @@ cells.  Keys meet the range of their first cell; what runs over a range's end go
 another round, which the few keys near a border do.  Any order of insertion gives a right table, for no cell is ever
 emptied: between a key's first cell and its own there is never a free one.
 
-Keys are mixed well, so ranges get alike many; a range's keys are streamed past its cells.
+Keys are mixed well, so ranges get alike many; a range's keys are streamed past its cells.  A table of at most
+:data:`BROADCAST_CELLS` is asked where the keys are: it has few ranges, which all keys would have to meet.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import os
 import struct
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phylospan.functions.bits import bits_for_taxa, fmix64
+from phylospan.model import IndexOptions
+from phylospan.operators.minimizers import found_minimizers, runs_of
 from phylospan.operators.taxonomy import Taxonomy
 from phylospan.shipping import ship
 from phylospan.storage import dropped, written
 
 #: Cells of a range: 4 MB.
 CELLS = 1 << 20
+#: Cells that are broadcast at most: 64 MB.
+BROADCAST_CELLS = 1 << 24
 #: Fixed values of the format: capacity, filled cells, bits of keys and of values.
 HEADER = "<QQQQ"
 #: Bytes before the cells.
@@ -193,6 +198,66 @@ class _Probe:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), (part + 1) % layout.parts, np.int32), mask=~on[keep]), pa.array(minimizer[keep]), pa.array(turns[keep] + np.int32(1)), pa.array(value[keep], mask=on[keep])], schema=self.schema)
 
 
+class _Answered:
+    """Keys that a whole table answers, with their taxa; those that repeat in a batch once."""
+
+    ddl = "minimizer long, taxon long"
+
+    def __init__(self, cells, layout: Layout):
+        self.cells, self.layout = cells, layout
+
+    def of(self, keys: np.ndarray) -> pa.RecordBatch:
+        """The answers to unsigned keys."""
+        cells, layout = self.cells.value, self.layout
+        home = layout.home(keys)
+        # most keys of foreign texts meet a free cell at once
+        taken = np.flatnonzero(cells[home] & np.uint32((1 << layout.value_bits) - 1))
+        keys, home = keys[taken], home[taken]
+        short, value, todo = layout.short(keys), np.zeros(len(keys), np.int64), np.arange(len(keys))
+        for _ in range(2):  # behind the last cell the search goes on at the first
+            value[todo], past = find(cells, layout.value_bits, home[todo], short[todo])
+            todo = todo[past]
+            home[todo] = 0
+        hit = np.flatnonzero(value)
+        keys, first = np.unique(keys[hit], return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(value[hit[first]])], names=["minimizer", "taxon"])
+
+    def __call__(self, batches):
+        for batch in batches:
+            yield self.of(batch.column(0).to_numpy().view(np.uint64))
+
+
+class _Searched(_Answered):
+    """Sequences to the answers of a whole table to their minimizers, which do not leave the scan."""
+
+    def __init__(self, cells, layout: Layout, options: IndexOptions):
+        super().__init__(cells, layout)
+        self.options = options
+
+    def __call__(self, batches):
+        o = self.options
+        for batch in batches:
+            for seqs in _groups(batch.column(0)):
+                _, m, ambiguous, _, _ = runs_of(seqs, o)
+                keep = ~ambiguous
+                if o.min_hash:
+                    keep &= fmix64(m) >= np.uint64(o.min_hash)
+                yield self.of(m[keep])
+
+
+def _groups(column, bases: int = 1 << 22):
+    """Texts of a column as bytes, in lists of not much more than so many bases."""
+    held, size = [], 0
+    for s in column:
+        held.append((s.as_py() or "").encode("latin-1", "replace"))
+        size += len(held[-1])
+        if size >= bases:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 class _Heads:
     """Ranges up to their first free cell, all that keys from the range before them can meet."""
 
@@ -241,12 +306,18 @@ def _meet(ranges: DataFrame, keys: DataFrame, layout: Layout, columns: list[str]
     return rows.repartition(layout.parts, "part").sortWithinPartitions("part", F.col("minimizer").asc_nulls_first())
 
 
+def _once(answers: DataFrame) -> DataFrame:
+    """Answers of many batches, each key's once."""
+    return answers.groupBy("minimizer").agg(F.min("taxon").alias("taxon"))
+
+
 @dataclass
 class CompactIndex:
     """A compact table: ``ranges(part, cells)`` and how keys find their cells."""
 
     ranges: DataFrame
     layout: Layout
+    _whole: object = field(default=None, repr=False, compare=False)
 
     @classmethod
     def build(cls, index: DataFrame, taxonomy: Taxonomy, capacity: int, cells: int = CELLS, value_bits: int = 0) -> CompactIndex:
@@ -278,10 +349,14 @@ class CompactIndex:
     def lookup(self, keys: DataFrame) -> DataFrame:
         """``(minimizer, taxon)`` of the different ``keys(minimizer)`` that the table answers, right or by chance.
 
-        Keys move once: they are brought to their ranges in order, where those that repeat are left out.
+        A small table is broadcast to the keys, and only answers move.  With a larger one keys move once: they are
+        brought to their ranges in order, where those that repeat are left out.
         """
         layout = self.layout
         ship(keys.sparkSession)
+        if layout.capacity <= BROADCAST_CELLS:
+            asked = keys.select("minimizer").where("minimizer is not null")
+            return _once(asked.mapInArrow(_Answered(self.whole(), layout), _Answered.ddl))
         todo = keys.select("minimizer").where("minimizer is not null").mapInArrow(_Asked(layout), "part int, turns int, minimizer long")
         ranges, answers = self.ranges, []
         while True:
@@ -297,6 +372,21 @@ class CompactIndex:
             out = out.unionByName(more)
         return out
 
+    def search(self, sequences: DataFrame, options: IndexOptions, seq_col: str = "seq") -> DataFrame:
+        """:meth:`lookup` of all minimizers of sequences; a small table is asked in the scan itself."""
+        if self.layout.capacity > BROADCAST_CELLS:
+            return self.lookup(found_minimizers(sequences.withColumn("seq_no", F.lit(0).cast("long")), options, "seq_no", seq_col))
+        ship(sequences.sparkSession)
+        return _once(sequences.select(seq_col).mapInArrow(_Searched(self.whole(), self.layout, options), _Searched.ddl))
+
+    def whole(self):
+        """All cells as a broadcast array, made once; for tables of at most ``BROADCAST_CELLS``."""
+        if self._whole is None:
+            ranges = self.ranges.select("part", "cells").toArrow().sort_by("part")
+            cells = np.concatenate([np.frombuffer(c.as_buffer(), "<u4") for chunk in ranges["cells"].chunks for c in chunk])
+            self._whole = self.ranges.sparkSession.sparkContext.broadcast(cells)
+        return self._whole
+
     def value_counts(self) -> DataFrame:
         """``(taxon, minimizers)``: filled cells by value."""
         low = np.uint32((1 << self.layout.value_bits) - 1)

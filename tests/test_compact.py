@@ -107,3 +107,24 @@ def test_reads_are_classified_by_index_files(spark, tmp_path, dna):
         exact = {r.read: (r.call, r.hitlist) for r in classify(built, reads, opts).collect()}
         got = {r.read: (r.call, r.hitlist) for r in classify(binary.index_for(table, again, options, reads, opts), reads, opts).collect()}
         assert got == exact
+
+
+def test_small_tables_are_asked_where_keys_are(spark, monkeypatch):
+    """All keys of a table of one range would meet in one task; asked in the scan the answers are the same."""
+    from phylospan.operators.minimizers import found_minimizers
+    from phylospan.sources import compact
+
+    taxonomy, _ = tree(spark)
+    rng, o = random.Random(9), IndexOptions(k=15, l=11)
+    genomes = [(k, "".join(rng.choices("ACGTN", [9, 9, 9, 9, 1], k=400))) for k in range(8)]
+    sequences = spark.createDataFrame([*genomes, (8, None), (9, "")], "seq_no long, seq string").repartition(4)
+    built = build_index(sequences.where("seq_no < 5"), spark.createDataFrame([(k, 3 * k + 2) for k in range(5)], "seq_no long, taxon long"), taxonomy, o)
+    for capacity in (built.index.count(), 3 * built.index.count()):  # full, with a search past the last cell, and loose
+        table = CompactIndex.build(built.index, taxonomy, capacity, capacity // 3)
+        found = table.search(sequences, o)
+        assert "hashpartitioning(part" not in found._jdf.queryExecution().executedPlan().toString()
+        got, asked = sorted(map(tuple, found.collect())), found_minimizers(sequences, o)
+        assert got == sorted(map(tuple, table.lookup(asked).collect())) and len(got) >= built.index.count()
+        monkeypatch.setattr(compact, "BROADCAST_CELLS", 0)
+        assert got == sorted(map(tuple, table.search(sequences, o).collect())) == sorted(map(tuple, table.lookup(asked).collect()))
+        monkeypatch.undo()
