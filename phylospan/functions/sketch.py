@@ -258,17 +258,41 @@ def _total(term) -> Column:
 def estimates(table: DataFrame, observed: DataFrame, precision: int = 12) -> DataFrame:
     """``(g, observed, estimate, estimate_linear)`` of a sketch table: the bias-free estimator with its corrections for
     empty and for full slots, and the raw one with linear counting (of registers; sparse slots are turned into them)."""
-    def figures(slots: DataFrame, bits: Column, name: str) -> DataFrame:
-        counts = slots.groupBy("g", "dense", "rank").agg(F.count("*").alias("n"))
-        q = F.lit(64) - bits
-        weight = F.col("n") * F.pow(F.lit(2.0), -F.col("rank").cast("double"))
-        return counts.groupBy("g", "dense").agg(F.sum("n").alias(f"used_{name}"), F.sum(F.when(F.col("rank") <= q, weight).otherwise(0.0)).alias(f"sum_{name}"), F.sum(F.when(F.col("rank") > q, F.col("n")).otherwise(0)).alias(f"full_{name}"), F.sum(weight).alias(f"all_{name}"))
-
     bits = F.when(F.col("dense"), F.lit(precision)).otherwise(F.lit(SPARSE_BITS))
-    own = figures(table, bits, "own")
+    own = _figures(table, ["g", "dense"], bits, "own")
     slot, rank = _to_register(F.col("slot"), F.col("rank"), precision)
     as_registers = table.select("g", "dense", F.when(F.col("dense"), F.col("slot")).otherwise(slot).alias("slot"), F.when(F.col("dense"), F.col("rank")).otherwise(rank).alias("rank")).groupBy("g", "dense", "slot").agg(F.max("rank").alias("rank"))
-    raw = figures(as_registers, F.lit(precision), "raw").drop("dense")
+    raw = _figures(as_registers, ["g", "dense"], F.lit(precision), "raw").drop("dense")
+    return _estimated(own.join(raw, "g"), observed, precision)
+
+
+def merged_estimates(table: DataFrame, observed: DataFrame, precision: int = 12) -> DataFrame:
+    """:func:`estimates` of :func:`merged` for a ``table`` without repeated ``(g, dense, slot)``.
+
+    What becomes of a group's slots is decided on its histograms, so no group's slots come together: one of a clade of
+    everything may have as many as there are keys.
+    """
+    slot, rank = _to_register(F.col("slot"), F.col("rank"), precision)
+    turned = table.select("g", "dense", F.when(F.col("dense"), F.col("slot")).otherwise(slot).alias("slot"), F.when(F.col("dense"), F.col("rank")).otherwise(rank).alias("rank"))
+    registers = turned.groupBy("g", "slot").agg(F.max("rank").alias("rank"), F.max("dense").alias("dense"))
+    kinds = registers.groupBy("g").agg(F.max("dense").alias("dense"))
+    raw = _figures(registers, ["g"], F.lit(precision), "raw")
+    sparse = _figures(table.where("not dense"), ["g"], F.lit(SPARSE_BITS), "sparse")
+    both = raw.join(kinds, "g").join(sparse, "g", "left")
+    own = [F.when(F.col("dense"), F.col(f"{c}_raw")).otherwise(F.col(f"{c}_sparse")).alias(f"{c}_own") for c in ("used", "sum", "full", "all")]
+    return _estimated(both.select("g", "dense", *[f"{c}_raw" for c in ("used", "sum", "full", "all")], *own), observed, precision)
+
+
+def _figures(slots: DataFrame, key: list[str], bits: Column, name: str) -> DataFrame:
+    """What estimators need of the ranks of every key's slots."""
+    counts = slots.groupBy(*key, "rank").agg(F.count("*").alias("n"))
+    q = F.lit(64) - bits
+    weight = F.col("n") * F.pow(F.lit(2.0), -F.col("rank").cast("double"))
+    return counts.groupBy(*key).agg(F.sum("n").alias(f"used_{name}"), F.sum(F.when(F.col("rank") <= q, weight).otherwise(0.0)).alias(f"sum_{name}"), F.sum(F.when(F.col("rank") > q, F.col("n")).otherwise(0)).alias(f"full_{name}"), F.sum(weight).alias(f"all_{name}"))
+
+
+def _estimated(figures: DataFrame, observed: DataFrame, precision: int) -> DataFrame:
+    bits = F.when(F.col("dense"), F.lit(precision)).otherwise(F.lit(SPARSE_BITS))
     m = F.pow(F.lit(2.0), bits.cast("double"))
     empty, full = (m - F.col("used_own")) / m, F.lit(1.0) - F.col("full_own") / m
     sigma = empty + _total(lambda k: F.pow(empty, F.pow(F.lit(2.0), k)) * F.pow(F.lit(2.0), k - 1))
@@ -280,7 +304,7 @@ def estimates(table: DataFrame, observed: DataFrame, precision: int = 12) -> Dat
     free = F.lit(size) - F.col("used_raw")
     linear = F.when((harmonic <= 2.5 * size) & (free > 0), size * F.log(F.lit(size) / free)).otherwise(harmonic)
     bounded = lambda e: F.when(F.col("observed") < e, F.col("observed")).otherwise(F.round(e).cast("long"))
-    return own.join(raw, "g").join(observed, "g").select("g", "observed", bounded(estimate).alias("estimate"), bounded(linear).alias("estimate_linear"))
+    return figures.join(observed, "g").select("g", "observed", bounded(estimate).alias("estimate"), bounded(linear).alias("estimate_linear"))
 
 
 def exact_distinct(rows: DataFrame, group: str, key: str) -> DataFrame:

@@ -429,3 +429,31 @@ def test_runs_of_a_read_keep_their_places_in_any_batch():
 
     ids = list(seqs)
     assert places([ids]) == places([ids[30:], ids[:30]]) == places([ids[::-1]])
+
+
+def test_keys_of_clades_are_counted_without_their_ancestors(spark):
+    """Different keys and merged sketches of every clade, against sets; sparse and dense sketches meet."""
+    from phylospan.functions.sketch import Sketch, estimates, merged, merged_estimates, sketches
+
+    taxonomy, _ = tree(spark, 30, 5)
+    paths, _ = plain(taxonomy)
+    rng = random.Random(5)
+    rows = [(rng.randrange(1, 31), rng.randrange(60)) for _ in range(400)] + [(7, k) for k in range(1500)]
+    df = spark.createDataFrame(rows, "taxon long, m long")
+    want = {}
+    for t, m in rows:
+        for a in paths[t]:
+            want.setdefault(a, []).append(m)
+    counted = reports.distinct_in_clades(df.groupBy("taxon", "m").agg(F.count("*").alias("c")), taxonomy)
+    assert {r.node: (r.total, r.different) for r in counted.collect()} == {a: (len(ms), len(set(ms))) for a, ms in want.items()}
+    got = {r.node: (r.observed, r.estimate) for r in reports.clade_sketches(df, taxonomy).collect()}
+    for a, ms in want.items():
+        sketch_ = Sketch()
+        for t in range(1, 31):
+            if a in paths[t]:
+                sketch_ = sketch_.merge(Sketch().add(np.array([m for x, m in rows if x == t])))
+        assert got[a] == (len(ms), sketch_.estimate())
+    own, observed = sketches(df, "taxon", "m")
+    halves = own.withColumn("g", F.col("g") % 2).groupBy("g", "dense", "slot").agg(F.max("rank").alias("rank"))
+    totals = observed.groupBy((F.col("g") % 2).alias("g")).agg(F.sum("observed").alias("observed"))
+    assert sorted(map(tuple, merged_estimates(halves, totals).collect())) == sorted(map(tuple, estimates(merged(halves), totals).collect()))
