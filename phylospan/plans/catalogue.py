@@ -80,8 +80,8 @@ def clade_rollup_distinct(spark: SparkSession, d: str) -> DataFrame:
     tax = market(spark, d)
     bought = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey"), "o_orderkey")
     rows = tax.internal(bought.select((1_000_000_000 + F.col("o_custkey")).alias("ext_id"), "l_partkey").groupBy("ext_id", "l_partkey").agg(F.count("*").alias("c")))
-    above = rows.join(tax.closure().select(F.col("node").alias("taxon"), F.col("ancestor").alias("node")), "taxon")
-    return above.groupBy("node", "l_partkey").agg(F.sum("c").alias("c")).groupBy("node").agg(F.sum("c").alias("parts"), F.count("*").alias("distinct_parts"))
+    found = reports.distinct_in_clades(rows.select("taxon", F.col("l_partkey").alias("m"), "c"), tax)
+    return found.select("node", F.col("total").alias("parts"), F.col("different").alias("distinct_parts"))
 
 
 def clade_rollup_sketch(spark: SparkSession, d: str) -> DataFrame:
