@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from phylospan.shipping import ship
+
 #: The codon table, by a codon's bases in the order AGCT (fixed values).
 CODON_BASES = "AGCT"
 AMINO_ACIDS = "KKNNRRSSTTTTIMIIEEDDGGGGAAAAVVVVQQHHRRRRPPPPLLLL**YY*WCCSSSSLLFF"
@@ -80,25 +87,40 @@ def six_frames(seq: Column) -> Column:
     frames 0 to 2 read backwards on the other strand.  A codon with anything but A, C, G, T is ``X``; a
     sequence of under three bases has six texts of spaces, as long as its longest frame could be.
     """
-    text = F.translate(seq, "acgt", "ACGT")
-    other = F.translate(F.reverse(text), "ACGT", "TGCA")
-    n = F.length(text)
-    table = F.lit(AMINO_ACIDS)
-
-    def codon(strand, at):
-        three = F.substring(strand, at + 1, F.lit(3)) if not isinstance(at, int) else F.substring(strand, at + 1, 3)
-        digits = F.translate(three, CODON_BASES, "0123")
-        number = F.conv(digits, 4, 10).cast("int")
-        return F.when(three.rlike("^[ACGT]{3}$"), F.substring(table, number + 1, F.lit(1))).otherwise(F.lit("X"))
-
-    def frame(strand, first):
-        count = F.floor((n - first) / 3).cast("int")
-        starts = F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda k: k * 3 + first)).otherwise(F.array().cast("array<int>"))
-        return F.array_join(F.transform(starts, lambda s: codon(strand, s)), "")
-
-    blank = F.repeat(F.lit(" "), F.floor(n / 3).cast("int") + 1)
+    return _six_frames(seq)
+
+
+@lru_cache(1)
+def _codon_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Amino acids by three bases (numbers in the order AGCT, 4 for others), read on this strand and on the other."""
+    ahead = np.full((5, 5, 5), ord("X"), np.uint8)
+    ahead[:4, :4, :4] = np.frombuffer(AMINO_ACIDS.encode(), np.uint8).reshape(4, 4, 4)
+    other = [3, 2, 1, 0, 4]  # AGCT is its own complement backwards
+    return ahead.ravel(), ahead[np.ix_(other, other, other)].transpose(2, 1, 0).ravel()
+
+
+_base = np.full(256, 4, np.uint8)
+for _k, _c in enumerate(CODON_BASES):
+    _base[[ord(_c), ord(_c.lower())]] = _k
+
+
+def translations(seq: str | None) -> list[str]:
+    """The six translations of one sequence; see :func:`six_frames`."""
+    code = _base[np.frombuffer((seq or "").encode("latin-1", "replace"), np.uint8)]
+    n = len(code)
+    if n < 3:
+        return ["" if seq is None else " "] * 6
+    number = code[:-2] * np.uint8(25) + code[1:-1] * np.uint8(5) + code[2:]
+    ahead, back = (t[number] for t in _codon_tables())
     firsts = (1, 2, 0)  # a codon that starts at 0 ends at 2
-    forward = [frame(text, f) for f in firsts]
-    # on the other strand the codon that ends (in this strand) at e starts at n - 1 - e
-    backward = [frame(other, F.pmod(n - 1 - r, F.lit(3)).cast("int")) for r in range(3)]
-    return F.when(n < 3, F.array(*[blank] * 6)).otherwise(F.array(*forward, *backward))
+    return [ahead[f::3].tobytes().decode("ascii") for f in firsts] + [back[f::3][::-1].tobytes().decode("ascii") for f in firsts]
+
+
+def _six_frames(seq: Column) -> Column:
+    def frames(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([translations(s) for s in texts])
+
+    if (context := SparkSession.getActiveSession()) is not None:
+        ship(context)
+    return F.pandas_udf(frames, "array<string>")(seq)

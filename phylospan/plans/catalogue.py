@@ -167,8 +167,9 @@ def fasta_wrap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def six_frame(spark: SparkSession, d: str) -> DataFrame:
+    part = spread(table(spark, d, "part").select("p_partkey", "p_name"))
     frames = F.posexplode(sequence.six_frames(dna(F.col("p_name"), BASES_N)))
-    return table(spark, d, "part").select("p_partkey", frames.alias("frame", "protein"))
+    return part.select("p_partkey", frames.alias("frame", "protein"))
 
 
 # --- minimizers and index ----------------------------------------------------------------------------
