@@ -287,6 +287,12 @@ def classify_documents(spark: SparkSession, d: str) -> DataFrame:
     return got.join(ext, "call", "left").select(F.col("read").alias("doc_id"), F.coalesce("ext_id", F.lit(0).cast("long")).alias("taxid"), "total", "hit_groups")
 
 
+def _part_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as a stream, dealt out over all cores, for a file of one row group is one task."""
+    stream = spark.readStream.schema("p_partkey long, p_name string, p_brand string, p_type string").parquet(f"{d}/part.parquet*")
+    return stream.repartition(2 * spark.sparkContext.defaultParallelism)
+
+
 def stream_call_counts(spark: SparkSession, d: str) -> DataFrame:
     """Part names that arrive as a stream, counted by call."""
     import uuid
@@ -294,7 +300,7 @@ def stream_call_counts(spark: SparkSession, d: str) -> DataFrame:
     from phylospan.operators.classify import classify_narrow
 
     index = part_index(spark, d)
-    stream = spark.readStream.schema("p_partkey long, p_name string, p_brand string, p_type string").parquet(f"{d}/part.parquet*")
+    stream = _part_stream(spark, d)
     null = lambda c: F.lit(None).cast("string").alias(c)
     reads = stream.select(F.col("p_partkey").alias("seq_no"), null("header1"), null("comment1"), dna(F.concat_ws(" ", "p_name", "p_brand", "p_type"), BASES_N).alias("seq1"), F.lit("").alias("quals1"), F.lit("fasta").alias("format1"), *[null(f"{c}2") for c in ("header", "comment", "seq", "quals", "format")])
     counts = classify_narrow(index, reads).groupBy("call").agg(F.count("*").alias("reads"))
@@ -309,7 +315,7 @@ def stream_report(spark: SparkSession, d: str) -> DataFrame:
     from phylospan.operators.classify import classify_narrow
 
     index, state = part_index(spark, d), new_path(spark, "stream-counters")
-    stream = spark.readStream.schema("p_partkey long, p_name string, p_brand string, p_type string").parquet(f"{d}/part.parquet*")
+    stream = _part_stream(spark, d)
     null = lambda c: F.lit(None).cast("string").alias(c)
     reads = stream.select(F.col("p_partkey").alias("seq_no"), null("header1"), null("comment1"), dna(F.concat_ws(" ", "p_name", "p_brand", "p_type"), BASES_N).alias("seq1"), F.lit("").alias("quals1"), F.lit("fasta").alias("format1"), *[null(f"{c}2") for c in ("header", "comment", "seq", "quals", "format")])
     running = reports.counters(reports.counter_rows(classify_narrow(index, reads, kmers=True)))
