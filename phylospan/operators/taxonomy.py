@@ -52,8 +52,10 @@ def ancestor_paths(nodes: DataFrame) -> DataFrame:
 def mark(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """The nodes ``(ext_id, parent_ext, ..)`` that are among ``ids(ext_id)`` or above them, the root always.
 
-    Ids that no node has are ignored.
+    Ids that no node has are ignored.  A leaf that is not asked for is above none, so only the others' paths are made.
     """
+    inner = ids.select("ext_id").unionByName(nodes.select(F.col("parent_ext").alias("ext_id"))).unionByName(nodes.where("ext_id = 1").select("ext_id")).distinct()
+    nodes = written(nodes.join(inner, "ext_id", "left_semi"), "inner-nodes")
     paths = ancestor_paths(nodes).join(ids.select("ext_id").distinct(), "ext_id", "left_semi")
     keep = paths.select(F.explode("path").alias("ext_id")).unionByName(nodes.where("ext_id = 1").select("ext_id")).distinct()
     return nodes.join(keep, "ext_id", "left_semi")

@@ -79,9 +79,12 @@ def part_reads(spark: SparkSession, sf_dir: str, paired: bool = False) -> DataFr
 
 
 def benchmark_index(spark: SparkSession, sf_dir: str, options: IndexOptions = IndexOptions()) -> TaxIndex:
-    """An index of all benchmark passages, spread over the market's nations."""
-    taxonomy = market(spark, sf_dir)
+    """An index of all benchmark passages, spread over the market's nations.
+
+    Of the market only what has passages or is above them is numbered, as in the reference (``src/build_db.rs:119``); no call
+    can be any other node."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_no"), dna(F.col("text")).alias("seq"), (100 + F.col("item_id") % 25).alias("ext_id"))
+    taxonomy = Taxonomy.from_nodes(market_nodes(spark, sf_dir), marked=items.select("ext_id"))
     taxa = taxonomy.internal(items.select("seq_no", "ext_id")).select("seq_no", "taxon")
     built = build_index(items.select("seq_no", "seq"), taxa, taxonomy, options)
     return TaxIndex(written(built.index, "index"), taxonomy, options)

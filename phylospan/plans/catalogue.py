@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phylospan.functions import dust, sequence, sketch
-from phylospan.functions.bits import murmur64
+from phylospan.functions.bits import bits_for_taxa, murmur64
 from phylospan.model import ClassifyOptions, IndexOptions
 from phylospan.operators import reports
 from phylospan.operators.classify import classify, output_lines, run_stats, split_reads
@@ -339,7 +339,8 @@ def compact_probe(spark: SparkSession, d: str) -> DataFrame:
     from phylospan.sources.compact import CompactIndex
 
     index = benchmark_index(spark, d)
-    table_ = CompactIndex.build(index.index, index.taxonomy, index.index.count() * 10 // 7 + 1)
+    # values have room for the whole market, so that the cells keep the same bits of keys
+    table_ = CompactIndex.build(index.index, index.taxonomy, index.index.count() * 10 // 7 + 1, value_bits=bits_for_taxa(market_nodes(spark, d).count() + 1))
     answers = table_.search(frames_of(document_reads(spark, d), ClassifyOptions()), index.options)
     both = answers.join(index.index.select("minimizer", F.lit(1).alias("known")), "minimizer", "left")
     ext = index.taxonomy.nodes.select(F.col("node").alias("taxon"), "ext_id")

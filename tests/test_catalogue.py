@@ -110,3 +110,20 @@ def test_compact_probe_by_brute_force(spark):
     rows = QUERIES["compact_probe"](spark, DATA).collect()
     both = len(found("benchmark") & found("documents"))
     assert both > 0 and sum(r.known for r in rows) == both and sum(r.answered for r in rows) <= both * 1.01 + 5
+
+
+@needs_tables
+def test_the_passages_index_has_no_node_that_no_call_can_be(spark):
+    from phylospan.plans.bridges import benchmark_index, market_nodes
+
+    index = benchmark_index(spark, DATA)
+    nodes = {r.ext_id: r for r in index.taxonomy.nodes.collect()}
+    asked = {100 + r.item_id % 25 for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    above = {r.ext_id: r.parent_ext for r in market_nodes(spark, DATA).collect()}
+    want = set()
+    for e in asked:
+        while e in above:
+            want.add(e)
+            e = above[e]
+    assert set(nodes) == want | {1} and all(nodes[r.ext_id].parent == (nodes[above[r.ext_id]].node if r.ext_id != 1 else 0) for r in nodes.values())
+    assert {r.taxon for r in index.index.select("taxon").distinct().collect()} <= {r.node for r in nodes.values()}
