@@ -5,10 +5,11 @@ in one key before anything is compared.  One trie of all fingerprints would have
 (near 10 of 64 at similarity 0.8) than its walk can prune at scale, so every text hangs in several tries, named
 by the least of its hashed shingles; two texts of similarity 0.8 share at least one trie with probability 0.9998.
 In each trie the members are first held against one leader after another, so that a large group of near copies
-gives a number of pairs in proportion to its size.  Pairs within the error budget are checked on the shingle sets;
-what they join is a component.  Then each trie is joined with itself: node pairs are walked together, differing bits
-are added up, and a node pair is dropped once it passes the budget or has members of one component only.  The pairs
-found are checked nearest first, in rounds; those that an earlier round has joined need no check.  A trie with more
+gives a number of pairs in proportion to its size.  Pairs within the error budget, and whose sets' bitmaps do not
+prove them less similar, are checked on the shingle sets; what they join is a component.  Then each trie is joined with itself: node pairs are walked together, differing bits
+are added up, and a node pair is dropped once it passes the budget or has members of one component only.  This
+goes in rounds: first each text's nearest pairs leave a task and are checked, at last all that are left, of texts
+that no earlier round has joined.  A trie with more
 members than :data:`CELL` is dealt out in cells, so no task holds more, whatever the skew.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phylospan.llm.common import dropped, each_row, fresh, quoted, with_computed, written
@@ -36,7 +37,9 @@ WORDS = 4
 FIRST, TOTAL, TINY, TINY_TOTAL = 21, 62, 8, 74
 #: Members of a trie that one task holds.
 CELL = 4096
-#: Of a text's pairs so many, the nearest, are checked in the first rounds; the last round has all others.
+#: Bits of a set's bitmap for each of its members at least, and bits at most.
+BITMAP, BITMAP_MOST = 4, 1 << 17
+#: Of a text's pairs in a cell so many, the nearest, are checked in the first rounds; the last round has all others.
 ROUNDS = (1, 8)
 
 _rng = np.random.default_rng(SEED)
@@ -90,31 +93,63 @@ def trie_names(shingles: np.ndarray) -> list[int]:
     return [_signed(xxhash.xxh3_64_intdigest(least[k * WIDTH : (k + 1) * WIDTH].tobytes(), k)) for k in range(TRIES)]
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A set's members as bits at their values' low bits, a power of two in all: what one bitmap has beyond another
+    is no more than what its set has beyond the other's."""
+    n = 1 << max(6, (min(BITMAP * len(shingles), BITMAP_MOST) - 1).bit_length())
+    bits = np.zeros(n, bool)
+    bits[shingles & np.uint64(n - 1)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def most_common(bitmaps, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For pairs of sets, a number of members that they have in common at most, from their bitmaps and sizes.
+
+    Of two bitmaps the longer one is folded to the other's length."""
+    out = np.empty(len(i), np.int64)
+    used, at = np.unique(np.concatenate((i, j)), return_inverse=True)
+    at_i, at_j = at[: len(i)], at[len(i) :]
+    length = np.array([len(bitmaps[k]) for k in used], np.int64)
+    narrow = np.minimum(length[at_i], length[at_j])
+    for n in np.unique(narrow):
+        pairs = np.flatnonzero(narrow == n)
+        here, row = np.unique(np.concatenate((at_i[pairs], at_j[pairs])), return_inverse=True)
+        words = np.stack([np.bitwise_or.reduce(np.frombuffer(bitmaps[used[k]], "<u8").reshape(-1, n // 8), axis=0) for k in here])
+        step = max(1, (1 << 22) // int(n))
+        for lo in range(0, len(pairs), step):
+            some = pairs[lo : lo + step]
+            a, b = words[row[lo : lo + len(some)]], words[row[len(pairs) + lo : len(pairs) + lo + len(some)]]
+            beyond = lambda x, y: np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
+            out[some] = np.minimum(sizes[i[some]] - beyond(a, b), sizes[j[some]] - beyond(b, a))
+    return out
+
+
 def _described(shingle: int):
-    """Of a text: the key of its shingle set, its tries, and its fingerprint's words with the size of the set."""
+    """Of a text: the key of its shingle set, its tries, its fingerprint's words with the size of the set, and its bitmap."""
 
     def row(text):
         s = shingle_set(text, shingle)
         if not len(s):
-            return 0, [], [0] * (WORDS + 1)
-        return _signed(xxhash.xxh3_64_intdigest(s.tobytes()) | 1), trie_names(s), [*wide_fingerprint(s).view(np.int64).tolist(), len(s)]
+            return 0, [], [0] * (WORDS + 1), b""
+        return _signed(xxhash.xxh3_64_intdigest(s.tobytes()) | 1), trie_names(s), [*wide_fingerprint(s).view(np.int64).tolist(), len(s)], bitmap(s)
 
     return lambda: row
 
 
 class _Tries:
-    """Whole cells in turn, from batches sorted by ``(trie, one, other)``; columns go on with ``cell, key, root``, the fingerprint's words and the size.
+    """Whole cells in turn, from batches sorted by ``(trie, one, other)``; columns go on with ``cell, key, root``, the fingerprint's words, the size and the bitmap.
 
-    Gives pairs ``(a, b)`` of keys with the bits that differ, within the budgets and with sizes that allow the similarity.
+    Gives pairs ``(a, b)`` of keys with the bits that differ, within the budgets and with sizes and bitmaps that allow the
+    similarity.  Of many texts that are alike but less similar no pair leaves the task so.
     """
 
-    def __init__(self, similar: float):
-        self.similar = similar
+    def __init__(self, similar: float, nearest: int | None = None):
+        self.similar, self.nearest = similar, nearest
 
     def __call__(self, batches):
         held = None
         for batch in batches:
-            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7 + WORDS)]
+            now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(8 + WORDS)]
             held = now if held is None else [np.concatenate(p) for p in zip(held, now)]
             starts = _starts(held[:3])
             cut = int(starts[-1]) if len(starts) else 0  # the last cell may go on
@@ -125,13 +160,25 @@ class _Tries:
             yield from self._pairs(held, np.zeros(1, np.int64))
 
     def _pairs(self, cols, starts):
-        key, words, size = cols[4], [c.view(np.uint64) for c in cols[6:-1]], cols[-1]
+        key, words, size, bitmaps = cols[4], [c.view(np.uint64) for c in cols[6 : 6 + WORDS]], cols[-2], cols[-1]
         for i, j in self.found(cols, words, starts, np.append(starts[1:], len(key))):
             bits = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words)
             near = (bits <= np.where(np.minimum(size[i], size[j]) <= TINY, TINY_TOTAL, TOTAL)) & (np.minimum(size[i], size[j]) >= self.similar * np.maximum(size[i], size[j]))
-            i, j = i[near], j[near]
+            i, j, bits = i[near], j[near], bits[near]
             if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j])), pa.array(bits[near])], names=["a", "b", "bits"])
+                both = most_common(bitmaps, size, i, j)
+                near = both / (size[i] + size[j] - both) >= self.similar
+                i, j, bits = i[near], j[near], bits[near]
+            a, b = np.minimum(key[i], key[j]), np.maximum(key[i], key[j])
+            if self.nearest is not None and len(a):
+                of = np.searchsorted(starts, i, "right")
+                order = np.lexsort((b, bits, a, of))
+                first = _starts([of[order], a[order]])
+                rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+                keep = order[rank < self.nearest]
+                a, b, bits = a[keep], b[keep], bits[keep]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(bits)], names=["a", "b", "bits"])
 
 
 class _Led(_Tries):
@@ -160,11 +207,12 @@ class _Joined(_Tries):
         yield i[keep], j[keep]
 
 
-def _proposed(cells: DataFrame, how: _Tries) -> DataFrame:
-    """``(a, b, bits)``: the pairs that ``how`` finds, once each."""
+def _proposed(cells: DataFrame, sets: DataFrame, how: _Tries) -> DataFrame:
+    """``(a, b, bits)``: the pairs that ``how`` finds, once each; fingerprints and bitmaps join the cells' members last."""
     key = ["trie", "one", "other"]
-    columns = [*key, "cell", "key", "root", *(f"f{k}" for k in range(WORDS + 1))]
-    dealt = cells.select(*columns).repartition(*key).sortWithinPartitions(*key, "key")
+    own = sets.select("key", *[F.col("fp")[k].alias(f"f{k}") for k in range(WORDS + 1)], "bits")
+    columns = [*key, "cell", "key", "root", *own.columns[1:]]
+    dealt = cells.select(*columns[:6]).join(own, "key").select(*columns).repartition(*key).sortWithinPartitions(*key, "key")
     return written(dealt.mapInArrow(how, "a long, b long, bits long").distinct(), "proposed-pairs")
 
 
@@ -192,14 +240,12 @@ def _split_cells(members: DataFrame, cell: int) -> tuple[DataFrame, list[DataFra
 
 
 def similar_links(rows: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR, cell: int = CELL) -> DataFrame:
-    """``(node, root)``: components of keys whose shingle sets are similar, from ``rows(key, tries, fp, text)``."""
+    """``(node, root)``: components of keys whose shingle sets are similar, from ``rows(key, tries, fp, bits, text)``."""
     ship(rows.sparkSession)
-    sets = written(rows.where("size(tries) > 0").select("key", "tries", "fp").dropDuplicates(["key"]), "shingle-sets")
-    words = [F.col("fp")[k].alias(f"f{k}") for k in range(WORDS + 1)]
-    members = sets.select("key", F.explode("tries").alias("trie"), *words)
+    sets = written(rows.where("size(tries) > 0").select("key", "tries", "fp", "bits").dropDuplicates(["key"]), "shingle-sets")
+    members = sets.select("key", F.explode("tries").alias("trie"))
     shared = members.groupBy("trie").agg(F.count("*").alias("n")).where("n > 1")
     members = written(members.join(shared, "trie"), "trie-members")
-    dropped(sets)
     slim = rows.select("key", "text")
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -213,31 +259,28 @@ def similar_links(rows: DataFrame, shingle: int = SHINGLE, similar: float = SIMI
 
     part = F.pmod(F.xxhash64("key", "trie"), F.ceil(F.col("n") / cell))
     led = members.withColumns({"one": part, "other": part, "cell": part, "root": F.col("key")})
-    proposed = _proposed(led, _Led(similar))
+    proposed = _proposed(led, sets, _Led(similar))
     links = checked(proposed.select("a", "b"))
     dropped(proposed)
     roots = connected_components(links, "near-copies")
-    rooted = members.drop("n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    rooted = written(rooted, "rooted-members")
-    dropped(members)
-    cells, parts = _split_cells(rooted, cell)
-    left = _proposed(cells, _Joined(similar))
-    for table in (rooted, *parts):
-        dropped(table)
+    tried = []
     for nearest in (*ROUNDS, None):
-        if left.isEmpty():
+        rooted = members.drop("n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        rooted = written(rooted, "rooted-members")
+        cells, parts = _split_cells(rooted, cell)
+        found = _proposed(cells, sets, _Joined(similar, nearest))
+        for table in (rooted, *parts):
+            dropped(table)
+        if found.isEmpty():
             break
-        rank = F.row_number().over(Window.partitionBy("a").orderBy("bits", "b"))
-        ranked = written(left.withColumn("rank", rank), "ranked-pairs")
-        dropped(left)
-        now = ranked if nearest is None else ranked.where(F.col("rank") <= nearest)
-        links = links.unionByName(checked(now.select("a", "b")))
+        now = found.select("a", "b")
+        for before in tried:
+            now = now.join(before.select("a", "b"), ["a", "b"], "left_anti")
+        tried.append(found)
+        links = links.unionByName(checked(now))
         roots = connected_components(links, "near-copies")
-        if nearest is not None:
-            root_of = {side: roots.toDF(side, f"root_{side}") for side in "ab"}
-            rest = ranked.where(F.col("rank") > nearest).drop("rank").join(root_of["a"], "a", "left").join(root_of["b"], "b", "left")
-            left = written(rest.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b", "bits"), "open-pairs")
-        dropped(ranked)
+    for table in (sets, members, *tried):
+        dropped(table)
     return roots
 
 
@@ -248,7 +291,7 @@ def keep_one_of_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id one stays (that with the smallest text); rows with a null id stay, as they cannot be told apart.  An empty table
     gives an empty result.
     """
-    key, tries, fp = (fresh(docs, n) for n in ("shingle_key", "shingle_tries", "shingle_fp"))
-    rows = written(with_computed(docs, [text_col], _described(shingle), f"`{key}` long, `{tries}` array<long>, `{fp}` array<long>"), "described")
-    slim = rows.select(quoted(key).alias("key"), quoted(tries).alias("tries"), quoted(fp).alias("fp"), quoted(text_col).cast("string").alias("text"))
+    key, tries, fp, bits = (fresh(docs, n) for n in ("shingle_key", "shingle_tries", "shingle_fp", "shingle_bits"))
+    rows = written(with_computed(docs, [text_col], _described(shingle), f"`{key}` long, `{tries}` array<long>, `{fp}` array<long>, `{bits}` binary"), "described")
+    slim = rows.select(quoted(key).alias("key"), quoted(tries).alias("tries"), quoted(fp).alias("fp"), quoted(bits).alias("bits"), quoted(text_col).cast("string").alias("text"))
     return _one_row_each(rows, docs.columns, key, similar_links(slim, shingle, similar, cell), id_col, text_col)

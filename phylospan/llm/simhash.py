@@ -338,15 +338,22 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def _one_row_each(rows: DataFrame, columns: list[str], key: str, roots: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of ``rows`` the row of each component's smallest id, for components ``(node, root)`` of the column ``key``; null ids stay.
 
-    Winners are told by component, key and id, for one id may have texts in several components."""
+    Winners are told by component, key and id, for one id may have texts in several components.  Texts are compared, and
+    moved for it, only where a component repeats its smallest id."""
     ids = rows.select(quoted(key).alias("fp"), quoted(id_col).cast("long").alias("doc_id"))
-    fps = written(ids.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    copies = ids.groupBy("fp", "doc_id").agg(F.count("*").alias("n"))
+    fps = written(copies.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min_by("n", "doc_id").alias("n")), "distinct-fingerprints")
+    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("winner")).where("winner is not null")
-    winners = rooted.join(least, "root").where("least = winner").select("fp", "winner", "root")
-    of, winner, root = (fresh(rows, n) for n in ("winner_fp", "winner", "winner_root"))
-    winners = winners.toDF(of, winner, root)
-    kept = rows.join(winners, (quoted(key) == F.col(of)) & (quoted(id_col).cast("long") == F.col(winner)))
-    first = fresh(kept, "first")
-    once = kept.withColumn(first, F.row_number().over(Window.partitionBy(root).orderBy(quoted(text_col)))).where(F.col(first) == 1)
-    return once.select(*map(quoted, columns)).unionByName(rows.where(quoted(id_col).isNull()).select(*map(quoted, columns)))
+    winners = rooted.join(least, "root").where("least = winner")
+    winners = winners.select("fp", "winner", "root", (F.sum("n").over(Window.partitionBy("root")) > 1).alias("repeated"))
+    of, winner, root, repeated = (fresh(rows, n) for n in ("winner_fp", "winner", "winner_root", "winner_repeated"))
+    winners = written(winners.toDF(of, winner, root, repeated), "winners")
+    kept = lambda which: rows.join(winners.where(which), (quoted(key) == F.col(of)) & (quoted(id_col).cast("long") == F.col(winner)))
+    out = kept(~F.col(repeated)).select(*map(quoted, columns))
+    if not winners.where(F.col(repeated)).isEmpty():
+        several = kept(F.col(repeated))
+        first = fresh(several, "first")
+        once = several.withColumn(first, F.row_number().over(Window.partitionBy(root).orderBy(quoted(text_col)))).where(F.col(first) == 1)
+        out = out.unionByName(once.select(*map(quoted, columns)))
+    return out.unionByName(rows.where(quoted(id_col).isNull()).select(*map(quoted, columns)))

@@ -114,3 +114,51 @@ def test_one_id_in_several_groups(spark):
         assert sorted(kept, key=str) == sorted([(1, a), (1, b), (None, a)], key=str)
     kept = [(r.doc_id, r.text) for r in near_copies.keep_one_of_similar(df).collect()]
     assert sorted(kept, key=str) == sorted([(1, a), (1, b), (None, a)], key=str)
+
+
+def test_bitmaps_never_hide_what_sets_share():
+    """What bitmaps allow two sets to share is never less than what they do share, and little more."""
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (1, 2, 15, 16, 17, 200, 350, 900)]
+    sets += [np.unique(np.concatenate((s[: int(f * len(s))], rng.integers(0, 1 << 64, max(1, int((1 - f) * len(s))), dtype=np.uint64)))) for s in list(sets) for f in (0.5, 0.7, 0.9)]
+    bitmaps = np.array([near_copies.bitmap(s) for s in sets], object)
+    sizes = np.array([len(s) for s in sets])
+    i, j = map(np.array, zip(*combinations(range(len(sets)), 2)))
+    most = near_copies.most_common(bitmaps, sizes, i, j)
+    shared = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert (most >= shared).all() and (most <= np.minimum(sizes[i], sizes[j])).all()
+    alike = (np.minimum(sizes[i], sizes[j]) > 150) & (shared / np.maximum(sizes[i], sizes[j]) > 0.4) & (sizes[i] / sizes[j] > 0.8) & (sizes[j] / sizes[i] > 0.8)
+    assert alike.any() and (most - shared)[alike].max() <= 0.3 * np.maximum(sizes[i], sizes[j])[alike].max()
+
+
+def test_texts_alike_below_the_similarity_make_few_pairs(spark, monkeypatch):
+    """Of a group whose texts share seven tenths of their shingles, and of near copies, pairs do not grow with its square."""
+    rng = random.Random(9)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared, base = words(300), words(200)
+    texts = [" ".join(shared + words(60)) for _ in range(120)]
+    for _ in range(120):
+        copy = list(base)
+        for k in rng.sample(range(200), 3):
+            copy[k] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    counts = []
+    plain = near_copies.written
+
+    def counted(df, label):
+        out = plain(df, label)
+        if label == "proposed-pairs":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "written", counted)
+    kept = [r.doc_id for r in near_copies.keep_one_of_similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    want = groups(list(enumerate(texts)))
+    assert sorted(kept) == sorted(set(want)) and max(counts) <= 12 * len(texts)
+
+
+def test_rows_of_a_repeated_smallest_id(spark):
+    """One row stays of those that repeat a component's smallest id, that with the smallest text, beside components without repeats."""
+    rows = [(1, "A b c d e f"), (1, "a b c d e f"), (2, "a b c d e F"), (3, "other words here"), (None, "other words here"), (4, "more of other words")]
+    got = near_copies.keep_one_of_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, "A b c d e f"), (3, "other words here"), (None, "other words here"), (4, "more of other words")]))
