@@ -246,6 +246,10 @@ def similar_links(rows: DataFrame, shingle: int = SHINGLE, similar: float = SIMI
     members = sets.select("key", F.explode("tries").alias("trie"))
     shared = members.groupBy("trie").agg(F.count("*").alias("n")).where("n > 1")
     members = written(members.join(shared, "trie"), "trie-members")
+    keys = written(members.select("key").distinct(), "shared-keys")
+    every, sets = sets, written(sets.join(keys, "key", "left_semi").drop("tries"), "shared-sets")
+    for table in (every, keys):
+        dropped(table)
     slim = rows.select("key", "text")
 
     def checked(pairs: DataFrame) -> DataFrame:
