@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +31,7 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-__all__ = ["Remembered", "dropped", "each_row", "fresh", "new_path", "quoted", "shared_dir", "table", "with_computed", "written"]
+__all__ = ["Remembered", "dropped", "each_group", "each_row", "fresh", "new_path", "quoted", "shared_dir", "spans", "table", "text_sizes", "with_computed", "written"]
 
 Rows = Callable[..., tuple]
 
@@ -62,6 +64,52 @@ def each_row(df: DataFrame, setup: Callable[[], Rows], schema: str, rows: int =
     return df.mapInArrow(_Each(setup, to_arrow_schema(spark_schema), rows, many), spark_schema)
 
 
+class _Groups:
+    """Maps rows of Arrow batches in groups of like size through a function of one list per input column."""
+
+    def __init__(self, fn: Callable[..., list[tuple]], schema: pa.Schema, column: int, size: Callable[[pa.Array], np.ndarray], most: int):
+        self.fn, self.schema, self.column, self.size, self.most = fn, schema, column, size, most
+
+    def __call__(self, batches):
+        for batch in batches:
+            size = self.size(batch.column(self.column))
+            order = np.argsort(-size, kind="stable")
+            for lo, hi in spans(size[order] + ROW, self.most):
+                part = batch.take(pa.array(order[lo:hi]))
+                out = self.fn(*(part.column(i).to_pylist() for i in range(part.num_columns)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), self.schema.types)], schema=self.schema)
+
+
+#: Bytes that a row of a group counts for beside its size.
+ROW = 1024
+
+
+def spans(size: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Where to cut what has these sizes into parts of at most ``most``, or of one item."""
+    end, out, lo = np.cumsum(size), [], 0
+    while lo < len(end):
+        hi = max(lo + 1, int(np.searchsorted(end, most + (end[lo - 1] if lo else 0), "right")))
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
+def text_sizes(texts: pa.Array) -> np.ndarray:
+    """Bytes of each text, none for null."""
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def each_group(df: DataFrame, fn: Callable[..., list[tuple]], schema: str, column: int, size: Callable[[pa.Array], np.ndarray], most: int) -> DataFrame:
+    """``df`` mapped in groups of rows of like ``size``, a function of a column's values, with no shuffle.
+
+    ``fn`` has a list of values per column and gives a tuple per row.  A group is of one row, or the sizes of its rows,
+    with ``ROW`` more for each, come to at most ``most``.
+    """
+    ship(df.sparkSession)
+    spark_schema = T._parse_datatype_string(schema)
+    return df.mapInArrow(_Groups(fn, to_arrow_schema(spark_schema), column, size, most), spark_schema)
+
+
 class _Extended:
     """Passes whole batches through with further columns, or only the rows that a column marks."""
 

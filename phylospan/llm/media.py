@@ -14,10 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phylospan.llm import webp
-from phylospan.llm.common import each_row, written
+from phylospan.llm.common import each_group, spans, text_sizes, written
+from phylospan.llm.webp_many import decode_many, encode_many
 
 UNIT = 64
 TILE_ROWS = 4096
+#: Bytes of samples that a task has as images at a time.
+AT_ONCE = 4 << 20
 
 
 def pad(data: bytes) -> bytes:
@@ -26,14 +29,41 @@ def pad(data: bytes) -> bytes:
 
 
 def to_media(payload: bytes) -> bytes:
-    rows = np.frombuffer(payload, "<u4").astype(np.uint32, copy=False).reshape(-1, UNIT // 4)
-    return b"".join(webp.encode(rows[k : k + TILE_ROWS]) for k in range(0, len(rows), TILE_ROWS))
+    return to_many([payload])[0]
+
+
+def to_many(payloads: list[bytes]) -> list[bytes]:
+    """``to_media`` of each; all images are written in step."""
+    pixels = [np.frombuffer(p, "<u4").astype(np.uint32, copy=False).reshape(-1, UNIT // 4) for p in payloads]
+    tiles = [[p[k : k + TILE_ROWS] for k in range(0, len(p), TILE_ROWS)] for p in pixels]
+    flat = [t for each in tiles for t in each]
+    files = iter([f for lo, hi in spans(np.array([t.nbytes for t in flat]), 2 * AT_ONCE) for f in encode_many(flat[lo:hi])])
+    return [b"".join(next(files) for _ in t) for t in tiles]
 
 
 def from_media(media: bytes, parts: set[str] | None = None) -> np.ndarray:
     """The samples of a medium, one array of shape (rows, 64); the format's parts it uses are added to ``parts``."""
-    pixels = np.concatenate([webp.decode(f, parts) for f in webp.split_files(media)])
-    return np.ascontiguousarray(pixels.astype("<u4", copy=False)).view(np.uint8)
+    return from_many([media], None if parts is None else [parts])[0]
+
+
+def from_many(media: list[bytes], parts: list[set[str]] | None = None) -> list[np.ndarray]:
+    """``from_media`` of each; all images are decoded in step."""
+    files = [webp.split_files(m) for m in media]
+    used = [p for p, f in zip(parts or [set() for _ in media], files) for _ in f]
+    flat = [f for each in files for f in each]
+    images = iter([p for lo, hi in spans(np.array([_samples(f) for f in flat]), 2 * AT_ONCE) for p in decode_many(flat[lo:hi], used[lo:hi])])
+    return [np.ascontiguousarray(np.concatenate([next(images) for _ in f]).astype("<u4", copy=False)).view(np.uint8) for f in files]
+
+
+def _samples(file: bytes) -> int:
+    """Samples of an image by its header."""
+    width, height = webp.size_of(file)
+    return 4 * width * height
+
+
+def _media_sizes(media) -> np.ndarray:
+    """Samples of each medium, none for null."""
+    return np.array([sum(map(_samples, webp.split_files(m or b""))) for m in media.to_pylist()], np.int64)
 
 
 def describe(samples: np.ndarray) -> str:
@@ -45,9 +75,9 @@ def describe(samples: np.ndarray) -> str:
     return f"{x.shape[0]}x{x.shape[1]};sum={count @ value};squares={count @ (value * value)};along={along};across={across};bins={','.join(map(str, bins))}"
 
 
-def _stored(text: str | None) -> tuple[int, bytes]:
-    data = (text or "").encode()
-    return len(data), to_media(pad(data))
+def _stored(doc_ids, texts):
+    data = [(t or "").encode() for t in texts]
+    return [(i, len(d), m) for i, d, m in zip(doc_ids, data, to_many([pad(d) for d in data]))]
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,7 +87,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ignored, an empty table gives an empty one.  No shuffle.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return each_row(rows, lambda: lambda doc_id, text: (doc_id, *_stored(text)), "doc_id long, n_bytes long, media binary", rows=64)
+    return each_group(rows, _stored, "doc_id long, n_bytes long, media binary", 1, text_sizes, AT_ONCE)
 
 
 def decode_media(media: DataFrame) -> DataFrame:
@@ -66,20 +96,21 @@ def decode_media(media: DataFrame) -> DataFrame:
     A null medium has null results; one that is broken is an error; an empty table gives an empty one.
     """
 
-    def row(doc_id, data):
-        if data is None:
-            return doc_id, None, None, None
-        x = from_media(data)
-        return doc_id, x.shape[1], x.shape[0], x.tobytes()
+    def rows(doc_ids, data):
+        images = iter(from_many([d for d in data if d is not None]))
+        found = [None if d is None else next(images) for d in data]
+        return [(i, None, None, None) if x is None else (i, x.shape[1], x.shape[0], x.tobytes()) for i, x in zip(doc_ids, found)]
 
-    return each_row(media.select("doc_id", "media"), lambda: row, "doc_id long, width int, height int, pixels binary", rows=16)
+    return each_group(media.select("doc_id", "media"), rows, "doc_id long, width int, height int, pixels binary", 1, _media_sizes, AT_ONCE)
 
 
-def _features(doc_id, n, media):
-    parts: set[str] = set()
-    samples = from_media(media, parts)
-    back = samples.tobytes()
-    return doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), describe(samples), ",".join(sorted(parts))
+def _features(doc_ids, sizes, media):
+    parts: list[set[str]] = [set() for _ in media]
+    out = []
+    for doc_id, n, m, samples, used in zip(doc_ids, sizes, media, from_many(media, parts), parts):
+        back = samples.tobytes()
+        out.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), describe(samples), ",".join(sorted(used))))
+    return out
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,4 +123,4 @@ def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     stored = written(encode_texts(docs, id_col, text_col), "media")
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, parts string"
-    return each_row(stored, lambda: _features, schema, rows=64)
+    return each_group(stored, _features, schema, 2, _media_sizes, AT_ONCE)

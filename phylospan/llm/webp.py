@@ -5,6 +5,8 @@ colour, subtract green, palette) and an entropy-coded image of prefix codes, bac
 cache; the transforms are inverted in reverse order.  An image of some size with one group of codes is read by
 a loop of its own; small images and those of several groups take the general path.
 
+Beside this module ``webp_many`` reads and writes many images in step, with the same results.
+
 The encoder tries each transform on the whole image and takes the one with the least entropy, finds
 back-references by equal runs of three pixels, and uses a colour cache where its hits save bits.
 """
@@ -215,7 +217,7 @@ def _blocks(n: int, bits: int) -> int:
 MANY = 64
 
 
-def _read_image(bits: BitReader, width: int, height: int, main: bool, parts: set[str]) -> np.ndarray:
+def read_image(bits: BitReader, width: int, height: int, main: bool, parts: set[str]) -> np.ndarray:
     """The ARGB numbers of an entropy-coded image, row by row; what the image uses is added to ``parts``."""
     cache_bits = 0
     if bits.read(1):
@@ -225,13 +227,13 @@ def _read_image(bits: BitReader, width: int, height: int, main: bool, parts: set
     group_of, tile_bits, groups = None, 0, 1
     if main and bits.read(1):
         tile_bits = bits.read(3) + 2
-        group_of = ((_read_image(bits, _blocks(width, tile_bits), _blocks(height, tile_bits), False, set()) >> 8) & 0xFFFF).tolist()
+        group_of = ((read_image(bits, _blocks(width, tile_bits), _blocks(height, tile_bits), False, set()) >> 8) & 0xFFFF).tolist()
         groups = max(group_of) + 1
     cache_size = 1 << cache_bits if cache_bits else 0
     codes = [_read_codes(bits, 256 + LENGTH_CODES + cache_size) for _ in range(groups)]
     if group_of is None and width * height >= MANY:
         return _read_single(bits, width, height, codes[0], cache_bits, parts)
-    return _read_general(bits, width, height, codes, group_of, tile_bits, cache_bits)
+    return _read_general(bits, width, height, codes, group_of, tile_bits, cache_bits, parts)
 
 
 def _read_single(bits: BitReader, width: int, height: int, codes: list[PrefixCode], cache_bits: int, parts: set[str]) -> np.ndarray:
@@ -303,7 +305,7 @@ def _copy(out: list[int], n: int, d: int, width: int, total: int) -> None:
         out += (out[at - d :] * (n // d + 1))[:n]
 
 
-def _read_general(bits, width, height, codes, group_of, tile_bits, cache_bits) -> np.ndarray:
+def _read_general(bits, width, height, codes, group_of, tile_bits, cache_bits, parts) -> np.ndarray:
     out: list[int] = []
     total, across = width * height, _blocks(width, tile_bits)
     cache = [0] * (1 << cache_bits)
@@ -321,6 +323,7 @@ def _read_general(bits, width, height, codes, group_of, tile_bits, cache_bits) -
         elif s < 256 + LENGTH_CODES:
             n = _value(bits, s - 256)
             _copy(out, n, _value(bits, distance.read(bits)), width, total)
+            parts.add("backward")
         else:
             if not cache_bits:
                 raise ValueError("a cache symbol without a cache")
@@ -328,6 +331,7 @@ def _read_general(bits, width, height, codes, group_of, tile_bits, cache_bits) -
                 cache[(CACHE_FACTOR * v & 0xFFFFFFFF) >> shift] = v
             fresh = at
             out.append(cache[s - 256 - LENGTH_CODES])
+            parts.add("cache")
     return np.array(out, np.uint32)
 
 
@@ -468,25 +472,39 @@ def split_files(data: bytes) -> list[bytes]:
     return out
 
 
-def decode(data: bytes, parts: set[str] | None = None) -> np.ndarray:
-    """The pixels of a lossless WebP file as ``uint32`` ARGB numbers of shape (height, width).
-
-    Names of the transforms, and of ``backward`` references and ``cache`` hits of the image, are added to ``parts``.
-    """
+def lossless_part(data: bytes) -> bytes:
+    """The lossless stream of a WebP file."""
     if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise ValueError("not a WebP file")
     at = 12
     while at + 8 <= len(data):
         kind, n = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
         if kind == b"VP8L":
-            return decode_stream(data[at + 8 : at + 8 + n], parts)
+            return data[at + 8 : at + 8 + n]
         at += 8 + n + n % 2
     raise ValueError("no lossless image in the file")
 
 
-def decode_stream(data: bytes, parts: set[str] | None = None) -> np.ndarray:
+def size_of(data: bytes) -> tuple[int, int]:
+    """Width and height of a lossless WebP file by its header."""
+    head = lossless_part(data)[1:5]
+    if len(head) < 4:
+        raise ValueError("the stream ends early")
+    n = int.from_bytes(head, "little")
+    return (n & 0x3FFF) + 1, (n >> 14 & 0x3FFF) + 1
+
+
+def decode(data: bytes, parts: set[str] | None = None) -> np.ndarray:
+    """The pixels of a lossless WebP file as ``uint32`` ARGB numbers of shape (height, width).
+
+    Names of the transforms, and of ``backward`` references and ``cache`` hits of the image, are added to ``parts``.
+    """
+    return decode_stream(lossless_part(data), parts)
+
+
+def begin_stream(data: bytes):
+    """Read what stands before the main image: the reader behind it, the transforms, the main image's size, and whether it is opaque."""
     bits = BitReader(data)
-    parts = set() if parts is None else parts
     if bits.read(8) != SIGNATURE:
         raise ValueError("not a lossless stream")
     width, height = bits.read(14) + 1, bits.read(14) + 1
@@ -501,22 +519,32 @@ def decode_stream(data: bytes, parts: set[str] | None = None) -> np.ndarray:
         if kind in (PREDICTOR, CROSS_COLOUR):
             size = bits.read(3) + 2
             w, h = _blocks(now, size), _blocks(height, size)
-            block = _read_image(bits, w, h, False, set()).reshape(h, w)
+            block = read_image(bits, w, h, False, set()).reshape(h, w)
             undo.append((kind, lambda p, b=block, s=size, k=kind: unpredict(p, b, s) if k == PREDICTOR else cross_colour(p, b, s)))
         elif kind == SUBTRACT_GREEN:
             undo.append((kind, add_green))
         else:
             n = bits.read(8) + 1
-            palette = _joined(np.cumsum(_channels(_read_image(bits, n, 1, False, set())), axis=0))
+            palette = _joined(np.cumsum(_channels(read_image(bits, n, 1, False, set())), axis=0))
             undo.append((kind, lambda p, c=palette, w=now: unpalette(p, c, w)))
             now = _blocks(now, _bundle_bits(n))
-    pixels = _read_image(bits, now, height, True, parts).reshape(height, now)
+    return bits, undo, (now, height), opaque
+
+
+def end_stream(pixels: np.ndarray, undo: list, opaque: bool, parts: set[str]) -> np.ndarray:
+    """The picture from its main image; the transforms' names are added to ``parts``."""
     parts.update(NAMES[kind] for kind, _ in undo)
     for _, step in reversed(undo):
         pixels = step(pixels)
     return pixels | np.uint32(0xFF000000) if opaque else pixels
 
 
+def decode_stream(data: bytes, parts: set[str] | None = None) -> np.ndarray:
+    parts = set() if parts is None else parts
+    bits, undo, (width, height), opaque = begin_stream(data)
+    return end_stream(read_image(bits, width, height, True, parts).reshape(height, width), undo, opaque, parts)
+
+
 # --- the sample encoder ------------------------------------------------------------------------------
 
 
@@ -695,18 +723,30 @@ def _transforms(pixels: np.ndarray):
         yield 60, _predict(pixels, mode), PREDICTOR, mode << 8
     factors = _fitted_factors(pixels)
     if factors & 0xFFFFFF:
-        block = np.full((_blocks(pixels.shape[0], 9), _blocks(pixels.shape[1], 9)), factors, np.uint32)
-        yield 60, cross_colour(pixels, block, 9, forward=True), CROSS_COLOUR, factors
+        yield 60, cross_colour(pixels, block_of(pixels.shape, factors), 9, forward=True), CROSS_COLOUR, factors
+    palette = palette_transform(pixels)
+    if palette is not None:
+        yield palette
+
+
+def block_of(shape: tuple[int, int], content: int) -> np.ndarray:
+    """A block image that says the same everywhere, for blocks of 512."""
+    return np.full((_blocks(shape[0], 9), _blocks(shape[1], 9)), content, np.uint32)
+
+
+def palette_transform(pixels: np.ndarray):
+    """The image of places in a palette, as ``_transforms`` gives it; None if there are more than 256 colours."""
     few = pixels.size <= 512 or len(np.unique(pixels.ravel()[:512])) <= 256
     colours = np.unique(pixels) if few else ()
-    if 0 < len(colours) <= 256:
-        bits, width = _bundle_bits(len(colours)), pixels.shape[1]
-        index = np.searchsorted(colours, pixels).astype(np.uint32)
-        packed = np.zeros((len(pixels), _blocks(width, bits)), np.uint32)
-        for k in range(1 << bits):
-            part = index[:, k :: 1 << bits]
-            packed[:, : part.shape[1]] |= part << np.uint32((8 >> bits) * k)
-        yield 26 * len(colours) + 150, packed << np.uint32(8), PALETTE, colours
+    if not 0 < len(colours) <= 256:
+        return None
+    bits, width = _bundle_bits(len(colours)), pixels.shape[1]
+    index = np.searchsorted(colours, pixels).astype(np.uint32)
+    packed = np.zeros((len(pixels), _blocks(width, bits)), np.uint32)
+    for k in range(1 << bits):
+        part = index[:, k :: 1 << bits]
+        packed[:, : part.shape[1]] |= part << np.uint32((8 >> bits) * k)
+    return 26 * len(colours) + 150, packed << np.uint32(8), PALETTE, colours
 
 
 def _matches(flat: np.ndarray) -> list[tuple[int, int, int]]:
@@ -808,26 +848,38 @@ def put_image(out: BitWriter, pixels: np.ndarray, main: bool) -> None:
     out.put_all(value.astype(np.uint64), length)
 
 
-def encode(pixels: np.ndarray) -> bytes:
-    """An image of ``uint32`` ARGB numbers, at most 16384 a side, as a lossless WebP file."""
-    height, width = pixels.shape
-    tried = list(_transforms(pixels))
-    some = slice(None, None, max(1, height // SEEN))
-    bits = _entropies([t[1][some] for t in tried]) * height / len(pixels[some]) + [t[0] for t in tried]
-    _, now, kind, content = tried[int(bits.argmin())]
-    out = BitWriter()
-    for value, n in ((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
+def put_head(out: BitWriter, shape: tuple[int, int], kind: int | None, content) -> None:
+    """Write what stands before a transform's own image, or before the main image if there is none."""
+    for value, n in ((SIGNATURE, 8), (shape[1] - 1, 14), (shape[0] - 1, 14), (1, 1), (0, 3)):
         out.put(value, n)
     if kind is not None:
         out.put(1, 1)
         out.put(kind, 2)
         if kind in (PREDICTOR, CROSS_COLOUR):
             out.put(7, 3)  # blocks of 512
-            put_image(out, np.full((_blocks(height, 9), _blocks(width, 9)), content, np.uint32), False)
         elif kind == PALETTE:
             out.put(len(content) - 1, 8)
-            c = _channels(content)
-            put_image(out, _joined(np.diff(c, axis=0, prepend=0))[None, :], False)
+
+
+def sub_image(shape: tuple[int, int], kind: int | None, content) -> np.ndarray | None:
+    """The image that belongs to a transform."""
+    if kind in (PREDICTOR, CROSS_COLOUR):
+        return block_of(shape, content)
+    return _joined(np.diff(_channels(content), axis=0, prepend=0))[None, :] if kind == PALETTE else None
+
+
+def encode(pixels: np.ndarray) -> bytes:
+    """An image of ``uint32`` ARGB numbers, at most 16384 a side, as a lossless WebP file."""
+    height = len(pixels)
+    tried = list(_transforms(pixels))
+    some = slice(None, None, max(1, height // SEEN))
+    bits = _entropies([t[1][some] for t in tried]) * height / len(pixels[some]) + [t[0] for t in tried]
+    _, now, kind, content = tried[int(bits.argmin())]
+    out = BitWriter()
+    put_head(out, pixels.shape, kind, content)
+    inner = sub_image(pixels.shape, kind, content)
+    if inner is not None:
+        put_image(out, inner, False)
     out.put(0, 1)
     put_image(out, now, True)
     return riff(out.bytes())

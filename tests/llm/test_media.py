@@ -240,3 +240,54 @@ def test_the_query_uses_the_format(spark):
     assert len(got) >= 200 and all(r.payload_sha256 == hashlib.sha256(pad(texts[r.doc_id].encode())).hexdigest() for r in got)
     used = {p for r in got for p in r.parts.split(",")}
     assert {"backward", "cache", "palette"} <= used
+
+
+def mixed():
+    """Files of all sizes and features: texts, images that transforms suit, several groups of codes, one pixel."""
+    rng, r = random.Random(11), np.random.default_rng(11)
+    words = ["".join(rng.choices("etaoin shrdlu", k=rng.randint(1, 9))) for _ in range(90)]
+    texts = ["", "a", "\0" * 64, "é中" * 9, "z" * 300_000 + "end", *(" ".join(rng.choices(words, k=rng.randint(1, 600))) for _ in range(60))]
+    images = [np.frombuffer(pad(t.encode()), "<u4").reshape(-1, 16)[:4096] for t in texts]
+    images += [p for _, p in suited()] + [r.integers(0, 1 << 32, (rng.randint(1, 40), rng.randint(1, 50)), dtype=np.uint64).astype(np.uint32) for _ in range(9)]
+    return images + [r.choice(p.ravel()[:k], (h, 16)) for p in images[:30] for k, h in ((1, 1), (5, 9), (16, 40), (200, 70))]
+
+
+def test_many_images_are_written_and_read_as_one_by_one():
+    from phylospan.llm.webp_many import decode_many, encode_many
+
+    images = mixed()
+    files = [webp.encode(p) for p in images]
+    assert encode_many(images) == files and encode_many([]) == []
+    grouped = Writer()
+    for v, n in ((0x2F, 8), (19, 14), (9, 14), (1, 1), (0, 3), (0, 1)):
+        grouped.put(v, n)
+    pixels = np.random.default_rng(3).integers(0, 90, (10, 20)).astype(np.uint32)
+    grouped.image(pixels, True, random.Random(3), cache_bits=11, copies=True, groups=(2, np.arange(15).reshape(3, 5) % 4))
+    files += [webp.riff(grouped.value.to_bytes((grouped.count + 7) // 8, "little"))]
+    used, alone = [set() for _ in files], [set() for _ in files]
+    got = decode_many(files, used)
+    assert all(a.shape == b.shape and (a == b).all() for a, b in zip(got, [*images, pixels]))
+    assert all((webp.decode(f, u) == p).all() for f, u, p in zip(files, alone, got)) and used == alone
+    with pytest.raises(ValueError):
+        decode_many([*files, webp.riff(webp.lossless_part(files[70])[:60])])
+
+
+def test_cache_symbols_of_empty_slots():
+    """Such a symbol is the pixel 0, which enters the cache in the slot of 0."""
+    from phylospan.llm.webp_many import FEW, decode_many
+
+    out = Writer()
+    for v, n in ((0x2F, 8), (3, 14), (0, 14), (1, 1), (0, 3), (0, 1), (1, 1), (1, 4), (0, 1)):  # 4 x 1, a cache of 2
+        out.put(v, n)
+    slot = lambda p: (webp.CACHE_FACTOR * p & 0xFFFFFFFF) >> 31
+    low = next(g for g in range(1, 256) if slot(g << 8) == 0)
+    lengths = [0] * 282
+    lengths[low], lengths[280], lengths[281] = 1, 2, 2
+    codes = webp.put_code(out, lengths)
+    for _ in range(4):
+        webp.put_code(out, [1])
+    for s in (low, 281, 280, 281):
+        out.put(*codes[s])
+    f = webp.riff(out.value.to_bytes((out.count + 7) // 8, "little"))
+    assert webp.decode(f).tolist() == [[low << 8, 0, 0, 0]]
+    assert all(p.tolist() == [[low << 8, 0, 0, 0]] for p in decode_many([f] * (FEW + 5)))
